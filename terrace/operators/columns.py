@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.casts import lenient_cast
 from terrace.types import spark_type
 
 ColumnSpec = dict[str, Any] | str | None
@@ -47,10 +48,11 @@ def source_column(name: str, spec: ColumnSpec) -> Column:
     return F.col(reference)
 
 
-def compile_column(name: str, spec: ColumnSpec) -> Column:
+def compile_column(name: str, spec: ColumnSpec, inputs: DataFrame | None = None) -> Column:
     """``udf`` wins over ``expr``, ``expr`` over the source column; ``cast`` applies to whatever
     won, so a declared type on a computed column is only enforced on request. ``on_bad="null"``
-    turns unconvertible values into NULL instead of an error."""
+    turns unconvertible values into NULL instead of an error; knowing the ``inputs`` it is compiled
+    for makes that cheaper."""
     spec = normalise(spec)
     if is_computed(spec):
         column = F.expr(spec["udf"] if "udf" in spec else spec["expr"])
@@ -58,11 +60,18 @@ def compile_column(name: str, spec: ColumnSpec) -> Column:
         column = source_column(name, spec)
     if spec.get("cast") and "type" in spec:
         target = spark_type(spec["type"])
-        column = column.try_cast(target) if spec.get("on_bad") == "null" else column.cast(target)
+        if spec.get("on_bad") != "null":
+            column = column.cast(target)
+        elif inputs is None or is_computed(spec):
+            column = column.try_cast(target)
+        else:
+            column = lenient_cast(column, inputs.select(column).schema[0].dataType, target)
     return column.alias(name)
 
 
-def compile_columns(columns: dict[str, ColumnSpec]) -> list[Column]:
+def compile_columns(
+    columns: dict[str, ColumnSpec], inputs: DataFrame | None = None
+) -> list[Column]:
     """Columns in declared order; later ones may use earlier names as lateral aliases, and a source
     column of the same name wins."""
-    return [compile_column(name, spec) for name, spec in columns.items()]
+    return [compile_column(name, spec, inputs) for name, spec in columns.items()]

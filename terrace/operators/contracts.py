@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrace.functions.casts import unconvertible
 from terrace.operators.columns import ColumnSpec, normalise, quoted
 from terrace.operators.lineage import LINEAGE_DDL
 from terrace.types import spark_type
@@ -48,7 +49,7 @@ def _problem(df: DataFrame, name: str, spec: dict[str, Any]) -> list[Column]:
         problems.append(F.when(column.isNull(), F.lit(f"{name}: required value is missing")))
     target = spark_type(spec.get("type", "string"))
     if df.schema[name].dataType != target:
-        bad = column.isNotNull() & column.try_cast(target).isNull()
+        bad = unconvertible(column, df.schema[name].dataType, target)
         problems.append(F.when(bad, F.lit(f"{name}: not a {target.simpleString()}")))
     return problems
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.casts import lenient_cast, unconvertible
 from terrace.operators.columns import compile_column, normalise, quoted
 from terrace.types import spark_type
 
@@ -33,8 +34,10 @@ def apply_change(df: DataFrame, change: Change) -> DataFrame:
     for name, target in change.get("change_type", {}).items():
         if name in df.columns:
             column, kind = F.col(quoted(name)), spark_type(target.get("to", "string"))
-            lenient = target.get("on_bad") == "null"
-            df = df.withColumn(name, column.try_cast(kind) if lenient else column.cast(kind))
+            if target.get("on_bad") == "null":
+                df = df.withColumn(name, lenient_cast(column, df.schema[name].dataType, kind))
+            else:
+                df = df.withColumn(name, column.cast(kind))
     return df
 
 
@@ -54,13 +57,13 @@ def evolve_tables(
     return result
 
 
-def unconvertible(df: DataFrame, change: Change) -> DataFrame:
+def retype_losses(df: DataFrame, change: Change) -> DataFrame:
     """One row per retyped column: how many values its new type cannot hold. One scan."""
     targets = {n: t for n, t in change.get("change_type", {}).items() if n in df.columns}
     counts = []
     for name, target in targets.items():
-        column = F.col(quoted(name))
-        lost = column.isNotNull() & column.try_cast(spark_type(target.get("to", "string"))).isNull()
+        kind = spark_type(target.get("to", "string"))
+        lost = unconvertible(F.col(quoted(name)), df.schema[name].dataType, kind)
         counts.append(
             F.struct(F.lit(name).alias("column"), F.count_if(lost).alias("unconvertible"))
         )

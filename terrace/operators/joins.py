@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.sizing import BROADCAST_LIMIT_BYTES, broadcast_if_small
+from terrace.sizing import BROADCAST_LIMIT_BYTES, broadcast_if_small, fits_broadcast
 
 # Accepted join texts and the Spark join type behind each. A cross join text always
 # comes with a condition here, which makes it an inner join.
@@ -46,8 +46,10 @@ def spread(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def replicate(df: DataFrame, buckets: int) -> DataFrame:
-    """Repeat every row once per salt."""
-    return df.withColumn(SALT, F.explode(F.array(*[F.lit(i) for i in range(buckets)])))
+    """Repeat every row once per salt. The result is marked for a shuffle join: Spark does not count
+    the copies when it estimates sizes and might broadcast them."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(buckets)]))
+    return df.withColumn(SALT, salts).hint("merge")
 
 
 def salted_pair(
@@ -78,7 +80,8 @@ def join_sources(
 
     ``conditions`` and ``how`` are one value for all joins or one per later source. ``broadcast``
     names the aliases to send to every executor; each is only honoured below ``broadcast_limit``.
-    ``salt`` maps the hot one of the first two aliases to a number of buckets.
+    ``salt`` maps the hot one of the first two aliases to a number of buckets; when the other one is
+    below ``broadcast_limit`` it is broadcast instead, which needs no shuffle of the hot side.
     """
     aliases = list(sources)
     later = aliases[1:]
@@ -99,12 +102,14 @@ def join_sources(
         (hot, buckets), = salt.items()
         if hot not in aliases[:2]:
             raise ValueError("only one of the first two sources can be salted")
-        side = "left" if hot == aliases[0] else "right"
-        pair = salted_pair(frames[aliases[0]], frames[aliases[1]], join_type(how_list[0]), side, buckets)
-        frames.update(zip(aliases[:2], pair))
-        condition_list[0] = (
-            f"({condition_list[0]}) AND {aliases[0]}.{SALT} = {aliases[1]}.{SALT}"
-        )
+        first, second = aliases[:2]
+        cold, side = (second, "left") if hot == first else (first, "right")
+        pair = salted_pair(sources[first], sources[second], join_type(how_list[0]), side, buckets)
+        if fits_broadcast(sources[cold], broadcast_limit):
+            frames[cold] = F.broadcast(sources[cold])
+        else:
+            frames[first], frames[second] = pair
+            condition_list[0] = f"({condition_list[0]}) AND {first}.{SALT} = {second}.{SALT}"
 
     joined = frames[aliases[0]].alias(aliases[0])
     for alias, condition, kind in zip(later, condition_list, how_list):

@@ -34,15 +34,14 @@ def _recorded(df: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def lineage_edges(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per (output column, input column) pair the tables' rows record.
+def _recorded_once(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The descriptions of all tables, a few rows per model, checkpointed: tables are scanned once
+    however often the descriptions are used."""
+    return checkpoint(reduce(DataFrame.unionByName, [_recorded(df) for df in tables.values()]))
 
-    Build the models with ``all_columns=True``, or columns that pass through leave no edge. An input
-    belongs to the sources that have a column of that name; sources whose tables are not given are
-    assumed to have it.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    recorded = reduce(DataFrame.unionByName, [_recorded(df) for df in tables.values()])
+
+def _edges(recorded: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    spark = recorded.sparkSession
     words = F.regexp_extract_all(F.col("entry.expression"), F.lit(r"([A-Za-z_]\w*)"))
     names = F.transform("entry.inputs", lambda i: F.element_at(F.split(i, r"\."), -1))
     # an aggregate records its own output, so its inputs are looked up in its expression
@@ -75,11 +74,21 @@ def lineage_edges(tables: Mapping[str, DataFrame]) -> DataFrame:
     return found.unionByName(own).distinct()
 
 
+def lineage_edges(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per (output column, input column) pair the tables' rows record.
+
+    Build the models with ``all_columns=True``, or columns that pass through leave no edge. An input
+    belongs to the sources that have a column of that name; sources whose tables are not given are
+    assumed to have it.
+    """
+    return _edges(_recorded_once(tables), tables)
+
+
 def provenance_registry(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The edges with the commit and time that recorded them, for an append-only audit table."""
-    runs = reduce(DataFrame.unionByName, [_recorded(df) for df in tables.values()])
-    runs = runs.select("target_model", "git_commit", "deployed_at").distinct()
-    edges = lineage_edges(tables).select(
+    recorded = _recorded_once(tables)
+    runs = recorded.select("target_model", "git_commit", "deployed_at").distinct()
+    edges = _edges(recorded, tables).select(
         "target_model", "target_column", "source_model", "source_column"
     )
     return edges.distinct().join(runs, "target_model")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.columns import compile_column, compile_columns, is_computed, normalise
+from terrace.operators.columns import compile_column, compile_columns, is_computed, normalise, source_name
 from terrace.operators.joins import join_sources
 from terrace.operators.lineage import Run, column_entries, lineage_column
 from terrace.sizing import BROADCAST_LIMIT_BYTES
@@ -35,13 +36,15 @@ def build_model(
     """The DataFrame a model specification describes.
 
     Keys: ``source`` or ``sources`` + ``join`` (one condition or one per later source),
-    ``join_type``, ``broadcast``, ``salt``, ``where``, ``columns``, ``group_by``, ``version``,
+    ``join_type``, ``broadcast``, ``salt`` (hot alias: buckets), ``where``, ``columns``, ``group_by``, ``version``,
     ``schema``, ``origin``. Expressions see the source columns first, then the outputs before them.
     ``lineage_mode=None`` leaves the ``_lineage`` column out; ``all_columns`` also lists the columns
     that pass through unchanged.
     """
     sources = model_sources(spec)
     frames = {alias: tables[source] for alias, source in sources.items()}
+    for alias in spec.get("salt", {}):
+        frames[alias] = _used_columns(frames[alias], spec)
     if len(frames) > 1:
         inputs = join_sources(
             frames,
@@ -58,7 +61,7 @@ def build_model(
         inputs = inputs.where(F.expr(spec["where"]))
 
     columns = spec["columns"]
-    selected = compile_columns(columns)
+    selected = compile_columns(columns, inputs)
     if lineage_mode is not None:
         available = [c for frame in frames.values() for c in frame.columns if c != "_lineage"]
         entries = column_entries(
@@ -85,6 +88,18 @@ def build_model(
     return grouped.agg(*selected).drop(*hidden)
 
 
+def _used_columns(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
+    """Only the columns the model names anywhere: a salt hashes whole rows and would keep the scan
+    from leaving the others out."""
+    texts = [spec.get("where", ""), *spec.get("group_by", [])]
+    texts += [spec["join"]] if isinstance(spec["join"], str) else spec["join"]
+    for name, raw in spec["columns"].items():
+        column = normalise(raw)
+        texts += [column.get("udf", ""), column.get("expr", ""), source_name(name, column)]
+    words = set(re.findall(r"\w+", " ".join(texts).lower()))
+    return df.select(*[c for c in df.columns if c.lower() in words or not re.fullmatch(r"\w+", c)])
+
+
 def _group_key(key: str, columns: Mapping[str, Any], available: list[str]) -> Column:
     """A grouping key is a source expression, or the name of an output column."""
     if key in columns:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from terrace.functions.udfs import STANDARD_UDFS, clean_text, content_hash, register_udfs
 from terrace.operators import archive as ar
+from terrace.operators import evolve as ev
 from terrace.operators.checks import column_checks, dimension_summary, run_checks
 from terrace.operators.contracts import apply_udf, bad_rows, transform
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.domains import build_domain_model, split_by_rule
-from terrace.operators.evolve import evolve, unconvertible
 from terrace.operators.lineage import Run, data_challenge, upgrade_lineage, with_lineage
 from terrace.operators.provenance import lineage_edges, provenance_registry, trace_column
 from terrace.operators.quarantine import split
@@ -268,7 +268,7 @@ def anti_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def salted_join(spark: SparkSession, sf: str) -> DataFrame:
-    """A shuffle join spread over 8 tasks per key, then a group-by."""
+    """A shuffle join spread over 8 tasks per key, as if orders were too large to broadcast."""
     spec = {
         "sources": {"l": "lineitem", "o": "orders"},
         "join": "l.l_orderkey = o.o_orderkey",
@@ -280,7 +280,8 @@ def salted_join(spark: SparkSession, sf: str) -> DataFrame:
             "revenue": {"expr": f"sum(cast(l.l_extendedprice as {MONEY}))"},
         },
     }
-    return _portable(build_model("priority_revenue", spec, _load(spark, sf, "lineitem", "orders"), RUN))
+    tables = _load(spark, sf, "lineitem", "orders")
+    return _portable(build_model("priority_revenue", spec, tables, RUN, broadcast_limit=0))
 
 
 # --- aggregation --------------------------------------------------------------------------------
@@ -892,7 +893,7 @@ CHANGES = [
 
 
 def evolve_orders(spark: SparkSession, sf: str) -> DataFrame:
-    evolved = evolve(_table(spark, sf, "orders"), CHANGES)
+    evolved = ev.evolve(_table(spark, sf, "orders"), CHANGES)
     return _portable(evolved).withColumn("note", F.coalesce("note", F.lit("none")))
 
 
@@ -904,4 +905,4 @@ def retype_losses(spark: SparkSession, sf: str) -> DataFrame:
             "o_orderpriority": {"to": "int"},
         }
     }
-    return unconvertible(_table(spark, sf, "orders"), change)
+    return ev.retype_losses(_table(spark, sf, "orders"), change)

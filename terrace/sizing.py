@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest Catalyst size estimate (file bytes for scans) that may be broadcast on request. Parquet
-# expands a few times in memory, so this stays far below Spark's own 8 GB limit.
-BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
+# Largest input, in bytes of its files, that may be broadcast on request. Parquet grows several times
+# in memory, so this stays far below Spark's own limit of 8 GB.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# Plan nodes that can produce more data than they read.
+GROWING_NODES = ("Generate", "Expand", "MapInPandas", "MapInArrow", "FlatMapGroups", "PythonUDTF")
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; huge when nothing is known about it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def size_bound(df: DataFrame) -> int | None:
+    """Bytes the result cannot exceed on disk, or None when nothing bounds it.
+
+    Catalyst's estimate alone is not a bound: it scales a scan by assumed column widths. The sizes of
+    all inputs are, as long as no node multiplies rows; joins are estimated as a product of both sides.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if any(node in text for node in GROWING_NODES):
+        return None
+    leaves = plan.collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    return max(int(str(plan.stats().sizeInBytes())), sum(int(str(s)) for s in sizes))
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    bound = size_bound(df)
+    return bound is not None and bound <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when its estimate is below ``limit``; otherwise return it as it is,
-    which leaves a shuffle join that AQE may still convert or split."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Mark ``df`` for broadcast when it is bound to be small; otherwise return it as it is, which
+    leaves a shuffle join that AQE may still convert or split by what it measures."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

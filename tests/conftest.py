@@ -27,3 +27,35 @@ def make_session(cores: int = 8) -> SparkSession:
 @pytest.fixture(scope="session")
 def spark():
     return make_session()
+
+
+@pytest.fixture(scope="session")
+def seeds(spark, tmp_path_factory):
+    """The two seed tables, read through the seed scan."""
+    from fixtures import CUSTOMER_COLUMNS, CUSTOMERS_CSV, ORDER_COLUMNS, ORDERS_CSV
+
+    from terrace.sources.tables import read_seed
+
+    folder = tmp_path_factory.mktemp("seeds")
+    (folder / "customers.csv").write_text(CUSTOMERS_CSV)
+    (folder / "orders.csv").write_text(ORDERS_CSV)
+    return {
+        "raw_customers": read_seed(spark, str(folder / "customers.csv"), CUSTOMER_COLUMNS),
+        "raw_orders": read_seed(spark, str(folder / "orders.csv"), ORDER_COLUMNS),
+    }
+
+
+@pytest.fixture(scope="session")
+def models(spark, seeds):
+    from fixtures import SPECS
+
+    from terrace.functions.udfs import STANDARD_UDFS, register_udfs
+    from terrace.plans.model import build_models
+
+    languages = register_udfs(spark, STANDARD_UDFS)
+    return build_models(SPECS, seeds, udf_languages=languages)
+
+
+def plan_of(df) -> str:
+    """The physical plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
