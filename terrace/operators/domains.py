@@ -6,10 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.columns import quoted
 from terrace.plans.model import build_model, model_sources
 
 DOMAIN = "domain"
@@ -91,8 +90,7 @@ def build_domain_model(
     combined["columns"] = {DOMAIN: {"from": holder}, **spec["columns"]}
     if "group_by" in spec:
         combined["group_by"] = [DOMAIN, *spec["group_by"]]
-    label: Column = F.concat(F.lit(f"{name}_"), F.col(f"{quoted(holder)}.{DOMAIN}"))
-    return build_model(name, combined, frames, model_label=label, **options)
+    return build_model(name, combined, frames, domain_alias=holder, **options)
 
 
 def _conditions(join: str | Sequence[str], aliases: list[str], tagged: list[str]) -> list[str]:

@@ -99,32 +99,34 @@ def column_entries(
 ) -> list[Entry]:
     """Entries of the derived columns, and of passed-through ones on request.
 
-    Inputs are the source columns an expression names. An aggregate has no single input value, so
-    its own output is recorded; ``inputs`` in the specification overrides both.
+    Inputs are the source columns an expression names; ``inputs`` in the specification overrides
+    them. In an aggregated model a group has no single input value, so the values recorded are those
+    of the outputs: of the column itself, or of the outputs a later column is computed from.
     """
     entries = []
     seen: list[str] = []
     for name, raw in columns.items():
         spec = normalise(raw)
         op = operation(spec, udf_languages)
-        prefix = f"{spec['from']}." if spec.get("from") else ""
         if is_computed(spec):
             expression = spec["udf"] if "udf" in spec else spec["expr"]
-            if op == "AGGREGATION":
-                inputs = [name]
-            elif aggregated:
-                inputs = referenced_columns(expression, seen) or [name]
+            if aggregated:
+                names = [] if op == "AGGREGATION" else referenced_columns(expression, seen)
+                inputs = {n: n for n in names or [name]}
             else:
-                inputs = referenced_columns(expression, [*available, *seen])
-            inputs = spec.get("inputs", inputs)
+                inputs = {n: n for n in referenced_columns(expression, [*available, *seen])}
+            if "inputs" in spec:
+                inputs = {n: n for n in spec["inputs"]}
         else:
-            expression = prefix + source_name(name, spec)
-            inputs = [expression]
+            expression = source_name(name, spec)
+            if spec.get("from"):
+                expression = f"{spec['from']}.{expression}"
+            inputs = {expression: name if aggregated else expression}
             if op == "CAST":
                 expression = f"cast({expression} as {spec.get('type', 'string')})"
         seen.append(name)
         if op != "PASSTHROUGH" or include_passthrough:
-            entries.append(Entry(name, expression, op, {i: i for i in inputs}))
+            entries.append(Entry(name, expression, op, inputs))
     return entries
 
 

@@ -9,7 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.columns import compile_column, compile_columns, is_computed, normalise, source_name
+from terrace.operators.columns import (
+    compile_column, compile_columns, is_computed, normalise, quoted, source_name,
+)
 from terrace.operators.joins import join_sources
 from terrace.operators.lineage import Run, column_entries, lineage_column
 from terrace.sizing import BROADCAST_LIMIT_BYTES
@@ -31,7 +33,7 @@ def build_model(
     lineage_mode: str | None = "full",
     all_columns: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    model_label: Column | None = None,
+    domain_alias: str | None = None,
 ) -> DataFrame:
     """The DataFrame a model specification describes.
 
@@ -39,7 +41,8 @@ def build_model(
     ``join_type``, ``broadcast``, ``salt`` (hot alias: buckets), ``where``, ``columns``, ``group_by``, ``version``,
     ``schema``, ``origin``. Expressions see the source columns first, then the outputs before them.
     ``lineage_mode=None`` leaves the ``_lineage`` column out; ``all_columns`` also lists the columns
-    that pass through unchanged.
+    that pass through unchanged. ``domain_alias`` names the source whose ``domain`` column tells the
+    instances of a model apart.
     """
     sources = model_sources(spec)
     frames = {alias: tables[source] for alias, source in sources.items()}
@@ -62,30 +65,33 @@ def build_model(
 
     columns = spec["columns"]
     selected = compile_columns(columns, inputs)
+    grouped = "group_by" in spec
+    lineage = []
     if lineage_mode is not None:
         available = [c for frame in frames.values() for c in frame.columns if c != "_lineage"]
-        entries = column_entries(
-            columns, available, udf_languages, "group_by" in spec, include_passthrough=all_columns
-        )
-        selected.append(
+        label = F.lit(name)
+        if domain_alias:
+            domain = F.col("domain") if grouped else F.col(f"{quoted(domain_alias)}.domain")
+            label = F.concat(F.lit(f"{name}_"), domain)
+        lineage.append(
             lineage_column(
-                model_label if model_label is not None else name,
+                label,
                 list(sources.values()),
                 run,
-                entries,
+                column_entries(columns, available, udf_languages, grouped, all_columns),
                 spec.get("origin"),
                 lineage_mode,
                 spec.get("version"),
                 spec.get("schema", "default"),
             )
         )
-    if "group_by" not in spec:
-        return inputs.select(*selected)
+    if not grouped:
+        return inputs.select(*selected, *lineage)
 
     keys = [_group_key(key, columns, inputs.columns) for key in spec["group_by"]]
     hidden = [f"__key{i}" for i in range(len(keys))]
-    grouped = inputs.groupBy(*[k.alias(h) for k, h in zip(keys, hidden)])
-    return grouped.agg(*selected).drop(*hidden)
+    result = inputs.groupBy(*[k.alias(h) for k, h in zip(keys, hidden)]).agg(*selected).drop(*hidden)
+    return result.select("*", *lineage)
 
 
 def _used_columns(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
@@ -101,10 +107,10 @@ def _used_columns(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
 
 
 def _group_key(key: str, columns: Mapping[str, Any], available: list[str]) -> Column:
-    """A grouping key is a source expression, or the name of an output column."""
+    """A grouping key is a source expression, or the name of an output; a source column wins."""
     if key in columns:
         spec = normalise(columns[key])
-        if spec.get("from") or (is_computed(spec) and key not in available):
+        if key not in available or (spec.get("from") and not is_computed(spec)):
             return compile_column(key, spec)
     return F.expr(key)
 

@@ -1,0 +1,153 @@
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from conftest import plan_of
+
+from terrace.operators.checks import (
+    column_checks, dimension_summary, duplicate_values, orphans, run_checks,
+)
+from terrace.operators.lineage import Run
+from terrace.operators.quarantine import split
+from terrace.operators.reconcile import reconcile_counts, reconcile_totals
+
+RULE = "email IS NULL OR revenue < 0"
+RUN = Run(git_commit="abc", deployed_at="2024-11-28", as_of=datetime(2024, 11, 28))
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("customer_id").collect())
+
+
+def failures(results):
+    return {r["name"]: r["failures"] for r in results.collect()}
+
+
+def test_quarantine_copies_bad_rows_and_keeps_them_by_default(models):
+    clean, bad = split(models["stg_customers"], RULE, "customer_clean", RUN)
+    assert ids(bad) == [2, 3, 7, 9] and ids(clean) == list(range(1, 11))
+    assert bad.columns[-3:] == ["_quarantine_source", "_quarantine_git_commit", "_quarantine_detected_at"]
+    assert bad.select("_quarantine_source", "_quarantine_git_commit").first() == ("customer_clean", "abc")
+
+
+def test_quarantine_can_remove_bad_rows(models):
+    clean, _ = split(models["stg_customers"], RULE, "customer_clean", keep_bad=False)
+    assert ids(clean) == [1, 4, 5, 6, 8, 10]
+
+
+def test_a_null_rule_neither_catches_nor_loses_a_row(spark):
+    df = spark.createDataFrame([(1, None), (2, -1), (3, 1)], "customer_id int, revenue int")
+    clean, bad = split(df, "revenue < 0", "m", keep_bad=False)
+    assert ids(clean) == [1, 3] and ids(bad) == [2]
+
+
+CHECKS = [
+    {"name": "low", "type": "range", "column": "revenue", "min": 0, "severity": "error"},
+    {"name": "both", "type": "range", "column": "revenue", "min": 0, "max": 1000},
+    {"name": "no_bounds", "type": "range", "column": "revenue"},
+    {"name": "mail", "type": "regex", "column": "email", "pattern": r"^[^@]+@[^@]+\.[^@]+$"},
+    {"name": "fresh", "type": "recency", "column": "signup_date", "max_age": "7 days"},
+    {"name": "any_rows", "type": "row_count"},
+    {"name": "many_rows", "type": "row_count", "min": 11},
+    {"name": "has_mail", "type": "not_null", "column": "email"},
+    {"name": "known", "type": "accepted_values", "column": "country", "values": ["UK", "US"]},
+    {"name": "one_country", "type": "unique", "column": "country"},
+    {"name": "ordered", "type": "relationships", "column": "customer_id", "to": "o", "field": "customer_id"},
+    {"name": "sql", "type": "custom_sql", "sql": "SELECT count(*) FROM {m} JOIN {o} USING (customer_id)"},
+]
+
+
+def test_every_check(models):
+    results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
+    assert failures(results) == {
+        "low": 2, "both": 6, "no_bounds": 0, "mail": 1, "fresh": 1, "any_rows": 0, "many_rows": 1,
+        "has_mail": 2, "known": 3, "one_country": 3, "ordered": 2, "sql": 10,
+    }
+    status = {r["name"]: (r["status"], r["dimension"], r["scope"]) for r in results.collect()}
+    assert status["low"] == ("FAIL", "accuracy", "cell")
+    assert status["mail"] == ("WARN", "accuracy", "cell")
+    assert status["has_mail"] == ("WARN", "completeness", "cell")
+    assert status["one_country"] == ("WARN", "uniqueness", "column")
+    assert status["known"][1] == "validity" and status["ordered"][1] == "consistency"
+    assert status["any_rows"] == ("PASS", "accuracy", "table")
+
+
+def test_checks_on_an_empty_table(models):
+    empty = models["stg_customers"].where("false")
+    found = failures(run_checks(empty, "m", CHECKS, {"o": models["stg_orders"]}, RUN))
+    assert {n for n, f in found.items() if f} == {"any_rows", "many_rows"}
+
+
+def test_recency_passes_without_values(spark):
+    df = spark.createDataFrame([(None,)], "d date")
+    assert failures(run_checks(df, "m", [{"type": "recency", "column": "d"}], run=RUN)) == {"m_recency": 0}
+
+
+def test_row_wise_checks_share_one_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    checks = [
+        {"type": "range", "column": "o_totalprice", "min": 0},
+        {"type": "not_null", "column": "o_custkey"},
+        {"type": "regex", "column": "o_orderpriority", "pattern": "^1"},
+        {"type": "recency", "column": "o_orderdate"},
+        {"type": "row_count"},
+    ]
+    assert plan_of(run_checks(orders, "m", checks, run=RUN)).count("FileScan") == 1
+
+
+def test_checks_from_columns_and_unknown_ones(spark):
+    checks = column_checks("m", {"a": {"required": True, "unique": True}, "b": {"accepted_values": [1]}, "c": "int"})
+    assert [c["type"] for c in checks] == ["not_null", "unique", "accepted_values"]
+    with pytest.raises(ValueError, match="unknown check"):
+        run_checks(spark.range(1), "m", [{"type": "sorted"}])
+    with pytest.raises(ValueError, match="severity"):
+        run_checks(spark.range(1), "m", [{"type": "row_count", "severity": "fatal"}])
+
+
+def test_dimension_summary(models):
+    results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
+    summary = {(r["dimension"], r["status"]): r["checks"] for r in dimension_summary(results).collect()}
+    assert summary[("accuracy", "WARN")] == 5 and summary[("accuracy", "FAIL")] == 1
+    assert sum(summary.values()) == len(CHECKS)
+
+
+def test_hot_keys_are_counted_before_the_shuffle(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) k")
+    plan = plan_of(duplicate_values(df, "k"))
+    assert plan.count("partial_count") >= 1
+    assert duplicate_values(df, "k").first()[0] == 1
+    parents = spark.range(8)
+    hot = orphans(df, "k", parents.where("id <> 7"), "id")
+    expected = df.where("k >= 7").count()
+    assert hot.first()[0] == expected
+
+
+def test_reconcile_counts(models):
+    staged = models["stg_customers"]
+    parity, _ = split(staged, RULE, "m")
+    removed, _ = split(staged, RULE, "m", keep_bad=False)
+    same = reconcile_counts(staged, parity, "n", "s", "t", run=RUN).first()
+    assert (same["source_count"], same["target_count"], same["delta"], same["status"]) == (10, 10, 0, "PASS")
+    less = reconcile_counts(staged, removed, "n", "s", "t").first()
+    assert (less["delta"], less["status"]) == (4, "WARN")
+    assert reconcile_counts(staged, removed, "n", "s", "t", warn_limit=3).first()["status"] == "FAIL"
+    gained = staged.unionByName(staged)
+    assert reconcile_counts(staged, gained, "n", "s", "t").first()["status"] == "WARN"
+    assert reconcile_counts(staged, gained, "n", "s", "t", symmetric=True).first()["status"] == "FAIL"
+    assert same["checked_at"] == datetime(2024, 11, 28)
+
+
+def test_reconcile_needs_no_join(models):
+    plan = plan_of(reconcile_counts(models["stg_customers"], models["stg_orders"], "n", "s", "t"))
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_reconcile_totals(models, spark):
+    summary, orders = models["customer_summary"], models["customer_orders"]
+    row = reconcile_totals(summary, "sum(total_revenue)", orders, "sum(line_total)", "n", "0.0001").first()
+    assert row["status"] == "PASS" and row["child_value"] == Decimal("3517.72")
+    off = reconcile_totals(summary, "sum(total_revenue)", orders, "sum(line_total) + 1", "n", "0.5").first()
+    assert off["status"] == "FAIL" and off["difference"] == 1
+    empty = spark.createDataFrame([], "x int")
+    assert reconcile_totals(empty, "sum(x)", empty, "sum(x)", "n").first()["status"] == "PASS"
+    assert reconcile_totals(empty, "sum(x)", spark.range(2), "sum(id)", "n").first()["status"] == "FAIL"
