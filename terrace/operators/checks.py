@@ -113,8 +113,9 @@ def _separate(
         return orphans(df, check["column"], tables[check["to"]], check["field"])
     # custom_sql names tables as {name}; its one value is the number of failures
     frames = {**tables, model: df}
-    used = {n: frame for n, frame in frames.items() if "{" + n + "}" in check["sql"]}
-    return df.sparkSession.sql(check.get("sql", "select 0"), **used).toDF("failures")
+    query = check.get("sql", "SELECT 0")
+    used = {n: frame for n, frame in frames.items() if "{" + n + "}" in query}
+    return df.sparkSession.sql(query, **used).toDF("failures")
 
 
 def run_checks(
@@ -156,6 +157,18 @@ def run_checks(
     return reduce(DataFrame.unionByName, results)
 
 
+def check_model(
+    df: DataFrame,
+    model: str,
+    spec: Mapping[str, Any],
+    tables: Mapping[str, DataFrame] | None = None,
+    run: Run = Run(),
+) -> DataFrame:
+    """Run what a model specification asks for: its columns' constraints and its ``checks``."""
+    checks = [*column_checks(model, spec["columns"]), *spec.get("checks", [])]
+    return run_checks(df, model, checks, tables, run)
+
+
 def _result(model: str, check: Mapping[str, Any], failures: Column) -> Column:
     kind, severity = check["type"], check.get("severity", "warn")
     return F.struct(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators.columns import quoted
 from terrace.sizing import BROADCAST_LIMIT_BYTES, broadcast_if_small, fits_broadcast
 
 # Accepted join texts and the Spark join type behind each. A cross join text always
@@ -27,6 +29,7 @@ JOIN_TYPES = {
 }
 
 SALT = "__salt"
+MATCHED = "__matched"
 
 
 def join_type(text: str) -> str:
@@ -52,20 +55,68 @@ def replicate(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn(SALT, salts).hint("merge")
 
 
-def salted_pair(
-    left: DataFrame, right: DataFrame, how: str, hot: str, buckets: int
-) -> tuple[DataFrame, DataFrame]:
-    """Spread the hot side over ``buckets`` tasks per key and replicate the other side.
+def with_match_flag(
+    left: DataFrame, right: DataFrame, aliases: Sequence[str], condition: str, buckets: int
+) -> DataFrame:
+    """``left`` with ``__matched``: does any row of a hot ``right`` meet the condition?
+
+    The pairs are looked for in salted tasks and reduced to distinct left rows. Equal left rows have
+    the same matches, so joining those back on all columns is exact.
+    """
+    first, second = aliases
+    pairs = replicate(left, buckets).alias(first).join(
+        spread(right, buckets).alias(second),
+        F.expr(f"({condition}) AND {first}.{SALT} = {second}.{SALT}"),
+        "left_semi",
+    )
+    found = pairs.drop(SALT).distinct().withColumn(MATCHED, F.lit(True)).alias("found")
+    same = [
+        F.col(f"rows.{quoted(c)}").eqNullSafe(F.col(f"found.{quoted(c)}")) for c in left.columns
+    ]
+    flag = F.coalesce(F.col(f"found.{MATCHED}"), F.lit(False))
+    joined = left.alias("rows").join(found, reduce(lambda a, b: a & b, same), "left")
+    return joined.select("rows.*", flag.alias(MATCHED))
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    aliases: Sequence[str],
+    condition: str,
+    how: str,
+    hot: str,
+    buckets: int,
+) -> DataFrame:
+    """Join with the ``hot`` side ("left" or "right") spread over ``buckets`` tasks per key.
 
-    Unmatched rows of a replicated side would come out once per bucket, so outer, semi and anti
-    joins need the hot side to be the preserved one.
+    The other side is replicated. Where it is the preserved side of the join, a row without a match
+    would come out once per bucket, so its matches are looked up first and a row without any is not
+    replicated.
     """
-    allowed = {"left": ("inner", "left", "left_semi", "left_anti"), "right": ("inner", "right")}
-    if how not in allowed[hot]:
-        raise ValueError(f"a {how} join cannot be salted on its {hot} side")
+    first, second = aliases
+    if how == "right":
+        how, hot = "left", "left" if hot == "right" else "right"
+        left, right, first, second = right, left, second, first
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a {how} join cannot be salted")
+    salted = F.expr(f"({condition}) AND {first}.{SALT} = {second}.{SALT}")
     if hot == "left":
-        return spread(left, buckets), replicate(right, buckets)
-    return replicate(left, buckets), spread(right, buckets)
+        a, b = spread(left, buckets), replicate(right, buckets)
+        return a.alias(first).join(b.alias(second), salted, how)
+    if how == "inner":
+        a, b = replicate(left, buckets), spread(right, buckets)
+        return a.alias(first).join(b.alias(second), salted, how)
+    flagged = with_match_flag(left, right, (first, second), condition, buckets)
+    if how == "left_semi":
+        return flagged.where(F.col(MATCHED)).drop(MATCHED).alias(first)
+    if how == "left_anti":
+        return flagged.where(~F.col(MATCHED)).drop(MATCHED).alias(first)
+    salts = F.array(*[F.lit(i) for i in range(buckets)])
+    copies = flagged.withColumn(
+        SALT, F.explode(F.when(F.col(MATCHED), salts).otherwise(F.array(F.lit(0))))
+    )
+    joined = copies.hint("merge").alias(first).join(spread(right, buckets).alias(second), salted, how)
+    return joined.where(~F.col(f"{first}.{MATCHED}") | F.col(f"{second}.{SALT}").isNotNull())
 
 
 def join_sources(
@@ -80,8 +131,8 @@ def join_sources(
 
     ``conditions`` and ``how`` are one value for all joins or one per later source. ``broadcast``
     names the aliases to send to every executor; each is only honoured below ``broadcast_limit``.
-    ``salt`` maps the hot one of the first two aliases to a number of buckets; when the other one is
-    below ``broadcast_limit`` it is broadcast instead, which needs no shuffle of the hot side.
+    ``salt`` maps the hot one of the first two aliases to a number of buckets; when the other one can
+    be broadcast below ``broadcast_limit``, it is, and the hot side needs no shuffle.
     """
     aliases = list(sources)
     later = aliases[1:]
@@ -98,20 +149,22 @@ def join_sources(
     frames = {
         a: broadcast_if_small(df, broadcast_limit) if a in wanted else df for a, df in sources.items()
     }
+    joined = frames[aliases[0]].alias(aliases[0])
+    start = 0
     if salt:
         (hot, buckets), = salt.items()
         if hot not in aliases[:2]:
             raise ValueError("only one of the first two sources can be salted")
-        first, second = aliases[:2]
-        cold, side = (second, "left") if hot == first else (first, "right")
-        pair = salted_pair(sources[first], sources[second], join_type(how_list[0]), side, buckets)
-        if fits_broadcast(sources[cold], broadcast_limit):
+        kind, side = join_type(how_list[0]), "left" if hot == aliases[0] else "right"
+        cold = aliases[1] if side == "left" else aliases[0]
+        build_cold = kind == "inner" or (kind == "right") == (side == "right")
+        if build_cold and fits_broadcast(sources[cold], broadcast_limit):
             frames[cold] = F.broadcast(sources[cold])
+            joined = frames[aliases[0]].alias(aliases[0])
         else:
-            frames[first], frames[second] = pair
-            condition_list[0] = f"({condition_list[0]}) AND {first}.{SALT} = {second}.{SALT}"
-
-    joined = frames[aliases[0]].alias(aliases[0])
-    for alias, condition, kind in zip(later, condition_list, how_list):
+            first, second = (sources[a] for a in aliases[:2])
+            joined = salted_join(first, second, aliases[:2], condition_list[0], kind, side, buckets)
+            start = 1
+    for alias, condition, kind in list(zip(later, condition_list, how_list))[start:]:
         joined = joined.join(frames[alias].alias(alias), F.expr(condition), join_type(kind))
     return joined

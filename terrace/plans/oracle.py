@@ -169,6 +169,9 @@ _EVENT_TOTALS = "count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS D
 _EXISTENCE = """SELECT c_custkey AS customer_id FROM customer WHERE {word} EXISTS (
     SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"""
 
+_LEFT_JOIN = """SELECT c_custkey AS customer_id, coalesce(o_orderkey, -1) AS order_id
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 40 * c_acctbal"""
+
 ORACLE = {
     "stage_customers": f"SELECT customer_id, customer_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance FROM ({_CUSTOMERS})",
     "stage_orders": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
@@ -198,8 +201,11 @@ ORACLE = {
     "nway_join": """SELECT o_orderkey AS order_id, c_name AS customer, n_name AS nation, r_name AS region
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
-    "left_join": """SELECT c_custkey AS customer_id, coalesce(o_orderkey, -1) AS order_id
-        FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 40 * c_acctbal""",
+    "left_join": _LEFT_JOIN,
+    "salted_left_join": _LEFT_JOIN,
+    "right_join": _LEFT_JOIN,
+    "full_join": """SELECT coalesce(c_name, 'none') AS customer, coalesce(s_name, 'none') AS supplier
+        FROM customer FULL JOIN supplier ON c_custkey = s_suppkey AND c_nationkey % 5 = s_nationkey % 5""",
     "semi_join": _EXISTENCE.format(word=""),
     "anti_join": _EXISTENCE.format(word="NOT"),
     "salted_join": """SELECT o_orderpriority AS priority, count(*) AS lines,
@@ -321,7 +327,15 @@ ORACLE = {
     "sql_source": "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_totalprice > 250000 GROUP BY o_orderstatus",
     "prior_version": """SELECT 'previous' AS side, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer
         UNION ALL SELECT 'current', count(*), CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer WHERE c_acctbal >= 0""",
+    "stored_model": f"""
+        SELECT 'model' AS side, count(*) AS customers, CAST(sum(balance) AS DOUBLE) AS balance
+        FROM ({_CUSTOMERS}) WHERE nation_id < 20
+        UNION ALL SELECT 'previous', count(*), CAST(sum(balance) AS DOUBLE) FROM ({_CUSTOMERS})
+        UNION ALL SELECT 'quarantine', count(*), CAST(sum(balance) AS DOUBLE)
+        FROM ({_CUSTOMERS}) WHERE nation_id < 20 AND balance < 0""",
     "managed_table": "SELECT * FROM nation UNION ALL SELECT * FROM nation",
+    "append_with_lineage": """SELECT '/landing/' || CAST(quality AS VARCHAR) AS source_path, 'api' AS source_type,
+        count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM labels WHERE quality IN (0, 1) GROUP BY quality""",
     "archive_restore": "SELECT * FROM events",
     "archive_listing": """
         SELECT 'nation' AS asset_name, 'table' AS asset_type, 'shop' AS project, 'dev' AS environment,
@@ -373,3 +387,5 @@ ORACLE = {
         UNION ALL SELECT 'o_custkey', count(*) FROM orders WHERE TRY_CAST(o_custkey AS TINYINT) IS NULL
         UNION ALL SELECT 'o_orderpriority', count(*) FROM orders WHERE TRY_CAST(o_orderpriority AS INTEGER) IS NULL""",
 }
+ORACLE["archive_diff_sql"] = ORACLE["archive_diff"]
+ORACLE["deploy_history_sql"] = ORACLE["deploy_history"]

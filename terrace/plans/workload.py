@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrace.functions.udfs import STANDARD_UDFS, clean_text, content_hash, register_udfs
 from terrace.operators import archive as ar
 from terrace.operators import evolve as ev
-from terrace.operators.checks import column_checks, dimension_summary, run_checks
+from terrace.operators.checks import check_model, dimension_summary, run_checks
 from terrace.operators.contracts import apply_udf, bad_rows, transform
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.domains import build_domain_model, split_by_rule
@@ -25,11 +25,11 @@ from terrace.operators.quarantine import split
 from terrace.operators.reconcile import reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
 from terrace.session import configure, scratch_path
-from terrace.sources.ingest import Feed, ingest_all, ingest_feed
+from terrace.sources.ingest import Feed, append_with_lineage, ingest_all
 from terrace.sources.sync import incremental_sync
 from terrace.sources.tables import (
-    create_managed_table, read_files, read_previous, read_seed, read_table, replace_table, run_sql,
-    write_table,
+    create_managed_table, materialise, quarantine_name, read_files, read_previous, read_seed, read_table,
+    replace_table, run_sql, write_table,
 )
 from terrace.streaming.ingest import stream_feed
 
@@ -235,18 +235,51 @@ def nway_join(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(build_model("order_places", spec, tables, RUN))
 
 
+LARGE_ORDERS = {
+    "sources": {"c": "customer", "o": "orders"},
+    "join": "c.c_custkey = o.o_custkey AND o.o_totalprice > 40 * c.c_acctbal",
+    "join_type": "left join",
+    "columns": {
+        "customer_id": {"from": "c", "source_column": "c_custkey"},
+        "order_id": {"expr": "coalesce(o.o_orderkey, -1)"},
+    },
+}
+
+
 def left_join(spark: SparkSession, sf: str) -> DataFrame:
     """Outer join on a condition that is not only an equality."""
+    tables = _load(spark, sf, "customer", "orders")
+    return _portable(build_model("large_orders", LARGE_ORDERS, tables, RUN))
+
+
+def salted_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where few customers may have most orders."""
+    tables = _load(spark, sf, "customer", "orders")
+    spec = {**LARGE_ORDERS, "salt": {"o": 4}}
+    return _portable(build_model("large_orders", spec, tables, RUN, broadcast_limit=0))
+
+
+def right_join(spark: SparkSession, sf: str) -> DataFrame:
     spec = {
-        "sources": {"c": "customer", "o": "orders"},
-        "join": "c.c_custkey = o.o_custkey AND o.o_totalprice > 40 * c.c_acctbal",
-        "join_type": "left join",
+        **LARGE_ORDERS,
+        "sources": {"o": "orders", "c": "customer"},
+        "join_type": "right outer join",
+    }
+    return _portable(build_model("large_orders", spec, _load(spark, sf, "customer", "orders"), RUN))
+
+
+def full_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers of the same number and nation, and those without a counterpart."""
+    spec = {
+        "sources": {"c": "customer", "s": "supplier"},
+        "join": "c.c_custkey = s.s_suppkey AND c.c_nationkey % 5 = s.s_nationkey % 5",
+        "join_type": "full join",
         "columns": {
-            "customer_id": {"from": "c", "source_column": "c_custkey"},
-            "order_id": {"expr": "coalesce(o.o_orderkey, -1)"},
+            "customer": {"expr": "coalesce(c.c_name, 'none')"},
+            "supplier": {"expr": "coalesce(s.s_name, 'none')"},
         },
     }
-    return _portable(build_model("large_orders", spec, _load(spark, sf, "customer", "orders"), RUN))
+    return _portable(build_model("partners", spec, _load(spark, sf, "customer", "supplier"), RUN))
 
 
 def _existence(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -480,32 +513,31 @@ def column_registry(spark: SparkSession, sf: str) -> DataFrame:
 # --- quality ------------------------------------------------------------------------------------
 
 
-def order_checks() -> list[dict]:
-    return [
-        *column_checks("stg_orders", SPECS["stg_orders"]["columns"]),
-        {"name": "total_range", "type": "range", "column": "line_total", "min": 2000, "max": 499000, "severity": "error"},
-        {"name": "unbounded", "type": "range", "column": "line_total"},
-        {"name": "fresh_7_days", "type": "recency", "column": "order_date", "max_age": "7 days"},
-        {"name": "fresh_24_hours", "type": "recency", "column": "order_date"},
-        {"name": "has_rows", "type": "row_count", "min": 1, "severity": "error"},
-        {"name": "has_many_rows", "type": "row_count", "min": 1000000000},
-        {"name": "priority_format", "type": "regex", "column": "priority", "pattern": "^[1-3]-"},
-        {"name": "unique_customer", "type": "unique", "column": "customer_id"},
-        {
-            "name": "customer_exists", "type": "relationships", "column": "customer_id",
-            "to": "customer_clean", "field": "customer_id", "severity": "error",
-        },
-        {
-            "name": "late_open_orders", "type": "custom_sql",
-            "sql": "SELECT count(*) FROM {stg_orders} WHERE status = 'O' AND order_year < 1996",
-        },
-    ]
+ORDER_CHECKS = [
+    {"name": "total_range", "type": "range", "column": "line_total", "min": 2000, "max": 499000, "severity": "error"},
+    {"name": "unbounded", "type": "range", "column": "line_total"},
+    {"name": "fresh_7_days", "type": "recency", "column": "order_date", "max_age": "7 days"},
+    {"name": "fresh_24_hours", "type": "recency", "column": "order_date"},
+    {"name": "has_rows", "type": "row_count", "min": 1, "severity": "error"},
+    {"name": "has_many_rows", "type": "row_count", "min": 1000000000},
+    {"name": "priority_format", "type": "regex", "column": "priority", "pattern": "^[1-3]-"},
+    {"name": "unique_customer", "type": "unique", "column": "customer_id"},
+    {
+        "name": "customer_exists", "type": "relationships", "column": "customer_id",
+        "to": "customer_clean", "field": "customer_id", "severity": "error",
+    },
+    {
+        "name": "late_open_orders", "type": "custom_sql",
+        "sql": "SELECT count(*) FROM {stg_orders} WHERE status = 'O' AND order_year < 1996",
+    },
+]
 
 
 def check_results(spark: SparkSession, sf: str) -> DataFrame:
     orders = _models(spark, sf, "stg_orders", lineage_mode=None)["stg_orders"]
     clean, _ = _split_customers(spark, sf, False)
-    return run_checks(orders, "stg_orders", order_checks(), {"customer_clean": clean}, RUN)
+    spec = {**SPECS["stg_orders"], "checks": ORDER_CHECKS}
+    return check_model(orders, "stg_orders", spec, {"customer_clean": clean}, RUN)
 
 
 def check_dimensions(spark: SparkSession, sf: str) -> DataFrame:
@@ -590,7 +622,7 @@ def _customer_regions(spark: SparkSession, sf: str) -> DataFrame:
 def domain_split(spark: SparkSession, sf: str) -> DataFrame:
     """Written once, partitioned by domain, and read back."""
     path = scratch_path(spark, "domains")
-    write_table(_customer_regions(spark, sf), path, partition_by=["domain"])
+    write_table(_customer_regions(spark, sf), path, partition_by=["domain"], rebalance=True)
     stored = read_table(spark, path)
     return _portable(
         stored.groupBy("domain").agg(
@@ -781,6 +813,27 @@ def prior_version(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model stored as a table with its quarantine beside it, twice; the second time on fewer rows."""
+    staged = _models(spark, sf, "stg_customers")["stg_customers"]
+    spec = SPECS["customer_clean"]
+    name = f"{_database(spark)}.customer_clean"
+    for rows in (staged, staged.where("nation_id < 20")):
+        materialise(build_model("customer_clean", spec, {"stg_customers": rows}, RUN), name, spec, RUN)
+    sides = {
+        "model": spark.table(name),
+        "previous": read_previous(spark, name),
+        "quarantine": spark.table(quarantine_name(name)),
+    }
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("customers"), F.sum("balance").alias("balance")).withColumn(
+            "side", F.lit(side)
+        )
+        for side, df in sides.items()
+    ]
+    return _portable(counts[0].unionByName(counts[1]).unionByName(counts[2]))
+
+
 def managed_appends(spark: SparkSession, sf: str) -> DataFrame:
     """An empty typed table, created twice without losing rows, filled by appends."""
     columns = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}
@@ -793,6 +846,19 @@ def managed_appends(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(table)
 
 
+def lineage_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """Two validated appends to a raw table, counted by the source each row names."""
+    path = scratch_path(spark, "raw")
+    columns = {"doc_id": {"type": "bigint", "required": True}, "quality": "int", "toxic": "int"}
+    labels = _table(spark, sf, "labels")
+    for quality in (0, 1):
+        part = labels.where(F.col("quality") == quality)
+        append_with_lineage(part, path, "raw_labels", f"/landing/{quality}", "api", columns=columns, run=RUN)
+    return read_table(spark, path).groupBy(
+        F.col("_lineage.source_path").alias("source_path"), F.col("_lineage.source_type").alias("source_type")
+    ).agg(F.count(F.lit(1)).alias("docs"), F.sum("doc_id").alias("ids"))
+
+
 # --- archive ------------------------------------------------------------------------------------
 
 
@@ -839,6 +905,17 @@ def archive_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(ar.diff_backup_history(headers, "20240110", "purchase"))
 
 
+def archive_functions_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the SQL table function."""
+    ar.register_table_functions(_event_headers(spark, sf, "concat('user_', user_id)"), "user_headers")
+    return _portable(spark.sql("SELECT * FROM diff_backup_history('20240110', 'purchase')"))
+
+
+def archive_functions_history(spark: SparkSession, sf: str) -> DataFrame:
+    ar.register_table_functions(_event_headers(spark, sf, "concat('tbl_', user_id % 7)"), "table_headers")
+    return _portable(spark.sql("SELECT * FROM fetch_last_deployments(25)"))
+
+
 def latest_archives(spark: SparkSession, sf: str) -> DataFrame:
     headers = _event_headers(spark, sf, "concat('user_', user_id)")
     latest = ar.latest_per_asset(headers)

@@ -7,7 +7,8 @@ the two writes, the next one replaces the unfinished batch instead of loading it
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -75,6 +76,19 @@ def source_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+@contextmanager
+def few_tasks(spark: SparkSession) -> Iterator[None]:
+    """While listing files, keep Spark from cutting the scan by file sizes: contents are not read, so
+    a task per 128 MB of them would be wasted."""
+    key = "spark.sql.files.maxPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, 2 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def list_files(spark: SparkSession, volume: str) -> DataFrame:
     """Files directly in a folder: file_path, file_name, file_size_bytes. Contents are not read."""
     listing = spark.read.format("binaryFile").load(volume)
@@ -177,7 +191,8 @@ def ingest_feed(
                 return total
             raise
         chosen = new_files(files, feed, manifest).orderBy("file_path").limit(files_per_batch)
-        listed = chosen.collect()  # at most files_per_batch rows
+        with few_tasks(spark):
+            listed = chosen.collect()  # at most files_per_batch rows
         if not listed:
             return total
         batch = _next_batch(manifest, feed)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrace.operators.columns import ColumnSpec, quoted
 from terrace.operators.contracts import contract_schema, managed_frame
+from terrace.operators.lineage import Run
+from terrace.operators.quarantine import quarantined
 
 FILE_FORMATS = ("csv", "json", "parquet")  # fixed values: landing formats without extra jars
 
@@ -65,11 +67,22 @@ def run_sql(spark: SparkSession, query: str, **arguments: Any) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, table: str, mode: str = "overwrite", partition_by: Iterable[str] = ()
+    df: DataFrame,
+    table: str,
+    mode: str = "overwrite",
+    partition_by: Iterable[str] = (),
+    rebalance: bool = False,
 ) -> None:
     """Write a table. Overwriting a catalog table goes through ``replace_table``, so that a plan may
-    read the table it replaces. Partitioned writes are not shuffled by the partition columns: a
-    partition that holds most rows stays spread over all tasks."""
+    read the table it replaces.
+
+    Partitioned writes are not shuffled by default: every task writes a file per partition value, and
+    a value that holds most rows stays spread over all tasks. ``rebalance`` shuffles by the partition
+    columns first, which makes fewer, larger files; AQE splits values that are too large for a task.
+    """
+    partition_by = list(partition_by)
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     if mode == "overwrite" and not is_path(table):
         replace_table(df, table, keep_previous=False, partition_by=partition_by)
         return
@@ -137,9 +150,22 @@ def read_previous(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(previous_name(table))
 
 
-def materialise(df: DataFrame, name: str, spec: Mapping[str, Any]) -> DataFrame:
-    """Make a built model readable by name: a view by default, a table when the model says so."""
+def quarantine_name(table: str) -> str:
+    return f"{table}_quarantine"
+
+
+def materialise(
+    df: DataFrame, name: str, spec: Mapping[str, Any], run: Run = Run()
+) -> DataFrame:
+    """Make a built model readable by name: a view by default, a table when the model says so, with
+    the version before it kept. Rows breaking its quarantine rule are copied to a table beside it,
+    read back from what was just written. A model of many domains is partitioned by domain."""
     if spec.get("materialized", "view") == "view":
-        return create_view(df, name)
-    replace_table(df, name)
-    return df.sparkSession.table(name)
+        stored = create_view(df, name)
+    else:
+        replace_table(df, name, partition_by=["domain"] if "domain" in df.columns else [])
+        stored = df.sparkSession.table(name)
+    if spec.get("quarantine"):
+        bad = quarantined(stored, spec["quarantine"], name, run)
+        replace_table(bad, quarantine_name(name), keep_previous=False)
+    return stored

@@ -12,7 +12,8 @@ from terrace.operators.columns import ColumnSpec
 from terrace.operators.contracts import contract_schema
 from terrace.operators.lineage import Run
 from terrace.sources.ingest import (
-    BATCH_KEYS, FILES_PER_BATCH, Feed, ingest_lineage, list_files, manifest_entries, source_path,
+    BATCH_KEYS, FILES_PER_BATCH, Feed, few_tasks, ingest_lineage, list_files, manifest_entries,
+    source_path,
 )
 from terrace.sources.tables import overwrite_partitions, read_table_or_none
 
@@ -53,7 +54,8 @@ def stream_feed(
         files = list_files(batch.sparkSession, volume).join(loaded, "file_path")
         files = files.withColumn("checksum", F.md5("file_path"))
         entries = manifest_entries(files, written, feed, number + 1, domain, run)
-        overwrite_partitions(entries.withColumns(keys), manifest_path, BATCH_KEYS)
+        with few_tasks(batch.sparkSession):
+            overwrite_partitions(entries.withColumns(keys), manifest_path, BATCH_KEYS)
 
     return (
         rows.writeStream.foreachBatch(write)

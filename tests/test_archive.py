@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.archive import (
     Deployment, archive_definition, archive_table, diff_backup_history, fetch_last_deployments,
-    latest_per_asset, list_archive, read_headers, restore_table,
+    latest_per_asset, list_archive, read_headers, register_table_functions, restore_table,
 )
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.lineage import Run, with_lineage
@@ -110,6 +110,23 @@ def test_archive_diff(spark):
     assert diff_backup_history(h, "main", "main").count() == 0
 
 
+def test_table_functions_agree_with_the_functions(spark):
+    h = headers(
+        spark,
+        ("1", "gone", 1, "a", "main", 1), ("2", "same", 1, "a", "main", 5), ("3", "null", 1, "a", "main", None),
+        ("4", "more", 2, "a", "main", 6), ("5", "same", 3, "b", "dev", 5), ("6", "more", 3, "b", "dev", 7),
+        ("7", "null", 3, "b", "dev", 2), ("8", "new", 3, None, "dev", 1), ("9", "other", 3, "c", "x", 1),
+    )
+    register_table_functions(h)
+    for a, b in (("a", "dev"), ("dev", "a"), ("main", "main"), ("nothing", "a")):
+        ours = diff_backup_history(h, a, b)
+        sql = spark.sql(f"SELECT * FROM diff_backup_history('{a}', '{b}')")
+        assert sql.columns == ours.columns and sorted(map(str, sql.collect())) == sorted(map(str, ours.collect()))
+    for n in (0, 2, 50):
+        ours, sql = fetch_last_deployments(h, n), spark.sql(f"SELECT * FROM fetch_last_deployments({n})")
+        assert sql.columns == ours.columns and sorted(map(str, sql.collect())) == sorted(map(str, ours.collect()))
+
+
 def test_ties_on_time_are_settled(spark):
     h = headers(spark, ("2", "t", 1, "a", "m", 20), ("1", "t", 1, "a", "m", 10))
     assert latest_per_asset(h).first()["row_count"] == 20

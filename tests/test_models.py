@@ -151,25 +151,40 @@ def test_nothing_bounds_an_exploded_side(spark):
     assert not fits_broadcast(spark.createDataFrame(spark.range(3).rdd), 10**12)
 
 
-@pytest.mark.parametrize("how, hot", [("inner", "l"), ("inner", "r"), ("left", "l"), ("left_semi", "l"), ("left_anti", "l"), ("right", "r")])
-def test_salted_join_gives_the_plain_result(spark, how, hot):
-    # a third of all rows on one key, including identical copies
-    left = spark.range(300).selectExpr("if(id % 3 = 0, 0, id % 40) k", "id % 7 v")
-    right = spark.range(60).selectExpr("id + 20 k2", "id w").union(spark.sql("select 0L, 5L"))
+HOWS = ("inner", "left", "right", "left_semi", "left_anti")
+
+
+@pytest.mark.parametrize("how", HOWS)
+@pytest.mark.parametrize("hot", ["l", "r"])
+@pytest.mark.parametrize("condition", ["l.k = r.k2", "l.k = r.k2 AND l.v < r.w % 9", "l.k = r.k2 AND false"])
+def test_salted_join_gives_the_plain_result(spark, how, hot, condition):
+    # a third of all rows on one key, identical copies, missing keys, keys on one side only
+    left = spark.range(90).selectExpr("if(id % 3 = 0, 0, nullif(id % 40, 5)) k", "nullif(id % 7, 3) v")
+    right = spark.range(60).selectExpr("if(id % 3 = 0, 0, nullif(id % 30 + 20, 31)) k2", "id % 11 w")
     sources = {"l": left, "r": right}
-    plain = join_sources(sources, "l.k = r.k2", how)
-    salted = join_sources(sources, "l.k = r.k2", how, salt={hot: 5}, broadcast_limit=0)
-    salted = salted.drop("__salt")
-    assert salted.columns == plain.columns
-    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
-    assert "SortMergeJoin" in plan_of(join_sources(sources, "l.k = r.k2", how, salt={hot: 5}, broadcast_limit=0))
+    plain = join_sources(sources, condition, how)
+    salted = join_sources(sources, condition, how, salt={hot: 5}, broadcast_limit=0)
+    names = [F.col(n) for n in plain.columns]
+    assert sorted(map(str, salted.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
+    assert salted.where("l.k is null or l.v >= 0").count() == plain.where("l.k is null or l.v >= 0").count()
+
 
+def test_salted_joins_are_shuffle_joins(spark):
+    left, right = spark.range(90).toDF("k"), spark.range(60).toDF("k2")
+    for how in HOWS:
+        for hot in "lr":
+            salted = join_sources({"l": left, "r": right}, "l.k = r.k2", how, salt={hot: 5}, broadcast_limit=0)
+            assert "SortMergeJoin" in plan_of(salted) and "NestedLoop" not in plan_of(salted)
+    small = join_sources({"l": left, "r": right}, "l.k = r.k2", "inner", salt={"l": 5}, broadcast_limit=10**6)
+    assert "BroadcastHashJoin" in plan_of(small) and "__salt" not in small.columns
 
-def test_salting_refuses_replicated_preserved_sides(spark):
+
+def test_full_joins_and_third_sources_cannot_be_salted(spark):
     t = spark.range(3)
-    for how, hot in (("left", "r"), ("full", "l"), ("left_anti", "r")):
-        with pytest.raises(ValueError):
-            join_sources({"l": t, "r": t}, "l.id = r.id", how, salt={hot: 4})
+    with pytest.raises(ValueError):
+        join_sources({"l": t, "r": t}, "l.id = r.id", "full", salt={"l": 4}, broadcast_limit=0)
+    with pytest.raises(ValueError):
+        join_sources({"l": t, "r": t, "s": t}, "l.id = r.id", salt={"s": 4})
 
 
 def test_salted_model_reads_only_named_columns(spark):
