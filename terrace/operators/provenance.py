@@ -98,7 +98,7 @@ def trace_column(edges: DataFrame, model: str, column: str) -> DataFrame:
     """Everything ``model.column`` was computed from, with the number of steps back to it.
 
     Edges describe models, not rows, so this is small work: one join per step until a step finds no
-    new column. Each step is checkpointed, which keeps plans short and survives lost executors.
+    new column. Each step is checkpointed: it is used several times, and plans stay short.
     """
     edges = checkpoint(edges)
     start = edges.where((F.col("target_model") == model) & (F.col("target_column") == column))
@@ -114,5 +114,5 @@ def trace_column(edges: DataFrame, model: str, column: str) -> DataFrame:
         frontier = checkpoint(
             step.join(reached, list(EDGE_COLUMNS), "left_anti").withColumn("depth", F.lit(depth))
         )
-        reached = checkpoint(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
     return reached

@@ -29,6 +29,7 @@ MANIFEST_DDL = (
     "row_count bigint, file_size_bytes bigint, checksum string, ingested_at timestamp, status string"
 )
 BATCH_KEYS = ("_feed", "_batch")
+STORED_MANIFEST_DDL = f"{MANIFEST_DDL}, _feed int, _batch int"
 INGEST_SCHEMA_VERSION = "3"
 
 # Files of one batch, hence paths the driver holds at a time. More files make more batches.
@@ -183,7 +184,7 @@ def ingest_feed(
     volume = f"{volumes}/{feed.volume_name}"
     total = 0
     while True:
-        manifest = read_table_or_none(spark, manifest_path)
+        manifest = read_table_or_none(spark, manifest_path, STORED_MANIFEST_DDL)
         try:
             files = list_files(spark, volume)
         except AnalysisException as error:
@@ -198,9 +199,10 @@ def ingest_feed(
         batch = _next_batch(manifest, feed)
         keys = {"_feed": F.lit(feed.config_id), "_batch": F.lit(batch)}
         rows = load_files(spark, [f["file_path"] for f in listed], feed, columns, run, validate)
-        overwrite_partitions(rows.withColumns(keys), target, BATCH_KEYS)
+        rows = rows.withColumns(keys)
+        overwrite_partitions(rows, target, BATCH_KEYS)
 
-        written = read_table_or_none(spark, target)
+        written = read_table_or_none(spark, target, rows.schema)
         batch_files = spark.createDataFrame(listed, files.schema)
         if checksum == "content":
             contents = spark.read.format("binaryFile").load([f["file_path"] for f in listed])

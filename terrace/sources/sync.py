@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.operators.columns import quoted
 from terrace.operators.lineage import Run
-from terrace.sources.tables import overwrite_partitions, read_table, read_table_or_none
+from terrace.sources.tables import overwrite_partitions, read_table_or_none
 
 
 def incremental_sync(
@@ -27,22 +28,34 @@ def incremental_sync(
     run takes all rows, also those without a value.
     """
     spark = source.sparkSession
-    marks = read_table_or_none(spark, log)
+    kind = source.schema[column].dataType
+    log_schema = (
+        T.StructType()
+        .add("high_water", kind)
+        .add("rows", "long")
+        .add("synced_at", "timestamp")
+        .add("_batch", "integer")
+    )
+    marks = read_table_or_none(spark, log, log_schema)
     batch = 1
     if marks is not None:
         last = marks.agg(F.max("_batch").alias("batch"), F.max("high_water").cast("string").alias("mark"))
         last = last.first()
         batch = last["batch"] + 1
         if last["mark"] is not None:
-            mark = F.lit(last["mark"]).cast(source.schema[column].dataType)
-            source = source.where(F.col(quoted(column)) > mark)
-    overwrite_partitions(source.withColumn("_batch", F.lit(batch)), target, ("_batch", *partition_by))
-    if read_table_or_none(spark, target) is None:
+            source = source.where(F.col(quoted(column)) > F.lit(last["mark"]).cast(kind))
+    rows = source.withColumn("_batch", F.lit(batch))
+    overwrite_partitions(rows, target, ("_batch", *partition_by))
+    written = read_table_or_none(spark, target, rows.schema)
+    if written is None:
         return 0
-    written = read_table(spark, target).where(F.col("_batch") == batch)
-    mark = written.agg(F.max(quoted(column)).alias("high_water"), F.count(F.lit(1)).alias("rows"))
-    rows = mark.first()["rows"]
-    if rows:
-        entry = mark.select("high_water", "rows", run.now().alias("synced_at"), F.lit(batch).alias("_batch"))
+    mark = written.where(F.col("_batch") == batch).agg(
+        F.max(quoted(column)).alias("high_water"), F.count(F.lit(1)).alias("rows")
+    )
+    count = mark.first()["rows"]
+    if count:
+        entry = mark.select(
+            "high_water", "rows", run.now().alias("synced_at"), F.lit(batch).alias("_batch")
+        )
         overwrite_partitions(entry, log, ("_batch",))
-    return rows
+    return count

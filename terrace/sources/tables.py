@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from terrace.operators.columns import ColumnSpec, quoted
 from terrace.operators.contracts import contract_schema, managed_frame
@@ -20,15 +21,20 @@ def is_path(table: str) -> bool:
     return "/" in table
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame:
-    """Scan a catalog table, or a parquet folder when ``table`` is a path."""
-    return spark.read.parquet(table) if is_path(table) else spark.table(table)
+def read_table(spark: SparkSession, table: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Scan a catalog table, or a parquet folder when ``table`` is a path. A known schema saves
+    looking into the folder's files for it."""
+    if not is_path(table):
+        return spark.table(table)
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(table)
 
 
-def read_table_or_none(spark: SparkSession, table: str) -> DataFrame | None:
+def read_table_or_none(
+    spark: SparkSession, table: str, schema: T.StructType | str | None = None
+) -> DataFrame | None:
     """The table, or None while nothing was written to it."""
     try:
-        return read_table(spark, table)
+        return read_table(spark, table, schema)
     except AnalysisException as error:
         if error.getCondition() in (
             "PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA",

@@ -45,8 +45,9 @@ def stream_feed(
 
     def write(batch: DataFrame, number: int) -> None:
         keys = {"_feed": F.lit(feed.config_id), "_batch": F.lit(number + 1)}
-        overwrite_partitions(batch.withColumns(keys), target, BATCH_KEYS)
-        written = read_table_or_none(batch.sparkSession, target)
+        keyed = batch.withColumns(keys)
+        overwrite_partitions(keyed, target, BATCH_KEYS)
+        written = read_table_or_none(batch.sparkSession, target, keyed.schema)
         if written is None:
             return
         loaded = written.where((F.col("_feed") == feed.config_id) & (F.col("_batch") == number + 1))
