@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -33,7 +34,7 @@ DIMENSIONS = {
 DEFAULT_DIMENSION = "accuracy"
 SEVERITIES = ("warn", "error")
 
-RESULT_COLUMNS = ("name", "type", "scope", "severity", "dimension", "failures", "status")
+_REF = re.compile(r"\{\{\s*ref\(\s*['\"](\w+)['\"]\s*\)\s*\}\}")
 
 
 def column_checks(model: str, columns: Mapping[str, ColumnSpec]) -> list[dict[str, Any]]:
@@ -92,12 +93,12 @@ def duplicate_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """One row: how many child rows have a non-null key without a parent. Child keys are counted
-    first, so the join sees each key once and a hot key costs nothing."""
+    """One row: how many child rows have a non-null key without a parent. Keys of both sides are
+    reduced per task first, so the join sees each key once and a hot key costs nothing."""
     keys = (
         child.select(F.col(quoted(column)).alias("key")).where("key is not null").groupBy("key").count()
     )
-    parents = parent.select(F.col(quoted(parent_column)).alias("key"))
+    parents = parent.select(F.col(quoted(parent_column)).alias("key")).distinct()
     return keys.join(parents, "key", "left_anti").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("failures")
     )
@@ -111,9 +112,9 @@ def _separate(
         return duplicate_values(df, check["column"])
     if kind == "relationships":
         return orphans(df, check["column"], tables[check["to"]], check["field"])
-    # custom_sql names tables as {name}; its one value is the number of failures
+    # custom_sql names tables as {name} or {{ ref('name') }}; its one value is the number of failures
     frames = {**tables, model: df}
-    query = check.get("sql", "SELECT 0")
+    query = _REF.sub(r"{\1}", check.get("sql", "SELECT 0"))
     used = {n: frame for n, frame in frames.items() if "{" + n + "}" in query}
     return df.sparkSession.sql(query, **used).toDF("failures")
 

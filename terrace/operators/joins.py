@@ -94,11 +94,9 @@ def salted_join(
     replicated.
     """
     first, second = aliases
-    if how == "right":
-        how, hot = "left", "left" if hot == "right" else "right"
+    if how == "right" or (how == "full" and hot == "left"):
+        how, hot = "left" if how == "right" else how, "left" if hot == "right" else "right"
         left, right, first, second = right, left, second, first
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"a {how} join cannot be salted")
     salted = F.expr(f"({condition}) AND {first}.{SALT} = {second}.{SALT}")
     if hot == "left":
         a, b = spread(left, buckets), replicate(right, buckets)
@@ -157,7 +155,7 @@ def join_sources(
             raise ValueError("only one of the first two sources can be salted")
         kind, side = join_type(how_list[0]), "left" if hot == aliases[0] else "right"
         cold = aliases[1] if side == "left" else aliases[0]
-        build_cold = kind == "inner" or (kind == "right") == (side == "right")
+        build_cold = kind == "inner" or kind != "full" and (kind == "right") == (side == "right")
         if build_cold and fits_broadcast(sources[cold], broadcast_limit):
             frames[cold] = F.broadcast(sources[cold])
             joined = frames[aliases[0]].alias(aliases[0])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrace.operators.columns import (
     compile_column, compile_columns, is_computed, normalise, quoted, source_name,
 )
+from terrace.operators.contracts import managed_frame
 from terrace.operators.joins import join_sources
 from terrace.operators.lineage import Run, column_entries, lineage_column
 from terrace.sizing import BROADCAST_LIMIT_BYTES
@@ -118,8 +119,13 @@ def _group_key(key: str, columns: Mapping[str, Any], available: list[str]) -> Co
 def build_models(
     specs: Mapping[str, Mapping[str, Any]], tables: Mapping[str, DataFrame], **options: Any
 ) -> dict[str, DataFrame]:
-    """Build models in the order given, each seeing the ones before it; nothing runs yet."""
+    """Build models in the order given, each seeing the ones before it; nothing runs yet. A model
+    that says ``managed_by`` is filled elsewhere: it is taken from ``tables``, or empty and typed."""
     built = dict(tables)
     for name, spec in specs.items():
-        built[name] = build_model(name, spec, built, **options)
+        if not spec.get("managed_by"):
+            built[name] = build_model(name, spec, built, **options)
+        elif name not in built:
+            session = next(iter(built.values())).sparkSession
+            built[name] = managed_frame(session, spec["columns"])
     return {name: built[name] for name in specs}

@@ -333,6 +333,8 @@ ORACLE = {
         UNION ALL SELECT 'previous', count(*), CAST(sum(balance) AS DOUBLE) FROM ({_CUSTOMERS})
         UNION ALL SELECT 'quarantine', count(*), CAST(sum(balance) AS DOUBLE)
         FROM ({_CUSTOMERS}) WHERE nation_id < 20 AND balance < 0""",
+    "migrated_table": """SELECT o_orderstatus, '4' AS schema_version, 'serverless' AS compute_type,
+        count(*) AS orders, CAST(1 AS BIGINT) AS rewrites FROM orders GROUP BY o_orderstatus""",
     "managed_table": "SELECT * FROM nation UNION ALL SELECT * FROM nation",
     "append_with_lineage": """SELECT '/landing/' || CAST(quality AS VARCHAR) AS source_path, 'api' AS source_type,
         count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM labels WHERE quality IN (0, 1) GROUP BY quality""",
@@ -387,5 +389,6 @@ ORACLE = {
         UNION ALL SELECT 'o_custkey', count(*) FROM orders WHERE TRY_CAST(o_custkey AS TINYINT) IS NULL
         UNION ALL SELECT 'o_orderpriority', count(*) FROM orders WHERE TRY_CAST(o_orderpriority AS INTEGER) IS NULL""",
 }
+ORACLE["salted_full_join"] = ORACLE["full_join"]
 ORACLE["archive_diff_sql"] = ORACLE["archive_diff"]
 ORACLE["deploy_history_sql"] = ORACLE["deploy_history"]

@@ -28,8 +28,8 @@ from terrace.session import configure, scratch_path
 from terrace.sources.ingest import Feed, append_with_lineage, ingest_all
 from terrace.sources.sync import incremental_sync
 from terrace.sources.tables import (
-    create_managed_table, materialise, quarantine_name, read_files, read_previous, read_seed, read_table,
-    replace_table, run_sql, write_table,
+    create_managed_table, materialise, migrate_lineage, quarantine_name, read_files, read_previous,
+    read_seed, read_table, replace_table, run_sql, write_table,
 )
 from terrace.streaming.ingest import stream_feed
 
@@ -268,18 +268,26 @@ def right_join(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(build_model("large_orders", spec, _load(spark, sf, "customer", "orders"), RUN))
 
 
+PARTNERS = {
+    "sources": {"c": "customer", "s": "supplier"},
+    "join": "c.c_custkey = s.s_suppkey AND c.c_nationkey % 5 = s.s_nationkey % 5",
+    "join_type": "full join",
+    "columns": {
+        "customer": {"expr": "coalesce(c.c_name, 'none')"},
+        "supplier": {"expr": "coalesce(s.s_name, 'none')"},
+    },
+}
+
+
 def full_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and suppliers of the same number and nation, and those without a counterpart."""
-    spec = {
-        "sources": {"c": "customer", "s": "supplier"},
-        "join": "c.c_custkey = s.s_suppkey AND c.c_nationkey % 5 = s.s_nationkey % 5",
-        "join_type": "full join",
-        "columns": {
-            "customer": {"expr": "coalesce(c.c_name, 'none')"},
-            "supplier": {"expr": "coalesce(s.s_name, 'none')"},
-        },
-    }
-    return _portable(build_model("partners", spec, _load(spark, sf, "customer", "supplier"), RUN))
+    """Customers and suppliers of the same number and region, and those without a counterpart."""
+    return _portable(build_model("partners", PARTNERS, _load(spark, sf, "customer", "supplier"), RUN))
+
+
+def salted_full_join(spark: SparkSession, sf: str) -> DataFrame:
+    tables = _load(spark, sf, "customer", "supplier")
+    spec = {**PARTNERS, "salt": {"c": 4}}
+    return _portable(build_model("partners", spec, tables, RUN, broadcast_limit=0))
 
 
 def _existence(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -834,6 +842,20 @@ def stored_model(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(counts[0].unionByName(counts[1]).unionByName(counts[2]))
 
 
+def migrated_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table whose rows carry an old lineage struct, rewritten once and only once."""
+    table = f"{_database(spark)}.orders"
+    old = F.struct(F.lit("3").alias("schema_version"), F.lit("stg_orders").alias("model"))
+    orders = _table(spark, sf, "orders")
+    replace_table(orders.select("o_orderkey", "o_orderstatus", old.alias("_lineage")), table)
+    rewritten = [migrate_lineage(spark, table) for _ in range(2)]
+    return spark.table(table).groupBy(
+        "o_orderstatus",
+        F.col("_lineage.schema_version").alias("schema_version"),
+        F.col("_lineage.compute_type").alias("compute_type"),
+    ).agg(F.count(F.lit(1)).alias("orders"), F.lit(sum(rewritten)).cast("long").alias("rewrites"))
+
+
 def managed_appends(spark: SparkSession, sf: str) -> DataFrame:
     """An empty typed table, created twice without losing rows, filled by appends."""
     columns = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}

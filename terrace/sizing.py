@@ -19,6 +19,8 @@ def size_bound(df: DataFrame) -> int | None:
     Catalyst's estimate alone is not a bound: it scales a scan by assumed column widths. The sizes of
     all inputs are, as long as no node multiplies rows; joins are estimated as a product of both sides.
     """
+    if not hasattr(df, "_jdf"):  # a remote session does not show its plans
+        return None
     plan = df._jdf.queryExecution().optimizedPlan()
     text = plan.toString()
     if any(node in text for node in GROWING_NODES):

@@ -7,11 +7,12 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.operators.columns import ColumnSpec, quoted
 from terrace.operators.contracts import contract_schema, managed_frame
-from terrace.operators.lineage import Run
+from terrace.operators.lineage import LINEAGE_DDL, SCHEMA_VERSION, Run, upgrade_lineage
 from terrace.operators.quarantine import quarantined
 
 FILE_FORMATS = ("csv", "json", "parquet")  # fixed values: landing formats without extra jars
@@ -175,3 +176,15 @@ def materialise(
         bad = quarantined(stored, spec["quarantine"], name, run)
         replace_table(bad, quarantine_name(name), keep_previous=False)
     return stored
+
+
+def migrate_lineage(spark: SparkSession, table: str) -> bool:
+    """Bring a stored table's ``_lineage`` to the current shape and say whether that was needed. The
+    check reads one field; only a table with stale rows is rewritten, beside itself."""
+    stored = spark.table(table)
+    current = stored.schema["_lineage"].dataType.simpleString() == LINEAGE_DDL
+    stale = F.coalesce(F.col("_lineage.schema_version") != SCHEMA_VERSION, F.lit(True))
+    if current and stored.where(stale).isEmpty():
+        return False
+    replace_table(upgrade_lineage(stored), table)
+    return True

@@ -10,10 +10,11 @@ from terrace.operators.domains import (
     build_domain_model, domain_instance, instance_name, split_by_rule, union_domains,
 )
 from terrace.operators.evolve import describe, evolve, evolve_tables, retype_losses
+from terrace.plans.model import build_models
 from terrace.session import checkpoint, checkpoint_root, scratch_path
 from terrace.sources.tables import (
-    create_managed_table, create_view, materialise, previous_name, read_files, read_previous, read_table,
-    replace_table, run_sql, write_table,
+    create_managed_table, create_view, materialise, migrate_lineage, previous_name, quarantine_name,
+    read_files, read_previous, read_table, replace_table, run_sql, write_table,
 )
 
 DOMAINS = ["eu", "us"]
@@ -159,6 +160,40 @@ def test_managed_table_is_never_emptied(spark, table):
     assert spark.table(table).count() == 1
 
 
+def test_lineage_of_a_stored_table_is_migrated_once(spark, table):
+    old = spark.range(3).withColumn("_lineage", F.struct(F.lit("3").alias("schema_version"), F.lit("m").alias("model")))
+    replace_table(old, table)
+    assert migrate_lineage(spark, table) and not migrate_lineage(spark, table)
+    rows = spark.table(table).collect()
+    assert len(rows) == 3 and {(r["_lineage"]["schema_version"], r["_lineage"]["model"]) for r in rows} == {("4", "m")}
+    stale = spark.table(table).withColumn("_lineage", F.col("_lineage").withField("schema_version", F.lit("3")))
+    replace_table(stale, table)
+    assert migrate_lineage(spark, table) and read_previous(spark, table).count() == 3
+
+
+def test_a_stored_model_leaves_its_quarantine_beside_it(spark, table, models):
+    from fixtures import SPECS
+
+    stored = materialise(models["customer_clean"], table, SPECS["customer_clean"])
+    assert stored.count() == 10
+    assert sorted(r[0] for r in spark.table(quarantine_name(table)).select("customer_id").collect()) == [2, 3, 7, 9]
+
+
+def test_managed_models(spark, tables):
+    specs = {"log": {"managed_by": "python", "columns": {"id": "bigint"}}, "m": {"source": "log", "columns": {"id": None}}}
+    assert build_models(specs, tables)["m"].count() == 0
+    assert build_models(specs, {"log": spark.range(3)})["m"].count() == 3
+
+
+def test_rebalanced_writes(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 8).withColumn("d", F.col("id") % 3)
+    write_table(df, f"{tmp_path}/many", partition_by=["d"])
+    write_table(df, f"{tmp_path}/few", partition_by=["d"], rebalance=True)
+    files = {n: len(read_table(spark, f"{tmp_path}/{n}").inputFiles()) for n in ("many", "few")}
+    assert files["many"] == 24 and files["few"] == 3
+    assert read_table(spark, f"{tmp_path}/few").count() == 1000
+
+
 def test_write_modes_on_paths(spark, tmp_path):
     path = f"{tmp_path}/t"
     write_table(spark.range(3), path)

@@ -54,6 +54,7 @@ CHECKS = [
     {"name": "one_country", "type": "unique", "column": "country"},
     {"name": "ordered", "type": "relationships", "column": "customer_id", "to": "o", "field": "customer_id"},
     {"name": "sql", "type": "custom_sql", "sql": "SELECT count(*) FROM {m} JOIN {o} USING (customer_id)"},
+    {"name": "ref", "type": "custom_sql", "sql": "select count(*) from {{ ref('m') }} where revenue < 0"},
 ]
 
 
@@ -61,7 +62,7 @@ def test_every_check(models):
     results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
     assert failures(results) == {
         "low": 2, "both": 6, "no_bounds": 0, "mail": 1, "fresh": 1, "any_rows": 0, "many_rows": 1,
-        "has_mail": 2, "known": 3, "one_country": 3, "ordered": 2, "sql": 10,
+        "has_mail": 2, "known": 3, "one_country": 3, "ordered": 2, "sql": 10, "ref": 2,
     }
     status = {r["name"]: (r["status"], r["dimension"], r["scope"]) for r in results.collect()}
     assert status["low"] == ("FAIL", "accuracy", "cell")
@@ -107,7 +108,7 @@ def test_checks_from_columns_and_unknown_ones(spark):
 def test_dimension_summary(models):
     results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
     summary = {(r["dimension"], r["status"]): r["checks"] for r in dimension_summary(results).collect()}
-    assert summary[("accuracy", "WARN")] == 5 and summary[("accuracy", "FAIL")] == 1
+    assert summary[("accuracy", "WARN")] == 6 and summary[("accuracy", "FAIL")] == 1
     assert sum(summary.values()) == len(CHECKS)
 
 
