@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -55,24 +56,44 @@ def replicate(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn(SALT, salts).hint("merge")
 
 
+_EQUALITY = re.compile(r"\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*")
+
+
+def equal_columns(condition: str, aliases: Sequence[str]) -> list[tuple[str, str]] | None:
+    """Column pairs of a condition that is nothing but ``a.x = b.y AND ...``, else None."""
+    pairs = []
+    for part in re.split(r"\s+and\s+", condition.strip(), flags=re.IGNORECASE):
+        match = _EQUALITY.fullmatch(part)
+        if not match or {match[1], match[3]} != set(aliases):
+            return None
+        pairs.append((match[2], match[4]) if match[1] == aliases[0] else (match[4], match[2]))
+    return pairs
+
+
 def with_match_flag(
     left: DataFrame, right: DataFrame, aliases: Sequence[str], condition: str, buckets: int
 ) -> DataFrame:
     """``left`` with ``__matched``: does any row of a hot ``right`` meet the condition?
 
-    The pairs are looked for in salted tasks and reduced to distinct left rows. Equal left rows have
-    the same matches, so joining those back on all columns is exact.
+    For plain equalities the distinct keys of ``right`` answer that; they are reduced per task, so a
+    hot key is one row. For other conditions pairs are looked for in salted tasks and reduced to
+    distinct left rows: equal left rows have the same matches, so joining those back is exact.
     """
     first, second = aliases
-    pairs = replicate(left, buckets).alias(first).join(
-        spread(right, buckets).alias(second),
-        F.expr(f"({condition}) AND {first}.{SALT} = {second}.{SALT}"),
-        "left_semi",
-    )
-    found = pairs.drop(SALT).distinct().withColumn(MATCHED, F.lit(True)).alias("found")
-    same = [
-        F.col(f"rows.{quoted(c)}").eqNullSafe(F.col(f"found.{quoted(c)}")) for c in left.columns
-    ]
+    pairs = equal_columns(condition, aliases)
+    if pairs:
+        found = right.select(*[F.col(quoted(r)).alias(f"k{i}") for i, (_, r) in enumerate(pairs)])
+        same = [F.col(f"rows.{quoted(l)}") == F.col(f"found.k{i}") for i, (l, _) in enumerate(pairs)]
+    else:
+        salted = replicate(left, buckets).alias(first).join(
+            spread(right, buckets).alias(second),
+            F.expr(f"({condition}) AND {first}.{SALT} = {second}.{SALT}"),
+            "left_semi",
+        )
+        found = salted.drop(SALT)
+        names = [quoted(c) for c in left.columns]
+        same = [F.col(f"rows.{n}").eqNullSafe(F.col(f"found.{n}")) for n in names]
+    found = found.distinct().withColumn(MATCHED, F.lit(True)).alias("found")
     flag = F.coalesce(F.col(f"found.{MATCHED}"), F.lit(False))
     joined = left.alias("rows").join(found, reduce(lambda a, b: a & b, same), "left")
     return joined.select("rows.*", flag.alias(MATCHED))
