@@ -19,13 +19,13 @@ from terrace.operators.checks import check_model, dimension_summary, run_checks
 from terrace.operators.contracts import apply_udf, bad_rows, transform
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.domains import build_domain_model, split_by_rule
-from terrace.operators.lineage import Run, data_challenge, upgrade_lineage, with_lineage
+from terrace.operators.lineage import Run, data_challenge, upgrade_lineage
 from terrace.operators.provenance import lineage_edges, provenance_registry, trace_column
 from terrace.operators.quarantine import split
 from terrace.operators.reconcile import reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
 from terrace.session import configure, scratch_path
-from terrace.sources.ingest import Feed, append_with_lineage, ingest_all
+from terrace.sources.ingest import Feed, append_with_lineage, ingest_all, read_ingested
 from terrace.sources.sync import incremental_sync
 from terrace.sources.tables import (
     create_managed_table, materialise, migrate_lineage, quarantine_name, read_files, read_previous,
@@ -738,8 +738,7 @@ def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_rows(spark: SparkSession, sf: str) -> DataFrame:
     tables, _ = _ingested(spark, sf)
-    rows = read_table(spark, f"{tables}/raw_events")
-    return rows.select(
+    return read_ingested(spark, tables, "raw_events").select(
         *EVENT_COLUMNS,
         F.col("_lineage.schema_version").alias("schema_version"),
         F.col("_lineage.model").alias("model"),

@@ -20,7 +20,7 @@ from terrace.operators.columns import ColumnSpec
 from terrace.operators.contracts import conform, require_valid
 from terrace.operators.lineage import Run
 from terrace.sources.tables import (
-    overwrite_partitions, read_files, read_table_or_none, write_table,
+    overwrite_partitions, read_files, read_table, read_table_or_none, write_table,
 )
 
 # Manifest columns and types, the batch keys, and the shape of the ingest lineage.
@@ -256,6 +256,14 @@ def manifest_entries(
     )
 
 
+def read_ingested(spark: SparkSession, tables: str, model: str) -> DataFrame:
+    """Rows of finished batches only: those the manifest knows. Batches are partitions, so others are
+    not read."""
+    manifest = read_table(spark, f"{tables}/file_manifest", STORED_MANIFEST_DDL)
+    finished = manifest.where(F.col("model_name") == model).select(*BATCH_KEYS).distinct()
+    return read_table(spark, f"{tables}/{model}").join(finished, list(BATCH_KEYS), "left_semi")
+
+
 def ingest_all(
     spark: SparkSession,
     config: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -129,6 +130,27 @@ def previous_name(table: str) -> str:
     return f"{table}_v_previous"
 
 
+def _waiting(spark: SparkSession, table: str) -> list[str]:
+    """Complete new versions that were not swapped in, oldest first."""
+    database, _, name = table.rpartition(".")
+    prefix = f"{name}_v_next_"
+    where = f" IN {_renamed(database, '')}" if database else ""
+    found = spark.sql(f"SHOW TABLES{where} LIKE '{prefix}*'").select("tableName").collect()
+    names = sorted(r[0] for r in found if r[0].startswith(prefix.lower()))
+    return [f"{database}.{n}" if database else n for n in names]
+
+
+def finish_swap(spark: SparkSession, table: str) -> None:
+    """Settle what an interrupted ``replace_table`` left: when the table is gone, its newest complete
+    version takes the name; other waiting versions are dropped. A version appears in the catalog only
+    after all its data is written."""
+    waiting = _waiting(spark, table)
+    if waiting and not spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {_renamed(waiting.pop(), '')} RENAME TO {_renamed(table, '')}")
+    for name in waiting:
+        spark.sql(f"DROP TABLE {_renamed(name, '')}")
+
+
 def replace_table(
     df: DataFrame, table: str, keep_previous: bool = True, partition_by: Iterable[str] = ()
 ) -> None:
@@ -138,15 +160,12 @@ def replace_table(
     as ``previous_name(table)`` unless ``keep_previous`` is off.
     """
     spark = df.sparkSession
-    incoming = f"{table}_v_next"
-    spark.sql(f"DROP TABLE IF EXISTS {_renamed(incoming, '')}")
+    finish_swap(spark, table)
+    incoming = f"{table}_v_next_{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}"
     df.write.mode("errorifexists").format("parquet").partitionBy(*partition_by).saveAsTable(incoming)
-    outgoing = f"{table}_v_replaced"
-    spark.sql(f"DROP TABLE IF EXISTS {_renamed(outgoing, '')}")
+    outgoing = previous_name(table) if keep_previous else f"{table}_v_replaced"
     if spark.catalog.tableExists(table):
-        if keep_previous:
-            outgoing = previous_name(table)
-            spark.sql(f"DROP TABLE IF EXISTS {_renamed(outgoing, '')}")
+        spark.sql(f"DROP TABLE IF EXISTS {_renamed(outgoing, '')}")
         spark.sql(f"ALTER TABLE {_renamed(table, '')} RENAME TO {_renamed(outgoing, '')}")
     spark.sql(f"ALTER TABLE {_renamed(incoming, '')} RENAME TO {_renamed(table, '')}")
     if not keep_previous:

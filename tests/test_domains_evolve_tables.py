@@ -13,7 +13,7 @@ from terrace.operators.evolve import describe, evolve, evolve_tables, retype_los
 from terrace.plans.model import build_models
 from terrace.session import checkpoint, checkpoint_root, scratch_path
 from terrace.sources.tables import (
-    create_managed_table, create_view, materialise, migrate_lineage, previous_name, quarantine_name,
+    create_managed_table, create_view, finish_swap, materialise, migrate_lineage, previous_name, quarantine_name,
     read_files, read_previous, read_table, replace_table, run_sql, write_table,
 )
 
@@ -152,6 +152,23 @@ def test_a_failed_replacement_leaves_the_table(spark, table):
     assert spark.table(table).count() == 2
 
 
+def test_an_interrupted_swap_is_finished(spark, table):
+    replace_table(spark.range(5), table)
+    # stopped between the two renames
+    spark.range(7).write.saveAsTable(f"{table}_v_next_20240101")
+    spark.range(8).write.saveAsTable(f"{table}_v_next_20240102")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {previous_name(table)}")
+    finish_swap(spark, table)
+    assert spark.table(table).count() == 8 and read_previous(spark, table).count() == 5
+    # stopped before the first rename: the table is still there, the waiting version goes
+    spark.range(9).write.saveAsTable(f"{table}_v_next_20240103")
+    replace_table(spark.range(2), table)
+    assert spark.table(table).count() == 2 and read_previous(spark, table).count() == 8
+    database = table.split(".")[0]
+    names = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").collect()}
+    assert names == {"customers", "customers_v_previous"}
+
+
 def test_managed_table_is_never_emptied(spark, table):
     create_managed_table(spark, table, {"id": "bigint", "name": "string"}, lineage=True)
     assert spark.table(table).columns == ["id", "name", "_lineage"] and spark.table(table).count() == 0

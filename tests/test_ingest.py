@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from terrace.operators.lineage import Run
 from terrace.sources import ingest as ing
-from terrace.sources.ingest import Feed, active_feeds, append_with_lineage, ingest_all, ingest_feed
+from terrace.sources.ingest import (
+    Feed, active_feeds, append_with_lineage, ingest_all, ingest_feed, read_ingested,
+)
 from terrace.sources.sync import incremental_sync
 from terrace.sources.tables import read_table
 from terrace.streaming.ingest import stream_feed
@@ -77,10 +79,15 @@ def test_a_break_between_the_two_writes_loads_nothing_twice(spark, tmp_path, mon
         with pytest.raises(RuntimeError):
             ingest_feed(spark, FEED, *paths(tmp_path), COLUMNS)
     assert loaded(spark, tmp_path) == [1]  # written, but in no manifest
+    land(tmp_path, "orders_1.csv", "7,1.00", volume="other")
+    ingest_feed(spark, Feed(2, "raw_orders", "other"), *paths(tmp_path), COLUMNS)
+    finished = read_ingested(spark, f"{tmp_path}/tables", "raw_orders")
+    assert [r["id"] for r in finished.collect()] == [7]
     land(tmp_path, "orders_2.csv", "2,1.00")
     assert ingest_feed(spark, FEED, *paths(tmp_path), COLUMNS) == 2
-    assert loaded(spark, tmp_path) == [1, 2]
-    assert manifest(spark, tmp_path).count() == 2
+    assert loaded(spark, tmp_path) == [1, 2, 7]
+    assert read_ingested(spark, f"{tmp_path}/tables", "raw_orders").count() == 3
+    assert manifest(spark, tmp_path).count() == 3
 
 
 def test_small_batches_load_everything(spark, tmp_path):
