@@ -178,7 +178,7 @@ def ingest_feed(
 
     ``volumes`` holds the landing folders, ``tables`` the target tables and ``file_manifest``. Jobs
     per batch do not depend on the number of files. ``checksum="content"`` digests file contents
-    instead of paths.
+    (up to Spark's 2 GB per file) instead of paths.
     """
     target, manifest_path = f"{tables}/{feed.target_model}", f"{tables}/file_manifest"
     volume = f"{volumes}/{feed.volume_name}"
