@@ -135,8 +135,8 @@ def _waiting(spark: SparkSession, table: str) -> list[str]:
     database, _, name = table.rpartition(".")
     prefix = f"{name}_v_next_"
     where = f" IN {_renamed(database, '')}" if database else ""
-    found = spark.sql(f"SHOW TABLES{where} LIKE '{prefix}*'").select("tableName").collect()
-    names = sorted(r[0] for r in found if r[0].startswith(prefix.lower()))
+    found = spark.sql(f"SHOW TABLES{where} LIKE '{prefix}*'").where("NOT isTemporary")
+    names = sorted(r["tableName"] for r in found.collect() if r["tableName"].startswith(prefix.lower()))
     return [f"{database}.{n}" if database else n for n in names]
 
 

@@ -165,7 +165,7 @@ def test_an_interrupted_swap_is_finished(spark, table):
     replace_table(spark.range(2), table)
     assert spark.table(table).count() == 2 and read_previous(spark, table).count() == 8
     database = table.split(".")[0]
-    names = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").collect()}
+    names = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").where("NOT isTemporary").collect()}
     assert names == {"customers", "customers_v_previous"}
 
 
