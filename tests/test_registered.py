@@ -12,10 +12,12 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    """All but those of the optional subpackage, which has its own tests for what SQL can't express."""
+    own = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
+    assert own <= entry.oracle_sql().keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     assert difference(spark, duck, SF, name) is None
 
