@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.session import checkpoint
+from .frames import settled
 
 
 def _state(links: DataFrame) -> tuple:
@@ -38,10 +38,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     Loops and repeated links count for nothing; nodes that are their own root are left out.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small"))
-    now = checkpoint(ordered.distinct())
+    now = settled(ordered.distinct())
     state = _state(now)
     while True:
-        now = checkpoint(_small_star(_large_star(now)).distinct())
+        now = settled(_small_star(_large_star(now)).distinct())
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("big").alias("node"), F.col("small").alias("root"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from terrace.session import checkpoint
+
 #: Bytes of text that a Python worker unpacks at a time. A longer text makes a slice of its own and is never cut.
 SLICE_BYTES = 4 << 20
 
@@ -41,6 +43,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Lets an execution remove its shuffle files at its end, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder; the shuffle files that led to it go at once.
+
+    A join with a settled side deals both sides plainly, so that AQE can split a hot key of the other one.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return checkpoint(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def without(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` without the columns an operator is about to add, in any spelling Spark takes for the same."""
     taken = {n.lower() for n in names}

@@ -29,10 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrace.session import checkpoint
-
 from .components import connected_components
-from .frames import add_columns, ship, texts
+from .frames import add_columns, settled, ship, texts
 
 SEED = 42
 WORD_SEEDS = (42, 43)
@@ -185,13 +183,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     """
     own = texts(docs, text).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = fingerprints(own, words).select("doc_id", F.xxhash64("text").alias("text_hash"), "fingerprint")
-    rows = checkpoint(rows)
+    rows = settled(rows)
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = connected_components(near_links(prints))
     named = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fingerprint", "component_id", "root")
+    named = settled(named.join(least, "root").select("fingerprint", "component_id", "root"))
     return rows.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
 
@@ -220,7 +218,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     names = [f"print_{k}" for k in range(len(WORD_SEEDS))]
     added = ", ".join(f"{n} long" for n in names)
     rows = add_columns(own, "text", added, lambda values: [list(c) for c in zip(*map(word_prints, values))])
-    rows = checkpoint(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *names, F.xxhash64(*names).alias("node")))
+    rows = settled(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *names, F.xxhash64(*names).alias("node")))
     nodes = rows.select("node", *names).distinct()
     links = []
     for name in names:

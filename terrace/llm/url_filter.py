@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import without
+from .frames import settled, without
 
 BROADCAST_ROWS = 1_000_000
 #: Bits of the filter for each rule, at least; with four bits a key this passes about 1 in 400 others.
@@ -103,7 +103,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     exact = possible.join(near(rules), ["rule_host", "rule_path"])
     text = F.concat("rule_host", "rule_path")
     best = exact.groupBy("host", "head").agg(F.max(F.struct(F.length(text), text.alias("rule"), "rule_verdict")).alias("best"))
-    best = best.select("host", "head", "best.rule", F.col("best.rule_verdict").alias("_verdict"))
+    best = settled(best.select("host", "head", "best.rule", F.col("best.rule_verdict").alias("_verdict")))
 
     marked = urls.withColumn("head", F.substring("path", 1, longest)) if "head" not in urls.columns else None
     if marked is None:  # a column of the pages has the name of the helper

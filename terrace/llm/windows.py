@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrace.session import checkpoint
-
-from .frames import ship, slices
+from .frames import settled, ship, slices
 
 #: Contents of one key that are compared in one place, and symbols that a task compares at a time.
 HOT, BATCH = 4096, 1 << 19
@@ -264,7 +262,7 @@ def _contested(rows: DataFrame, kind: Kind, dtype: np.dtype, keep_first: bool) -
     size = kind.gram
     while True:
         hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
-        hot = checkpoint(hot)
+        hot = settled(hot)
         if hot.isEmpty():
             found.append(_compare(rows, kind, dtype, keep_first))
             break
@@ -278,7 +276,7 @@ def _contested(rows: DataFrame, kind: Kind, dtype: np.dtype, keep_first: bool) -
                 rows = rows.join(least, "key").where(F.struct("doc_order", "place") != F.col("least"))
             found.append(rows.select("anchor", "content", cut.alias("cut")))
             break
-        rows = checkpoint(_split(rows, kind, dtype))
+        rows = settled(_split(rows, kind, dtype))
         size += (kind.length - size + 1) // 2
     cuts = found[0]
     for more in found[1:]:
@@ -298,13 +296,14 @@ def repeated_spans(docs: DataFrame, kind: Kind, text: str, keep_first: bool = Fa
     occurrences = _occurrences(docs, text, kind)
     counted = occurrences.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("n").alias("n")).where("n > 1")
-    repeated = checkpoint(occurrences.join(anchors.select("anchor", "contents"), "anchor"))
+    anchors = settled(anchors.select("anchor", "contents"))
+    repeated = settled(occurrences.join(anchors, "anchor"))
     least = F.min(F.struct("doc_order", "place", "text_hash")).alias("first")
     contents = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("contents").alias("contents"), least)
-    contents = checkpoint(contents)
-    fetched = checkpoint(_fetch(docs, contents.where("contents > 1"), text, kind))
+    contents = settled(contents)
+    fetched = settled(_fetch(docs, contents.where("contents > 1"), text, kind))
     cuts = _contested(fetched, kind, dtype, keep_first).groupBy("anchor", "content").agg(F.collect_set("cut").alias("cuts"))
-    info = contents.select("anchor", "content", "n", "first").join(cuts, ["anchor", "content"], "left")
+    info = settled(contents.select("anchor", "content", "n", "first").join(cuts, ["anchor", "content"], "left"))
     found = repeated.join(info, ["anchor", "content"])
     low, high = F.lit((1 << COUNT_BITS) - 1), F.lit((1 << START_BITS) - 1)
     start = F.shiftrightunsigned("place", COUNT_BITS).bitwiseAND(high)
@@ -318,7 +317,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, text: str, keep_first: bool = Fa
     extra = F.shiftrightunsigned("place", COUNT_BITS + START_BITS)
     order = F.col("doc_order") if keep_first else F.lit(0).cast("long")
     each = found.select(F.col("text_hash").alias("_h"), extra.alias("_x"), order.alias("_o"), F.explode(spans).alias("span"))
-    return each.groupBy("_h", "_x", "_o").agg(F.collect_set("span").alias("_spans"))
+    return settled(each.groupBy("_h", "_x", "_o").agg(F.collect_set("span").alias("_spans")))
 
 
 def runs(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
