@@ -80,8 +80,8 @@ def clean_text(column: Column | str) -> Column:
 
 
 def content_hash(*columns: Column | str) -> Column:
-    """First 12 hex digits of the SHA-256 of the columns as a JSON object."""
-    return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 12)
+    """SHA-256, as hex, of the columns as a JSON object. A shortened one is a label, not a key."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
 # Thresholds and names of the loyalty tiers.

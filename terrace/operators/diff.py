@@ -4,23 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.operators.columns import quoted
 
 
-def _digest(df: DataFrame, name: str) -> Column:
-    """64-bit hash of a value; maps have no order, so their sorted entries are hashed."""
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """The value with every map as its sorted entries; maps have no order."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _plain(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_plain(value.getField(f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(_plain(e["key"], kind.keyType).alias("key"), _plain(e["value"], kind.valueType).alias("value")),
+        )
+        return F.array_sort(entries, lambda a, b: _by_text(a["key"], b["key"]))
+    return value
+
+
+def _by_text(a: Column, b: Column) -> Column:
+    a, b = F.to_json(F.struct(a)), F.to_json(F.struct(b))
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def _digest(df: DataFrame, name: str, kind: T.DataType) -> Column:
+    """64-bit hash of a value in the type both sides share. Hashing leaves out nulls inside of arrays and
+    structs, so nested values are hashed as JSON that keeps them."""
     column = F.col(quoted(name))
-    kind = df.schema[name].dataType.simpleString()
-    if kind.startswith("map<"):
-        column = F.array_sort(F.map_entries(column))
-    elif "map<" in kind:
-        column = F.to_json(F.struct(column))
+    column = column if df.schema[name].dataType == kind else column.cast(kind)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        column = F.to_json(F.struct(_plain(column, kind).alias("v")), {"ignoreNullFields": "false"})
     return F.xxhash64(column)
 
 
+def _common_types(old: DataFrame, new: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]:
+    """The type that Spark finds for both sides of each column; text where there is none."""
+    found = {}
+    for name in names:
+        try:
+            both = old.select(quoted(name)).unionByName(new.select(quoted(name)))
+            found[name] = both.schema[name].dataType
+        except AnalysisException:
+            found[name] = T.StringType()
+    return found
+
+
 def snapshot_diff(
     old: DataFrame, new: DataFrame, keys: Sequence[str], keep_unchanged: bool = True
 ) -> DataFrame:
@@ -36,10 +70,11 @@ def snapshot_diff(
     multisets instead of pairing their rows.
     """
     shared = [c for c in old.columns if c in new.columns and c not in keys]
+    kinds = _common_types(old, new, shared)
     one_sided = [c for c in [*old.columns, *new.columns] if (c in old.columns) != (c in new.columns)]
 
     def hashed(df: DataFrame, sign: int) -> DataFrame:
-        digests = [_digest(df, c) for c in shared]
+        digests = [_digest(df, c, kinds[c]) for c in shared]
         digests.append(F.xxhash64(*digests) if digests else F.lit(0).cast("long"))
         return df.select(
             *[F.col(quoted(k)) for k in keys],

@@ -229,8 +229,8 @@ ORACLE = {
     "python_clean_email": """SELECT c_custkey, lower(c_name || '@' || c_mktsegment || '.com') AS email FROM customer""",
     "clean_document_text": """SELECT doc_id, md5(lower(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13),
         chr(28), chr(29), chr(30), chr(31), chr(133), chr(160), chr(8195), chr(12288))))) AS clean_md5 FROM documents""",
-    "customer_content_hash": """SELECT c_custkey, substr(sha256(CAST(to_json({c_custkey: c_custkey, c_name: c_name,
-        c_mktsegment: c_mktsegment}) AS VARCHAR)), 1, 12) AS content_hash FROM customer""",
+    "customer_content_hash": """SELECT c_custkey, sha256(CAST(to_json({c_custkey: c_custkey, c_name: c_name,
+        c_mktsegment: c_mktsegment}) AS VARCHAR)) AS content_hash FROM customer""",
     "lineage_flat": _LINEAGE_FLAT.format(mode="full", value="CAST(o_totalprice AS VARCHAR)"),
     "lineage_lightweight": _LINEAGE_FLAT.format(mode="lightweight", value="'o_totalprice'"),
     "lineage_operations": f"""

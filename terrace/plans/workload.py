@@ -26,7 +26,7 @@ from terrace.operators.reconcile import reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
 from terrace.session import configure, scratch_path
 from terrace.sources.ingest import Feed, append_with_lineage, ingest_all, read_ingested
-from terrace.sources.sync import incremental_sync
+from terrace.sources.sync import incremental_sync, read_synced
 from terrace.sources.tables import (
     create_managed_table, materialise, migrate_lineage, quarantine_name, read_files, read_previous,
     read_seed, read_table, replace_table, run_sql, write_table,
@@ -680,7 +680,7 @@ def sync_events(spark: SparkSession, sf: str) -> DataFrame:
         incremental_sync(source, f"{path}/events", f"{path}/log", "ts", ["event_type"], RUN)
         for source in (early, events, events)
     ]
-    stored = read_table(spark, f"{path}/events")
+    stored = read_synced(spark, f"{path}/events", f"{path}/log")
     return _portable(
         stored.groupBy("event_type", "_batch").agg(
             F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast(MONEY)).alias("value")

@@ -218,7 +218,8 @@ def ingest_feed(
 def _next_batch(manifest: DataFrame | None, feed: Feed) -> int:
     if manifest is None:
         return 1
-    last = manifest.where(F.col("_feed") == feed.config_id).agg(F.max("_batch")).first()[0]
+    # batches of streams count below zero
+    last = manifest.where((F.col("_feed") == feed.config_id) & (F.col("_batch") > 0)).agg(F.max("_batch")).first()[0]
     return (last or 0) + 1
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ from terrace.operators.columns import ColumnSpec
 from terrace.operators.contracts import contract_schema
 from terrace.operators.lineage import Run
 from terrace.sources.ingest import (
-    BATCH_KEYS, FILES_PER_BATCH, Feed, few_tasks, ingest_lineage, list_files, manifest_entries,
-    source_path,
+    BATCH_KEYS, FILES_PER_BATCH, STORED_MANIFEST_DDL, Feed, few_tasks, ingest_lineage, list_files,
+    manifest_entries, source_path,
 )
 from terrace.sources.tables import overwrite_partitions, read_table_or_none
 
+#: Micro-batches that one checkpoint can number, and checkpoints that get numbers of their own.
+STREAM_BATCHES, STREAMS = 100_000, 20_000
+
 
 def stream_feed(
     spark: SparkSession,
@@ -29,13 +33,18 @@ def stream_feed(
     run: Run = Run(),
     files_per_batch: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
-    """Load all files not seen by this checkpoint, then stop. A repeated micro-batch replaces its own
-    partitions, so a restart adds no row twice. Files without rows get no manifest entry here."""
+    """Load all files that neither this checkpoint nor the manifest knows, then stop.
+
+    Micro-batches have negative numbers that also depend on the checkpoint folder, so they never replace a
+    batch of ``ingest_feed`` or of another checkpoint; a repeated micro-batch replaces its own partitions, and a
+    restart adds no row twice. A value that can't be read is an error. Files without rows get no manifest entry
+    here."""
     target, manifest_path = f"{tables}/{feed.target_model}", f"{tables}/file_manifest"
     reader = (
         spark.readStream.format(feed.file_format)
         .schema(contract_schema(columns))
         .options(**feed.read_options())
+        .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", files_per_batch)
     )
     volume = f"{volumes}/{feed.volume_name}"
@@ -43,18 +52,28 @@ def stream_feed(
     rows = reader.load(volume).where(name.rlike(feed.file_regex))
     rows = rows.select("*", ingest_lineage(feed.target_model, source_path(), "volume", run))
 
+    own = -STREAM_BATCHES * (1 + zlib.crc32(checkpoint.rstrip("/").encode()) % STREAMS)
+
     def write(batch: DataFrame, number: int) -> None:
-        keys = {"_feed": F.lit(feed.config_id), "_batch": F.lit(number + 1)}
+        if number + 1 >= STREAM_BATCHES:
+            raise ValueError("the checkpoint has used up its batch numbers; go on with a new one")
+        number = own - number - 1
+        keys = {"_feed": F.lit(feed.config_id), "_batch": F.lit(number)}
+        manifest = read_table_or_none(batch.sparkSession, manifest_path, STORED_MANIFEST_DDL)
+        if manifest is not None:
+            others = manifest.where((F.col("_feed") == feed.config_id) & (F.col("_batch") != number))
+            known = others.select(F.col("file_path").alias("_known")).distinct()
+            batch = batch.join(known, F.col("_lineage.source_path") == F.col("_known"), "left_anti")
         keyed = batch.withColumns(keys)
         overwrite_partitions(keyed, target, BATCH_KEYS)
         written = read_table_or_none(batch.sparkSession, target, keyed.schema)
         if written is None:
             return
-        loaded = written.where((F.col("_feed") == feed.config_id) & (F.col("_batch") == number + 1))
+        loaded = written.where((F.col("_feed") == feed.config_id) & (F.col("_batch") == number))
         loaded = loaded.select(F.col("_lineage.source_path").alias("file_path")).distinct()
         files = list_files(batch.sparkSession, volume).join(loaded, "file_path")
         files = files.withColumn("checksum", F.md5("file_path"))
-        entries = manifest_entries(files, written, feed, number + 1, domain, run)
+        entries = manifest_entries(files, written, feed, number, domain, run)
         with few_tasks(batch.sparkSession):
             overwrite_partitions(entries.withColumns(keys), manifest_path, BATCH_KEYS)
 

@@ -201,3 +201,21 @@ def test_snapshot_diff_against_brute_force(spark):
             expected[k] = ("modified" if changed else "unchanged", changed)
     found = {r["k"]: (r["status"], r["changed_columns"]) for r in snapshot_diff(*frames, ["k"]).collect()}
     assert found == expected
+
+
+def test_snapshot_diff_of_nulls_inside_of_values(spark):
+    def rows(values):
+        return spark.sql(f"select 1 as k, {values}")
+
+    same = "map(1, map('a', 1, 'b', 2)) as m, array(1, null) as a, named_struct('x', 5, 'y', cast(null as int)) as s"
+    order = "map(1, map('b', 2, 'a', 1)) as m, array(1, null) as a, named_struct('x', 5, 'y', cast(null as int)) as s"
+    other = "map(1, map('a', 1, 'b', 2)) as m, array(1) as a, named_struct('x', cast(null as int), 'y', 5) as s"
+    assert snapshot_diff(rows(same), rows(order), ["k"]).first()["status"] == "unchanged"
+    assert snapshot_diff(rows(same), rows(other), ["k"]).first()["changed_columns"] == ["a", "s"]
+
+
+def test_snapshot_diff_of_retyped_columns(spark):
+    old = spark.sql("select 1 as k, 7 as n, cast(1.5 as decimal(10,2)) as d")
+    new = spark.sql("select 1 as k, 7L as n, cast(1.5 as decimal(12,4)) as d")
+    assert snapshot_diff(old, new, ["k"]).first()["status"] == "unchanged"
+    assert snapshot_diff(old, new.withColumn("n", F.lit(8)), ["k"]).first()["changed_columns"] == ["n"]

@@ -9,7 +9,7 @@ from terrace.sources import ingest as ing
 from terrace.sources.ingest import (
     Feed, active_feeds, append_with_lineage, ingest_all, ingest_feed, read_ingested,
 )
-from terrace.sources.sync import incremental_sync
+from terrace.sources.sync import incremental_sync, read_synced
 from terrace.sources.tables import read_table
 from terrace.streaming.ingest import stream_feed
 
@@ -222,3 +222,56 @@ def test_interrupted_sync_repeats_nothing(spark, tmp_path, monkeypatch):
             incremental_sync(source, target, log, "n")
     assert incremental_sync(source, target, log, "n") == 5
     assert read_table(spark, target).count() == 5
+
+
+def test_stream_and_batch_share_tables(spark, tmp_path):
+    """Neither form replaces or repeats what the other, or another checkpoint, has loaded."""
+    land(tmp_path, "orders_1.csv", "1,1.00")
+    assert ingest_feed(spark, FEED, *paths(tmp_path), COLUMNS, run=RUN) == 1
+    land(tmp_path, "orders_2.csv", "2,1.00")
+    for progress in ("one", "two", "one"):
+        stream_feed(spark, FEED, *paths(tmp_path), COLUMNS, f"{tmp_path}/{progress}", run=RUN).awaitTermination()
+        assert loaded(spark, tmp_path) == [1, 2]
+    land(tmp_path, "orders_3.csv", "3,1.00")
+    assert ingest_feed(spark, FEED, *paths(tmp_path), COLUMNS, run=RUN) == 1
+    assert loaded(spark, tmp_path) == [1, 2, 3]
+    names = sorted(r["file_name"] for r in manifest(spark, tmp_path).collect())
+    assert names == ["orders_1.csv", "orders_2.csv", "orders_3.csv"]
+
+
+def test_stream_refuses_unreadable_values(spark, tmp_path):
+    land(tmp_path, "orders_1.csv", "notint,1.00")
+    with pytest.raises(Exception, match="MALFORMED|notint|FAILFAST"):
+        stream_feed(spark, FEED, *paths(tmp_path), COLUMNS, f"{tmp_path}/progress", run=RUN).awaitTermination()
+
+
+def test_sync_of_ties_and_missing_values(spark, tmp_path):
+    target, log = f"{tmp_path}/t", f"{tmp_path}/log"
+    rows = [(1, 1.0, "x"), (2, 2.0, "x"), (3, None, "x"), (4, float("nan"), "x")]
+
+    def sync():
+        return incremental_sync(spark.createDataFrame(rows, "id int, v double, p string"), target, log, "v", ["p"], RUN)
+
+    assert sync() == 4 and sync() == 0
+    rows += [(5, 2.0, "y"), (6, None, "y"), (7, float("nan"), "y"), (2, 2.0, "x"), (8, 3.0, "x")]
+    assert sync() == 5 and sync() == 0
+    assert sorted(r["id"] for r in read_synced(spark, target, log).collect()) == [1, 2, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_interrupted_sync_forgets_changed_partitions(spark, tmp_path, monkeypatch):
+    from terrace.sources import sync
+
+    target, log = f"{tmp_path}/t", f"{tmp_path}/log"
+    original = sync.overwrite_partitions
+
+    def fail_on_log(df, path, keys):
+        if path == log:
+            raise RuntimeError("stopped")
+        original(df, path, keys)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sync, "overwrite_partitions", fail_on_log)
+        with pytest.raises(RuntimeError):
+            incremental_sync(spark.createDataFrame([(1, "y")], "n int, p string"), target, log, "n", ["p"])
+    assert incremental_sync(spark.createDataFrame([(1, "z")], "n int, p string"), target, log, "n", ["p"]) == 1
+    assert [(r["n"], r["p"]) for r in read_table(spark, target).collect()] == [(1, "z")]
