@@ -225,7 +225,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         # one node stands for all with the same fingerprint, and is linked to each of them
         stands = nodes.groupBy(F.col(name).alias("fingerprint")).agg(F.min("node").alias("stand"))
         links.append(nodes.join(stands, nodes[name] == stands["fingerprint"]).select(F.col("node").alias("u"), F.col("stand").alias("v")))
-        near = near_links(stands)
+        # one link for each fingerprint, to the root of its component, instead of all that were found
+        near = connected_components(near_links(stands)).toDF("u", "v")
         near = near.join(stands.toDF("u", "a"), "u").join(stands.toDF("v", "b"), "v")
         links.append(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
     together = links[0]
