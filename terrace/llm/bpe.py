@@ -31,7 +31,7 @@ LATIN, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", r" \t-\r\x85\xa0"
 LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^{BLANK}{LATIN}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 NOT_LATIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 #: Words in a worker's cache, and the longest it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
+CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 64
 NEVER = np.iinfo(np.int32).max
 NONE = (NEVER, -1)
 #: Bytes up to which a word is merged by looking over all its pairs, without a heap.
@@ -198,12 +198,12 @@ def encode_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes texts with a cache of words: the packed ids of each, and the bytes that these ids decode to."""
+    """Encodes texts with a cache of the packed ids of words, and decodes the ids of whole texts."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.any, self.latin = v, regex.compile(PATTERN), re.compile(LATIN_PATTERN)
         self.packed: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.pieces = np.array(v.pieces, object)
         names = sorted(v.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
@@ -220,7 +220,9 @@ class Encoder:
     def _keep(self, words: dict[str, list[int]]) -> None:
         for w, ids in words.items():
             self.packed[w] = np.array(ids, "<u4").tobytes()
-            self.bytes[w] = b"".join([self.v.pieces[i] for i in ids])
+
+    def decode(self, token_ids: bytes) -> str:
+        return b"".join(self.pieces[np.frombuffer(token_ids, "<u4")].tolist()).decode("utf-8", "replace")
 
     def __call__(self, values: list[str]) -> tuple[list[bytes], list[str]]:
         cut = [self.words(v) for v in values]
@@ -228,17 +230,15 @@ class Encoder:
         new = [w for w in needed if w not in self.packed]
         if len(self.packed) + len(new) > CACHE_ENTRIES:
             self.packed = {w: self.packed[w] for w in needed if w in self.packed}
-            self.bytes = {w: self.bytes[w] for w in self.packed}
         plain = [w for w in new if w not in self.v.special]
         self._keep(dict(zip(plain, encode_words([w.encode() for w in plain], self.v))))
         self._keep({w: [self.v.special[w]] for w in new if w in self.v.special})
         tokens = [b"".join(map(self.packed.__getitem__, words)) for words in cut]
-        decoded = [b"".join(map(self.bytes.__getitem__, words)).decode("utf-8", "replace") for words in cut]
         for w in [w for w in new if len(w) > CACHE_CHARS]:
-            del self.packed[w], self.bytes[w]
+            del self.packed[w]
         if len(self.packed) > CACHE_ENTRIES:
-            self.packed, self.bytes = {}, {}
-        return tokens, decoded
+            self.packed = {}
+        return tokens, list(map(self.decode, tokens))
 
 
 def _worker(table: Broadcast, vocabulary: str) -> Encoder:
@@ -259,8 +259,7 @@ def decode(docs: DataFrame, vocabulary: str, token_ids: str = "token_ids") -> Da
     table = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def make(values):
-        pieces = _worker(table, vocabulary).v.pieces
-        ids = (np.frombuffer(v or b"", "<u4").tolist() for v in values)
-        return [[b"".join([pieces[i] for i in row]).decode("utf-8", "replace") for row in ids]]
+        encoder = _worker(table, vocabulary)
+        return [[encoder.decode(v or b"") for v in values]]
 
     return add_columns(docs, token_ids, "decoded string", make)

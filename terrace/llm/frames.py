@@ -17,6 +17,8 @@ from terrace.session import checkpoint
 
 #: Bytes of text that a Python worker unpacks at a time. A longer text makes a slice of its own and is never cut.
 SLICE_BYTES = 4 << 20
+#: The same where whole texts get new columns: what is made of a slice can take fifty times its bytes.
+COLUMN_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()
@@ -97,7 +99,7 @@ def add_columns(docs: DataFrame, column: str, added: str, make: Callable[[list],
 
         kinds = to_arrow_schema(schema)
         for batch in batches:
-            for rows in slices(batch, column):
+            for rows in slices(batch, column, COLUMN_BYTES):
                 made = make(rows.column(column).to_pylist())
                 arrays = [*rows.columns, *(pa.array(v, kinds.field(f.name).type) for v, f in zip(made, fields.fields))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .frames import add_columns, ship, slices, texts
+from .frames import COLUMN_BYTES, add_columns, ship, slices, texts
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 128
 THRESHOLD = 0.3
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def run(batches):
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", COLUMN_BYTES):
                 values = rows.column("text").to_pylist()
                 if not values:
                     continue
