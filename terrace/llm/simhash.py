@@ -11,6 +11,10 @@ for each fingerprint,
 - members whose left-out bits differ in one bit differ in three at most: the smallest of each value are linked;
 - members that are the bucket's variant themselves differ in the left-out bits only: links of three bits.
 
+Two fingerprints meet in several buckets; a link is made in the first of them alone, so none is made twice. That
+keeps everything connected: if the first bucket of a pair has a smaller member, both are linked to that, there or
+in the first bucket of their own, and so on to ever smaller ones.
+
 These are verified links, as many as connect what is linked; all pairs of a bucket are never formed. Equal
 fingerprints are one row before the shuffle, however many documents have them.
 
@@ -92,6 +96,24 @@ def variants(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys, 1).ravel(), np.repeat(values, BLOCKS * len(flips))
 
 
+def first_meeting(keys: np.ndarray, u: np.ndarray, v: np.ndarray, alone: int) -> np.ndarray:
+    """Whether a bucket is the first in which a link is found that has ``alone`` of its bits in the left-out block.
+
+    Its block is the first with that many of the differing bits, its variant the smaller one between both.
+    """
+    rest_bits = np.uint64(64 - BITS)
+    differ = u ^ v
+    block = (keys >> rest_bits).astype(np.int64)
+    in_block = np.stack([np.bitwise_count(differ >> np.uint64(BITS * b) & np.uint64(MASK)) for b in range(BLOCKS)])
+    good = (in_block == alone).argmax(0) == block
+    for b in range(BLOCKS):
+        own = block == b
+        x, y = without_block(u[own], b), without_block(v[own], b)
+        low = (x ^ y) & -(x ^ y)
+        good[own] &= np.minimum(x ^ low, y ^ low) == keys[own] & np.uint64((1 << (64 - BITS)) - 1)
+    return good
+
+
 def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among the members of whole buckets, given in the order of their keys and values."""
     bucket = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
@@ -106,12 +128,18 @@ def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     code, values, keys, block, bucket = code[order], values[order], keys[order], block[order], bucket[order]
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
     group = np.cumsum(np.r_[False, code[1:] != code[:-1]])
-    u, v = [values], [values[first][group]]  # the first of a group links to itself; dropped at the end
+    smallest = values[first][group]
+    star = np.flatnonzero(values != smallest)
+    star = star[first_meeting(keys[star], values[star], smallest[star], 0)]
+    u, v = [values[star]], [smallest[star]]
     codes, least = code[first], values[first]
     for bit in range(BITS):
         other = codes ^ np.uint64(1 << bit)
         place = np.minimum(np.searchsorted(codes, other), len(codes) - 1)
         found = np.flatnonzero((codes[place] == other) & (codes < other))
+        # those of fewer than three bits are linked in a bucket that leaves out none of them
+        found = found[np.bitwise_count(least[found] ^ least[place[found]]) == 3]
+        found = found[first_meeting(keys[first][found], least[found], least[place[found]], 1)]
         u.append(least[found])
         v.append(least[place[found]])
     rest = np.empty_like(values)
@@ -135,8 +163,6 @@ def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 u.append(c_values[found])
                 v.append(c_values[place[found]])
     u, v = np.concatenate(u), np.concatenate(v)
-    real = u != v
-    u, v = u[real], v[real]
     pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
