@@ -70,6 +70,17 @@ def test_restore_into_another_schema_and_reads_one_partition(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(asset_name" in plan and "Exchange" not in plan
 
 
+def test_restore_refuses_what_it_cannot_read(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    path, whole = str(tmp_path), T.StructType.fromDDL("n int")
+    archive_table(spark.createDataFrame([("5",)], "n string"), path, "good", at(1))
+    archive_table(spark.createDataFrame([("5",), ("abc",)], "n string"), path, "bad", at(1))
+    assert restore_table(spark, path, "good", schema=whole).collect() == [(5,)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        restore_table(spark, path, "bad", schema=whole).collect()
+
+
 def test_listing(spark, tmp_path):
     path = str(tmp_path)
     archive_table(spark.range(3), path, "t", at(1, git_sha="s1"))
