@@ -228,13 +228,15 @@ def scores(values: list[str], field: Field) -> list[float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> DataFrame:
-    """Lines of the sampled documents as one row each: label, features, lengths."""
+    """The sampled documents, one row for each id: ``_id``, ``label`` and ``text``."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("label"))
     # at most SAMPLE_DOCS rows of two numbers: small enough to broadcast at any size of the tables
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.join(F.broadcast(known), "_id").select("_id", "label", "text")
+    # of a repeated id one row, so that no more than SAMPLE_DOCS are collected; which one doesn't depend on their order
+    chosen = F.min_by("text", F.xxhash64("text")).alias("text")
+    return own.join(F.broadcast(known), "_id").groupBy("_id", "label").agg(chosen)
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Field:

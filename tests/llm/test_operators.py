@@ -310,6 +310,18 @@ def test_quality_of_odd_rows(spark, rows):
     assert all(0 <= r["score"] <= 1 for r in found.collect())
 
 
+def test_quality_sample_has_one_row_for_each_id(spark):
+    rows = [(7, f"copy {k % 3} of a hot id") for k in range(400)] + [(k, f"text {k}") for k in range(20, 40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in (7, *range(20, 40))], "doc_id long, quality int")
+    samples = []
+    for _ in range(2):
+        found = quality.labelled_sample(frame(spark, rows), labels, "text", "doc_id", "quality").collect()
+        assert len(found) == len({r["_id"] for r in found}) and 7 in {r["_id"] for r in found}
+        samples.append(sorted((r["_id"], r["label"], r["text"]) for r in found))
+        rows.reverse()
+    assert samples[0] == samples[1]
+
+
 PAGE = """<html><head><title>t</title><script>var a="<p>";</script></head><body><header><a href=x>Home</a></header>
 <nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="ad">Buy this now, it is cheap.</div>
 <article><h1>Head &amp; line</h1><p><b>First   paragraph,<br>with words.<p>Short.</article>
