@@ -54,8 +54,3 @@ def models(spark, seeds):
 
     languages = register_udfs(spark, STANDARD_UDFS)
     return build_models(SPECS, seeds, udf_languages=languages)
-
-
-def plan_of(df) -> str:
-    """The physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 from fixtures import CUSTOMER_COLUMNS, SUMMARY
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -2,7 +2,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 
 from terrace.operators.checks import (
     column_checks, dimension_summary, duplicate_values, orphans, run_checks,
