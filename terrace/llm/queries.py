@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, fingerprints, html_extract, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import bpe, decontaminate, fingerprints, hard_negatives, html_extract, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 from .frames import read
 
 TOKEN_LIMIT = 4096
@@ -136,6 +136,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.where(F.col("embedding").isNotNull() & ~odd).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -147,6 +156,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _OP8 = r"""
@@ -194,4 +204,24 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 FROM judged
 """
 
-ORACLE = {"op8_decontamination": _OP8, "op10_url_filter": _OP10}
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_dot_product(a.e, r.e) AS BIGINT) AS s
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id
+  WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT anchor_id, other_id, s FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.s DESC, n.other_id) AS INTEGER) AS rank,
+       n.other_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positive p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
+"""
+
+ORACLE = {"op8_decontamination": _OP8, "op10_url_filter": _OP10, "op13_hard_negatives": _OP13}
