@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, fingerprints, hard_negatives, html_extract, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import bpe, decontaminate, fingerprints, hard_negatives, html_extract, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, url_filter
 from .frames import read
 
 TOKEN_LIMIT = 4096
@@ -136,6 +136,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), slips=199, shortest=6)
+    return spelling.group_variants(words.where("n >= 5"), ratio=5)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -156,6 +161,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
