@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from terrace.session import scratch_path
 
-from . import bpe, decontaminate, fingerprints, hard_negatives, html_extract, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import bpe, decontaminate, fingerprints, hard_negatives, html_extract, quality, simhash, spelling, substring_dedup, suffix_dedup, token_counts, url_filter, warc
 from .frames import read
 
 TOKEN_LIMIT = 4096
@@ -136,6 +136,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), path, record_id="page_id", url="url", payload="html", least=0)
+    records = warc.read_archive(spark, path, with_payload=False)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").alias("refers_to"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), slips=199, shortest=6)
     return spelling.group_variants(words.where("n >= 5"), ratio=5)
@@ -161,6 +168,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_warc": op11_warc,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -210,6 +218,19 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 FROM judged
 """
 
+# base 32 takes five hexadecimal digits for four of its own
+_OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS data FROM pages),
+h AS (SELECT page_id, octet_length(data) AS size, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                               1 + ((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)
+                        FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
 _OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -230,4 +251,4 @@ FROM positive p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30
 QUALIFY rank <= 10
 """
 
-ORACLE = {"op8_decontamination": _OP8, "op10_url_filter": _OP10, "op13_hard_negatives": _OP13}
+ORACLE = {"op8_decontamination": _OP8, "op10_url_filter": _OP10, "op11_warc": _OP11, "op13_hard_negatives": _OP13}
