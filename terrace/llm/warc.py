@@ -50,6 +50,8 @@ from .frames import settled, ship, slices
 #: Copies of one row that are written in a row; bytes of a shard at least and number of shards at most, which also
 #: bounds the list of their first keys; compressed bytes of a file; payload bytes a reader passes on at a time.
 COPIES, SHARD_BYTES, SHARDS, ROLL_BYTES, READ_BYTES = 1 << 16, 4 << 20, 10_000, 1 << 30, 4 << 20
+#: Tasks that read an archive at most; each takes its files in turn.
+READERS = 50_000
 #: Bytes that a record's headers take at about, and payloads that a task remembers to drop their copies.
 HEAD, SEEN = 700, 100_000
 LEVEL = 6
@@ -394,4 +396,8 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return manifest_of(spark, path).select("name").repartition("name").mapInArrow(run, StructType.fromDDL(READ))
+    files = manifest_of(spark, path).select("name", "shard", "part")
+    # a task for each file: by their names alone Spark would take a few rows for little work and put them together
+    tasks = max(1, min(files.count(), READERS))
+    dealt = files.withColumn("task", F.pmod(F.col("shard") * 31 + F.col("part"), F.lit(tasks)))
+    return dealt.repartitionById(tasks, F.col("task")).select("name").mapInArrow(run, StructType.fromDDL(READ))
