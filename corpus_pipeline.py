@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, decontaminate, quality, simhash, suffix_dedup
+from terrace.llm import bpe, decontaminate, near_copies, quality, suffix_dedup
 from terrace.llm.frames import read
 from terrace.session import scratch_path
 
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return near_copies.keep_one(docs).select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

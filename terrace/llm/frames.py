@@ -69,6 +69,16 @@ def without(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in taken])
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has a column that Spark takes for the same."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about ``most`` bytes of ``column``."""
     values = batch.column(column)

@@ -34,17 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .components import connected_components
-from .frames import add_columns, settled, ship, slices, texts
+from .frames import add_columns, settled, ship, texts
 
 SEED = 42
-WORD_SEEDS = (42, 43)
 BLOCKS, BITS = 4, 16
-MASK = (1 << BITS) - 1
 #: Members of a bucket up to which links of three bits in the left-out block are found by comparing them in turn;
 #: beyond, by looking up all 560 triples of bits.
 IN_TURN = 256
-#: Near copies share that many per cent of their sets of shingles of so many words; links of a node compared by one task.
-SIMILAR, SHINGLE_WORDS, RUN = 80, 5, 64
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -83,72 +79,73 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     )
 
 
-def without_block(values: np.ndarray, block: int) -> np.ndarray:
-    """The 48 bits that are left of unsigned 64-bit values without one block."""
-    low = values & np.uint64((1 << (BITS * block)) - 1)
-    high = (values >> np.uint64(BITS * block)) >> np.uint64(BITS)
-    return low | (high << np.uint64(BITS * block))
+def without_block(values: np.ndarray, block: int, bits: int = BITS) -> np.ndarray:
+    """What is left of unsigned values of four blocks of ``bits`` bits without one of them."""
+    low = values & np.uint64((1 << (bits * block)) - 1)
+    high = (values >> np.uint64(bits * block)) >> np.uint64(bits)
+    return low | (high << np.uint64(bits * block))
 
 
-def variants(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (block and 48 bits) and fingerprints: every variant within one bit, for every left-out block."""
-    rest_bits = 64 - BITS
+def variants(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (block and rest) and fingerprints: every variant within one bit, for every left-out block."""
+    rest_bits = (BLOCKS - 1) * bits
     flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(rest_bits, dtype=np.uint64)]
-    keys = [(without_block(values, b)[:, None] ^ flips) | np.uint64(b << rest_bits) for b in range(BLOCKS)]
+    keys = [(without_block(values, b, bits)[:, None] ^ flips) | np.uint64(b << rest_bits) for b in range(BLOCKS)]
     return np.concatenate(keys, 1).ravel(), np.repeat(values, BLOCKS * len(flips))
 
 
-def first_meeting(keys: np.ndarray, u: np.ndarray, v: np.ndarray, alone: int) -> np.ndarray:
+def first_meeting(keys: np.ndarray, u: np.ndarray, v: np.ndarray, alone: int, bits: int = BITS) -> np.ndarray:
     """Whether a bucket is the first in which a link is found that has ``alone`` of its bits in the left-out block.
 
     Its block is the first with that many of the differing bits, its variant the smaller one between both.
     """
-    rest_bits = np.uint64(64 - BITS)
+    rest_bits, mask = (BLOCKS - 1) * bits, np.uint64((1 << bits) - 1)
     differ = u ^ v
-    block = (keys >> rest_bits).astype(np.int64)
-    in_block = np.stack([np.bitwise_count(differ >> np.uint64(BITS * b) & np.uint64(MASK)) for b in range(BLOCKS)])
+    block = (keys >> np.uint64(rest_bits)).astype(np.int64)
+    in_block = np.stack([np.bitwise_count(differ >> np.uint64(bits * b) & mask) for b in range(BLOCKS)])
     good = (in_block == alone).argmax(0) == block
     for b in range(BLOCKS):
         own = block == b
-        x, y = without_block(u[own], b), without_block(v[own], b)
+        x, y = without_block(u[own], b, bits), without_block(v[own], b, bits)
         low = (x ^ y) & -(x ^ y)
-        good[own] &= np.minimum(x ^ low, y ^ low) == keys[own] & np.uint64((1 << (64 - BITS)) - 1)
+        good[own] &= np.minimum(x ^ low, y ^ low) == keys[own] & np.uint64((1 << rest_bits) - 1)
     return good
 
 
-def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_in(keys: np.ndarray, values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links among the members of whole buckets, given in the order of their keys and values."""
     bucket = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
     many = (np.bincount(bucket) > 1)[bucket]
     keys, values, bucket = keys[many], values[many], bucket[many].astype(np.uint64)
     if not len(keys):
         return values, values
-    block = (keys >> np.uint64(64 - BITS)) & np.uint64(3)
-    left_out = (values >> (block * np.uint64(BITS))) & np.uint64(MASK)
-    code = (bucket << np.uint64(BITS)) | left_out
+    rest_bits = (BLOCKS - 1) * bits
+    block = (keys >> np.uint64(rest_bits)) & np.uint64(3)
+    left_out = (values >> (block * np.uint64(bits))) & np.uint64((1 << bits) - 1)
+    code = (bucket << np.uint64(bits)) | left_out
     order = np.argsort(code, kind="stable")  # keeps the smallest value of a code first
     code, values, keys, block, bucket = code[order], values[order], keys[order], block[order], bucket[order]
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
     group = np.cumsum(np.r_[False, code[1:] != code[:-1]])
     smallest = values[first][group]
     star = np.flatnonzero(values != smallest)
-    star = star[first_meeting(keys[star], values[star], smallest[star], 0)]
+    star = star[first_meeting(keys[star], values[star], smallest[star], 0, bits)]
     u, v = [values[star]], [smallest[star]]
     codes, least = code[first], values[first]
-    for bit in range(BITS):
+    for bit in range(bits):
         other = codes ^ np.uint64(1 << bit)
         place = np.minimum(np.searchsorted(codes, other), len(codes) - 1)
         found = np.flatnonzero((codes[place] == other) & (codes < other))
         # those of fewer than three bits are linked in a bucket that leaves out none of them
         found = found[np.bitwise_count(least[found] ^ least[place[found]]) == 3]
-        found = found[first_meeting(keys[first][found], least[found], least[place[found]], 1)]
+        found = found[first_meeting(keys[first][found], least[found], least[place[found]], 1, bits)]
         u.append(least[found])
         v.append(least[place[found]])
     rest = np.empty_like(values)
     for b in range(BLOCKS):
         own = block == b
-        rest[own] = without_block(values[own], b)
-    centre = rest == (keys & np.uint64((1 << (64 - BITS)) - 1))
+        rest[own] = without_block(values[own], b, bits)
+    centre = rest == (keys & np.uint64((1 << rest_bits) - 1))
     c_values, c_bucket, c_code = values[centre], bucket[centre], code[centre]
     if len(c_values) > 1:
         largest = int(np.bincount(np.unique(c_bucket, return_inverse=True)[1]).max())
@@ -157,7 +154,7 @@ def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
             u.append(c_values[pair])
             v.append(c_values[pair + step])
         if largest > IN_TURN:
-            triples = [1 << i | 1 << j | 1 << k for i in range(BITS) for j in range(i) for k in range(j)]
+            triples = [1 << i | 1 << j | 1 << k for i in range(bits) for j in range(i) for k in range(j)]
             for triple in triples:
                 other = c_code ^ np.uint64(triple)
                 place = np.minimum(np.searchsorted(c_code, other), len(c_code) - 1)
@@ -169,14 +166,17 @@ def links_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` that connect all fingerprints within three bits; ``prints`` has distinct ``fingerprint``s."""
+def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links ``u``, ``v`` that connect all fingerprints within three bits; ``prints`` has distinct ``fingerprint``s.
+
+    They are of four blocks of ``bits`` bits.
+    """
 
     def emit(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1 << 12):
                 part = batch.column(0).slice(start, 1 << 12).to_numpy().view(np.uint64)
-                keys, values = variants(part)
+                keys, values = variants(part, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values.view(np.int64))], names=["key", "value"])
 
     def link(batches):
@@ -190,17 +190,17 @@ def near_links(prints: DataFrame) -> DataFrame:
             whole = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
             rest_keys, rest_values = keys[whole:], values[whole:]
             if whole:
-                yield _links(keys[:whole], values[:whole])
+                yield _links(keys[:whole], values[:whole], bits)
         if len(rest_keys):
-            yield _links(rest_keys, rest_values)
+            yield _links(rest_keys, rest_values, bits)
 
     ship(prints.sparkSession)
     spread = prints.select("fingerprint").mapInArrow(emit, StructType.fromDDL("key long, value long"))
     return spread.repartition("key").sortWithinPartitions("key", "value").mapInArrow(link, StructType.fromDDL("u long, v long"))
 
 
-def _links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    u, v = links_in(keys, values)
+def _links(keys: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    u, v = links_in(keys, values, bits)
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
@@ -219,203 +219,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settled(named.join(least, "root").select("fingerprint", "component_id", "root"))
     return rows.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
-
-
-def word_prints(text: str) -> list[int]:
-    """Fingerprints of the set of words of a text, by ``WORD_SEEDS`` independent hashes."""
-    words = set(text.encode().lower().split())
-    found = []
-    for seed in WORD_SEEDS:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), "<u8", len(words))
-        ones = np.zeros(64, np.int64)
-        for part in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        found.append(signed(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])) if words else 0)
-    return found
-
-
-def word_shingles(text: str) -> set[bytes]:
-    """The set of shingles that documents are compared by."""
-    return set(shingles(text, SHINGLE_WORDS))
-
-
-def described(values: list[str]) -> list[list]:
-    """Of each text: a name and the size of its set of shingles, and the fingerprints of its set of words."""
-    names, sizes, prints = [], [], []
-    for value in values:
-        own = word_shingles(value)
-        digest = xxhash.xxh64(seed=SEED)
-        for shingle in sorted(own):
-            digest.update(shingle + b"\n")
-        names.append(signed(digest.intdigest()))
-        sizes.append(len(own))
-        prints.append(word_prints(value))
-    return [names, sizes, *(list(c) for c in zip(*prints))]
-
-
-def similar(one: set, other: set) -> bool:
-    """Whether the Jaccard similarity is ``SIMILAR`` per cent at least, in whole numbers."""
-    shared = len(one & other)
-    return 100 * shared >= SIMILAR * (len(one) + len(other) - shared)
-
-
-def verified(links: DataFrame, first_texts: DataFrame) -> DataFrame:
-    """Those of the links ``u``, ``v`` whose texts are similar; ``first_texts`` has ``node`` and ``text``.
-
-    A node with many links is dealt out in runs of ``RUN`` of them, with a copy of its text for each run.
-    """
-
-    def compare(batches):
-        last, own = None, set()
-        for batch in batches:
-            for rows in slices(batch, "one"):
-                found = []
-                for v, one, other in zip(rows.column("v").to_pylist(), rows.column("one").to_pylist(), rows.column("other").to_pylist()):
-                    if v != last:
-                        last, own = v, word_shingles(other)
-                    found.append(similar(word_shingles(one), own))
-                yield pa.RecordBatch.from_arrays([rows.column("u"), rows.column("v")], names=["u", "v"]).filter(pa.array(found, pa.bool_()))
-
-    ship(links.sparkSession)
-    runs = links.groupBy("v").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
-    dealt = links.join(runs, "v").select("u", "v", F.pmod(F.xxhash64("u", "v"), "runs").cast("int").alias("run"))
-    copies = first_texts.join(runs, F.col("node") == F.col("v")).select("v", "text", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
-    both = dealt.join(first_texts.toDF("u", "one"), "u").join(copies.withColumnRenamed("text", "other"), ["v", "run"])
-    return both.select("u", "v", "one", "other").mapInArrow(compare, StructType.fromDDL("u long, v long"))
-
-
-def pairs_in(keys: np.ndarray, values: np.ndarray, groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of whole buckets within three bits whose groups differ and whose sizes allow similarity.
-
-    A pair is made in one bucket alone, like a link.
-    """
-    found = [(np.zeros(0, np.int64),) * 2]
-    bucket = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
-    mixed = np.zeros(int(bucket[-1]) + 1, bool)
-    mixed[bucket[1:][(bucket[1:] == bucket[:-1]) & (groups[1:] != groups[:-1])]] = True
-    place = np.flatnonzero(mixed[bucket])
-    b, k, x, g, n = bucket[place], keys[place], values[place], groups[place], sizes[place]
-    for step in range(1, int(np.bincount(b).max()) if len(b) else 0):
-        i = np.flatnonzero((b[step:] == b[:-step]) & (g[step:] != g[:-step]))
-        i = i[100 * np.minimum(n[i], n[i + step]) >= SIMILAR * np.maximum(n[i], n[i + step])]
-        differ = x[i] ^ x[i + step]
-        count = np.bitwise_count(differ)
-        one_alone = np.zeros(len(i), bool)
-        for block in range(BLOCKS):
-            one_alone |= np.bitwise_count(differ >> np.uint64(BITS * block) & np.uint64(MASK)) == 1
-        for own, alone in ((count < 3, 0), ((count == 3) & one_alone, 1), ((count == 3) & ~one_alone, 3)):
-            j = i[own]
-            j = j[first_meeting(k[j], x[j], x[j + step], alone)]
-            found.append((place[j], place[j + step]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def open_pairs(nodes: DataFrame, name: str) -> DataFrame:
-    """Pairs ``u``, ``v`` of nodes of different groups (``root``) within three bits in their fingerprints ``name``."""
-
-    def emit(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(start, 1 << 12)
-                keys, values = variants(part.column(0).to_numpy().view(np.uint64))
-                times = np.repeat(np.arange(part.num_rows), len(keys) // part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), *(c.take(pa.array(times)) for c in part.columns)], names=["key", "value", "node", "root", "size"]
-                )
-
-    def meet(batches):
-        rest = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in range(5)]
-            now = now if rest is None else [np.concatenate(c) for c in zip(rest, now)]
-            if not len(now[0]):
-                continue
-            whole = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
-            rest = [c[whole:] for c in now]
-            if whole:
-                yield pairs(*(c[:whole] for c in now))
-        if rest is not None:
-            yield pairs(*rest)
-
-    def pairs(keys, values, node, root, size):
-        i, j = pairs_in(keys.view(np.uint64), values.view(np.uint64), root, size.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], names=["u", "v"])
-
-    ship(nodes.sparkSession)
-    spread = nodes.select(name, "node", "root", "size").mapInArrow(emit, StructType.fromDDL("key long, value long, node long, root long, size int"))
-    return spread.repartition("key").sortWithinPartitions("key", "root").mapInArrow(meet, StructType.fromDDL("u long, v long"))
-
-
-def near_copies(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (``doc_id``, ``text_hash``, ``node``) and the ``root`` of each node that has a smaller near copy.
-
-    A node is a set of shingles. Candidates are nodes within three bits in one of their fingerprints; those link whose
-    texts are verified. First the links and stars are verified that connect all candidates, then what these left
-    apart: every pair of candidates that are not connected by then. A star can also join nodes more than three bits
-    apart, and counts if its texts are similar.
-    """
-    names = [f"print_{k}" for k in range(len(WORD_SEEDS))]
-    added = "node long, size int, " + ", ".join(f"{n} long" for n in names)
-    rows = add_columns(own, "text", added, described)
-    rows = settled(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "node", "size", *names))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    nodes = settled(rows.groupBy("node", "size", *names).agg(first))
-    links, direct = [], []
-    for name in names:
-        # one node stands for all with the same fingerprint, and is linked to each of them
-        stands = nodes.groupBy(F.col(name).alias("fingerprint")).agg(F.min("node").alias("stand"))
-        links.append(nodes.join(stands, nodes[name] == stands["fingerprint"]).select(F.col("node").alias("u"), F.col("stand").alias("v")))
-        a, b = stands.toDF("u", "a"), stands.toDF("v", "b")
-        between = lambda pairs, a=a, b=b: pairs.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        near = settled(near_links(stands))
-        direct.append(between(near))
-        # one link for each fingerprint, to the root of its component, is enough to tell candidates of each other
-        links.append(between(connected_components(near).toDF("u", "v")))
-    together = links[0]
-    for more in links[1:]:
-        together = together.unionAll(more)
-    candidates = connected_components(together).withColumnRenamed("root", "cluster")
-    # only texts of nodes that have candidates are fetched, each once
-    many = candidates.select("node").unionAll(candidates.select("cluster")).distinct()
-    needed = settled(nodes.join(many, "node").join(candidates, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
-    wanted = needed.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    found = own.withColumn("_own", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    first_texts = settled(found.select("node", "text").dropDuplicates(["node"]))
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        sizes = needed.select("node", "size")
-        both = pairs.where("u <> v").distinct().join(sizes.toDF("u", "m"), "u").join(sizes.toDF("v", "n"), "v")
-        return both.where(100 * F.least("m", "n") >= SIMILAR * F.greatest("m", "n")).select("u", "v")
-
-    star = candidates.select(F.col("node").alias("u"), F.col("cluster").alias("v"))
-    for some in direct:
-        star = star.unionAll(some)
-    good = settled(verified(settled(fitting(together.unionAll(star))), first_texts))
-    grouped = needed.join(connected_components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = settled(grouped.select("node", "size", "cluster", "root", *names))
-    apart = grouped.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster")
-    left = grouped.join(apart, "cluster")
-    more = open_pairs(left, names[0])
-    for name in names[1:]:
-        more = more.unionAll(open_pairs(left, name))
-    good = good.unionAll(verified(settled(more.distinct()), first_texts))
-    return rows, connected_components(good)
-
-
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, of repeated rows one.
-
-    Near copies are texts whose sets of shingles of five words have a Jaccard similarity of 0.8 at least, which is
-    verified on the texts. Candidates for that are texts with one of two fingerprints of their sets of words within
-    three bits. A changed word changes one word of the set but five shingles: pairs whose shingles are similar by 0.8
-    are ten bits apart as fingerprints of such shingles, too far for the radius, and about four as sets of words (the
-    README has the figures).
-    """
-    own = texts(docs, text).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, roots = near_copies(own)
-    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    marked = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    chosen = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "leftsemi")
-    return chosen.dropDuplicates([doc_id, "_own"]).drop("_own")
