@@ -185,84 +185,6 @@ def test_near_duplicates(spark, rows):
             name[r] = min(i, name.get(r, i))
     want = Counter((i, simhash.signed(fingerprint(t)), name[root[fingerprint(t)]]) for i, t in rows)
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found) == want
-    kept = simhash.keep_one(frame(spark, rows)).collect()
-    texts = [r["text"] or "" for r in kept]
-    assert len(texts) == len(set(texts)) and {r["doc_id"] for r in kept} >= {0, 2, 4}
-
-
-def near_copy_rows():
-    """Near copies, texts of the same words in another order or number, chains of edits, blank and short texts."""
-    rng = random.Random(11)
-    base = [[rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(150)] for _ in range(6)]
-    texts = [" ".join(b) for b in base]
-    for b in base[:3]:
-        texts += [" ".join(sorted(b)), " ".join(b[::-1]), " ".join(b + b), " ".join(b[75:] + b[:75])]
-        for k in range(12):  # each changes some words of the one before it
-            b = list(b)
-            for _ in range(rng.randrange(1, 4)):
-                b[rng.randrange(len(b))] = f"new{rng.randrange(10**6)}"
-            texts.append(" ".join(b))
-    texts += ["a b c", "c b a", "A  b\tc", "", " \n", texts[0].upper(), texts[1]]
-    rows = list(enumerate(texts))
-    rng.shuffle(rows)
-    return rows
-
-
-def test_near_copies_are_verified(spark):
-    """Against brute force: all pairs within three bits that are similar by 0.8 are joined, and nothing that isn't similar."""
-    rows = near_copy_rows()
-
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    def groups(pairs):
-        root = list(range(len(rows)))
-        for i, j in pairs:
-            root = [root[j] if r == root[i] else r for r in root]
-        return root
-
-    sets, prints = [shingles(t) for _, t in rows], [simhash.word_prints(t) for _, t in rows]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
-    alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    near = {(i, j) for i, j in pairs if any(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in zip(prints[i], prints[j]))}
-    assert len(near - alike) > 9 and len(near & alike) > 20
-    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()}
-    own = frame(spark, rows).select("doc_id", "text")
-    found, roots = simhash.near_copies(own)
-    by = {r["doc_id"]: r["root"] or r["node"] for r in found.join(roots, "node", "left").collect()}
-    least, most = groups(near & alike), groups(alike)
-    for i, j in pairs:
-        a, b = by[rows[i][0]], by[rows[j][0]]
-        assert a == b or least[i] != least[j]
-        assert a != b or most[i] == most[j]
-    assert kept == {min(i for i in by if by[i] == r) for r in by.values()}
-
-
-def test_open_pairs_are_all_pairs():
-    rng = random.Random(8)
-    for trial in range(8):
-        centres, block = [rng.getrandbits(64) for _ in range(3)], rng.randrange(4) * 16
-        prints = []
-        for _ in range(120):
-            p = rng.choice(centres)
-            for _ in range(rng.randrange(5)):
-                p ^= 1 << (rng.randrange(64) if trial % 2 else block + rng.randrange(16))
-            prints.append(p)
-        group, size = [rng.randrange(9) for _ in prints], [rng.randrange(70, 110) for _ in prints]
-        keys, _ = simhash.variants(np.array(prints, np.uint64))
-        at = np.repeat(np.arange(len(prints)), len(keys) // len(prints))
-        order = np.lexsort((np.array(group)[at], keys))
-        keys, at = keys[order], at[order]
-        i, j = simhash.pairs_in(keys, np.array(prints, np.uint64)[at], np.array(group)[at], np.array(size)[at])
-        found = [tuple(sorted(p)) for p in zip(at[i].tolist(), at[j].tolist())]
-        want = {
-            (a, b)
-            for b in range(len(prints))
-            for a in range(b)
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b] and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])
-        }
-        assert set(found) == want and len(found) == len(want)
 
 
 def test_components(spark):
@@ -402,7 +324,6 @@ def test_empty_tables(spark):
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.keep_one(none).count() == 0
     assert decontaminate.find_contamination(none, items).count() == 0
     assert fingerprints.with_next(none).count() == 0
     assert decontaminate.find_contamination(frame(spark, made(10)), items).where("size(hit_spans) > 0").count() == 0
