@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrace.session import checkpoint
+from terrace.session import checkpoint, scratch_path
 
 #: Bytes of text that a Python worker unpacks at a time. A longer text makes a slice of its own and is never cut.
 SLICE_BYTES = 4 << 20
@@ -63,6 +63,30 @@ def settled(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, compressed, each of which goes when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, scratch_path(spark, "scratch")
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read again; the shuffle files that led to it go at once."""
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove tables; what was made of them must have been kept by then."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` without the columns an operator is about to add, in any spelling Spark takes for the same."""
     taken = {n.lower() for n in names}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .frames import add_columns, texts, without
+from .frames import add_columns, texts, unused, without
 
 GRAM = 8
 
@@ -113,8 +113,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", doc_id
     """``docs`` with ``n_words``, ``removed_spans`` (begin and end of runs of removed words) and ``kept`` (the others, spaced)."""
     kind = windows.Kind(symbols, window, min(GRAM, 1 << ((window // 2).bit_length() - 1)), resolver(window))
     own = texts(without(docs, ["n_words", "removed_spans", "kept"]), text)
-    marked = windows.with_spans(own, kind, text, doc_id)
-    both = marked.withColumn("_both", F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))).drop("_spans")
+    found_in, both_in = unused(own, "_spans", "_both")
+    marked = windows.with_spans(own, kind, text, doc_id, found_in)
+    both = marked.withColumn(both_in, F.struct(F.col(text).alias("t"), F.col(found_in).alias("s"))).drop(found_in)
 
     def make(rows):
         sizes, spans, kept = [], [], []
@@ -126,4 +127,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", doc_id
             kept.append(b" ".join(w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]).decode())
         return [sizes, spans, kept]
 
-    return add_columns(both, "_both", "n_words long, removed_spans array<array<long>>, kept string", make).drop("_both")
+    return add_columns(both, both_in, "n_words long, removed_spans array<array<long>>, kept string", make).drop(both_in)

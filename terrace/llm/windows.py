@@ -28,9 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
-from .frames import settled, ship, slices
+from .frames import Scratch, settled, ship, slices, unused
 
 #: Contents of one key that are compared in one place, and symbols that a task compares at a time.
 HOT, BATCH = 4096, 1 << 19
@@ -106,11 +106,15 @@ def segments(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, n
     return anchor.view(np.int64), content.view(np.int64), first, count
 
 
-def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``docs`` with ``_h`` and ``_x``, which tell texts apart, and ``_o``, the order of documents; nulls come last."""
-    last = F.lit((1 << 63) - 1)
+def keyed(docs: DataFrame, text: str, doc_id: str, names: list[str]) -> DataFrame:
+    """``docs`` with three columns: two that tell texts apart and the order of documents; nulls come last.
+
+    The order is that of whole numbers, and of the hashes of other ids.
+    """
+    own = F.col(doc_id) if isinstance(docs.schema[doc_id].dataType, IntegralType) else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id))
     extra = F.xxhash64(F.lit("second"), text).bitwiseAND(F.lit((1 << EXTRA_BITS) - 1))
-    return docs.withColumns({"_h": F.xxhash64(text), "_x": extra, "_o": F.coalesce(F.col(doc_id).cast("long"), last)})
+    values = F.xxhash64(text), extra, F.coalesce(own.cast("long"), F.lit((1 << 63) - 1))
+    return docs.withColumns(dict(zip(names, values)))
 
 
 def _occurrences(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
@@ -287,23 +291,27 @@ def _contested(rows: DataFrame, kind: Kind, dtype: np.dtype, keep_first: bool) -
 def repeated_spans(docs: DataFrame, kind: Kind, text: str, keep_first: bool = False) -> DataFrame:
     """For each text with repeated windows, ``_h``, ``_x``, ``_o`` and ``_spans``: first window << 9 | number of windows.
 
-    ``docs`` comes from ``keyed``. Without ``keep_first`` every window that occurs elsewhere counts, and equal
+    ``docs`` has ``_h``, ``_x`` and ``_o`` from ``keyed``. Without ``keep_first`` every window that occurs elsewhere counts, and equal
     texts have equal spans; with it, those that occur earlier, in a document of lower ``_o`` or further ahead in
     the same one.
     """
     ship(docs.sparkSession)
     dtype = np.dtype(kind.symbols("").dtype)
-    occurrences = _occurrences(docs, text, kind)
+    # each table is dropped when the next ones are kept, so that they don't lie side by side
+    scratch = Scratch(docs.sparkSession)
+    occurrences = scratch.keep("occurrences", _occurrences(docs, text, kind))
     counted = occurrences.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("n").alias("n")).where("n > 1")
-    anchors = settled(anchors.select("anchor", "contents"))
-    repeated = settled(occurrences.join(anchors, "anchor"))
+    anchors = scratch.keep("anchors", anchors.select("anchor", "contents"))
+    repeated = scratch.keep("repeated", occurrences.join(anchors, "anchor"))
+    scratch.drop("occurrences", "anchors")
     least = F.min(F.struct("doc_order", "place", "text_hash")).alias("first")
     contents = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("contents").alias("contents"), least)
-    contents = settled(contents)
-    fetched = settled(_fetch(docs, contents.where("contents > 1"), text, kind))
+    contents = scratch.keep("contents", contents)
+    fetched = scratch.keep("fetched", _fetch(docs, contents.where("contents > 1"), text, kind))
     cuts = _contested(fetched, kind, dtype, keep_first).groupBy("anchor", "content").agg(F.collect_set("cut").alias("cuts"))
-    info = settled(contents.select("anchor", "content", "n", "first").join(cuts, ["anchor", "content"], "left"))
+    info = scratch.keep("info", contents.select("anchor", "content", "n", "first").join(cuts, ["anchor", "content"], "left"))
+    scratch.drop("contents", "fetched")
     found = repeated.join(info, ["anchor", "content"])
     low, high = F.lit((1 << COUNT_BITS) - 1), F.lit((1 << START_BITS) - 1)
     start = F.shiftrightunsigned("place", COUNT_BITS).bitwiseAND(high)
@@ -317,7 +325,9 @@ def repeated_spans(docs: DataFrame, kind: Kind, text: str, keep_first: bool = Fa
     extra = F.shiftrightunsigned("place", COUNT_BITS + START_BITS)
     order = F.col("doc_order") if keep_first else F.lit(0).cast("long")
     each = found.select(F.col("text_hash").alias("_h"), extra.alias("_x"), order.alias("_o"), F.explode(spans).alias("span"))
-    return settled(each.groupBy("_h", "_x", "_o").agg(F.collect_set("span").alias("_spans")))
+    spans = scratch.keep("spans", each.groupBy("_h", "_x", "_o").agg(F.collect_set("span").alias("_spans")))
+    scratch.drop("repeated", "info")
+    return spans
 
 
 def runs(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -332,10 +342,13 @@ def runs(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
     return list(zip(begin[first].tolist(), end[np.r_[first[1:], len(end)] - 1].tolist()))
 
 
-def with_spans(docs: DataFrame, kind: Kind, text: str, doc_id: str, keep_first: bool = False) -> DataFrame:
-    """``docs`` (texts not null) with ``_spans``, null where nothing is repeated."""
-    marked = keyed(docs, text, doc_id)
-    spans = repeated_spans(marked, kind, text, keep_first)
+def with_spans(docs: DataFrame, kind: Kind, text: str, doc_id: str, added: str, keep_first: bool = False) -> DataFrame:
+    """``docs`` (texts not null) with the spans of each text in the column ``added``, null where nothing is repeated."""
+    own = keyed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", "id", ["_h", "_x", "_o"])
+    spans = repeated_spans(own, kind, "text", keep_first)
+    keys = unused(docs, "_h", "_x", "_o")
+    marked = keyed(docs, text, doc_id, keys)
+    spans = spans.toDF(*keys, added)
     if not keep_first:
-        return marked.join(spans.drop("_o"), ["_h", "_x"], "left").drop("_h", "_x", "_o")
-    return marked.join(spans, ["_h", "_x", "_o"], "left").drop("_h", "_x", "_o")
+        return marked.join(spans.drop(keys[2]), keys[:2], "left").drop(*keys)
+    return marked.join(spans, keys, "left").drop(*keys)
