@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators.columns import quoted
+from terrace.operators.joins import join_type
 from terrace.plans.model import build_model, model_sources
 
 DOMAIN = "domain"
@@ -60,6 +62,11 @@ def _input(
     return union_domains({domain: rows(domain) for domain in domains})
 
 
+def replicated(df: DataFrame, domains: Sequence[str]) -> DataFrame:
+    """Every row once for each domain."""
+    return df.withColumn(DOMAIN, F.explode(F.array(*[F.lit(d) for d in domains])))
+
+
 def build_domain_model(
     name: str,
     spec: Mapping[str, Any],
@@ -67,48 +74,76 @@ def build_domain_model(
     domains: Sequence[str],
     **options: Any,
 ) -> DataFrame:
-    """All instances of a model in one plan. ``domain`` joins the join conditions of domain tables and
-    the grouping keys; shared tables join without it. A model with ``domain: False`` is built once
-    and has no such column. When no input knows domains, every domain gets all rows."""
+    """All instances of a model in one plan, with the rows that building each domain by itself would give.
+
+    ``domain`` joins the join conditions of domain tables and the grouping keys; a shared table joins without
+    it, and is only repeated for each domain where a join keeps its rows without a match. Totals without
+    grouping keys have a row for every domain, also for one without rows. A model with ``domain: False`` is
+    built once and has no such column. When no input knows domains, every domain gets all rows.
+    """
     if spec.get("domain", True) is False:
         return build_model(name, spec, tables, **options)
     aliases = list(model_sources(spec))
     frames = {alias: _input(alias, spec, tables, domains) for alias in aliases}
-    tagged = [alias for alias in aliases if is_domain_table(frames[alias])]
-    if not tagged:
-        first = aliases[0]
-        copies = F.explode(F.array(*[F.lit(d) for d in domains]))
-        frames[first] = frames[first].withColumn(DOMAIN, copies)
-        tagged = [first]
-
-    holder = tagged[0]
+    kinds = _per_join(spec.get("join_type", "inner"), aliases)
+    conditions = _per_join(spec.get("join", ""), aliases)
+    while True:
+        tagged = {alias for alias in aliases if is_domain_table(frames[alias])}
+        repeat, joins, domain = _domain_joins(aliases, kinds, conditions, tagged)
+        if not repeat:
+            break
+        frames.update({alias: replicated(frames[alias], domains) for alias in repeat})
+
     combined = dict(spec)
     combined.pop("source", None)
     combined["sources"] = {alias: alias for alias in aliases}
     if len(aliases) > 1:
-        combined["join"] = _conditions(spec["join"], aliases, tagged)
-    combined["columns"] = {DOMAIN: {"from": holder}, **spec["columns"]}
-    if "group_by" in spec:
-        combined["group_by"] = [DOMAIN, *spec["group_by"]]
-    return build_model(name, combined, frames, domain_alias=holder, **options)
-
-
-def _conditions(join: str | Sequence[str], aliases: list[str], tagged: list[str]) -> list[str]:
-    later = aliases[1:]
-    conditions = [join] * len(later) if isinstance(join, str) else list(join)
+        combined["join"] = joins
+    built = build_model(name, combined, frames, domain=domain, **options)
+    if spec.get("group_by") != []:
+        return built
+    nothing = {alias: df.where(F.lit(False)) for alias, df in frames.items()}
+    label = F.explode(F.array(*[F.lit(d) for d in domains]))
+    empty = build_model(name, {**combined, "where": "false"}, nothing, domain=domain, domain_totals=label, **options)
+    # a domain's own totals win over those of no rows
+    both = built.withColumn("__own", F.lit(1)).unionByName(empty.withColumn("__own", F.lit(0)))
+    columns = F.struct(*[F.col(quoted(c)) for c in built.columns if c != DOMAIN])
+    return both.groupBy(DOMAIN).agg(F.max_by(columns, "__own").alias("__row")).select(DOMAIN, "__row.*")
+
+
+def _per_join(value: str | Sequence[str], aliases: Sequence[str]) -> list[str]:
+    return [value] * (len(aliases) - 1) if isinstance(value, str) else list(value)
+
+
+def _domain_joins(
+    aliases: Sequence[str], kinds: Sequence[str], conditions: Sequence[str], tagged: set[str]
+) -> tuple[list[str], list[str], str]:
+    """Shared sources to repeat for each domain first, or else the join conditions with domains and the SQL
+    expression of a joined row's domain."""
+    domain = f"{quoted(aliases[0])}.{DOMAIN}" if aliases[0] in tagged else None
     result = []
-    for position, (alias, condition) in enumerate(zip(later, conditions)):
-        partner = next((t for t in tagged if t in aliases[: position + 1]), None)
-        if alias in tagged and partner:
-            condition = f"({condition}) AND {partner}.{DOMAIN} = {alias}.{DOMAIN}"
+    for position, (alias, kind, condition) in enumerate(zip(aliases[1:], kinds, conditions), start=1):
+        kind, own = join_type(kind), f"{quoted(alias)}.{DOMAIN}"
+        if domain is None and alias in tagged:
+            if kind not in ("inner", "right"):  # the join keeps shared rows, for each domain by itself
+                return list(aliases[:position]), [], ""
+            domain = own
+        elif domain is not None and alias not in tagged:
+            if kind in ("right", "full"):
+                return [alias], [], ""
+        elif domain is not None:
+            condition = f"({condition}) AND {domain} = {own}"
+            domain = own if kind == "right" else f"coalesce({domain}, {own})" if kind == "full" else domain
         result.append(condition)
-    return result
+    return ([], result, domain) if domain else ([aliases[0]], [], "")
 
 
 def split_by_rule(df: DataFrame, rules: Mapping[str, str], default: str | None = None) -> DataFrame:
     """Assign each row of a shared table the first domain whose predicate holds, in one pass. Rows
     without one get ``default``, or NULL, so none is lost."""
     branches = F
+    if not rules:
+        return df.withColumn(DOMAIN, F.lit(default).cast("string"))
     for domain, predicate in rules.items():
         branches = branches.when(F.expr(predicate), F.lit(domain))
     return df.withColumn(DOMAIN, branches.otherwise(F.lit(default)))

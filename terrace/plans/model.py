@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.operators.columns import (
-    compile_column, compile_columns, is_computed, normalise, quoted, source_name,
+    compile_column, compile_columns, is_computed, normalise, source_name,
 )
 from terrace.operators.contracts import managed_frame
 from terrace.operators.joins import join_sources
@@ -34,7 +34,8 @@ def build_model(
     lineage_mode: str | None = "full",
     all_columns: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    domain_alias: str | None = None,
+    domain: str | None = None,
+    domain_totals: Column | None = None,
 ) -> DataFrame:
     """The DataFrame a model specification describes.
 
@@ -42,8 +43,8 @@ def build_model(
     ``join_type``, ``broadcast``, ``salt`` (hot alias: buckets), ``where``, ``columns``, ``group_by``, ``version``,
     ``schema``, ``origin``. Expressions see the source columns first, then the outputs before them.
     ``lineage_mode=None`` leaves the ``_lineage`` column out; ``all_columns`` also lists the columns
-    that pass through unchanged. ``domain_alias`` names the source whose ``domain`` column tells the
-    instances of a model apart.
+    that pass through unchanged. ``domain`` is the SQL expression that tells the instances of a model apart;
+    ``domain_totals`` repeats the totals of a model without grouping keys for the domains it explodes.
     """
     sources = model_sources(spec)
     frames = {alias: tables[source] for alias, source in sources.items()}
@@ -71,9 +72,8 @@ def build_model(
     if lineage_mode is not None:
         available = [c for frame in frames.values() for c in frame.columns if c != "_lineage"]
         label = F.lit(name)
-        if domain_alias:
-            domain = F.col("domain") if grouped else F.col(f"{quoted(domain_alias)}.domain")
-            label = F.concat(F.lit(f"{name}_"), domain)
+        if domain:
+            label = F.concat(F.lit(f"{name}_"), F.col("domain") if grouped else F.expr(domain))
         lineage.append(
             lineage_column(
                 label,
@@ -87,11 +87,15 @@ def build_model(
             )
         )
     if not grouped:
-        return inputs.select(*selected, *lineage)
+        return inputs.select(*([F.expr(domain).alias("domain")] if domain else []), *selected, *lineage)
 
     keys = [_group_key(key, columns, inputs.columns) for key in spec["group_by"]]
+    if domain_totals is not None:
+        result = inputs.agg(*selected).withColumn("domain", domain_totals).select("domain", *columns)
+        return result.select("*", *lineage)
+    own = [F.expr(domain).alias("domain")] if domain else []
     hidden = [f"__key{i}" for i in range(len(keys))]
-    result = inputs.groupBy(*[k.alias(h) for k, h in zip(keys, hidden)]).agg(*selected).drop(*hidden)
+    result = inputs.groupBy(*own, *[k.alias(h) for k, h in zip(keys, hidden)]).agg(*selected).drop(*hidden)
     return result.select("*", *lineage)
 
 

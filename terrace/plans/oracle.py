@@ -95,6 +95,11 @@ _ORDER_CHECKS = """
     UNION ALL SELECT 'late_open_orders', 'custom_sql', 'table', 'warn', 'accuracy',
            (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) < 1996)"""
 
+_REGIONS = """SELECT * FROM (VALUES ('AFRICA', 0), ('AMERICA', 1), ('ASIA', 2), ('EUROPE', 3), ('MIDDLE EAST', 4),
+    ('ANTARCTICA', NULL)) AS t(domain, rest)"""
+_PRIORITIES = """SELECT * FROM (VALUES ('urgent', '1-URGENT'), ('high', '2-HIGH'), ('medium', '3-MEDIUM'),
+    ('unset', '4-NOT SPECIFIED'), ('low', '5-LOW')) AS t(domain, priority)"""
+
 _STATUS = """CASE WHEN failures = 0 THEN 'PASS' WHEN severity = 'error' THEN 'FAIL' ELSE 'WARN' END"""
 
 _CHECKED = f"SELECT name, type, scope, severity, dimension, CAST(failures AS BIGINT) AS failures, {_STATUS} AS status FROM ({_ORDER_CHECKS})"
@@ -304,12 +309,27 @@ ORACLE = {
         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, 'nation_revenue_' || r_name AS instance
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
-    "domain_sources": """SELECT d.domain, o.o_orderkey AS order_id, d.top
-        FROM orders o JOIN (
-            SELECT o_orderpriority, max(o_totalprice) AS top,
-                   CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'low' END AS domain
-            FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY o_orderpriority) d
-        ON o.o_orderpriority = d.o_orderpriority AND o.o_totalprice > d.top * 0.99::DOUBLE""",
+    "domain_sources": f"""SELECT d.domain, o.o_orderkey AS order_id, d.top
+        FROM orders o JOIN (SELECT o_orderpriority, max(o_totalprice) AS top FROM orders GROUP BY o_orderpriority) m
+          ON o.o_orderpriority = m.o_orderpriority AND o.o_totalprice > m.top * 0.99::DOUBLE
+        JOIN (SELECT p.domain, p.priority, max(o_totalprice) AS top
+              FROM orders JOIN ({_PRIORITIES}) p ON o_orderpriority = p.priority GROUP BY 1, 2) d
+          ON o.o_orderpriority = d.priority""",
+    "domain_left_join": f"""SELECT r.domain, n.n_name AS nation, count(s_suppkey) AS suppliers,
+        CAST(coalesce(sum(CAST(s_acctbal AS DECIMAL(18,2))), 0) AS DOUBLE) AS balance,
+        'nation_suppliers_' || r.domain AS instance
+        FROM ({_REGIONS}) r CROSS JOIN nation n
+        LEFT JOIN supplier ON s_nationkey = n.n_nationkey AND s_nationkey % 5 = r.rest GROUP BY r.domain, n.n_name""",
+    "domain_full_join": f"""SELECT r.domain, coalesce(c_name, 'none') AS customer, coalesce(s_name, 'none') AS supplier
+        FROM customer FULL JOIN supplier ON c_custkey = s_suppkey AND c_nationkey % 5 = s_suppkey % 5
+        JOIN ({_REGIONS}) r ON r.rest = coalesce(c_nationkey % 5, s_suppkey % 5)""",
+    "domain_anti_join": f"""SELECT p.domain, c_custkey AS customer_id FROM customer CROSS JOIN ({_PRIORITIES}) p
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = p.priority)""",
+    "domain_totals": f"""SELECT r.domain, count(c_custkey) AS rows, count(o_orderkey) AS orders,
+        CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS revenue,
+        'region_totals_' || r.domain AS instance
+        FROM ({_REGIONS}) r LEFT JOIN customer ON c_nationkey % 5 = r.rest LEFT JOIN orders ON o_custkey = c_custkey
+        GROUP BY r.domain""",
     "domain_replicated": """SELECT d.domain, r_regionkey, r_name
         FROM region, (VALUES ('eu'), ('us'), ('apac')) AS d(domain)""",
     "incremental_sync": f"""SELECT event_type, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS _batch,

@@ -646,22 +646,88 @@ def domain_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(built.withColumn("instance", F.col("_lineage.model")))
 
 
+PRIORITIES = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unset": "4-NOT SPECIFIED", "low": "5-LOW"}
+
+
 def domain_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Each domain with its own source, joined with the table of the same domain."""
     orders = _table(spark, sf, "orders")
-    parts = {"urgent": "1-URGENT", "high": "2-HIGH", "low": "5-LOW"}
-    tables = {f"orders_{d}": orders.where(F.col("o_orderpriority") == p) for d, p in parts.items()}
-    tables["limits"] = orders.groupBy("o_orderpriority").agg(
-        F.max("o_totalprice").alias("top")
-    ).withColumn("domain", F.element_at(F.create_map(*[F.lit(x) for d, p in parts.items() for x in (p, d)]), F.col("o_orderpriority")))
-    tables["limits"] = tables["limits"].where("domain is not null")
+    tables = {f"orders_{d}": orders.where(F.col("o_orderpriority") == p) for d, p in PRIORITIES.items()}
+    limits = orders.groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("top"))
+    tables["limits"] = split_by_rule(limits, {d: f"o_orderpriority = '{p}'" for d, p in PRIORITIES.items()})
     spec = {
         "sources": {"o": "orders_urgent", "m": "limits"},
         "join": "o.o_totalprice > m.top * 0.99",
-        "domain_sources": {d: {"o": f"orders_{d}"} for d in parts},
+        "domain_sources": {d: {"o": f"orders_{d}"} for d in PRIORITIES},
         "columns": {"order_id": {"from": "o", "source_column": "o_orderkey"}, "top": {"from": "m"}},
     }
-    return _portable(build_domain_model("near_top", spec, tables, list(parts), run=RUN))
+    return _portable(build_domain_model("near_top", spec, tables, list(PRIORITIES), run=RUN))
+
+
+def domain_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared nations kept for every region, also for one without suppliers at all."""
+    rules = {region: f"s_nationkey % 5 = {i}" for i, region in enumerate(REGIONS)}
+    tables = {"supplier_region": split_by_rule(_table(spark, sf, "supplier"), rules), **_load(spark, sf, "nation")}
+    spec = {
+        "sources": {"n": "nation", "s": "supplier_region"},
+        "join": "n.n_nationkey = s.s_nationkey",
+        "join_type": "left",
+        "group_by": ["n.n_name"],
+        "columns": {
+            "nation": {"from": "n", "source_column": "n_name"},
+            "suppliers": {"expr": "count(s.s_suppkey)"},
+            "balance": {"expr": f"coalesce(sum(cast(s.s_acctbal as {MONEY})), 0)"},
+        },
+    }
+    built = build_domain_model("nation_suppliers", spec, tables, [*REGIONS, "ANTARCTICA"], run=RUN)
+    return _portable(built.withColumn("instance", F.col("_lineage.model")))
+
+
+def domain_full_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers of a region side by side; the regions of the two sides come from different keys."""
+    rules = {region: f"s_suppkey % 5 = {i}" for i, region in enumerate(REGIONS)}
+    tables = {"customer_region": _customer_regions(spark, sf), "supplier_group": split_by_rule(_table(spark, sf, "supplier"), rules)}
+    spec = {
+        "sources": {"c": "customer_region", "s": "supplier_group"},
+        "join": "c.c_custkey = s.s_suppkey",
+        "join_type": "full",
+        "columns": {
+            "customer": {"expr": "coalesce(c.c_name, 'none')"},
+            "supplier": {"expr": "coalesce(s.s_name, 'none')"},
+        },
+    }
+    return _portable(build_domain_model("counterparts", spec, tables, REGIONS, run=RUN))
+
+
+def domain_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order priority, the customers that have no such order."""
+    rules = {d: f"o_orderpriority = '{p}'" for d, p in PRIORITIES.items()}
+    tables = {"order_priority": split_by_rule(_table(spark, sf, "orders"), rules), **_load(spark, sf, "customer")}
+    spec = {
+        "sources": {"c": "customer", "o": "order_priority"},
+        "join": "c.c_custkey = o.o_custkey",
+        "join_type": "left anti",
+        "columns": {"customer_id": {"from": "c", "source_column": "c_custkey"}},
+    }
+    return _portable(build_domain_model("without_orders", spec, tables, list(PRIORITIES), run=RUN))
+
+
+def domain_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of every region, one of which has no customers."""
+    tables = {"customer_region": _customer_regions(spark, sf), **_load(spark, sf, "orders")}
+    spec = {
+        "sources": {"c": "customer_region", "o": "orders"},
+        "join": "c.c_custkey = o.o_custkey",
+        "join_type": "left",
+        "group_by": [],
+        "columns": {
+            "rows": {"expr": "count(*)"},
+            "orders": {"expr": "count(o.o_orderkey)"},
+            "revenue": {"expr": f"coalesce(sum(cast(o.o_totalprice as {MONEY})), 0)"},
+        },
+    }
+    built = build_domain_model("region_totals", spec, tables, [*REGIONS, "ANTARCTICA"], run=RUN)
+    return _portable(built.withColumn("instance", F.col("_lineage.model")))
 
 
 def domain_replicated(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import uuid
+from collections import Counter
 from datetime import date
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from terrace.operators.domains import (
     build_domain_model, domain_instance, instance_name, split_by_rule, union_domains,
 )
 from terrace.operators.evolve import describe, evolve, evolve_tables, retype_losses
-from terrace.plans.model import build_models
+from terrace.plans.model import build_model, build_models
 from terrace.session import checkpoint, checkpoint_root, scratch_path
 from terrace.sources.tables import (
     create_managed_table, create_view, finish_swap, materialise, migrate_lineage, previous_name, quarantine_name,
@@ -65,6 +66,64 @@ def test_one_plan_for_all_domains(tables):
     assert domain_instance(built, "us").count() == 1 and instance_name("summary", "us") == "summary_us"
 
 
+KINDS = ["inner", "left", "right", "full", "left semi", "left anti"]
+
+
+def by_domain(spec, frames, domains):
+    """The rows of every domain built by itself."""
+    rows = []
+    for domain in domains:
+        own = {n: domain_instance(df, domain) if "domain" in df.columns else df for n, df in frames.items()}
+        rows += [(domain, *r) for r in build_model("m", spec, own, lineage_mode=None).collect()]
+    return Counter(rows)
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """Two tables, each shared and by domain; keys missing on either side, in one domain, and repeated ones."""
+    def table(rows, kind):
+        shared = spark.createDataFrame([r[:2] for r in rows], f"{kind}_key int, {kind}_value int")
+        return shared, spark.createDataFrame([r for r in rows], f"{kind}_key int, {kind}_value int, domain string")
+
+    left = table([(1, 10, "eu"), (1, 11, "us"), (2, 12, "eu"), (2, 12, "eu"), (3, 13, "us"), (None, 14, "eu"), (9, 15, "us")], "l")
+    right = table([(1, 20, "us"), (2, 21, "us"), (3, 22, "us"), (3, 23, "eu"), (7, 24, "eu"), (None, 25, "us")], "r")
+    third = table([(1, 30, "us"), (2, 31, "eu"), (8, 32, "eu")], "t")
+    return {"l": left, "r": right, "t": third}
+
+
+@pytest.mark.parametrize("tagged", [(1, 1), (1, 0), (0, 1)])
+@pytest.mark.parametrize("kind", KINDS)
+def test_domains_of_every_join(sides, kind, tagged):
+    """The one plan gives what building each domain by itself gives; a domain without rows included."""
+    frames = {n: sides[n][t] for n, t in zip("lr", tagged)}
+    names = ["l_key", "l_value"] + ([] if kind in KINDS[4:] else ["r_key", "r_value"])
+    spec = {"sources": {"l": "l", "r": "r"}, "join": "l.l_key = r.r_key", "join_type": kind, "columns": {n: None for n in names}}
+    domains = ["eu", "us", "none"]
+    built = build_domain_model("m", spec, frames, domains, lineage_mode=None)
+    assert built.columns == ["domain", *names]
+    assert Counter(map(tuple, built.collect())) == by_domain(spec, frames, domains)
+    totals = {**spec, "group_by": [], "columns": {"n": {"expr": "count(*)"}, "s": {"expr": "sum(l_value)"}}}
+    built = build_domain_model("m", totals, frames, domains, lineage_mode=None)
+    assert Counter(map(tuple, built.collect())) == by_domain(totals, frames, domains)
+
+
+@pytest.mark.parametrize("kinds", [("left", "full"), ("full", "full"), ("right", "left"), ("full", "right"), ("left", "left anti")])
+@pytest.mark.parametrize("tagged", [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1), (0, 0, 0)])
+def test_domains_of_three_sources(sides, kinds, tagged):
+    frames = {n: sides[n][t] for n, t in zip("lrt", tagged)}
+    names = ["l_value", "r_value"] + ([] if "anti" in kinds[1] else ["t_value"])
+    spec = {"sources": {n: n for n in "lrt"}, "join": ["l.l_key = r.r_key", "coalesce(l.l_key, r.r_key) = t.t_key"], "join_type": list(kinds), "columns": {n: None for n in names}}
+    domains = ["eu", "us"]
+    built = build_domain_model("m", spec, frames, domains, lineage_mode=None)
+    assert Counter(map(tuple, built.collect())) == by_domain(spec, frames, domains)
+
+
+def test_totals_of_an_empty_domain_name_their_instance(sides):
+    spec = {"source": "l", "group_by": [], "columns": {"n": {"expr": "count(*)"}}}
+    built = build_domain_model("m", spec, {"l": sides["l"][1]}, ["eu", "none"])
+    assert sorted((r["domain"], r["n"], r["_lineage"]["model"]) for r in built.collect()) == [("eu", 4, "m_eu"), ("none", 0, "m_none")]
+
+
 def test_join_sources_may_differ_per_domain(tables):
     spec = {**JOINED, "sources": {"c": "customers", "o": "orders_eu", "n": "countries"}, "domain_sources": domain_sources("orders", "o")}
     built = build("summary", spec, staged(tables))
