@@ -341,6 +341,26 @@ ORACLE = {
         'raw_events' AS model, 'volume' AS source_type FROM events""",
     "stream_ingest": f"""SELECT event_type, {_EVENT_TOTALS} FROM events GROUP BY event_type
         UNION ALL SELECT 'manifest', count(*), 0 FROM events""",
+    "ingest_batch_then_stream": f"""SELECT event_type, CASE WHEN event_id % 5 IN (0, 4) THEN 'run' ELSE 'stream' END AS loader,
+        {_EVENT_TOTALS} FROM events GROUP BY 1, 2""",
+    "ingest_rejects": """
+        WITH found AS (
+          SELECT o_orderkey AS key, TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL AS large, o_orderpriority = '5-LOW' AS missing FROM orders),
+        named AS (
+          SELECT key, 'good' AS problem FROM found WHERE NOT large AND NOT missing
+          UNION ALL SELECT key, 'o_totalprice: not a decimal(7,2)' FROM found WHERE large
+          UNION ALL SELECT key, 'o_orderpriority: required value is missing' FROM found WHERE missing)
+        SELECT problem, count(*) AS rows, CAST(sum(key) AS BIGINT) AS keys, form
+        FROM named, (VALUES ('batch'), ('stream')) AS f(form) GROUP BY problem, form""",
+    "ingest_checksums": """
+        WITH files AS (
+          SELECT 'c_custkey,c_name' || chr(10) || string_agg(c_custkey || ',' || c_name || chr(10), '' ORDER BY c_custkey) AS content,
+                 count(*) AS row_count
+          FROM customer GROUP BY c_nationkey % 5)
+        SELECT sha256(array_to_string([sha256(substr(content, 1 + 65536 * i, 65536))
+                                       FOR i IN range((length(content) + 65535) // 65536)], '')) AS checksum,
+               row_count, CAST(length(content) AS BIGINT) AS file_size_bytes, CAST(0 AS BIGINT) AS rejected_count
+        FROM files""",
     "seed_scan": """SELECT s_suppkey, s_name, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS s_acctbal FROM supplier""",
     "landing_formats": """SELECT quality, toxic, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids, file_format
         FROM labels, (VALUES ('csv'), ('json'), ('parquet')) AS f(file_format) GROUP BY quality, toxic, file_format""",

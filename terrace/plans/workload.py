@@ -25,7 +25,9 @@ from terrace.operators.quarantine import split
 from terrace.operators.reconcile import reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
 from terrace.session import configure, scratch_path
-from terrace.sources.ingest import Feed, append_with_lineage, ingest_all, read_ingested
+from terrace.sources.ingest import (
+    Feed, append_with_lineage, ingest_all, ingest_feed, read_ingested, read_rejected,
+)
 from terrace.sources.sync import incremental_sync, read_synced
 from terrace.sources.tables import (
     create_managed_table, materialise, migrate_lineage, quarantine_name, read_files, read_previous,
@@ -821,7 +823,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         stream_feed(
             spark, feed, f"{path}/volumes", f"{path}/tables", EVENT_COLUMNS, f"{path}/progress", run=RUN
         ).awaitTermination()
-    rows = read_table(spark, f"{path}/tables/raw_events")
+    rows = read_ingested(spark, f"{path}/tables", "raw_events")
     manifest = read_table(spark, f"{path}/tables/file_manifest")
     loaded = rows.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast(MONEY)).alias("value")
@@ -832,6 +834,69 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(loaded.unionByName(manifested))
 
 
+def ingest_batch_then_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """One feed loaded by a run, by streams of two checkpoints in turn and by a run again, as files arrive."""
+    path = scratch_path(spark, "mixed")
+    events = _table(spark, sf, "events").select(*EVENT_COLUMNS)
+    feed = Feed(1, "raw_events", "landing", r"^part-.*\.csv$")
+    for part, loader in enumerate(("run", "first", "second", "first", "run")):
+        rows = events.where(F.pmod("event_id", F.lit(5)) == part)
+        rows = rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        rows.write.mode("append").option("header", True).csv(f"{path}/volumes/landing")
+        if loader == "run":
+            ingest_feed(spark, feed, f"{path}/volumes", f"{path}/tables", EVENT_COLUMNS, run=RUN)
+        else:
+            stream_feed(
+                spark, feed, f"{path}/volumes", f"{path}/tables", EVENT_COLUMNS, f"{path}/{loader}", run=RUN
+            ).awaitTermination()
+    stored = read_ingested(spark, f"{path}/tables", "raw_events")
+    kind = F.when(F.col("_batch").startswith("run-"), "run").otherwise("stream")
+    return _portable(
+        stored.groupBy("event_type", kind.alias("loader")).agg(
+            F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast(MONEY)).alias("value")
+        )
+    )
+
+
+def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders landed as CSV, some with prices too large for the contract or without a priority, in one batch and
+    in a stream: good rows and what is wrong with the others."""
+    path = scratch_path(spark, "rejects")
+    orders = _table(spark, sf, "orders").withColumn("o_orderpriority", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    contract = {
+        "o_orderkey": {"type": "bigint", "required": True},
+        "o_totalprice": {"type": "decimal(7,2)", "required": True},
+        "o_orderpriority": {"type": "string", "required": True},
+    }
+    orders.select(*contract).write.option("header", True).csv(f"{path}/volumes/landing")
+    names = {"batch": f"{path}/batch", "stream": f"{path}/stream"}
+    feed = Feed(1, "raw_orders", "landing", r"^part-.*\.csv$")
+    ingest_feed(spark, feed, f"{path}/volumes", names["batch"], contract, run=RUN)
+    stream_feed(spark, feed, f"{path}/volumes", names["stream"], contract, f"{path}/progress", run=RUN).awaitTermination()
+    counts = []
+    for name, tables in names.items():
+        good = read_ingested(spark, tables, "raw_orders").select(F.col("o_orderkey").alias("key"), F.lit("good").alias("problem"))
+        bad = read_rejected(spark, tables, "raw_orders").select(
+            F.get_json_object("_raw", "$.o_orderkey").cast("long").alias("key"), F.explode("_errors").alias("problem")
+        )
+        every = good.unionByName(bad).groupBy("problem").agg(F.count(F.lit(1)).alias("rows"), F.sum("key").alias("keys"))
+        counts.append(every.withColumn("form", F.lit(name)))
+    return counts[0].unionByName(counts[1])
+
+
+def ingest_checksums(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers landed as one file for each group of nations, with checksums of contents in ranges of 64 KB."""
+    path = scratch_path(spark, "checksums")
+    customers = _table(spark, sf, "customer").select("c_custkey", "c_name", (F.col("c_nationkey") % 5).cast("int").alias("part"))
+    lines = customers.repartitionById(5, "part").sortWithinPartitions("c_custkey")
+    lines.select("c_custkey", "c_name").write.option("header", True).csv(f"{path}/volumes/landing")
+    contract = {"c_custkey": {"type": "bigint", "required": True}, "c_name": "string"}
+    feed = Feed(1, "raw_customers", "landing", r"^part-.*\.csv$")
+    ingest_feed(spark, feed, f"{path}/volumes", f"{path}/tables", contract, run=RUN, checksum="content", range_bytes=1 << 16)
+    manifest = read_table(spark, f"{path}/tables/file_manifest")
+    return manifest.select("checksum", "row_count", "file_size_bytes", "rejected_count")
+
+
 def seed_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as headered CSV, read with declared columns."""
     path = scratch_path(spark, "seed")

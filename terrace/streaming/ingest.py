@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +13,15 @@ from terrace.operators.columns import ColumnSpec
 from terrace.operators.contracts import contract_schema
 from terrace.operators.lineage import Run
 from terrace.sources.ingest import (
-    BATCH_KEYS, FILES_PER_BATCH, STORED_MANIFEST_DDL, Feed, few_tasks, ingest_lineage, list_files,
-    manifest_entries, source_path,
+    CORRUPT, FILES_PER_BATCH, INVALID, STORED_MANIFEST_DDL, Feed, checked_rows, few_tasks, ingest_lineage,
+    list_files, manifest_entries, publish, refuse_invalid, source_path, text_schema, write_batch,
 )
-from terrace.sources.tables import overwrite_partitions, read_table_or_none
+from terrace.sources.tables import read_table_or_none
 
-#: Micro-batches that one checkpoint can number, and checkpoints that get numbers of their own.
-STREAM_BATCHES, STREAMS = 100_000, 20_000
+
+def stream_name(checkpoint: str) -> str:
+    """What names the batches of a checkpoint: a digest of its whole path, so no two share one."""
+    return f"stream-{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()}"
 
 
 def stream_feed(
@@ -32,50 +34,45 @@ def stream_feed(
     domain: str | None = None,
     run: Run = Run(),
     files_per_batch: int = FILES_PER_BATCH,
+    invalid: str = "reject",
 ) -> StreamingQuery:
     """Load all files that neither this checkpoint nor the manifest knows, then stop.
 
-    Micro-batches have negative numbers that also depend on the checkpoint folder, so they never replace a
-    batch of ``ingest_feed`` or of another checkpoint; a repeated micro-batch replaces its own partitions, and a
-    restart adds no row twice. A value that can't be read is an error. Files without rows get no manifest entry
-    here."""
+    Micro-batches are named by the checkpoint and their number, so they never replace a batch of a run or of another
+    checkpoint; a repeated micro-batch replaces its own partition, and a restart adds no row twice. Rows that break
+    the contract are kept aside as in ``ingest_feed``. Files without rows get no manifest entry here."""
+    if invalid not in INVALID:
+        raise ValueError(f"unknown way with invalid rows: {invalid!r}")
     target, manifest_path = f"{tables}/{feed.target_model}", f"{tables}/file_manifest"
-    reader = (
-        spark.readStream.format(feed.file_format)
-        .schema(contract_schema(columns))
-        .options(**feed.read_options())
-        .option("mode", "FAILFAST")
-        .option("maxFilesPerTrigger", files_per_batch)
-    )
+    checks = invalid != "trust" and feed.file_format != "parquet"
+    reader = spark.readStream.format(feed.file_format).options(**feed.read_options()).option("maxFilesPerTrigger", files_per_batch)
+    if checks:
+        reader = reader.schema(text_schema(feed, columns)).option("columnNameOfCorruptRecord", CORRUPT)
+    else:
+        reader = reader.schema(contract_schema(columns)).option("mode", "FAILFAST")
     volume = f"{volumes}/{feed.volume_name}"
     name = F.element_at(F.split(source_path(), "/"), -1)
     rows = reader.load(volume).where(name.rlike(feed.file_regex))
     rows = rows.select("*", ingest_lineage(feed.target_model, source_path(), "volume", run))
-
-    own = -STREAM_BATCHES * (1 + zlib.crc32(checkpoint.rstrip("/").encode()) % STREAMS)
+    own = stream_name(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        if number + 1 >= STREAM_BATCHES:
-            raise ValueError("the checkpoint has used up its batch numbers; go on with a new one")
-        number = own - number - 1
-        keys = {"_feed": F.lit(feed.config_id), "_batch": F.lit(number)}
-        manifest = read_table_or_none(batch.sparkSession, manifest_path, STORED_MANIFEST_DDL)
+        session, key = batch.sparkSession, f"{own}-{number:010d}"
+        manifest = read_table_or_none(session, manifest_path, STORED_MANIFEST_DDL)
         if manifest is not None:
-            others = manifest.where((F.col("_feed") == feed.config_id) & (F.col("_batch") != number))
+            others = manifest.where((F.col("_feed") == feed.config_id) & (F.col("_batch") != key))
             known = others.select(F.col("file_path").alias("_known")).distinct()
             batch = batch.join(known, F.col("_lineage.source_path") == F.col("_known"), "left_anti")
-        keyed = batch.withColumns(keys)
-        overwrite_partitions(keyed, target, BATCH_KEYS)
-        written = read_table_or_none(batch.sparkSession, target, keyed.schema)
-        if written is None:
+        written = write_batch(checked_rows(batch, columns), target, feed, key)
+        if invalid == "error":
+            refuse_invalid(written, feed)
+        # the files of a micro-batch, at most files_per_batch
+        paths = [] if written is None else [r[0] for r in written.select("_lineage.source_path").distinct().collect()]
+        if not paths:
             return
-        loaded = written.where((F.col("_feed") == feed.config_id) & (F.col("_batch") == number))
-        loaded = loaded.select(F.col("_lineage.source_path").alias("file_path")).distinct()
-        files = list_files(batch.sparkSession, volume).join(loaded, "file_path")
-        files = files.withColumn("checksum", F.md5("file_path"))
-        entries = manifest_entries(files, written, feed, number, domain, run)
-        with few_tasks(batch.sparkSession):
-            overwrite_partitions(entries.withColumns(keys), manifest_path, BATCH_KEYS)
+        files = list_files(session, paths).withColumn("checksum", F.md5("file_path"))
+        with few_tasks(session):
+            publish(manifest_entries(files, written, feed, domain, run), manifest_path, feed, key)
 
     return (
         rows.writeStream.foreachBatch(write)
