@@ -38,7 +38,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .frames import add_columns, settled, ship, texts, unused
+from .frames import Scratch, add_columns, settled, ship, texts, unused
 from .simhash import near_links, shingles, signed
 
 #: Near copies share that many per cent of their sets of shingles of so many words.
@@ -203,9 +203,10 @@ def _dealt(members: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 
 def similar_links(members: DataFrame) -> DataFrame:
-    """Links that join all similar nodes of each cluster; ``members`` has ``node``, ``cluster``, ``size`` and ``text``."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    members = settled(members.join(sizes.select("cluster", _blocks(F.col("n"), F.col("s")).alias("blocks")), "cluster"))
+    """Links that join all similar nodes of each cluster.
+
+    ``members`` has ``node``, ``cluster``, its number of ``blocks``, ``size`` and ``text``.
+    """
     whole = settled(compared(_dealt(members)))
     links = whole.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
     large = members.where("blocks > 1")
@@ -243,7 +244,7 @@ def similar_links(members: DataFrame) -> DataFrame:
     return links.unionAll(last.where("node <> label").select("node", "label"))
 
 
-def near_copies(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Documents (``doc_id``, ``text_hash``, ``node``) and the ``root`` of each node that has a smaller near copy."""
     names = [f"print_{k}" for k in range(SEEDS)]
     added = "node long, size int, " + ", ".join(f"{n} long" for n in names)
@@ -254,21 +255,32 @@ def near_copies(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     clusters = connected_components(candidate_links(nodes))
     together = clusters.select("node", F.col("root").alias("cluster"))
     together = settled(together.unionAll(clusters.select("root", "root")).distinct())
+    sizes = nodes.join(together, "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    blocks = sizes.select("cluster", _blocks(F.col("n"), F.col("s")).alias("blocks"))
     # only texts of nodes that have candidates are fetched, each once
-    wanted = nodes.join(together, "node").select("node", "cluster", "size", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    found = own.withColumn("own", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")))
-    members = settled(found.select("node", "cluster", "size", "text").dropDuplicates(["node"]))
+    wanted = nodes.join(together, "node").join(blocks, "cluster").select(
+        "node", "cluster", "blocks", "size", F.col("first.text_hash").alias("a"), _id_hash("first.doc_id").alias("b")
+    )
+    once = own.select("text", F.xxhash64("text").alias("a"), _id_hash("doc_id").alias("b")).dropDuplicates(["a", "b"])
+    members = scratch.keep("members", once.join(wanted, ["a", "b"]).drop("a", "b"))
     return rows, connected_components(similar_links(members))
 
 
+def _id_hash(column: str):
+    return F.xxhash64(F.col(column), F.lit("id"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without all but one document of each group of near copies."""
+    scratch = Scratch(docs.sparkSession)
     own = texts(docs, text).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, roots = near_copies(own)
+    rows, roots = near_copies(own, scratch)
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    number, mark, mine = unused(docs, "number", "mark", "mine")
-    kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(number), F.col("k.text_hash").alias(mark))
-    marked = docs.withColumn(mine, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    chosen = marked.join(kept, F.col(doc_id).eqNullSafe(F.col(number)) & (F.col(mine) == F.col(mark)), "leftsemi")
-    return chosen.dropDuplicates([doc_id, mine]).drop(mine)
+    one, other = unused(docs, "one", "other")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("k"))
+    kept = settled(kept.select(F.col("k.text_hash").alias(one), _id_hash("k.doc_id").alias(other)))
+    scratch.drop("members")
+    marked = docs.withColumns({one: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), other: _id_hash(doc_id)})
+    # repeated rows go before the shuffle; both steps deal documents by the same two columns, so texts are dealt once
+    return marked.dropDuplicates([one, other]).join(kept, [one, other], "leftsemi").drop(one, other)
