@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions.casts import lenient_cast, unconvertible
 from terrace.operators.columns import compile_column, normalise, quoted
+from terrace.sources.versions import drop_version, publish, write_version
 from terrace.types import spark_type
 
 Change = Mapping[str, Any]
@@ -72,6 +73,56 @@ def retype_losses(df: DataFrame, change: Change) -> DataFrame:
     return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
+def with_losses(df: DataFrame, changes: Sequence[Change]) -> tuple[DataFrame, dict[str, str]]:
+    """The evolved rows, in which values that a new type cannot hold are NULL, with a column that tells so for each
+    retyped one; and which column each of those speaks of."""
+    lost: dict[str, str] = {}
+    for change in changes:
+        rest = {k: v for k, v in change.items() if k != "change_type"}
+        df = apply_change(df, rest)
+        for name, target in change.get("change_type", {}).items():
+            if name not in df.columns:
+                continue
+            kind, source = spark_type(target.get("to", "string")), df.schema[name].dataType
+            mark = f"__lost_{len(lost)}"
+            lost[mark] = name
+            df = df.withColumn(mark, unconvertible(F.col(quoted(name)), source, kind))
+            df = df.withColumn(name, lenient_cast(F.col(quoted(name)), source, kind))
+    return df, lost
+
+
+class LostValues(ValueError):
+    """A change would lose values; ``counts`` says how many of which column."""
+
+    def __init__(self, table: str, counts: Mapping[str, int]) -> None:
+        self.counts = dict(counts)
+        super().__init__(f"{table} stays as it is, values would be lost: {self.counts}")
+
+
+def evolve_stored(
+    spark: SparkSession, table: str, changes: Sequence[Change], allow_losses: bool = False,
+    partition_by: Sequence[str] = (),
+) -> dict[str, int]:
+    """Apply changes to a stored table and return how many values each retyped column has lost.
+
+    The next version is written and its losses are counted in the same pass. It is only published if nothing is
+    lost, or on request; otherwise the table stays as it is and the version goes.
+    """
+    rows, lost = with_losses(spark.table(table), changes)
+    counted = Observation()
+    if lost:
+        rows = rows.observe(counted, *[F.count_if(m).alias(m) for m in lost]).drop(*lost)
+    version = write_version(rows, table, partition_by)
+    counts: dict[str, int] = {}
+    for mark, name in lost.items():
+        counts[name] = counts.get(name, 0) + counted.get[mark]
+    if any(counts.values()) and not allow_losses:
+        drop_version(spark, version)
+        raise LostValues(table, {n: c for n, c in counts.items() if c})
+    publish(spark, table, version)
+    return counts
+
+
 def describe(df: DataFrame, changes: Sequence[Change]) -> list[str]:
     """What the changes would do, from the plan's schema alone; nothing is read or written."""
     lines = []

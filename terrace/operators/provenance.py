@@ -1,14 +1,21 @@
-"""Tracing columns back through stored ``_lineage`` structs."""
+"""Where columns come from: recorded when models are stored, or read back from ``_lineage`` structs in rows."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.operators.columns import normalise
+from terrace.operators.lineage import Entry, Run, column_entries
 from terrace.session import checkpoint
+from terrace.sources.tables import overwrite_partitions, read_table
+from terrace.sources.versions import publish, write_version
 
 EDGE_COLUMNS = ("target_model", "target_column", "op", "expression", "source_model", "source_column")
 
@@ -116,3 +123,102 @@ def trace_column(edges: DataFrame, model: str, column: str) -> DataFrame:
         )
         reached = reached.unionByName(frontier)
     return reached
+
+
+# What the registry holds of each input of each output column of a stored model.
+REGISTRY_DDL = (
+    "target_model string, target_column string, op string, expression string, source_model string, "
+    "source_column string, model_rows bigint, git_commit string, deployed_at string, recorded_at timestamp"
+)
+
+
+def _inputs(entry: Entry, sources: Mapping[str, str], schemas: Mapping[str, Sequence[str]], own: Sequence[str]) -> list[tuple[str, str]]:
+    """The (model, column) pairs an entry names. A name with an alias belongs to its source; others to every source
+    that has such a column, or else to an earlier output of the model itself."""
+    names = list(entry.inputs)
+    if entry.op == "AGGREGATION":  # records its own output, so its inputs are looked up in its expression
+        names = re.findall(r"(?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*", entry.expression)
+    found: dict[tuple[str, str], None] = {}
+    for name in names:
+        alias, _, column = name.rpartition(".")
+        having = [m for a, m in sources.items() if column in schemas[m] and alias in ("", a)]
+        if not having and column in own and column != entry.name:
+            having = [""]
+        found.update({(m, column): None for m in having})
+    return list(found)
+
+
+def model_edges(
+    name: str, spec: Mapping[str, Any], tables: Mapping[str, DataFrame], udf_languages: Mapping[str, str] | None = None
+) -> list[tuple[str, str, str, str, str, str]]:
+    """The edges of a model from its specification and the schemas of its sources; no row is read."""
+    sources = dict(spec["sources"]) if "sources" in spec else {spec["source"]: spec["source"]}
+    schemas = {m: [c for c in tables[m].columns if c != "_lineage"] for m in sources.values()}
+    available = list(dict.fromkeys(c for columns in schemas.values() for c in columns))
+    entries = column_entries(spec["columns"], available, udf_languages, "group_by" in spec, True)
+    edges, own = [], []
+    for entry in entries:
+        column = normalise(spec["columns"][entry.name])
+        pairs = _inputs(entry, sources, schemas, own)
+        if entry.op in ("PASSTHROUGH", "CAST") and column.get("from"):
+            pairs = [(sources[column["from"]], c) for _, c in pairs[:1]]
+        edges += [(name, entry.name, entry.op, entry.expression, m or name, c) for m, c in pairs]
+        own.append(entry.name)
+    return edges
+
+
+def store_models(
+    specs: Mapping[str, Mapping[str, Any]],
+    built: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame],
+    registry: str,
+    run_key: str,
+    run: Run = Run(),
+    database: str = "default",
+    udf_languages: Mapping[str, str] | None = None,
+) -> dict[str, int]:
+    """Store built models as tables and enter where their columns come from in the registry; the rows of each.
+
+    ``tables`` are the sources the models were built from. Rows are counted while they are written. The registry is a
+    parquet folder that only grows: a partition for each run, and a repeated run replaces its own.
+    """
+    spark = next(iter(built.values())).sparkSession
+    known, edges, counts = {**tables, **built}, [], {}
+    for name, spec in specs.items():
+        counted = Observation()
+        rows = built[name].observe(counted, F.count(F.lit(1)).alias("rows"))
+        table = f"{database}.{name}"
+        publish(spark, table, write_version(rows, table))
+        counts[name] = counted.get["rows"]
+        edges += [(*edge, counts[name]) for edge in model_edges(name, spec, known, udf_languages)]
+    schema = ", ".join(REGISTRY_DDL.split(", ")[:7])
+    entries = spark.createDataFrame(edges, schema).withColumns(
+        {"git_commit": F.lit(run.git_commit), "deployed_at": F.lit(run.deployed_at), "recorded_at": run.now(), "_run": F.lit(run_key)}
+    )
+    overwrite_partitions(entries, registry, ("_run",))
+    return counts
+
+
+def read_registry(spark: SparkSession, registry: str, run_key: str | None = None) -> DataFrame:
+    """All entries, or those of one run; runs are partitions."""
+    entries = read_table(spark, registry)
+    return entries if run_key is None else entries.where(F.col("_run") == run_key)
+
+
+def trace_recorded(entries: DataFrame, model: str, column: str) -> DataFrame:
+    """Everything ``model.column`` was computed from, with the number of steps back to it, by one recursive query over
+    the registry's entries of a run."""
+    view = f"terrace_entries_{uuid.uuid4().hex}"
+    entries.select(*EDGE_COLUMNS, "model_rows").distinct().createOrReplaceTempView(view)
+    return entries.sparkSession.sql(
+        f"""
+        WITH RECURSIVE reached AS (
+            SELECT *, 1 AS depth FROM {view} WHERE target_model = :model AND target_column = :column
+            UNION ALL
+            SELECT e.*, r.depth + 1 FROM {view} e JOIN reached r
+              ON e.target_model = r.source_model AND e.target_column = r.source_column)
+        SELECT target_model, target_column, op, expression, source_model, source_column, model_rows, min(depth) AS depth
+        FROM reached GROUP BY ALL
+        """,
+        args={"model": model, "column": column},
+    )

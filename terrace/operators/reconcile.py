@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.lineage import Run
+from terrace.sources.tables import overwrite_partitions, read_table
 
 WARN_LIMIT = 5  # fixed value: largest difference that is only a warning
 
@@ -70,3 +71,15 @@ def reconcile_totals(
         gap.alias("difference"),
         F.when(same, "PASS").otherwise("FAIL").alias("status"),
     )
+
+
+def append_log(rows: DataFrame, log: str, run_key: str) -> None:
+    """Add a run's rows to the log, in place of what an earlier attempt at the same run has left there.
+
+    The log is a parquet folder with a partition for each run; other runs are neither read nor written.
+    """
+    overwrite_partitions(rows.withColumn("_run", F.lit(run_key)), log, ("_run",))
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    return read_table(spark, log)

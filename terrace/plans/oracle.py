@@ -298,6 +298,42 @@ ORACLE = {
         SELECT 'row_match', CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(abs(a - b) AS DOUBLE),
                CASE WHEN abs(a - b) <= 1 THEN 'PASS' ELSE 'FAIL' END
         FROM (SELECT (SELECT count(*) FROM ({_SUMMARY})) AS a, (SELECT count(*) FROM orders) AS b)""",
+    "reconcile_log": """
+        WITH runs AS (SELECT * FROM (VALUES ('monday', 'O'), ('tuesday', 'O'), ('wednesday', 'P')) AS t(_run, status)),
+        counts AS (
+          SELECT _run, status, (SELECT count(*) FROM orders) AS every, (SELECT count(*) FROM orders WHERE o_orderstatus = status) AS part,
+                 (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = status) AS lines
+          FROM runs),
+        rows AS (
+          SELECT _run, 'orders_' || status AS check_name, 'orders' AS source_table, every AS a, part AS b, every - part AS gap FROM counts
+          UNION ALL SELECT _run, 'lines_' || status, 'lines', lines, part, abs(lines - part) FROM counts)
+        SELECT check_name, source_table, 'part' AS target_table, a AS source_count, b AS target_count, a - b AS delta,
+               CASE WHEN a = b THEN 'PASS' WHEN gap <= 5 THEN 'WARN' ELSE 'FAIL' END AS status,
+               TIMESTAMP '2001-08-05 00:00:00' AS checked_at, _run FROM rows""",
+    "evolve_stored": """
+        WITH lost AS (
+          SELECT count(*) FILTER (WHERE TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL AND o_totalprice IS NOT NULL) AS lost_totals,
+                 count(*) FILTER (WHERE TRY_CAST(o_orderpriority AS INTEGER) IS NULL AND o_orderpriority IS NOT NULL) AS lost_priorities
+          FROM orders),
+        sides AS (
+          SELECT 'current' AS side, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
+                 count(*) FILTER (WHERE o_totalprice > 300000) AS gold,
+                 'order_id,customer_id,o_orderstatus,o_totalprice,o_orderdate,size_class,note' AS columns FROM orders
+          UNION ALL
+          SELECT 'previous', count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 0,
+                 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' FROM orders)
+        SELECT * FROM sides, lost""",
+    "view_models": """SELECT c_nationkey AS nation_id, count(*) AS customers, count(TRY_CAST(c_acctbal AS DECIMAL(5,2))) AS small,
+        CAST(sum(TRY_CAST(c_acctbal AS DECIMAL(5,2))) AS DOUBLE) AS balance FROM customer GROUP BY c_nationkey""",
+    "restore_into_table": """
+        SELECT side, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value, max(ts) AS last_event,
+               (SELECT count(*) FROM events) AS restored_rows
+        FROM events, (VALUES ('restored'), ('previous')) AS s(side)
+        WHERE side = 'restored' OR event_type <> 'click' GROUP BY side, event_type""",
+    "archive_of_one": """
+        SELECT 'orders' AS asset_name, TIMESTAMP '2024-02-02 00:00:00' AS archived_at, 'ann' AS performed_by,
+               CAST(count(*) AS DOUBLE) AS row_count FROM orders
+        UNION ALL SELECT 'orders', TIMESTAMP '2024-02-04 00:00:00', 'ann', CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderstatus = 'F'""",
     "invalid_orders": """SELECT * FROM (SELECT o_orderkey, concat_ws('; ',
             CASE WHEN TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL THEN 'o_totalprice: not a decimal(7,2)' END,
             CASE WHEN o_orderpriority = '5-LOW' THEN 'o_orderpriority: required value is missing' END) AS errors

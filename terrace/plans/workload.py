@@ -22,7 +22,7 @@ from terrace.operators.domains import build_domain_model, split_by_rule
 from terrace.operators.lineage import Run, data_challenge, upgrade_lineage
 from terrace.operators.provenance import lineage_edges, provenance_registry, trace_column
 from terrace.operators.quarantine import split
-from terrace.operators.reconcile import reconcile_counts, reconcile_totals
+from terrace.operators.reconcile import append_log, read_log, reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
 from terrace.session import configure, scratch_path
 from terrace.sources.ingest import (
@@ -597,6 +597,21 @@ def reconcile_revenue(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(same).unionByName(_portable(other))
 
 
+def reconcile_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log after three runs, one of them repeated: all orders, those of one status, and their line items."""
+    path = scratch_path(spark, "reconcile_log")
+    tables = _load(spark, sf, "orders", "lineitem")
+    orders = tables["orders"]
+    for run_key, status in (("monday", "O"), ("tuesday", "F"), ("tuesday", "O"), ("wednesday", "P")):
+        part = orders.where(F.col("o_orderstatus") == status)
+        lines = tables["lineitem"].join(part, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        rows = reconcile_counts(orders, part, f"orders_{status}", "orders", "part", run=RUN).unionByName(
+            reconcile_counts(lines, part, f"lines_{status}", "lines", "part", symmetric=True, run=RUN)
+        )
+        append_log(rows, path, run_key)
+    return _portable(read_log(spark, path))
+
+
 def invalid_orders(spark: SparkSession, sf: str) -> DataFrame:
     orders = _table(spark, sf, "orders").withColumn("o_orderpriority", F.expr("nullif(o_orderpriority, '5-LOW')"))
     contract = {
@@ -986,6 +1001,55 @@ def migrated_table(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("orders"), F.lit(sum(rewritten)).cast("long").alias("rewrites"))
 
 
+def evolve_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored orders: a change that would lose values is refused and counted, one that loses none is published."""
+    table = f"{_database(spark)}.orders"
+    replace_table(_table(spark, sf, "orders"), table)
+    try:
+        ev.evolve_stored(spark, table, [{"change_type": {"o_totalprice": {"to": "decimal(7,2)"}, "o_orderpriority": {"to": "int"}}}])
+        refused = {}
+    except ev.LostValues as error:
+        refused = error.counts
+    kept = spark.table(table).columns
+    ev.evolve_stored(spark, table, CHANGES)
+    current = spark.table(table).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("o_totalprice").alias("total"),
+        F.count_if(F.col("size_class") == "gold").alias("gold"),
+        F.concat_ws(",", F.lit(list(spark.table(table).columns))).alias("columns"),
+    )
+    previous = read_previous(spark, table).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(F.col("o_totalprice").cast(MONEY)).alias("total"),
+        F.lit(0).cast("long").alias("gold"),
+        F.concat_ws(",", F.lit(kept)).alias("columns"),
+    )
+    both = current.withColumn("side", F.lit("current")).unionByName(previous.withColumn("side", F.lit("previous")))
+    losses = {n: F.lit(refused.get(c, 0)).cast("long") for n, c in (("lost_totals", "o_totalprice"), ("lost_priorities", "o_orderpriority"))}
+    return _portable(both.withColumns(losses))
+
+
+def view_models(spark: SparkSession, sf: str) -> DataFrame:
+    """A model kept as a view, and one kept as a table that reads it; bad balances become NULL."""
+    spec = {
+        "source": "customer",
+        "materialized": "view",
+        "columns": {
+            "customer_id": {"source_column": "c_custkey"},
+            "nation_id": {"source_column": "c_nationkey"},
+            "small_balance": {"source_column": "c_acctbal", "type": "decimal(5,2)", "cast": True, "on_bad": "null"},
+        },
+    }
+    name = f"small_balances_{uuid.uuid4().hex}"
+    built = build_model("small_balances", spec, {"customer": _table(spark, sf, "customer")}, RUN, lineage_mode=None)
+    materialise(built, name, spec, RUN)
+    return _portable(
+        spark.table(name).groupBy("nation_id").agg(
+            F.count(F.lit(1)).alias("customers"), F.count("small_balance").alias("small"), F.sum("small_balance").alias("balance")
+        )
+    )
+
+
 def managed_appends(spark: SparkSession, sf: str) -> DataFrame:
     """An empty typed table, created twice without losing rows, filled by appends."""
     columns = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}
@@ -1022,6 +1086,35 @@ def archive_restore(spark: SparkSession, sf: str) -> DataFrame:
     return ar.restore_table(spark, path, "events")
 
 
+def restore_into_table(spark: SparkSession, sf: str) -> DataFrame:
+    """An older archive of events becomes the next version of their table; the version before stays."""
+    path, table = scratch_path(spark, "archive"), f"{_database(spark)}.events"
+    events = _table(spark, sf, "events")
+    for day, rows in ((1, events), (2, events.where("event_type = 'click'"))):
+        ar.archive_table(rows, path, "events", ar.Deployment("shop", "dev", "ann", "sha", "main", "job", datetime(2024, 2, day)))
+    replace_table(events.where("event_type <> 'click'"), table)
+    restored = ar.restore_into(spark, path, "events", table, archived_at=datetime(2024, 2, 1))
+    sides = spark.table(table).withColumn("side", F.lit("restored")).unionByName(
+        read_previous(spark, table).withColumn("side", F.lit("previous"))
+    )
+    return _portable(
+        sides.groupBy("side", "event_type").agg(
+            F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast(MONEY)).alias("value"), F.max("ts").alias("last_event")
+        )
+    ).withColumn("restored_rows", F.lit(restored).cast("long"))
+
+
+def archive_of_one(spark: SparkSession, sf: str) -> DataFrame:
+    """The archives of one table among others, newest first."""
+    path = scratch_path(spark, "archive")
+    for day, name in enumerate(("nation", "orders", "supplier", "orders"), start=1):
+        rows = _table(spark, sf, name)
+        rows = rows.where("o_orderstatus = 'F'") if day == 4 else rows
+        ar.archive_table(rows, path, name, ar.Deployment("shop", "dev", "ann", "sha", "main", "job", datetime(2024, 2, day)))
+    listed = ar.list_archive(ar.read_headers(spark, path), "orders")
+    return _portable(listed.select("asset_name", "archived_at", "performed_by", "row_count"))
+
+
 def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     tables = _load(spark, sf, "nation", "supplier", "events")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.operators.columns import ColumnSpec, quoted
+from terrace.operators.columns import ColumnSpec
 from terrace.operators.contracts import contract_schema, managed_frame
 from terrace.operators.lineage import LINEAGE_DDL, SCHEMA_VERSION, Run, upgrade_lineage
 from terrace.operators.quarantine import quarantined
+from terrace.sources.versions import current_version, previous_name, publish, write_version
 
 FILE_FORMATS = ("csv", "json", "parquet")  # fixed values: landing formats without extra jars
 
@@ -98,7 +98,7 @@ def write_table(
     if is_path(table):
         writer.parquet(table)
     else:
-        writer.format("parquet").saveAsTable(table)
+        writer.format("parquet").saveAsTable(current_version(df.sparkSession, table) or table)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Iterable[str]) -> None:
@@ -121,55 +121,15 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def _renamed(table: str, suffix: str) -> str:
-    return ".".join(quoted(p) for p in f"{table}{suffix}".split("."))
-
-
-def previous_name(table: str) -> str:
-    """The table that holds the version before the current one."""
-    return f"{table}_v_previous"
-
-
-def _waiting(spark: SparkSession, table: str) -> list[str]:
-    """Complete new versions that were not swapped in, oldest first."""
-    database, _, name = table.rpartition(".")
-    prefix = f"{name}_v_next_"
-    where = f" IN {_renamed(database, '')}" if database else ""
-    found = spark.sql(f"SHOW TABLES{where} LIKE '{prefix}*'").where("NOT isTemporary")
-    names = sorted(r["tableName"] for r in found.collect() if r["tableName"].startswith(prefix.lower()))
-    return [f"{database}.{n}" if database else n for n in names]
-
-
-def finish_swap(spark: SparkSession, table: str) -> None:
-    """Settle what an interrupted ``replace_table`` left: when the table is gone, its newest complete
-    version takes the name; other waiting versions are dropped. A version appears in the catalog only
-    after all its data is written."""
-    waiting = _waiting(spark, table)
-    if waiting and not spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {_renamed(waiting.pop(), '')} RENAME TO {_renamed(table, '')}")
-    for name in waiting:
-        spark.sql(f"DROP TABLE {_renamed(name, '')}")
-
-
 def replace_table(
     df: DataFrame, table: str, keep_previous: bool = True, partition_by: Iterable[str] = ()
 ) -> None:
-    """Write a new version beside the current one, then swap names.
+    """Write a new version and make it the table.
 
-    The current version is readable until the new one is complete and afterwards stays available
-    as ``previous_name(table)`` unless ``keep_previous`` is off.
+    The current version is readable until then, and afterwards stays available as ``previous_name(table)`` unless
+    ``keep_previous`` is off. The plan may read the table that it replaces.
     """
-    spark = df.sparkSession
-    finish_swap(spark, table)
-    incoming = f"{table}_v_next_{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}"
-    df.write.mode("errorifexists").format("parquet").partitionBy(*partition_by).saveAsTable(incoming)
-    outgoing = previous_name(table) if keep_previous else f"{table}_v_replaced"
-    if spark.catalog.tableExists(table):
-        spark.sql(f"DROP TABLE IF EXISTS {_renamed(outgoing, '')}")
-        spark.sql(f"ALTER TABLE {_renamed(table, '')} RENAME TO {_renamed(outgoing, '')}")
-    spark.sql(f"ALTER TABLE {_renamed(incoming, '')} RENAME TO {_renamed(table, '')}")
-    if not keep_previous:
-        spark.sql(f"DROP TABLE IF EXISTS {_renamed(outgoing, '')}")
+    publish(df.sparkSession, table, write_version(df, table, partition_by), keep_previous)
 
 
 def read_previous(spark: SparkSession, table: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import uuid
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -7,10 +8,13 @@ from pyspark.sql import functions as F
 
 from terrace.operators.archive import (
     Deployment, archive_definition, archive_table, diff_backup_history, fetch_last_deployments,
-    latest_per_asset, list_archive, read_headers, register_table_functions, restore_table,
+    latest_per_asset, list_archive, read_headers, register_table_functions, restore_into,
+    restore_table,
 )
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.lineage import Run, with_lineage
+from terrace.sources.tables import read_previous, replace_table
+from terrace.sources.versions import versions
 
 
 def at(day, **kw):
@@ -67,7 +71,7 @@ def test_restore_into_another_schema_and_reads_one_partition(spark, tmp_path):
     back = restore_table(spark, path, "t", schema=target)
     assert sorted(back.collect()) == [("0", None), ("1", None), ("2", None)]
     plan = plan_of(restore_table(spark, path, "t"))
-    assert "PartitionFilters: [isnotnull(asset_name" in plan and "Exchange" not in plan
+    assert "Location: InMemoryFileIndex(1 paths)" in plan and "asset_name=t/archive_id=" in plan and "Exchange" not in plan
 
 
 def test_restore_refuses_what_it_cannot_read(spark, tmp_path):
@@ -230,3 +234,43 @@ def test_snapshot_diff_of_retyped_columns(spark):
     new = spark.sql("select 1 as k, 7L as n, cast(1.5 as decimal(12,4)) as d")
     assert snapshot_diff(old, new, ["k"]).first()["status"] == "unchanged"
     assert snapshot_diff(old, new.withColumn("n", F.lit(8)), ["k"]).first()["changed_columns"] == ["n"]
+
+
+@pytest.fixture
+def database(spark):
+    name = f"t_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_restore_into_a_table(spark, tmp_path, database):
+    path, table = str(tmp_path), f"{database}.items"
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, `odd name` string")
+    archive_table(rows, path, "shop/items = 1", at(1))
+    archive_table(rows.limit(0), path, "shop/items = 1", at(2))
+    replace_table(spark.range(7), table)
+    assert restore_into(spark, path, "shop/items = 1", table, archived_at=at(1).archived_at) == 2
+    assert sorted(spark.table(table).collect()) == [(1, "a"), (2, None)]
+    assert read_previous(spark, table).count() == 7
+    assert restore_into(spark, path, "shop/items = 1", table) == 0  # the latest one is empty
+    assert spark.table(table).columns == ["id", "odd name"] and spark.table(table).count() == 0
+
+
+def test_a_restore_that_lacks_rows_is_refused(spark, tmp_path, database):
+    path, table = str(tmp_path), f"{database}.items"
+    archive_table(spark.range(0, 10, 1, 2), path, "items", at(1))
+    replace_table(spark.range(3), table)
+    next((tmp_path / "rows").rglob("part-*.parquet")).unlink()
+    with pytest.raises(ValueError, match="has 5 rows, its header says 10"):
+        restore_into(spark, path, "items", table)
+    assert spark.table(table).count() == 3 and len(versions(spark, table)) == 1
+
+
+def test_headers_of_one_asset_are_found_without_the_others(spark, tmp_path):
+    path = str(tmp_path)
+    for name in ("t", "u", "a/b c"):
+        archive_table(spark.range(2), path, name, at(1))
+    chosen = list_archive(read_headers(spark, path), "a/b c")
+    assert [r["asset_name"] for r in chosen.collect()] == ["a/b c"]
+    assert "PartitionFilters: [isnotnull(asset_name" in plan_of(chosen)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from terrace.operators.domains import (
     build_domain_model, domain_instance, instance_name, split_by_rule, union_domains,
 )
-from terrace.operators.evolve import describe, evolve, evolve_tables, retype_losses
+from terrace.operators.evolve import LostValues, describe, evolve, evolve_stored, evolve_tables, retype_losses
 from terrace.plans.model import build_model, build_models
 from terrace.session import checkpoint, checkpoint_root, scratch_path
 from terrace.sources.tables import (
-    create_managed_table, create_view, finish_swap, materialise, migrate_lineage, previous_name, quarantine_name,
-    read_files, read_previous, read_table, replace_table, run_sql, write_table,
+    create_managed_table, create_view, materialise, migrate_lineage, previous_name, quarantine_name, read_files,
+    read_previous, read_table, replace_table, run_sql, write_table,
 )
+from terrace.sources.versions import current_version, versions, write_version
 
 DOMAINS = ["eu", "us"]
 
@@ -211,21 +212,75 @@ def test_a_failed_replacement_leaves_the_table(spark, table):
     assert spark.table(table).count() == 2
 
 
-def test_an_interrupted_swap_is_finished(spark, table):
+def stored(spark, table):
+    database = table.split(".")[0]
+    return {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").where("NOT isTemporary").collect()}
+
+
+def test_a_version_that_was_not_published_is_never_read(spark, table):
     replace_table(spark.range(5), table)
-    # stopped between the two renames
-    spark.range(7).write.saveAsTable(f"{table}_v_next_20240101")
-    spark.range(8).write.saveAsTable(f"{table}_v_next_20240102")
-    spark.sql(f"ALTER TABLE {table} RENAME TO {previous_name(table)}")
-    finish_swap(spark, table)
-    assert spark.table(table).count() == 8 and read_previous(spark, table).count() == 5
-    # stopped before the first rename: the table is still there, the waiting version goes
-    spark.range(9).write.saveAsTable(f"{table}_v_next_20240103")
+    write_version(spark.range(9), table)  # and the run ends here
+    assert spark.table(table).count() == 5 and len(stored(spark, table)) == 3
     replace_table(spark.range(2), table)
-    assert spark.table(table).count() == 2 and read_previous(spark, table).count() == 8
-    database = table.split(".")[0]
-    names = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database}").where("NOT isTemporary").collect()}
-    assert names == {"customers", "customers_v_previous"}
+    assert spark.table(table).count() == 2 and read_previous(spark, table).count() == 5
+    assert stored(spark, table) == {"customers", "customers_v_previous"} | {v.split(".")[1].lower() for v in versions(spark, table)}
+    assert len(versions(spark, table)) == 2
+
+
+def test_readers_always_find_a_whole_version(spark, table):
+    """One thread replaces the table, another reads it all the time; data stay where they were written."""
+    import threading
+
+    replace_table(spark.range(10), table)
+    counts, errors, done = [], [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                counts.append(spark.table(table).count())
+            except Exception as error:
+                errors.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(11, 19):
+        replace_table(spark.range(n), table)
+    done.set()
+    reader.join()
+    assert not errors and set(counts) <= set(range(10, 19)) and len(counts) > 3
+    files = spark.table(table).inputFiles()
+    replace_table(spark.range(3), table)
+    assert read_previous(spark, table).inputFiles() == files
+
+
+def test_a_plain_table_is_taken_over(spark, table):
+    spark.range(4).write.saveAsTable(table)
+    assert current_version(spark, table) is None
+    replace_table(spark.table(table).where("id > 0"), table)
+    assert spark.table(table).count() == 3 and read_previous(spark, table).count() == 4
+    write_table(spark.range(2), table, mode="append")
+    assert spark.table(table).count() == 5
+
+
+LOSSY = [
+    {"rename_columns": {"a": "b"}, "add_columns": {"note": "string"}},
+    {"change_type": {"b": {"to": "int"}, "c": {"to": "tinyint"}}},
+]
+
+
+def test_stored_tables_evolve_if_nothing_is_lost(spark, table):
+    rows = spark.createDataFrame([("1", 5), ("2", 300), ("x", 7), (None, None)], "a string, c int")
+    replace_table(rows, table)
+    with pytest.raises(LostValues) as refused:
+        evolve_stored(spark, table, LOSSY)
+    assert refused.value.counts == {"b": 1, "c": 1}
+    assert spark.table(table).columns == ["a", "c"] and len(versions(spark, table)) == 1
+    assert evolve_stored(spark, table, LOSSY, allow_losses=True) == {"b": 1, "c": 1}
+    assert sorted(map(tuple, spark.table(table).collect()), key=str) == [(1, 5, None), (2, None, None), (None, 7, None), (None, None, None)]
+    assert read_previous(spark, table).columns == ["a", "c"]
+    assert evolve_stored(spark, table, [{"change_type": {"b": {"to": "bigint"}}}, {"remove_columns": ["c"]}]) == {"b": 0}
+    assert dict(spark.table(table).dtypes) == {"b": "bigint", "note": "string"}
+    assert evolve_stored(spark, table, [{"rename_columns": {"b": "id"}}]) == {}
 
 
 def test_managed_table_is_never_emptied(spark, table):
