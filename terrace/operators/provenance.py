@@ -64,21 +64,18 @@ def _edges(recorded: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     schemas = spark.createDataFrame(known, "source_model string, source_column string")
     upstream = candidates.withColumn("source_model", F.explode(F.split("sources", ", ")))
     unknown = ~F.col("source_model").isin(list(tables)) & (F.col("op") != "AGGREGATION")
-    found = (
-        upstream.join(schemas, ["source_model", "source_column"], "left_semi")
-        .select(*EDGE_COLUMNS)
-        .unionByName(upstream.where(unknown).select(*EDGE_COLUMNS))
-        .distinct()
-    )
-    # what no source has may be an output of the same model, used as a lateral alias
+    found = upstream.join(schemas, ["source_model", "source_column"], "left_semi").select(*EDGE_COLUMNS).distinct()
+    # what no known source has may be an output of the same model, used as a lateral alias
+    key = ["target_model", "target_column", "source_column"]
     own = (
         candidates.withColumn("source_model", F.col("target_model"))
         .where("source_column <> target_column")
         .join(schemas, ["source_model", "source_column"], "left_semi")
-        .join(found, ["target_model", "target_column", "source_column"], "left_anti")
+        .join(found, key, "left_anti")
         .select(*EDGE_COLUMNS)
     )
-    return found.unionByName(own).distinct()
+    assumed = upstream.where(unknown).join(own, key, "left_anti").select(*EDGE_COLUMNS)
+    return found.unionByName(own).unionByName(assumed).distinct()
 
 
 def lineage_edges(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,24 +1,28 @@
 """The registered queries in plain SQL, written independently of the library."""
 
-_CUSTOMERS = """
-    SELECT c_custkey AS customer_id, c_name AS customer_name, c_nationkey AS nation_id,
-           c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance
+_ACCOUNTS = """
+    SELECT c_custkey AS account_id, c_nationkey AS nation_id, c_mktsegment AS segment,
+           CAST(c_acctbal AS DECIMAL(18,2)) AS balance
     FROM customer"""
 
-_CUSTOMER_ORDERS = """
-    SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, c.c_mktsegment AS segment,
-           o.o_orderkey AS order_id, o.o_orderstatus AS status,
-           CAST(o.o_totalprice AS DECIMAL(18,2)) AS line_total,
-           CAST(o.o_orderdate AS DATE) AS order_date
-    FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
+_LINES = """
+    SELECT l_orderkey AS ticket_id, l_linenumber AS line_no, l_returnflag AS flag,
+           CAST(l_quantity AS DECIMAL(18,2)) AS units, CAST(l_extendedprice AS DECIMAL(18,2)) AS list_price,
+           CAST(l_discount AS DECIMAL(4,2)) AS rebate,
+           CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS net
+    FROM lineitem"""
 
-_SUMMARY = f"""
-    SELECT customer_id, customer_name, segment, count(order_id) AS total_orders,
-           sum(line_total) AS total_revenue, min(order_date) AS first_order_date,
-           max(order_date) AS last_order_date,
-           CASE WHEN sum(line_total) / 1000 >= 1000 THEN 'GOLD'
-                WHEN sum(line_total) / 1000 >= 500 THEN 'SILVER' ELSE 'BRONZE' END AS tier
-    FROM ({_CUSTOMER_ORDERS}) GROUP BY customer_id, customer_name, segment"""
+_GAPS = f"""
+    SELECT o_orderkey AS ticket_id, o_custkey AS account_id, CAST(o_totalprice AS DECIMAL(18,2)) AS billed,
+           coalesce(lines, 0) AS lines, CAST(o_totalprice AS DECIMAL(18,2)) - coalesce(lines_net, 0) AS gap,
+           CASE WHEN lines IS NULL THEN 'empty' WHEN CAST(o_totalprice AS DECIMAL(18,2)) < lines_net THEN 'under' ELSE 'over' END AS kind
+    FROM orders LEFT JOIN (SELECT ticket_id, count(*) AS lines, sum(net) AS lines_net FROM ({_LINES}) GROUP BY ticket_id)
+      ON o_orderkey = ticket_id"""
+
+_ACCOUNT_GAPS = f"""
+    SELECT account_id, c_mktsegment AS segment, count(ticket_id) AS tickets, sum(gap) AS total_gap, max(gap) AS widest,
+           CASE WHEN sum(gap) / 1000 >= 1000 THEN 'GOLD' WHEN sum(gap) / 1000 >= 500 THEN 'SILVER' ELSE 'BRONZE' END AS grade
+    FROM customer JOIN ({_GAPS}) ON c_custkey = account_id GROUP BY account_id, c_mktsegment"""
 
 _PERTURBED = """
     SELECT o_orderkey, o_custkey,
@@ -60,15 +64,15 @@ _USER_HEADERS = _HEADERS.format(asset="'user_' || CAST(user_id AS VARCHAR)")
 _TABLE_HEADERS = _HEADERS.format(asset="'tbl_' || CAST(user_id % 7 AS VARCHAR)")
 
 _ORDER_CHECKS = """
-    SELECT 'stg_orders_order_id_not_null' AS name, 'not_null' AS type, 'cell' AS scope,
+    SELECT 'tickets_ticket_id_not_null' AS name, 'not_null' AS type, 'cell' AS scope,
            'error' AS severity, 'completeness' AS dimension,
            (SELECT count(*) FROM orders WHERE o_orderkey IS NULL) AS failures
-    UNION ALL SELECT 'stg_orders_order_id_unique', 'unique', 'column', 'error', 'uniqueness',
+    UNION ALL SELECT 'tickets_ticket_id_unique', 'unique', 'column', 'error', 'uniqueness',
            (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL
                                   GROUP BY o_orderkey HAVING count(*) > 1))
-    UNION ALL SELECT 'stg_orders_customer_id_not_null', 'not_null', 'cell', 'error', 'completeness',
+    UNION ALL SELECT 'tickets_account_id_not_null', 'not_null', 'cell', 'error', 'completeness',
            (SELECT count(*) FROM orders WHERE o_custkey IS NULL)
-    UNION ALL SELECT 'stg_orders_status_accepted_values', 'accepted_values', 'cell', 'error', 'validity',
+    UNION ALL SELECT 'tickets_state_accepted_values', 'accepted_values', 'cell', 'error', 'validity',
            (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F'))
     UNION ALL SELECT 'total_range', 'range', 'cell', 'error', 'accuracy',
            (SELECT count(*) FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) < 2000
@@ -124,50 +128,69 @@ _LINEITEM_CHECKS = f"""
            (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)))"""
 
 _LINEAGE_FLAT = """
-    SELECT o_orderkey AS order_id, '4' AS schema_version, 'stg_orders' AS model, 'orders' AS sources,
-           'abc1234' AS git_commit, 'default.stg_orders' AS contract_id, 'v1' AS version,
+    SELECT o_orderkey AS ticket_id, '4' AS schema_version, 'tickets' AS model, 'orders' AS sources,
+           'abc1234' AS git_commit, 'default.tickets' AS contract_id, 'v1' AS version,
            '{mode}' AS lineage_mode, CAST(3 AS BIGINT) AS derived_columns, 'CAST' AS first_op,
            'cast(o_totalprice as decimal(18,2))' AS first_expression, {value} AS first_input,
            'EXPRESSION' AS last_op
     FROM orders"""
 
-# (target_model, target_column, op, source_model, source_column)
+# (target_model, target_column, op, source_model, source_column, whether recorded when the model is built)
 _EDGES = """
     SELECT * FROM (VALUES
-      ('stg_customers', 'customer_id', 'PASSTHROUGH', 'customer', 'c_custkey'),
-      ('stg_customers', 'customer_name', 'PASSTHROUGH', 'customer', 'c_name'),
-      ('stg_customers', 'nation_id', 'PASSTHROUGH', 'customer', 'c_nationkey'),
-      ('stg_customers', 'segment', 'PASSTHROUGH', 'customer', 'c_mktsegment'),
-      ('stg_customers', 'balance', 'CAST', 'customer', 'c_acctbal'),
-      ('stg_orders', 'order_id', 'PASSTHROUGH', 'orders', 'o_orderkey'),
-      ('stg_orders', 'customer_id', 'PASSTHROUGH', 'orders', 'o_custkey'),
-      ('stg_orders', 'status', 'PASSTHROUGH', 'orders', 'o_orderstatus'),
-      ('stg_orders', 'priority', 'PASSTHROUGH', 'orders', 'o_orderpriority'),
-      ('stg_orders', 'line_total', 'CAST', 'orders', 'o_totalprice'),
-      ('stg_orders', 'order_date', 'CAST', 'orders', 'o_orderdate'),
-      ('stg_orders', 'order_year', 'EXPRESSION', 'orders', 'o_orderdate'),
-      ('customer_clean', 'customer_id', 'PASSTHROUGH', 'stg_customers', 'customer_id'),
-      ('customer_clean', 'customer_name', 'PASSTHROUGH', 'stg_customers', 'customer_name'),
-      ('customer_clean', 'nation_id', 'PASSTHROUGH', 'stg_customers', 'nation_id'),
-      ('customer_clean', 'segment', 'PASSTHROUGH', 'stg_customers', 'segment'),
-      ('customer_clean', 'balance', 'PASSTHROUGH', 'stg_customers', 'balance'),
-      ('customer_orders', 'customer_id', 'PASSTHROUGH', 'customer_clean', 'customer_id'),
-      ('customer_orders', 'customer_id', 'PASSTHROUGH', 'stg_orders', 'customer_id'),
-      ('customer_orders', 'customer_name', 'PASSTHROUGH', 'customer_clean', 'customer_name'),
-      ('customer_orders', 'segment', 'PASSTHROUGH', 'customer_clean', 'segment'),
-      ('customer_orders', 'order_id', 'PASSTHROUGH', 'stg_orders', 'order_id'),
-      ('customer_orders', 'status', 'PASSTHROUGH', 'stg_orders', 'status'),
-      ('customer_orders', 'line_total', 'PASSTHROUGH', 'stg_orders', 'line_total'),
-      ('customer_orders', 'order_date', 'PASSTHROUGH', 'stg_orders', 'order_date'),
-      ('customer_summary', 'customer_id', 'PASSTHROUGH', 'customer_orders', 'customer_id'),
-      ('customer_summary', 'customer_name', 'PASSTHROUGH', 'customer_orders', 'customer_name'),
-      ('customer_summary', 'segment', 'PASSTHROUGH', 'customer_orders', 'segment'),
-      ('customer_summary', 'total_orders', 'AGGREGATION', 'customer_orders', 'order_id'),
-      ('customer_summary', 'total_revenue', 'AGGREGATION', 'customer_orders', 'line_total'),
-      ('customer_summary', 'first_order_date', 'AGGREGATION', 'customer_orders', 'order_date'),
-      ('customer_summary', 'last_order_date', 'AGGREGATION', 'customer_orders', 'order_date'),
-      ('customer_summary', 'tier', 'SQL_UDF', 'customer_summary', 'total_revenue')
-    ) AS e(target_model, target_column, op, source_model, source_column)"""
+      ('accounts', 'account_id', 'PASSTHROUGH', 'customer', 'c_custkey', true),
+      ('accounts', 'nation_id', 'PASSTHROUGH', 'customer', 'c_nationkey', true),
+      ('accounts', 'segment', 'PASSTHROUGH', 'customer', 'c_mktsegment', true),
+      ('accounts', 'balance', 'CAST', 'customer', 'c_acctbal', true),
+      ('tickets', 'ticket_id', 'PASSTHROUGH', 'orders', 'o_orderkey', true),
+      ('tickets', 'account_id', 'PASSTHROUGH', 'orders', 'o_custkey', true),
+      ('tickets', 'state', 'PASSTHROUGH', 'orders', 'o_orderstatus', true),
+      ('tickets', 'priority', 'PASSTHROUGH', 'orders', 'o_orderpriority', true),
+      ('tickets', 'billed', 'CAST', 'orders', 'o_totalprice', true),
+      ('tickets', 'placed_on', 'CAST', 'orders', 'o_orderdate', true),
+      ('tickets', 'urgency', 'EXPRESSION', 'orders', 'o_orderpriority', true),
+      ('ticket_lines', 'ticket_id', 'PASSTHROUGH', 'lineitem', 'l_orderkey', true),
+      ('ticket_lines', 'line_no', 'PASSTHROUGH', 'lineitem', 'l_linenumber', true),
+      ('ticket_lines', 'flag', 'PASSTHROUGH', 'lineitem', 'l_returnflag', true),
+      ('ticket_lines', 'units', 'CAST', 'lineitem', 'l_quantity', true),
+      ('ticket_lines', 'list_price', 'CAST', 'lineitem', 'l_extendedprice', true),
+      ('ticket_lines', 'rebate', 'CAST', 'lineitem', 'l_discount', true),
+      ('ticket_lines', 'net', 'EXPRESSION', 'ticket_lines', 'list_price', true),
+      ('ticket_lines', 'net', 'EXPRESSION', 'ticket_lines', 'rebate', true),
+      ('line_totals', 'ticket_id', 'PASSTHROUGH', 'ticket_lines', 'ticket_id', true),
+      ('line_totals', 'largest', 'AGGREGATION', 'ticket_lines', 'units', true),
+      ('line_totals', 'lines_net', 'AGGREGATION', 'ticket_lines', 'net', true),
+      ('ticket_gaps', 'ticket_id', 'PASSTHROUGH', 'tickets', 'ticket_id', true),
+      ('ticket_gaps', 'ticket_id', 'PASSTHROUGH', 'line_totals', 'ticket_id', false),
+      ('ticket_gaps', 'account_id', 'PASSTHROUGH', 'tickets', 'account_id', true),
+      ('ticket_gaps', 'billed', 'PASSTHROUGH', 'tickets', 'billed', true),
+      ('ticket_gaps', 'lines', 'EXPRESSION', 'line_totals', 'lines', true),
+      ('ticket_gaps', 'gap', 'EXPRESSION', 'tickets', 'billed', true),
+      ('ticket_gaps', 'gap', 'EXPRESSION', 'line_totals', 'lines_net', true),
+      ('ticket_gaps', 'kind', 'CASE', 'line_totals', 'lines', true),
+      ('ticket_gaps', 'kind', 'CASE', 'tickets', 'billed', true),
+      ('ticket_gaps', 'kind', 'CASE', 'line_totals', 'lines_net', true),
+      ('solvent', 'account_id', 'PASSTHROUGH', 'accounts', 'account_id', true),
+      ('solvent', 'nation_id', 'PASSTHROUGH', 'accounts', 'nation_id', true),
+      ('solvent', 'segment', 'PASSTHROUGH', 'accounts', 'segment', true),
+      ('solvent', 'balance', 'PASSTHROUGH', 'accounts', 'balance', true),
+      ('account_gaps', 'account_id', 'PASSTHROUGH', 'solvent', 'account_id', true),
+      ('account_gaps', 'account_id', 'PASSTHROUGH', 'ticket_gaps', 'account_id', false),
+      ('account_gaps', 'segment', 'PASSTHROUGH', 'solvent', 'segment', true),
+      ('account_gaps', 'tickets', 'AGGREGATION', 'ticket_gaps', 'ticket_id', true),
+      ('account_gaps', 'total_gap', 'AGGREGATION', 'ticket_gaps', 'gap', true),
+      ('account_gaps', 'widest', 'AGGREGATION', 'ticket_gaps', 'gap', true),
+      ('account_gaps', 'grade', 'SQL_UDF', 'account_gaps', 'total_gap', true)
+    ) AS e(target_model, target_column, op, source_model, source_column, recorded)"""
+
+_MODEL_ROWS = """
+    SELECT 'accounts' AS model, (SELECT count(*) FROM customer) AS model_rows
+    UNION ALL SELECT 'tickets', (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'ticket_lines', (SELECT count(*) FROM lineitem)
+    UNION ALL SELECT 'line_totals', (SELECT count(DISTINCT l_orderkey) FROM lineitem)
+    UNION ALL SELECT 'ticket_gaps', (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'solvent', (SELECT count(*) FROM customer)
+    UNION ALL SELECT 'account_gaps', (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 _EVENT_TOTALS = "count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value"
 
@@ -178,31 +201,25 @@ _LEFT_JOIN = """SELECT c_custkey AS customer_id, coalesce(o_orderkey, -1) AS ord
     FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 40 * c_acctbal"""
 
 ORACLE = {
-    "stage_customers": f"SELECT customer_id, customer_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance FROM ({_CUSTOMERS})",
-    "stage_orders": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
-        o_orderpriority AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS line_total,
-        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date,
-        CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders""",
-    "stage_lineitem": """SELECT l_orderkey, l_linenumber, l_returnflag AS flag,
-        CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS quantity,
-        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price,
-        CAST(CAST(l_discount AS DECIMAL(4,2)) AS DOUBLE) AS discount,
-        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net
-        FROM lineitem""",
+    "stage_customers": f"SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance FROM ({_ACCOUNTS})",
+    "stage_orders": """SELECT o_orderkey AS ticket_id, o_custkey AS account_id, o_orderstatus AS state,
+        o_orderpriority AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS billed,
+        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS placed_on,
+        CAST(left(o_orderpriority, 1) AS INTEGER) AS urgency FROM orders""",
+    "stage_lineitem": f"""SELECT ticket_id, line_no, flag, CAST(units AS DOUBLE) AS units, CAST(list_price AS DOUBLE) AS list_price,
+        CAST(rebate AS DOUBLE) AS rebate, CAST(net AS DOUBLE) AS net FROM ({_LINES})""",
     "contract_transform": """SELECT n_nationkey, lower(n_name) AS n_name, count(*) AS suppliers
         FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""",
-    "quarantine_customers": f"""SELECT customer_id, customer_name, nation_id, segment,
-        CAST(balance AS DOUBLE) AS balance, 'customer_clean' AS _quarantine_source,
-        'abc1234' AS _quarantine_git_commit, '2024-01-31 00:00:00' AS _quarantine_detected_at
-        FROM ({_CUSTOMERS}) WHERE balance < 0""",
-    "clean_customers": f"""SELECT customer_id, customer_name, nation_id, segment,
-        CAST(balance AS DOUBLE) AS balance FROM ({_CUSTOMERS}) WHERE balance >= 0""",
+    "quarantine_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance,
+        'solvent' AS _quarantine_source, 'abc1234' AS _quarantine_git_commit,
+        '2024-01-31 00:00:00' AS _quarantine_detected_at FROM ({_ACCOUNTS}) WHERE balance < 0""",
+    "clean_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance
+        FROM ({_ACCOUNTS}) WHERE balance >= 0""",
     "quarantine_null_rule": """SELECT side, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
         SELECT n_chars, CASE WHEN coalesce(CAST(nullif(n_chars, 0) AS DOUBLE) / nullif(length(source) - 4, 0), 0) > 1000
             THEN 'quarantined' ELSE 'clean' END AS side FROM documents) GROUP BY side""",
-    "enrich_orders": f"""SELECT customer_id, customer_name, segment, order_id, status,
-        CAST(line_total AS DOUBLE) AS line_total, CAST(order_date AS VARCHAR) AS order_date
-        FROM ({_CUSTOMER_ORDERS})""",
+    "enrich_orders": f"""SELECT ticket_id, account_id, CAST(billed AS DOUBLE) AS billed, lines,
+        CAST(gap AS DOUBLE) AS gap, kind FROM ({_GAPS})""",
     "nway_join": """SELECT o_orderkey AS order_id, c_name AS customer, n_name AS nation, r_name AS region
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
@@ -216,9 +233,8 @@ ORACLE = {
     "salted_join": """SELECT o_orderpriority AS priority, count(*) AS lines,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority""",
-    "customer_summary": f"""SELECT customer_id, customer_name, segment, total_orders,
-        CAST(total_revenue AS DOUBLE) AS total_revenue, CAST(first_order_date AS VARCHAR) AS first_order_date,
-        CAST(last_order_date AS VARCHAR) AS last_order_date, tier FROM ({_SUMMARY})""",
+    "customer_summary": f"""SELECT account_id, segment, tickets, CAST(total_gap AS DOUBLE) AS total_gap,
+        CAST(widest AS DOUBLE) AS widest, grade FROM ({_ACCOUNT_GAPS})""",
     "pricing_summary": """SELECT l_returnflag, l_linestatus, count(*) AS lines,
         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, avg(l_quantity) AS avg_qty,
         min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price,
@@ -238,40 +254,49 @@ ORACLE = {
         c_mktsegment: c_mktsegment}) AS VARCHAR)) AS content_hash FROM customer""",
     "lineage_flat": _LINEAGE_FLAT.format(mode="full", value="CAST(o_totalprice AS VARCHAR)"),
     "lineage_lightweight": _LINEAGE_FLAT.format(mode="lightweight", value="'o_totalprice'"),
-    "lineage_operations": f"""
-        SELECT 'stg_orders' AS model, t.name, t.op, (SELECT count(*) FROM orders) AS rows
-        FROM (VALUES ('order_id', 'PASSTHROUGH'), ('customer_id', 'PASSTHROUGH'), ('status', 'PASSTHROUGH'),
-              ('priority', 'PASSTHROUGH'), ('line_total', 'CAST'), ('order_date', 'CAST'),
-              ('order_year', 'EXPRESSION')) AS t(name, op)
-        UNION ALL
-        SELECT 'customer_summary', t.name, t.op, (SELECT count(*) FROM ({_SUMMARY}))
-        FROM (VALUES ('customer_id', 'PASSTHROUGH'), ('customer_name', 'PASSTHROUGH'), ('segment', 'PASSTHROUGH'),
-              ('total_orders', 'AGGREGATION'), ('total_revenue', 'AGGREGATION'),
-              ('first_order_date', 'AGGREGATION'), ('last_order_date', 'AGGREGATION'),
-              ('tier', 'SQL_UDF')) AS t(name, op)""",
-    "origin_stamp": """SELECT c_custkey AS customer_id, 'external_table' AS origin_type, 'customer' AS origin_path,
+    "lineage_operations": f"""SELECT e.model, e.name, e.op, r.model_rows AS rows
+        FROM (SELECT DISTINCT target_model AS model, target_column AS name, op FROM ({_EDGES})
+              UNION ALL SELECT 'line_totals', 'lines', 'AGGREGATION') e
+        JOIN ({_MODEL_ROWS}) r ON r.model = e.model""",
+    "origin_stamp": """SELECT c_custkey AS account_id, 'external_table' AS origin_type, 'customer' AS origin_path,
         TIMESTAMP '2001-08-05 00:00:00' AS loaded_at FROM customer""",
-    "challenge_summary": f"""SELECT 'customer_summary' AS challenged_model, 'total_revenue' AS challenged_column,
-        'customer_summary' AS _lineage_model, 'customer_orders' AS _lineage_sources,
+    "challenge_summary": f"""SELECT 'account_gaps' AS challenged_model, 'total_gap' AS challenged_column,
+        'account_gaps' AS _lineage_model, 'solvent, ticket_gaps' AS _lineage_sources,
         'abc1234' AS _lineage_git_commit, '2024-01-31 00:00:00' AS _lineage_deployed_at,
-        'serverless' AS _lineage_compute_type, 'default.customer_summary' AS _lineage_contract_id,
+        'serverless' AS _lineage_compute_type, 'default.account_gaps' AS _lineage_contract_id,
         'v1' AS _lineage_version, '4' AS _lineage_schema_version,
-        CAST(total_revenue AS DOUBLE) AS challenged_value FROM ({_SUMMARY}) WHERE tier = 'GOLD'""",
-    "lineage_upgrade": """SELECT o_orderkey, '4' AS schema_version, 'stg_orders' AS model,
+        CAST(total_gap AS DOUBLE) AS challenged_value FROM ({_ACCOUNT_GAPS}) WHERE grade = 'GOLD'""",
+    "lineage_upgrade": """SELECT o_orderkey, '4' AS schema_version, 'old_orders' AS model,
         CASE WHEN o_orderstatus = 'O' THEN 'orders' ELSE '' END AS sources, 'unknown' AS git_commit,
         'serverless' AS compute_type, 'v1' AS version, 'full' AS lineage_mode, 'CAST' AS first_op,
         true AS no_origin FROM orders""",
-    "lineage_edges": _EDGES,
-    "column_trace": """
-        SELECT * FROM (VALUES
-          ('customer_summary', 'tier', 'SQL_UDF', 'customer_summary', 'total_revenue', 1),
-          ('customer_summary', 'total_revenue', 'AGGREGATION', 'customer_orders', 'line_total', 2),
-          ('customer_orders', 'line_total', 'PASSTHROUGH', 'stg_orders', 'line_total', 3),
-          ('stg_orders', 'line_total', 'CAST', 'orders', 'o_totalprice', 4)
-        ) AS t(target_model, target_column, op, source_model, source_column, depth)""",
-    "provenance_registry": f"""SELECT target_model, target_column, source_model, source_column,
+    "lineage_edges": f"SELECT target_model, target_column, op, source_model, source_column FROM ({_EDGES})",
+    "column_trace": f"""
+        SELECT t.*, r.model_rows FROM (VALUES
+          ('account_gaps', 'grade', 'SQL_UDF', 'account_gaps', 'total_gap', 1),
+          ('account_gaps', 'total_gap', 'AGGREGATION', 'ticket_gaps', 'gap', 2),
+          ('ticket_gaps', 'gap', 'EXPRESSION', 'tickets', 'billed', 3),
+          ('ticket_gaps', 'gap', 'EXPRESSION', 'line_totals', 'lines_net', 3),
+          ('tickets', 'billed', 'CAST', 'orders', 'o_totalprice', 4),
+          ('line_totals', 'lines_net', 'AGGREGATION', 'ticket_lines', 'net', 4),
+          ('ticket_lines', 'net', 'EXPRESSION', 'ticket_lines', 'list_price', 5),
+          ('ticket_lines', 'net', 'EXPRESSION', 'ticket_lines', 'rebate', 5),
+          ('ticket_lines', 'list_price', 'CAST', 'lineitem', 'l_extendedprice', 6),
+          ('ticket_lines', 'rebate', 'CAST', 'lineitem', 'l_discount', 6)
+        ) AS t(target_model, target_column, op, source_model, source_column, depth)
+        JOIN ({_MODEL_ROWS}) r ON r.model = t.target_model""",
+    "provenance_registry": f"""SELECT DISTINCT target_model, target_column, source_model, source_column, r.model_rows,
         'abc1234' AS git_commit, '2024-01-31 00:00:00' AS deployed_at
-        FROM ({_EDGES}) WHERE target_model = 'customer_orders'""",
+        FROM ({_EDGES}) JOIN ({_MODEL_ROWS}) r ON r.model = target_model WHERE recorded""",
+    "registry_two_runs": f"""
+        WITH runs AS (
+          SELECT *, 'first' AS _run, 'abc1234' AS git_commit FROM ({_EDGES}) WHERE recorded AND target_model = 'ticket_gaps'
+          UNION ALL
+          SELECT *, 'second', 'def5678' FROM ({_EDGES}) WHERE recorded AND target_model = 'ticket_gaps')
+        SELECT _run, target_column, op, source_model,
+               CASE WHEN _run = 'second' AND target_column = 'gap' AND source_column = 'lines_net' THEN 'largest'
+                    ELSE source_column END AS source_column,
+               (SELECT count(*) FROM orders) AS model_rows, git_commit FROM runs""",
     "check_results": _CHECKED,
     "check_dimensions": f"SELECT dimension, status, count(*) AS checks FROM ({_CHECKED}) GROUP BY dimension, status",
     "lineitem_checks": _LINEITEM_CHECKS,
@@ -279,25 +304,25 @@ ORACLE = {
         WITH counts AS (SELECT (SELECT count(*) FROM customer) AS staged,
                                (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS clean),
         pairs AS (
-          SELECT 'stg_to_clean_customers' AS check_name, 'stg_customers' AS source_table,
-                 'customer_clean' AS target_table, staged AS source_count, clean AS target_count,
+          SELECT 'lost' AS check_name, 'accounts' AS source_table,
+                 'solvent' AS target_table, staged AS source_count, clean AS target_count,
                  staged - clean AS gap FROM counts
-          UNION ALL SELECT 'same', 'stg_customers', 'stg_customers', staged, staged, 0 FROM counts
-          UNION ALL SELECT 'gained', 'customer_clean', 'stg_customers', clean, staged, clean - staged FROM counts
-          UNION ALL SELECT 'gained_abs', 'customer_clean', 'stg_customers', clean, staged, staged - clean FROM counts)
+          UNION ALL SELECT 'same', 'accounts', 'accounts', staged, staged, 0 FROM counts
+          UNION ALL SELECT 'gained', 'solvent', 'accounts', clean, staged, clean - staged FROM counts
+          UNION ALL SELECT 'gained_abs', 'solvent', 'accounts', clean, staged, staged - clean FROM counts)
         SELECT check_name, source_table, target_table, source_count, target_count,
                source_count - target_count AS delta,
                CASE WHEN source_count = target_count THEN 'PASS' WHEN gap <= 5 THEN 'WARN' ELSE 'FAIL' END AS status,
                TIMESTAMP '2001-08-05 00:00:00' AS checked_at FROM pairs""",
     "reconcile_totals": f"""
-        SELECT 'revenue_match' AS name, CAST(sum(total_revenue) AS DOUBLE) AS child_value,
-               CAST((SELECT sum(line_total) FROM ({_CUSTOMER_ORDERS})) AS DOUBLE) AS parent_value,
-               CAST(abs(sum(total_revenue) - (SELECT sum(line_total) FROM ({_CUSTOMER_ORDERS}))) AS DOUBLE) AS difference,
-               'PASS' AS status FROM ({_SUMMARY})
+        WITH a AS (SELECT sum(total_gap) AS v, count(*) AS n FROM ({_ACCOUNT_GAPS})),
+             g AS (SELECT sum(gap) AS v FROM ({_GAPS})), o AS (SELECT count(*) AS n FROM orders)
+        SELECT 'gap_match' AS name, CAST(a.v AS DOUBLE) AS child_value, CAST(g.v AS DOUBLE) AS parent_value,
+               CAST(abs(a.v - g.v) AS DOUBLE) AS difference,
+               CASE WHEN abs(a.v - g.v) <= 0.0001 THEN 'PASS' ELSE 'FAIL' END AS status FROM a, g
         UNION ALL
-        SELECT 'row_match', CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(abs(a - b) AS DOUBLE),
-               CASE WHEN abs(a - b) <= 1 THEN 'PASS' ELSE 'FAIL' END
-        FROM (SELECT (SELECT count(*) FROM ({_SUMMARY})) AS a, (SELECT count(*) FROM orders) AS b)""",
+        SELECT 'row_match', CAST(a.n AS DOUBLE), CAST(o.n AS DOUBLE), CAST(abs(a.n - o.n) AS DOUBLE),
+               CASE WHEN abs(a.n - o.n) <= 1 THEN 'PASS' ELSE 'FAIL' END FROM a, o""",
     "reconcile_log": """
         WITH runs AS (SELECT * FROM (VALUES ('monday', 'O'), ('tuesday', 'O'), ('wednesday', 'P')) AS t(_run, status)),
         counts AS (
@@ -405,10 +430,10 @@ ORACLE = {
         UNION ALL SELECT 'current', count(*), CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer WHERE c_acctbal >= 0""",
     "stored_model": f"""
         SELECT 'model' AS side, count(*) AS customers, CAST(sum(balance) AS DOUBLE) AS balance
-        FROM ({_CUSTOMERS}) WHERE nation_id < 20
-        UNION ALL SELECT 'previous', count(*), CAST(sum(balance) AS DOUBLE) FROM ({_CUSTOMERS})
+        FROM ({_ACCOUNTS}) WHERE nation_id < 20
+        UNION ALL SELECT 'previous', count(*), CAST(sum(balance) AS DOUBLE) FROM ({_ACCOUNTS})
         UNION ALL SELECT 'quarantine', count(*), CAST(sum(balance) AS DOUBLE)
-        FROM ({_CUSTOMERS}) WHERE nation_id < 20 AND balance < 0""",
+        FROM ({_ACCOUNTS}) WHERE nation_id < 20 AND balance < 0""",
     "migrated_table": """SELECT o_orderstatus, '4' AS schema_version, 'serverless' AS compute_type,
         count(*) AS orders, CAST(1 AS BIGINT) AS rewrites FROM orders GROUP BY o_orderstatus""",
     "managed_table": "SELECT * FROM nation UNION ALL SELECT * FROM nation",

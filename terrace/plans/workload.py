@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from terrace.operators.contracts import apply_udf, bad_rows, transform
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.domains import build_domain_model, split_by_rule
 from terrace.operators.lineage import Run, data_challenge, upgrade_lineage
-from terrace.operators.provenance import lineage_edges, provenance_registry, trace_column
+from terrace.operators.provenance import lineage_edges, read_registry, store_models, trace_recorded
 from terrace.operators.quarantine import split
 from terrace.operators.reconcile import append_log, read_log, reconcile_counts, reconcile_totals
 from terrace.plans.model import build_model, build_models
@@ -39,83 +40,85 @@ RUN = Run(git_commit="abc1234", deployed_at="2024-01-31 00:00:00", as_of=datetim
 MONEY = "decimal(18,2)"
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
+#: What was billed for each ticket beside what its lines come to, and how that adds up for solvent accounts.
 SPECS = {
-    "stg_customers": {
+    "accounts": {
         "source": "customer",
         "origin": {"type": "external_table", "path": "customer", "format": "parquet"},
         "columns": {
-            "customer_id": {"source_column": "c_custkey", "type": "bigint", "required": True, "unique": True},
-            "customer_name": {"source_column": "c_name", "type": "string"},
+            "account_id": {"source_column": "c_custkey", "type": "bigint", "required": True, "unique": True},
             "nation_id": {"source_column": "c_nationkey", "type": "int"},
             "segment": {"source_column": "c_mktsegment"},
             "balance": {"source_column": "c_acctbal", "type": MONEY, "cast": True},
         },
     },
-    "stg_orders": {
+    "tickets": {
         "source": "orders",
         "columns": {
-            "order_id": {"source_column": "o_orderkey", "type": "bigint", "required": True, "unique": True},
-            "customer_id": {"source_column": "o_custkey", "type": "bigint", "required": True},
-            "status": {"source_column": "o_orderstatus", "accepted_values": ["O", "F"]},
+            "ticket_id": {"source_column": "o_orderkey", "type": "bigint", "required": True, "unique": True},
+            "account_id": {"source_column": "o_custkey", "type": "bigint", "required": True},
+            "state": {"source_column": "o_orderstatus", "accepted_values": ["O", "F"]},
             "priority": {"source_column": "o_orderpriority"},
-            "line_total": {"source_column": "o_totalprice", "type": MONEY, "cast": True},
-            "order_date": {"source_column": "o_orderdate", "type": "date", "cast": True},
-            "order_year": {"expr": "year(o_orderdate)"},
+            "billed": {"source_column": "o_totalprice", "type": MONEY, "cast": True},
+            "placed_on": {"source_column": "o_orderdate", "type": "date", "cast": True},
+            "urgency": {"expr": "cast(left(o_orderpriority, 1) as int)"},
         },
     },
-    "stg_lineitem": {
+    "ticket_lines": {
         "source": "lineitem",
         "columns": {
-            "l_orderkey": "bigint",
-            "l_linenumber": "int",
+            "ticket_id": {"source_column": "l_orderkey", "type": "bigint"},
+            "line_no": {"source_column": "l_linenumber", "type": "int"},
             "flag": {"source_column": "l_returnflag"},
-            "quantity": {"source_column": "l_quantity", "type": MONEY, "cast": True},
-            "price": {"source_column": "l_extendedprice", "type": MONEY, "cast": True},
-            "discount": {"source_column": "l_discount", "type": "decimal(4,2)", "cast": True},
-            "net": {"expr": "price * (1 - discount)", "type": "decimal(18,4)", "cast": True},
+            "units": {"source_column": "l_quantity", "type": MONEY, "cast": True},
+            "list_price": {"source_column": "l_extendedprice", "type": MONEY, "cast": True},
+            "rebate": {"source_column": "l_discount", "type": "decimal(4,2)", "cast": True},
+            "net": {"expr": "list_price * (1 - rebate)", "type": "decimal(18,4)", "cast": True},
         },
     },
-    "customer_clean": {
-        "source": "stg_customers",
-        "materialized": "table",
-        "version": "v2",
-        "quarantine": "balance < 0",
+    "line_totals": {
+        "source": "ticket_lines",
+        "group_by": ["ticket_id"],
         "columns": {
-            "customer_id": {"type": "bigint", "required": True},
-            "customer_name": None,
-            "nation_id": None,
-            "segment": None,
-            "balance": None,
+            "ticket_id": None,
+            "lines": {"expr": "count(*)"},
+            "largest": {"expr": "max(units)"},
+            "lines_net": {"expr": "sum(net)"},
         },
     },
-    "customer_orders": {
-        "sources": {"c": "customer_clean", "o": "stg_orders"},
-        "join": "c.customer_id = o.customer_id",
-        "broadcast": "c",
-        "materialized": "table",
+    "ticket_gaps": {
+        "sources": {"t": "tickets", "l": "line_totals"},
+        "join": "t.ticket_id = l.ticket_id",
+        "join_type": "left",
         "columns": {
-            "customer_id": {"from": "c"},
-            "customer_name": {"from": "c"},
-            "segment": {"from": "c"},
-            "order_id": {"from": "o"},
-            "status": {"from": "o"},
-            "line_total": {"from": "o"},
-            "order_date": {"from": "o"},
+            "ticket_id": {"from": "t"},
+            "account_id": {"from": "t"},
+            "billed": {"from": "t"},
+            "lines": {"expr": "coalesce(l.lines, 0)"},
+            "gap": {"expr": "t.billed - coalesce(l.lines_net, 0)"},
+            "kind": {"expr": "case when l.lines is null then 'empty' when t.billed < l.lines_net then 'under' else 'over' end"},
         },
     },
-    "customer_summary": {
-        "source": "customer_orders",
+    "solvent": {
+        "source": "accounts",
+        "materialized": "table",
+        "version": "v2",
+        "quarantine": "balance < 0",
+        "columns": {"account_id": {"type": "bigint", "required": True}, "nation_id": None, "segment": None, "balance": None},
+    },
+    "account_gaps": {
+        "sources": {"a": "solvent", "g": "ticket_gaps"},
+        "join": "a.account_id = g.account_id",
+        "broadcast": "a",
         "materialized": "table",
-        "group_by": ["customer_id", "customer_name", "segment"],
+        "group_by": ["a.account_id", "a.segment"],
         "columns": {
-            "customer_id": None,
-            "customer_name": None,
-            "segment": None,
-            "total_orders": {"expr": "count(order_id)"},
-            "total_revenue": {"expr": "sum(line_total)"},
-            "first_order_date": {"expr": "min(order_date)"},
-            "last_order_date": {"expr": "max(order_date)"},
-            "tier": {"udf": "loyalty_tier(total_revenue / 1000)"},
+            "account_id": {"from": "a"},
+            "segment": {"from": "a"},
+            "tickets": {"expr": "count(g.ticket_id)"},
+            "total_gap": {"expr": "sum(g.gap)"},
+            "widest": {"expr": "max(g.gap)"},
+            "grade": {"udf": "loyalty_tier(total_gap / 1000)"},
         },
     },
 }
@@ -161,15 +164,15 @@ def _portable(df: DataFrame) -> DataFrame:
 
 
 def stage_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return _portable(_models(spark, sf, "stg_customers")["stg_customers"])
+    return _portable(_models(spark, sf, "accounts")["accounts"])
 
 
 def stage_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _portable(_models(spark, sf, "stg_orders")["stg_orders"])
+    return _portable(_models(spark, sf, "tickets")["tickets"])
 
 
 def stage_lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    return _portable(_models(spark, sf, "stg_lineitem")["stg_lineitem"])
+    return _portable(_models(spark, sf, "ticket_lines")["ticket_lines"])
 
 
 def contract_transform(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,9 +192,8 @@ def contract_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_customers(spark: SparkSession, sf: str, keep_bad: bool) -> tuple[DataFrame, DataFrame]:
-    staged = _models(spark, sf, "stg_customers")["stg_customers"]
-    rule = SPECS["customer_clean"]["quarantine"]
-    return split(staged, rule, "customer_clean", RUN, keep_bad)
+    staged = _models(spark, sf, "accounts")["accounts"]
+    return split(staged, SPECS["solvent"]["quarantine"], "solvent", RUN, keep_bad)
 
 
 def quarantine_customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +219,9 @@ def quarantine_null_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enrich_orders(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("stg_customers", "stg_orders", "customer_clean", "customer_orders")
-    return _portable(_models(spark, sf, *names)["customer_orders"])
+    """Tickets with what their lines come to; tickets without lines stay."""
+    names = ("tickets", "ticket_lines", "line_totals", "ticket_gaps")
+    return _portable(_models(spark, sf, *names)["ticket_gaps"])
 
 
 def nway_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,8 +334,8 @@ def salted_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_summary(spark: SparkSession, sf: str, **options) -> DataFrame:
-    names = ("stg_customers", "stg_orders", "customer_clean", "customer_orders", "customer_summary")
-    return _portable(_models(spark, sf, *names, **options)["customer_summary"])
+    """One row for each account: its tickets and what they were billed too much, graded by a SQL function."""
+    return _portable(_models(spark, sf, **options)["account_gaps"])
 
 
 def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,11 +432,11 @@ def customer_content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lineage_flat(spark: SparkSession, sf: str, mode: str = "full") -> DataFrame:
-    staged = _models(spark, sf, "stg_orders", lineage_mode=mode)["stg_orders"]
+    staged = _models(spark, sf, "tickets", lineage_mode=mode)["tickets"]
     fields = ("schema_version", "model", "sources", "git_commit", "contract_id", "version", "lineage_mode")
     entries = F.col("_lineage.columns")
     return staged.select(
-        "order_id",
+        "ticket_id",
         *[F.col(f"_lineage.{f}").alias(f) for f in fields],
         F.size(entries).cast("long").alias("derived_columns"),
         entries[0]["op"].alias("first_op"),
@@ -448,22 +451,19 @@ def lineage_lightweight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lineage_operations(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows per model, output column and operation, over all columns of two stored models."""
-    languages_needed = ("stg_customers", "stg_orders", "customer_clean", "customer_orders", "customer_summary")
-    models = _models(spark, sf, *languages_needed, all_columns=True)
-    chosen = [models[n].select("_lineage") for n in ("stg_orders", "customer_summary")]
-    entries = chosen[0].unionByName(chosen[1]).select(
-        F.col("_lineage.model").alias("model"), F.explode("_lineage.columns").alias("entry")
-    )
+    """Rows per model, output column and operation, over all columns of all models."""
+    models = _models(spark, sf, all_columns=True, lineage_mode="lightweight")
+    every = reduce(DataFrame.unionByName, [models[n].select("_lineage") for n in SPECS])
+    entries = every.select(F.col("_lineage.model").alias("model"), F.explode("_lineage.columns").alias("entry"))
     return entries.groupBy("model", F.col("entry.name").alias("name"), F.col("entry.op").alias("op")).agg(
         F.count(F.lit(1)).alias("rows")
     )
 
 
 def origin_stamp(spark: SparkSession, sf: str) -> DataFrame:
-    staged = _models(spark, sf, "stg_customers")["stg_customers"]
+    staged = _models(spark, sf, "accounts")["accounts"]
     return staged.select(
-        "customer_id",
+        "account_id",
         F.col("_lineage.origin.type").alias("origin_type"),
         F.col("_lineage.origin.path").alias("origin_path"),
         F.col("_lineage.origin.loaded_at").cast("timestamp_ntz").alias("loaded_at"),
@@ -471,9 +471,8 @@ def origin_stamp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def challenge_summary(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("stg_customers", "stg_orders", "customer_clean", "customer_orders", "customer_summary")
-    models = _models(spark, sf, *names)
-    found = data_challenge(models["customer_summary"], "customer_summary", "total_revenue", "tier = 'GOLD'")
+    models = _models(spark, sf)
+    found = data_challenge(models["account_gaps"], "account_gaps", "total_gap", "grade = 'GOLD'")
     return _portable(found)
 
 
@@ -482,7 +481,7 @@ def lineage_upgrade(spark: SparkSession, sf: str) -> DataFrame:
     orders = _table(spark, sf, "orders")
     old = F.struct(
         F.lit("3").alias("schema_version"),
-        F.lit("stg_orders").alias("model"),
+        F.lit("old_orders").alias("model"),
         F.when(F.col("o_orderstatus") == "O", F.lit("orders")).alias("sources"),
         F.array(
             F.struct(
@@ -501,53 +500,80 @@ def lineage_upgrade(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _stored_models(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    names = ("stg_customers", "stg_orders", "customer_clean", "customer_orders", "customer_summary")
-    models = _models(spark, sf, *names, all_columns=True, lineage_mode="lightweight")
-    return {n: models[n] for n in names}
+def lineage_edge_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges that the rows of all models carry."""
+    models = _models(spark, sf, all_columns=True, lineage_mode="lightweight")
+    return lineage_edges({n: models[n] for n in SPECS}).drop("expression")
 
 
-def lineage_edge_table(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage_edges(_stored_models(spark, sf)).drop("expression")
+def _recorded(spark: SparkSession, sf: str, registry: str, run_key: str, specs: dict, run: Run = RUN) -> dict[str, int]:
+    """All models of ``specs`` built, stored and entered in the registry."""
+    tables = _load(spark, sf, "customer", "orders", "lineitem")
+    languages = register_udfs(spark, {"loyalty_tier": STANDARD_UDFS["loyalty_tier"]})
+    built = build_models(specs, tables, run=run, udf_languages=languages, lineage_mode="lightweight")
+    return store_models(specs, built, tables, registry, run_key, run, _database(spark), languages)
 
 
 def column_trace(spark: SparkSession, sf: str) -> DataFrame:
-    edges = lineage_edges(_stored_models(spark, sf))
-    return trace_column(edges, "customer_summary", "tier").drop("expression")
+    """Where an account's grade comes from, as it was recorded when the models were stored."""
+    registry = scratch_path(spark, "registry")
+    _recorded(spark, sf, registry, "first", SPECS)
+    return trace_recorded(read_registry(spark, registry, "first"), "account_gaps", "grade").drop("expression")
 
 
 def column_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return provenance_registry(_stored_models(spark, sf)).where("target_model = 'customer_orders'")
+    """Every input of every column of all models, with the run that recorded it and the rows of the model."""
+    registry = scratch_path(spark, "registry")
+    _recorded(spark, sf, registry, "first", SPECS)
+    columns = ("target_model", "target_column", "source_model", "source_column", "model_rows", "git_commit", "deployed_at")
+    return read_registry(spark, registry).select(*columns).distinct()
+
+
+def registry_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry after two runs, the second of which was repeated: it has another definition of the gap and
+    fewer models."""
+    registry = scratch_path(spark, "registry")
+    _recorded(spark, sf, registry, "first", SPECS)
+    names = ("tickets", "ticket_lines", "line_totals", "ticket_gaps")
+    changed = {n: SPECS[n] for n in names}
+    gap = {"expr": "t.billed - coalesce(l.largest, 0)"}
+    changed["ticket_gaps"] = {**SPECS["ticket_gaps"], "columns": {**SPECS["ticket_gaps"]["columns"], "gap": gap}}
+    later = Run(git_commit="def5678", deployed_at="2024-02-29 00:00:00", as_of=RUN.as_of)
+    for _ in range(2):
+        _recorded(spark, sf, registry, "second", changed, later)
+    entries = read_registry(spark, registry).where("target_model = 'ticket_gaps'")
+    columns = ("_run", "target_column", "op", "source_model", "source_column", "model_rows", "git_commit")
+    return entries.select(*columns)
 
 
 # --- quality ------------------------------------------------------------------------------------
 
 
 ORDER_CHECKS = [
-    {"name": "total_range", "type": "range", "column": "line_total", "min": 2000, "max": 499000, "severity": "error"},
-    {"name": "unbounded", "type": "range", "column": "line_total"},
-    {"name": "fresh_7_days", "type": "recency", "column": "order_date", "max_age": "7 days"},
-    {"name": "fresh_24_hours", "type": "recency", "column": "order_date"},
+    {"name": "total_range", "type": "range", "column": "billed", "min": 2000, "max": 499000, "severity": "error"},
+    {"name": "unbounded", "type": "range", "column": "billed"},
+    {"name": "fresh_7_days", "type": "recency", "column": "placed_on", "max_age": "7 days"},
+    {"name": "fresh_24_hours", "type": "recency", "column": "placed_on"},
     {"name": "has_rows", "type": "row_count", "min": 1, "severity": "error"},
     {"name": "has_many_rows", "type": "row_count", "min": 1000000000},
     {"name": "priority_format", "type": "regex", "column": "priority", "pattern": "^[1-3]-"},
-    {"name": "unique_customer", "type": "unique", "column": "customer_id"},
+    {"name": "unique_customer", "type": "unique", "column": "account_id"},
     {
-        "name": "customer_exists", "type": "relationships", "column": "customer_id",
-        "to": "customer_clean", "field": "customer_id", "severity": "error",
+        "name": "customer_exists", "type": "relationships", "column": "account_id",
+        "to": "solvent", "field": "account_id", "severity": "error",
     },
     {
         "name": "late_open_orders", "type": "custom_sql",
-        "sql": "SELECT count(*) FROM {stg_orders} WHERE status = 'O' AND order_year < 1996",
+        "sql": "SELECT count(*) FROM {tickets} WHERE state = 'O' AND year(placed_on) < 1996",
     },
 ]
 
 
 def check_results(spark: SparkSession, sf: str) -> DataFrame:
-    orders = _models(spark, sf, "stg_orders", lineage_mode=None)["stg_orders"]
-    clean, _ = _split_customers(spark, sf, False)
-    spec = {**SPECS["stg_orders"], "checks": ORDER_CHECKS}
-    return check_model(orders, "stg_orders", spec, {"customer_clean": clean}, RUN)
+    tickets = _models(spark, sf, "tickets", lineage_mode=None)["tickets"]
+    solvent, _ = _split_customers(spark, sf, False)
+    spec = {**SPECS["tickets"], "checks": ORDER_CHECKS}
+    return check_model(tickets, "tickets", spec, {"solvent": solvent}, RUN)
 
 
 def check_dimensions(spark: SparkSession, sf: str) -> DataFrame:
@@ -573,26 +599,24 @@ def lineitem_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 def reconcile_clean_customers(spark: SparkSession, sf: str) -> DataFrame:
     clean, _ = _split_customers(spark, sf, False)
-    staged = _models(spark, sf, "stg_customers")["stg_customers"]
+    staged = _models(spark, sf, "accounts")["accounts"]
     rows = [
-        reconcile_counts(staged, clean, "stg_to_clean_customers", "stg_customers", "customer_clean", run=RUN),
-        reconcile_counts(staged, staged, "same", "stg_customers", "stg_customers", run=RUN),
-        reconcile_counts(clean, staged, "gained", "customer_clean", "stg_customers", run=RUN),
-        reconcile_counts(clean, staged, "gained_abs", "customer_clean", "stg_customers", symmetric=True, run=RUN),
+        reconcile_counts(staged, clean, "lost", "accounts", "solvent", run=RUN),
+        reconcile_counts(staged, staged, "same", "accounts", "accounts", run=RUN),
+        reconcile_counts(clean, staged, "gained", "solvent", "accounts", run=RUN),
+        reconcile_counts(clean, staged, "gained_abs", "solvent", "accounts", symmetric=True, run=RUN),
     ]
     return _portable(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
 
 
 def reconcile_revenue(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("stg_customers", "stg_orders", "customer_clean", "customer_orders", "customer_summary")
-    models = _models(spark, sf, *names)
+    models = _models(spark, sf)
     same = reconcile_totals(
-        models["customer_summary"], "sum(total_revenue)", models["customer_orders"], "sum(line_total)",
-        "revenue_match", "0.0001",
+        models["account_gaps"], "sum(total_gap)", models["ticket_gaps"], "sum(gap)", "gap_match", "0.0001",
     )
     other = reconcile_totals(
-        models["customer_summary"], "cast(count(*) as decimal(38,2))",
-        models["stg_orders"], "cast(count(*) as decimal(38,2))", "row_match", 1,
+        models["account_gaps"], "cast(count(*) as decimal(38,2))",
+        models["tickets"], "cast(count(*) as decimal(38,2))", "row_match", 1,
     )
     return _portable(same).unionByName(_portable(other))
 
@@ -953,7 +977,7 @@ def _database(spark: SparkSession) -> str:
 
 def prior_version(spark: SparkSession, sf: str) -> DataFrame:
     """A table replaced by a plan that reads it; the version before stays readable."""
-    table = f"{_database(spark)}.customer_clean"
+    table = f"{_database(spark)}.customers"
     replace_table(_table(spark, sf, "customer"), table)
     replace_table(spark.table(table).where("c_acctbal >= 0"), table)
     sides = spark.table(table).withColumn("side", F.lit("current")).unionByName(
@@ -968,11 +992,11 @@ def prior_version(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_model(spark: SparkSession, sf: str) -> DataFrame:
     """A model stored as a table with its quarantine beside it, twice; the second time on fewer rows."""
-    staged = _models(spark, sf, "stg_customers")["stg_customers"]
-    spec = SPECS["customer_clean"]
-    name = f"{_database(spark)}.customer_clean"
+    staged = _models(spark, sf, "accounts")["accounts"]
+    spec = SPECS["solvent"]
+    name = f"{_database(spark)}.solvent"
     for rows in (staged, staged.where("nation_id < 20")):
-        materialise(build_model("customer_clean", spec, {"stg_customers": rows}, RUN), name, spec, RUN)
+        materialise(build_model("solvent", spec, {"accounts": rows}, RUN), name, spec, RUN)
     sides = {
         "model": spark.table(name),
         "previous": read_previous(spark, name),
@@ -990,7 +1014,7 @@ def stored_model(spark: SparkSession, sf: str) -> DataFrame:
 def migrated_table(spark: SparkSession, sf: str) -> DataFrame:
     """A stored table whose rows carry an old lineage struct, rewritten once and only once."""
     table = f"{_database(spark)}.orders"
-    old = F.struct(F.lit("3").alias("schema_version"), F.lit("stg_orders").alias("model"))
+    old = F.struct(F.lit("3").alias("schema_version"), F.lit("old_orders").alias("model"))
     orders = _table(spark, sf, "orders")
     replace_table(orders.select("o_orderkey", "o_orderstatus", old.alias("_lineage")), table)
     rewritten = [migrate_lineage(spark, table) for _ in range(2)]

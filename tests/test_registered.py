@@ -24,4 +24,4 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     result = entry.entry(spark)
-    assert result.columns[0] == "customer_id" and result.count() > 0
+    assert result.columns[0] == "account_id" and result.count() > 0
