@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.columns import ColumnSpec, normalise, quoted
@@ -24,16 +27,22 @@ SCOPES = {
     "accepted_values": "cell",
     "unique": "column",
     "relationships": "column",
+    "cardinality": "column",
+    "monotonic": "column",
 }
 DIMENSIONS = {
     "not_null": "completeness",
     "unique": "uniqueness",
     "accepted_values": "validity",
     "relationships": "consistency",
+    "monotonic": "consistency",
 }
 DEFAULT_DIMENSION = "accuracy"
 SEVERITIES = ("warn", "error")
 
+#: Relative error of the sketch that counts distinct values.
+CARDINALITY_ERROR = 0.02
+
 _REF = re.compile(r"\{\{\s*ref\(\s*['\"](\w+)['\"]\s*\)\s*\}\}")
 
 
@@ -79,6 +88,15 @@ def _row_wise(check: Mapping[str, Any], run: Run) -> Column | None:
         return F.count_if(column.isNotNull() & ~column.rlike(check.get("pattern", ".*")))
     if kind == "not_null":
         return F.count_if(column.isNull())
+    if kind == "cardinality":
+        # a sketch of a few kilobytes for each task, off by CARDINALITY_ERROR at most as a rule
+        distinct = F.approx_count_distinct(column, CARDINALITY_ERROR)
+        outside = F.lit(False)
+        if "min" in check:
+            outside |= distinct < F.lit(int(check["min"]))
+        if "max" in check:
+            outside |= distinct > F.lit(int(check["max"]))
+        return F.when(outside, 1).otherwise(0)
     if kind == "accepted_values":
         return F.count_if(column.isNotNull() & ~column.isin(list(check["values"])))
     return None
@@ -92,6 +110,41 @@ def duplicate_values(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.count_if(F.col("count") > 1).alias("failures"))
 
 
+def falls(df: DataFrame, column: str, order_by: str) -> DataFrame:
+    """One row: how often a value is smaller than the one before it in the order of another column.
+
+    Rows are range-sorted by the order and then the value, so that neither equal places nor a hot one count or
+    gather. Every range is passed once and leaves its own falls and its border values; what falls from one range to
+    the next is seen on the borders, a row for each range. Rows without a value or a place are left out.
+    """
+    pair = df.select(F.col(quoted(order_by)).alias("place"), F.col(quoted(column)).alias("value")).dropna()
+    schema = f"range int, first {pair.dtypes[1][1]}, last {pair.dtypes[1][1]}, falls long"
+
+    def run(batches):
+        first = last = None
+        count = 0
+        for batch in batches:
+            values = batch.column(0)
+            if not len(values):
+                continue
+            if last is not None and values[0].as_py() < last:
+                count += 1
+            first = values[0].as_py() if last is None else first
+            last = values[-1].as_py()
+            count += pc.sum(pc.less(values.slice(1), values.slice(0, len(values) - 1))).as_py() or 0
+        if last is not None:
+            kind = values.type
+            arrays = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], kind), pa.array([last], kind), pa.array([count], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["range", "first", "last", "falls"])
+
+    ordered = pair.repartitionByRange("place", "value").sortWithinPartitions("place", "value")
+    ranges = ordered.select("value").mapInArrow(run, schema)
+    # a window without partitions over one row for each range
+    before = F.lag("last").over(Window.orderBy("range"))
+    borders = ranges.withColumn("border", (F.col("first") < before).cast("long"))
+    return borders.agg(F.coalesce(F.sum("falls") + F.sum(F.coalesce("border", F.lit(0))), F.lit(0)).alias("failures"))
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """One row: how many child rows have a non-null key without a parent. Keys of both sides are
     reduced per task first, so the join sees each key once and a hot key costs nothing."""
@@ -110,12 +163,16 @@ def _separate(
     kind = check["type"]
     if kind == "unique":
         return duplicate_values(df, check["column"])
+    if kind == "monotonic":
+        return falls(df, check["column"], check["order_by"])
     if kind == "relationships":
         return orphans(df, check["column"], tables[check["to"]], check["field"])
     # custom_sql names tables as {name} or {{ ref('name') }}; its one value is the number of failures
     frames = {**tables, model: df}
     query = _REF.sub(r"{\1}", check.get("sql", "SELECT 0"))
     used = {n: frame for n, frame in frames.items() if "{" + n + "}" in query}
+    # all other braces, in literals and patterns, are text
+    query = re.sub(r"\{(\w+)\}|[{}]", lambda m: m[0] if m[1] in used else m[0].replace("{", "{{").replace("}", "}}"), query)
     return df.sparkSession.sql(query, **used).toDF("failures")
 
 
@@ -129,7 +186,7 @@ def run_checks(
     """One row per check: name, type, scope, severity, dimension, failures, status.
 
     All row-wise checks share one aggregate, hence one scan of only the columns they use. ``unique``,
-    ``relationships`` and ``custom_sql`` each add their own small plan. ``tables`` holds the parents.
+    ``relationships``, ``monotonic`` and ``custom_sql`` each add their own small plan. ``tables`` holds the parents.
     """
     fused: list[tuple[Mapping[str, Any], Column]] = []
     separate: list[tuple[Mapping[str, Any], DataFrame]] = []

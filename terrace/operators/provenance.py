@@ -51,8 +51,9 @@ def _edges(recorded: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     spark = recorded.sparkSession
     words = F.regexp_extract_all(F.col("entry.expression"), F.lit(r"([A-Za-z_]\w*)"))
     names = F.transform("entry.inputs", lambda i: F.element_at(F.split(i, r"\."), -1))
-    # an aggregate records its own output, so its inputs are looked up in its expression
-    names = F.when(F.col("entry.op") == "AGGREGATION", words).otherwise(names)
+    # as in _records_itself
+    computed = ~F.col("entry.op").isin("PASSTHROUGH", "CAST") & (F.col("entry.inputs") == F.array("entry.name"))
+    names = F.when((F.col("entry.op") == "AGGREGATION") | computed, words).otherwise(names)
     candidates = (
         recorded.select("*", F.explode("entries").alias("entry"))
         .withColumn("source_column", F.explode(F.array_distinct(names)))
@@ -65,11 +66,14 @@ def _edges(recorded: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     upstream = candidates.withColumn("source_model", F.explode(F.split("sources", ", ")))
     unknown = ~F.col("source_model").isin(list(tables)) & (F.col("op") != "AGGREGATION")
     found = upstream.join(schemas, ["source_model", "source_column"], "left_semi").select(*EDGE_COLUMNS).distinct()
-    # what no known source has may be an output of the same model, used as a lateral alias
+    # what no known source has may be an output of the same model, used as a lateral alias, unless that output is made
+    # of a source column of its own name, which expressions see first
     key = ["target_model", "target_column", "source_column"]
+    named = candidates.where("source_column = target_column").select("target_model", "source_column").distinct()
     own = (
         candidates.withColumn("source_model", F.col("target_model"))
         .where("source_column <> target_column")
+        .join(named, ["target_model", "source_column"], "left_anti")
         .join(schemas, ["source_model", "source_column"], "left_semi")
         .join(found, key, "left_anti")
         .select(*EDGE_COLUMNS)
@@ -129,11 +133,17 @@ REGISTRY_DDL = (
 )
 
 
+def _records_itself(op: str, name: str, inputs: Sequence[str]) -> bool:
+    """Values of groups have no single input, so aggregates and what is computed of them record their own output;
+    what they are made of is looked up in their expressions."""
+    return op == "AGGREGATION" or (op not in ("PASSTHROUGH", "CAST") and list(inputs) == [name])
+
+
 def _inputs(entry: Entry, sources: Mapping[str, str], schemas: Mapping[str, Sequence[str]], own: Sequence[str]) -> list[tuple[str, str]]:
     """The (model, column) pairs an entry names. A name with an alias belongs to its source; others to every source
     that has such a column, or else to an earlier output of the model itself."""
     names = list(entry.inputs)
-    if entry.op == "AGGREGATION":  # records its own output, so its inputs are looked up in its expression
+    if _records_itself(entry.op, entry.name, names):
         names = re.findall(r"(?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*", entry.expression)
     found: dict[tuple[str, str], None] = {}
     for name in names:

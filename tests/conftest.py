@@ -32,16 +32,16 @@ def spark():
 @pytest.fixture(scope="session")
 def seeds(spark, tmp_path_factory):
     """The two seed tables, read through the seed scan."""
-    from fixtures import CUSTOMER_COLUMNS, CUSTOMERS_CSV, ORDER_COLUMNS, ORDERS_CSV
+    from fixtures import BED_COLUMNS, BEDS_CSV, HARVEST_COLUMNS, HARVESTS_CSV
 
     from terrace.sources.tables import read_seed
 
     folder = tmp_path_factory.mktemp("seeds")
-    (folder / "customers.csv").write_text(CUSTOMERS_CSV)
-    (folder / "orders.csv").write_text(ORDERS_CSV)
+    (folder / "beds.csv").write_text(BEDS_CSV)
+    (folder / "harvests.csv").write_text(HARVESTS_CSV)
     return {
-        "raw_customers": read_seed(spark, str(folder / "customers.csv"), CUSTOMER_COLUMNS),
-        "raw_orders": read_seed(spark, str(folder / "orders.csv"), ORDER_COLUMNS),
+        "raw_beds": read_seed(spark, str(folder / "beds.csv"), BED_COLUMNS),
+        "raw_harvests": read_seed(spark, str(folder / "harvests.csv"), HARVEST_COLUMNS),
     }
 
 

@@ -305,9 +305,10 @@ def test_lineage_of_a_stored_table_is_migrated_once(spark, table):
 def test_a_stored_model_leaves_its_quarantine_beside_it(spark, table, models):
     from fixtures import SPECS
 
-    stored = materialise(models["customer_clean"], table, SPECS["customer_clean"])
-    assert stored.count() == 10
-    assert sorted(r[0] for r in spark.table(quarantine_name(table)).select("customer_id").collect()) == [2, 3, 7, 9]
+    spec = {**SPECS["beds"], "quarantine": SPECS["tended"]["quarantine"], "materialized": "table"}
+    stored = materialise(models["beds"], table, spec)
+    assert stored.count() == 6
+    assert sorted(r[0] for r in spark.table(quarantine_name(table)).select("bed_id").collect()) == [2, 3]
 
 
 def test_managed_models(spark, tables):
@@ -348,10 +349,10 @@ def test_files_and_sql(spark, tmp_path, seeds):
     assert read_files(spark, f"{tmp_path}/c", "csv", {"id": "int"}, sep=";").agg(F.sum("id")).first()[0] == 3
     with pytest.raises(ValueError):
         read_files(spark, f"{tmp_path}/c", "xml")
-    found = run_sql(spark, "SELECT * FROM {t} WHERE country = {c}", t=seeds["raw_customers"], c="it's")
+    found = run_sql(spark, "SELECT * FROM {t} WHERE crop = {c}", t=seeds["raw_beds"], c="it's")
     assert found.count() == 0
-    assert seeds["raw_customers"].where("customer_id = 2").first()["email"] is None
-    assert seeds["raw_orders"].where("order_id = 1001").first()["order_date"] == date(2024, 3, 1)
+    assert seeds["raw_beds"].where("bed_id = 2").first()["keeper"] is None
+    assert seeds["raw_harvests"].where("harvest_id = 501").first()["picked"] == date(2025, 6, 14)
 
 
 def test_seed_with_a_bad_value_fails(spark, tmp_path):

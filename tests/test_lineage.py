@@ -1,3 +1,4 @@
+import uuid
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,10 @@ from terrace.operators.lineage import (
     LINEAGE_DDL, Run, column_entries, data_challenge, operation, referenced_columns, upgrade_lineage,
     with_lineage,
 )
-from terrace.operators.provenance import lineage_edges, provenance_registry, trace_column
+from terrace.functions.udfs import STANDARD_UDFS, register_udfs
+from terrace.operators.provenance import (
+    lineage_edges, provenance_registry, read_registry, store_models, trace_column, trace_recorded,
+)
 from terrace.plans.model import build_model, build_models
 from pyspark.sql import types as T
 
@@ -18,7 +22,7 @@ def entries(df, **where):
 
 
 def test_struct_shape(models):
-    stored = models["customer_summary"].schema["_lineage"].dataType
+    stored = models["bed_yield"].schema["_lineage"].dataType
     canonical = T.DataType.fromDDL(LINEAGE_DDL)
     assert stored.simpleString() == canonical.simpleString()
 
@@ -58,9 +62,9 @@ def test_inputs_are_source_values(spark):
 
 
 def test_aggregates_record_their_result(models):
-    found = entries(models["customer_summary"].where("customer_id = 4"))
-    assert found["total_revenue"]["inputs"] == {"total_revenue": "1098.96"}
-    assert found["tier"]["inputs"] == {"total_revenue": "1098.96"} and found["tier"]["op"] == "SQL_UDF"
+    found = entries(models["bed_yield"].where("bed_id = 4"))
+    assert found["earned"]["inputs"] == {"earned": "128.22000"}
+    assert found["grade"]["inputs"] == {"earned": "128.22000"} and found["grade"]["op"] == "SQL_UDF"
 
 
 def test_operation_labels():
@@ -106,26 +110,26 @@ def test_same_run_gives_same_rows(models, seeds):
     from fixtures import SPECS
 
     run = Run("abc", "2024", as_of=datetime(2024, 1, 1))
-    spec = {**SPECS["stg_orders"], "origin": {"type": "seed"}}
-    first = build_model("stg_orders", spec, seeds, run)
-    again = build_model("stg_orders", spec, seeds, run)
-    assert first.orderBy("order_id").collect() == again.orderBy("order_id").collect()
+    spec = {**SPECS["pickings"], "origin": {"type": "seed"}}
+    first = build_model("pickings", spec, seeds, run)
+    again = build_model("pickings", spec, seeds, run)
+    assert first.orderBy("harvest_id").collect() == again.orderBy("harvest_id").collect()
 
 
 def test_data_challenge(models):
-    found = data_challenge(models["customer_summary"], "customer_summary", "total_revenue", "customer_id = 4")
+    found = data_challenge(models["bed_yield"], "bed_yield", "earned", "bed_id = 4")
     assert found.columns == [
         "challenged_model", "challenged_column", "_lineage_model", "_lineage_sources", "_lineage_git_commit",
         "_lineage_deployed_at", "_lineage_compute_type", "_lineage_contract_id", "_lineage_version",
         "_lineage_schema_version", "challenged_value",
     ]
     row = found.first()
-    assert row["challenged_value"] == SUMMARY_4 and row["_lineage_sources"] == "customer_orders"
+    assert row["challenged_value"] == EARNED_4 and row["_lineage_sources"] == "tended, pickings"
 
 
 from decimal import Decimal  # noqa: E402
 
-SUMMARY_4 = Decimal("1098.96")
+EARNED_4 = Decimal("128.22")
 
 
 def test_upgrade_of_old_and_current_rows(spark):
@@ -163,26 +167,57 @@ def test_edges_and_trace(stored):
     edges = lineage_edges(stored)
     trace = {
         (r["target_model"], r["target_column"], r["source_model"], r["source_column"], r["depth"])
-        for r in trace_column(edges, "customer_summary", "tier").collect()
+        for r in trace_column(edges, "bed_yield", "grade").collect()
     }
     assert trace == {
-        ("customer_summary", "tier", "customer_summary", "total_revenue", 1),
-        ("customer_summary", "total_revenue", "customer_orders", "line_total", 2),
-        ("customer_orders", "line_total", "stg_orders", "line_total", 3),
-        ("stg_orders", "line_total", "raw_orders", "quantity", 4),
-        ("stg_orders", "line_total", "raw_orders", "unit_price", 4),
+        ("bed_yield", "grade", "bed_yield", "earned", 1),
+        ("bed_yield", "earned", "pickings", "proceeds", 2),
+        ("pickings", "proceeds", "raw_harvests", "kilos", 3),
+        ("pickings", "proceeds", "raw_harvests", "price_per_kilo", 3),
     }
-    assert trace_column(edges, "customer_summary", "nothing").count() == 0
+    assert trace_column(edges, "bed_yield", "nothing").count() == 0
 
 
 def test_registry(stored):
-    rows = provenance_registry({"stg_orders": stored["stg_orders"]}).collect()
+    rows = provenance_registry({"pickings": stored["pickings"]}).collect()
     assert {r["git_commit"] for r in rows} == {"unknown"}
-    assert ("line_total", "raw_orders", "quantity") in {
+    assert ("proceeds", "raw_harvests", "kilos") in {
         (r["target_column"], r["source_model"], r["source_column"]) for r in rows
     }
 
 
+def test_lineage_is_recorded_when_models_are_stored(spark, seeds, tmp_path):
+    from fixtures import SPECS
+
+    database, registry = f"t_{uuid.uuid4().hex}", f"{tmp_path}/registry"
+    spark.sql(f"CREATE DATABASE {database}")
+    languages = register_udfs(spark, STANDARD_UDFS)
+
+    def store(key, specs, commit):
+        run = Run(commit, as_of=datetime(2025, 1, 1))
+        return store_models(specs, build_models(specs, seeds, run=run, udf_languages=languages), seeds, registry, key, run, database, languages)
+
+    assert store("one", SPECS, "c1") == {"beds": 6, "pickings": 9, "tended": 6, "bed_yield": 6, "crop_yield": 4}
+    for _ in range(2):  # a repeated run replaces its own entries
+        store("two", {n: SPECS[n] for n in ("beds", "pickings")}, "c2")
+    entries = read_registry(spark, registry)
+    assert {(r["_run"], r["git_commit"]): r["count"] for r in entries.groupBy("_run", "git_commit").count().collect()} == {
+        ("one", "c1"): 28, ("two", "c2"): 14,
+    }
+    found = trace_recorded(read_registry(spark, registry, "one"), "crop_yield", "total").collect()
+    assert {(r["target_model"], r["target_column"], r["source_model"], r["source_column"], r["model_rows"], r["depth"]) for r in found} == {
+        ("crop_yield", "total", "bed_yield", "earned", 4, 1),
+        ("bed_yield", "earned", "pickings", "proceeds", 6, 2),
+        ("pickings", "proceeds", "raw_harvests", "kilos", 9, 3),
+        ("pickings", "proceeds", "raw_harvests", "price_per_kilo", 9, 3),
+    }
+    assert spark.table(f"{database}.bed_yield").count() == 6
+    # a column that passes through has one source, though both have one of its name
+    passed = entries.where("_run = 'one' AND target_model = 'bed_yield' AND target_column = 'bed_id'").collect()
+    assert [(r["source_model"], r["source_column"]) for r in passed] == [("tended", "bed_id")]
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def test_diamond_is_traced_once(spark):
     t = spark.createDataFrame([(1,)], "a int")
     specs = {

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 from plans import plan_of
-from fixtures import CUSTOMER_COLUMNS, SUMMARY
+from fixtures import BED_COLUMNS, CROPS, YIELD
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,20 +23,14 @@ def ids(df, column="customer_id"):
     return sorted(r[0] for r in df.select(column).collect())
 
 
-def test_summary_of_the_seeds(models):
-    rows = models["customer_summary"].collect()
-    found = {
-        r["customer_id"]: (
-            r["total_orders"], r["total_revenue"], r["first_order_date"], r["last_order_date"], r["tier"],
-        )
-        for r in rows
-    }
-    assert found == SUMMARY
-    assert sum(r["total_revenue"] for r in rows) == Decimal("3517.72")
+def test_yield_of_the_seeds(models):
+    rows = models["bed_yield"].collect()
+    assert {r["bed_id"]: (r["times"], r["earned"], r["best"], r["last_picked"], r["grade"]) for r in rows} == YIELD
+    assert {r["crop"]: (r["beds"], r["total"]) for r in models["crop_yield"].collect()} == CROPS
 
 
 def test_column_order_follows_the_model(models):
-    assert models["customer_summary"].columns[-3:] == ["last_order_date", "tier", "_lineage"]
+    assert models["bed_yield"].columns[-3:] == ["last_picked", "grade", "_lineage"]
 
 
 def test_udf_wins_over_expr_and_expr_over_source(spark):
@@ -137,7 +131,7 @@ def test_join_types():
 
 
 def test_broadcast_only_below_the_limit(models, spark, seeds):
-    assert "BroadcastHashJoin" in plan_of(models["customer_orders"])
+    assert "BroadcastHashJoin" in plan_of(models["bed_yield"])
     left = spark.range(10**7).withColumnRenamed("id", "a")
     right = spark.range(10**7).withColumnRenamed("id", "b")
     joined = join_sources({"l": left, "r": right}, "l.a = r.b", broadcast="r", broadcast_limit=1000)
@@ -236,7 +230,7 @@ def test_python_functions(spark):
 
 
 def test_sql_function_is_inlined(models):
-    plan = plan_of(models["customer_summary"].drop("_lineage"))
+    plan = plan_of(models["bed_yield"].drop("_lineage"))
     assert "CASE WHEN" in plan and "loyalty_tier" not in plan
 
 
@@ -273,15 +267,15 @@ def test_many_bad_rows_are_counted_not_listed(spark):
 
 
 def test_contracted_transform_and_udf(spark):
-    t = typed_frame(spark, CUSTOMER_COLUMNS, [(1, "A", "B", "X@Y.Z", None, "UK", Decimal("1.50"))])
-    assert apply_udf(t, CUSTOMER_COLUMNS, "email", F.lower).first()["email"] == "x@y.z"
+    t = typed_frame(spark, BED_COLUMNS, [(1, "leek", None, "NORA", None, Decimal("1.50"), None)])
+    assert apply_udf(t, BED_COLUMNS, "keeper", F.lower).first()["keeper"] == "nora"
     with pytest.raises(ValueError, match="not in the contract"):
-        apply_udf(t, CUSTOMER_COLUMNS, "nope", F.lower)
+        apply_udf(t, BED_COLUMNS, "nope", F.lower)
     with pytest.raises(ValueError, match="the contract says"):
-        apply_udf(t, CUSTOMER_COLUMNS, "revenue", lambda c: c.cast("string"))
+        apply_udf(t, BED_COLUMNS, "area", lambda c: c.cast("string"))
     with pytest.raises(ValueError, match="lacks required"):
-        transform(t, CUSTOMER_COLUMNS, lambda df: df.drop("customer_id"))
-    assert managed_frame(spark, CUSTOMER_COLUMNS, lineage=True).count() == 0
+        transform(t, BED_COLUMNS, lambda df: df.drop("bed_id"))
+    assert managed_frame(spark, BED_COLUMNS, lineage=True).count() == 0
 
 
 def test_grouping_by_outputs_and_aggregates_named_like_their_input(spark):

@@ -5,18 +5,18 @@ import pytest
 from plans import plan_of
 
 from terrace.operators.checks import (
-    column_checks, dimension_summary, duplicate_values, orphans, run_checks,
+    column_checks, dimension_summary, duplicate_values, falls, orphans, run_checks,
 )
 from terrace.operators.lineage import Run
 from terrace.operators.quarantine import split
-from terrace.operators.reconcile import reconcile_counts, reconcile_totals
+from terrace.operators.reconcile import append_log, read_log, reconcile_counts, reconcile_totals
 
-RULE = "email IS NULL OR revenue < 0"
-RUN = Run(git_commit="abc", deployed_at="2024-11-28", as_of=datetime(2024, 11, 28))
+RULE = "keeper IS NULL OR ph < 5.5"
+RUN = Run(git_commit="abc", deployed_at="2025-04-10", as_of=datetime(2025, 4, 10))
 
 
 def ids(df):
-    return sorted(r[0] for r in df.select("customer_id").collect())
+    return sorted(r[0] for r in df.select("bed_id").collect())
 
 
 def failures(results):
@@ -24,58 +24,58 @@ def failures(results):
 
 
 def test_quarantine_copies_bad_rows_and_keeps_them_by_default(models):
-    clean, bad = split(models["stg_customers"], RULE, "customer_clean", RUN)
-    assert ids(bad) == [2, 3, 7, 9] and ids(clean) == list(range(1, 11))
+    clean, bad = split(models["beds"], RULE, "tended", RUN)
+    assert ids(bad) == [2, 3] and ids(clean) == list(range(1, 7))
     assert bad.columns[-3:] == ["_quarantine_source", "_quarantine_git_commit", "_quarantine_detected_at"]
-    assert bad.select("_quarantine_source", "_quarantine_git_commit").first() == ("customer_clean", "abc")
+    assert bad.select("_quarantine_source", "_quarantine_git_commit").first() == ("tended", "abc")
 
 
 def test_quarantine_can_remove_bad_rows(models):
-    clean, _ = split(models["stg_customers"], RULE, "customer_clean", keep_bad=False)
-    assert ids(clean) == [1, 4, 5, 6, 8, 10]
+    clean, _ = split(models["beds"], RULE, "tended", keep_bad=False)
+    assert ids(clean) == [1, 4, 5, 6]
 
 
 def test_a_null_rule_neither_catches_nor_loses_a_row(spark):
-    df = spark.createDataFrame([(1, None), (2, -1), (3, 1)], "customer_id int, revenue int")
-    clean, bad = split(df, "revenue < 0", "m", keep_bad=False)
+    df = spark.createDataFrame([(1, None), (2, -1), (3, 1)], "bed_id int, ph int")
+    clean, bad = split(df, "ph < 0", "m", keep_bad=False)
     assert ids(clean) == [1, 3] and ids(bad) == [2]
 
 
 CHECKS = [
-    {"name": "low", "type": "range", "column": "revenue", "min": 0, "severity": "error"},
-    {"name": "both", "type": "range", "column": "revenue", "min": 0, "max": 1000},
-    {"name": "no_bounds", "type": "range", "column": "revenue"},
-    {"name": "mail", "type": "regex", "column": "email", "pattern": r"^[^@]+@[^@]+\.[^@]+$"},
-    {"name": "fresh", "type": "recency", "column": "signup_date", "max_age": "7 days"},
+    {"name": "sour", "type": "range", "column": "ph", "min": 5.5, "severity": "error"},
+    {"name": "both", "type": "range", "column": "ph", "min": 5.5, "max": 6.5},
+    {"name": "no_bounds", "type": "range", "column": "ph"},
+    {"name": "initial", "type": "regex", "column": "keeper", "pattern": "^[NO]"},
+    {"name": "fresh", "type": "recency", "column": "sown", "max_age": "7 days"},
     {"name": "any_rows", "type": "row_count"},
-    {"name": "many_rows", "type": "row_count", "min": 11},
-    {"name": "has_mail", "type": "not_null", "column": "email"},
-    {"name": "known", "type": "accepted_values", "column": "country", "values": ["UK", "US"]},
-    {"name": "one_country", "type": "unique", "column": "country"},
-    {"name": "ordered", "type": "relationships", "column": "customer_id", "to": "o", "field": "customer_id"},
-    {"name": "sql", "type": "custom_sql", "sql": "SELECT count(*) FROM {m} JOIN {o} USING (customer_id)"},
-    {"name": "ref", "type": "custom_sql", "sql": "select count(*) from {{ ref('m') }} where revenue < 0"},
+    {"name": "many_rows", "type": "row_count", "min": 7},
+    {"name": "kept", "type": "not_null", "column": "keeper"},
+    {"name": "known", "type": "accepted_values", "column": "crop", "values": ["tomato", "leek"]},
+    {"name": "one_crop", "type": "unique", "column": "crop"},
+    {"name": "picked", "type": "relationships", "column": "bed_id", "to": "o", "field": "bed_id"},
+    {"name": "sql", "type": "custom_sql", "sql": "SELECT count(*) FROM {m} JOIN {o} USING (bed_id)"},
+    {"name": "ref", "type": "custom_sql", "sql": "select count(*) from {{ ref('m') }} where ph < 5.5"},
 ]
 
 
 def test_every_check(models):
-    results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
+    results = run_checks(models["beds"], "m", CHECKS, {"o": models["pickings"]}, RUN)
     assert failures(results) == {
-        "low": 2, "both": 6, "no_bounds": 0, "mail": 1, "fresh": 1, "any_rows": 0, "many_rows": 1,
-        "has_mail": 2, "known": 3, "one_country": 3, "ordered": 2, "sql": 10, "ref": 2,
+        "sour": 1, "both": 4, "no_bounds": 0, "initial": 1, "fresh": 1, "any_rows": 0, "many_rows": 1,
+        "kept": 1, "known": 2, "one_crop": 2, "picked": 1, "sql": 8, "ref": 1,
     }
     status = {r["name"]: (r["status"], r["dimension"], r["scope"]) for r in results.collect()}
-    assert status["low"] == ("FAIL", "accuracy", "cell")
-    assert status["mail"] == ("WARN", "accuracy", "cell")
-    assert status["has_mail"] == ("WARN", "completeness", "cell")
-    assert status["one_country"] == ("WARN", "uniqueness", "column")
-    assert status["known"][1] == "validity" and status["ordered"][1] == "consistency"
+    assert status["sour"] == ("FAIL", "accuracy", "cell")
+    assert status["initial"] == ("WARN", "accuracy", "cell")
+    assert status["kept"] == ("WARN", "completeness", "cell")
+    assert status["one_crop"] == ("WARN", "uniqueness", "column")
+    assert status["known"][1] == "validity" and status["picked"][1] == "consistency"
     assert status["any_rows"] == ("PASS", "accuracy", "table")
 
 
 def test_checks_on_an_empty_table(models):
-    empty = models["stg_customers"].where("false")
-    found = failures(run_checks(empty, "m", CHECKS, {"o": models["stg_orders"]}, RUN))
+    empty = models["beds"].where("false")
+    found = failures(run_checks(empty, "m", CHECKS, {"o": models["pickings"]}, RUN))
     assert {n for n, f in found.items() if f} == {"any_rows", "many_rows"}
 
 
@@ -106,7 +106,7 @@ def test_checks_from_columns_and_unknown_ones(spark):
 
 
 def test_dimension_summary(models):
-    results = run_checks(models["stg_customers"], "m", CHECKS, {"o": models["stg_orders"]}, RUN)
+    results = run_checks(models["beds"], "m", CHECKS, {"o": models["pickings"]}, RUN)
     summary = {(r["dimension"], r["status"]): r["checks"] for r in dimension_summary(results).collect()}
     assert summary[("accuracy", "WARN")] == 6 and summary[("accuracy", "FAIL")] == 1
     assert sum(summary.values()) == len(CHECKS)
@@ -123,31 +123,82 @@ def test_hot_keys_are_counted_before_the_shuffle(spark):
     assert hot.first()[0] == expected
 
 
+def test_braces_in_custom_sql_are_text(models):
+    sql = "SELECT count(*) FROM {m} WHERE crop RLIKE '^[a-z]{4}$' AND concat('{', crop, '}') <> '{kale}'"
+    checks = [{"name": "four", "type": "custom_sql", "sql": sql}]
+    assert failures(run_checks(models["beds"], "m", checks)) == {"four": 2}  # both beds of leek
+
+
+def test_cardinality_is_part_of_the_one_scan(spark):
+    df = spark.range(10_000).selectExpr("id", "id % 50 as few", "cast(null as int) as none")
+    checks = [
+        {"name": "all", "type": "cardinality", "column": "id", "min": 9000, "max": 11_000},
+        {"name": "few", "type": "cardinality", "column": "few", "max": 40},
+        {"name": "many", "type": "cardinality", "column": "few", "min": 60},
+        {"name": "none", "type": "cardinality", "column": "none", "min": 1},
+        {"name": "open", "type": "cardinality", "column": "none"},
+    ]
+    assert plan_of(run_checks(df, "m", checks)).count("Range (") == 1
+    assert failures(run_checks(df, "m", checks)) == {"all": 0, "few": 1, "many": 1, "none": 1, "open": 0}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_monotonic(spark, parts):
+    """Against a plain walk, for values with falls at any place, ties, gaps and a hot place."""
+    import random
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for seed in range(4):
+            rng = random.Random(seed)
+            rows = [(rng.choice([None, 5, rng.randrange(300)]), rng.choice([None, k // 3, rng.randrange(200)])) for k in range(500 * (seed > 0))]
+            known = sorted((p, v) for p, v in rows if p is not None and v is not None)
+            want = sum(b[1] < a[1] for a, b in zip(known, known[1:]))
+            df = spark.createDataFrame(rows, "p int, v int")
+            checks = [{"name": "m", "type": "monotonic", "column": "v", "order_by": "p"}]
+            assert failures(run_checks(df, "t", checks)) == {"m": want}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    up = spark.range(1000).selectExpr("id", "current_date() as d", "id * 2 as v")
+    assert falls(up, "v", "id").first()[0] == 0 and falls(up, "d", "id").first()[0] == 0
+
+
+def test_the_log_of_comparisons_grows_by_runs(models, tmp_path):
+    log, beds = f"{tmp_path}/log", models["beds"]
+    for key, other in (("a", beds), ("b", beds.limit(2)), ("b", beds.limit(3)), ("c", beds)):
+        append_log(reconcile_counts(beds, other, f"beds_{key}", "s", "t", run=RUN), log, key)
+    found = read_log(beds.sparkSession, log)
+    assert sorted((r["_run"], r["delta"], r["status"]) for r in found.collect()) == [("a", 0, "PASS"), ("b", 3, "WARN"), ("c", 0, "PASS")]
+    assert "PartitionFilters: [isnotnull(_run" in plan_of(found.where("_run = 'b'"))
+
+
 def test_reconcile_counts(models):
-    staged = models["stg_customers"]
+    staged = models["beds"]
     parity, _ = split(staged, RULE, "m")
     removed, _ = split(staged, RULE, "m", keep_bad=False)
     same = reconcile_counts(staged, parity, "n", "s", "t", run=RUN).first()
-    assert (same["source_count"], same["target_count"], same["delta"], same["status"]) == (10, 10, 0, "PASS")
+    assert (same["source_count"], same["target_count"], same["delta"], same["status"]) == (6, 6, 0, "PASS")
     less = reconcile_counts(staged, removed, "n", "s", "t").first()
-    assert (less["delta"], less["status"]) == (4, "WARN")
-    assert reconcile_counts(staged, removed, "n", "s", "t", warn_limit=3).first()["status"] == "FAIL"
+    assert (less["delta"], less["status"]) == (2, "WARN")
+    assert reconcile_counts(staged, removed, "n", "s", "t", warn_limit=1).first()["status"] == "FAIL"
     gained = staged.unionByName(staged)
     assert reconcile_counts(staged, gained, "n", "s", "t").first()["status"] == "WARN"
     assert reconcile_counts(staged, gained, "n", "s", "t", symmetric=True).first()["status"] == "FAIL"
-    assert same["checked_at"] == datetime(2024, 11, 28)
+    assert same["checked_at"] == datetime(2025, 4, 10)
 
 
 def test_reconcile_needs_no_join(models):
-    plan = plan_of(reconcile_counts(models["stg_customers"], models["stg_orders"], "n", "s", "t"))
+    plan = plan_of(reconcile_counts(models["beds"], models["pickings"], "n", "s", "t"))
     assert "Join" not in plan and "CartesianProduct" not in plan
 
 
 def test_reconcile_totals(models, spark):
-    summary, orders = models["customer_summary"], models["customer_orders"]
-    row = reconcile_totals(summary, "sum(total_revenue)", orders, "sum(line_total)", "n", "0.0001").first()
-    assert row["status"] == "PASS" and row["child_value"] == Decimal("3517.72")
-    off = reconcile_totals(summary, "sum(total_revenue)", orders, "sum(line_total) + 1", "n", "0.5").first()
+    beds, pickings = models["bed_yield"], models["pickings"]
+    known = "sum(proceeds) filter (where bed_id <> 9)"
+    row = reconcile_totals(beds, "sum(earned)", pickings, known, "n", "0.0001").first()
+    assert row["status"] == "PASS" and row["child_value"] == Decimal("523.525")
+    off = reconcile_totals(beds, "sum(earned)", pickings, f"{known} + 1", "n", "0.5").first()
     assert off["status"] == "FAIL" and off["difference"] == 1
     empty = spark.createDataFrame([], "x int")
     assert reconcile_totals(empty, "sum(x)", empty, "sum(x)", "n").first()["status"] == "PASS"
