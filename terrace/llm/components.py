@@ -2,21 +2,21 @@
 
 Each round replaces every link by one to the smallest neighbour, so hubs lose their links instead of gathering
 them, and the number of rounds grows with the logarithm of the size at most. Minima are combined before each
-shuffle, rounds are cut by reliable checkpoints, and the driver sees two numbers of each round.
+shuffle. A round is written as a table, counted while it is written, and the table of the round before goes; the
+driver sees two numbers of each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import math
 
-from .frames import settled
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
+from .frames import Scratch
 
-def _state(links: DataFrame) -> tuple:
-    """Number of links and a checksum of all of them."""
-    digest = F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))
-    return tuple(links.agg(F.count("*"), digest).first())
+#: Links in a file of a round's table, so that few links don't become as many files as there are partitions.
+FILE_LINKS = 100_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,16 +32,29 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("big", F.col("m").alias("small")))
 
 
+def _kept(scratch: Scratch, name: str, links: DataFrame, before: int | None) -> tuple[DataFrame, int, object]:
+    """Distinct links as a table, their number and a checksum of all of them."""
+    counted = Observation()
+    digest = F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))
+    links = links.distinct().observe(counted, F.count("*").alias("n"), digest.alias("digest"))
+    if before is not None:
+        links = links.coalesce(max(1, math.ceil(before / FILE_LINKS)))
+    return scratch.keep(name, links), counted.get["n"], counted.get["digest"]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` has two long columns ``u`` and ``v``; returns ``node`` and ``root``, the smallest node it can reach.
 
     Loops and repeated links count for nothing; nodes that are their own root are left out.
     """
+    scratch = Scratch(links.sparkSession)
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small"))
-    now = settled(ordered.distinct())
-    state = _state(now)
+    now, *state = _kept(scratch, "0", ordered, None)
+    k = 0
     while True:
-        now = settled(_small_star(_large_star(now)).distinct())
-        before, state = state, _state(now)
+        k += 1
+        before = state
+        now, *state = _kept(scratch, str(k), _small_star(_large_star(now)), state[0])
+        scratch.drop(str(k - 1))
         if state == before:
             return now.select(F.col("big").alias("node"), F.col("small").alias("root"))

@@ -81,8 +81,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Remove tables; what was made of them must have been kept by then."""
-        for name in names:
+        """Remove tables, or all of them; what was made of them must have been kept by then."""
+        for name in names or ("",):
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -38,7 +38,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .frames import Scratch, add_columns, settled, ship, texts, unused
+from .frames import Scratch, add_columns, ship, texts, unused
 from .simhash import near_links, shingles, signed
 
 #: Near copies share that many per cent of their sets of shingles of so many words.
@@ -175,15 +175,15 @@ def compared(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("cluster", "part", "other", "side").mapInArrow(run, result)
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
+def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``u``, ``v`` that connect nodes with a fingerprint in common within three bits."""
     names = [f"print_{k}" for k in range(SEEDS)]
     found = None
     for name in names:
         hashed = F.col(name).bitwiseAND(F.lit((1 << 4 * BLOCK_BITS) - 1))
         # one node stands for all with the same fingerprint, and is linked to each of them
-        stands = settled(nodes.groupBy(hashed.alias("fingerprint")).agg(F.min("node").alias("stand")))
-        near = settled(near_links(stands, BLOCK_BITS))
+        stands = scratch.keep(f"stands-{name}", nodes.groupBy(hashed.alias("fingerprint")).agg(F.min("node").alias("stand")))
+        near = scratch.keep(f"near-{name}", near_links(stands, BLOCK_BITS))
         between = near.join(stands.toDF("u", "a"), "u").join(stands.toDF("v", "b"), "v").select("a", "b")
         same = nodes.select(F.col("node").alias("a"), hashed.alias("fingerprint")).join(stands, "fingerprint").where("a <> stand").select("a", F.col("stand").alias("b"))
         found = between.unionAll(same) if found is None else found.unionAll(between).unionAll(same)
@@ -202,18 +202,19 @@ def _dealt(members: DataFrame, blocks: str = "blocks") -> DataFrame:
     return members.withColumns({"part": block, "other": F.lit(0), "side": F.lit(0)})
 
 
-def similar_links(members: DataFrame) -> DataFrame:
+def similar_links(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that join all similar nodes of each cluster.
 
     ``members`` has ``node``, ``cluster``, its number of ``blocks``, ``size`` and ``text``.
     """
-    whole = settled(compared(_dealt(members)))
+    whole = scratch.keep("whole", compared(_dealt(members)))
     links = whole.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
     large = members.where("blocks > 1")
     if large.isEmpty():
         return links
-    level, found = large.select("cluster", "node", "blocks"), whole
+    level, found, depth = large.select("cluster", "node", "blocks"), whole, 0
     while True:
+        depth += 1
         order = Window.partitionBy("cluster", "part").orderBy(F.desc("degree"), "node")
         ranked = found.join(level.select("cluster", "node", "blocks"), ["cluster", "node"]).withColumn("k", F.row_number().over(order))
         ranked = ranked.withColumn("most", F.ceil(F.count("*").over(Window.partitionBy("cluster", "part")) / STANDS))
@@ -221,20 +222,21 @@ def similar_links(members: DataFrame) -> DataFrame:
         sized = members.select("cluster", "node", "size", "text").join(stands, ["cluster", "node"])
         number = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
         fewer = F.greatest(F.least(_blocks(F.col("n"), F.col("s")), F.floor(F.col("before") / 2)), F.lit(1)).cast("int")
-        level = settled(sized.join(number, "cluster").select("cluster", "node", "size", "text", fewer.alias("blocks")))
-        found = settled(compared(_dealt(level)))
+        level = scratch.keep(f"level-{depth}", sized.join(number, "cluster").select("cluster", "node", "size", "text", fewer.alias("blocks")))
+        found = scratch.keep(f"found-{depth}", compared(_dealt(level)))
         links = links.unionAll(found.where("node <> label").select("node", "label"))
         level = level.where("blocks > 1")
         if level.isEmpty():
             break
     roots = connected_components(links)
     grouped = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = settled(grouped.select("cluster", "node", "size", "blocks", "root"))
+    grouped = scratch.keep("grouped", grouped.select("cluster", "node", "size", "blocks", "root"))
     parts = grouped.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main")).select("cluster", "main.root")
-    apart = settled(grouped.join(main.withColumnRenamed("root", "main"), "cluster").where("root <> main").select("cluster", "node", "size", "blocks"))
+    apart = grouped.join(main.withColumnRenamed("root", "main"), "cluster").where("root <> main")
+    apart = scratch.keep("apart", apart.select("cluster", "node", "size", "blocks"))
     number = apart.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    chunks = settled(number.select("cluster", _blocks(F.col("n"), F.col("s")).alias("chunks")))
+    chunks = scratch.keep("chunks", number.select("cluster", _blocks(F.col("n"), F.col("s")).alias("chunks")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = apart.join(chunks, "cluster").join(members.select("node", "text"), "node")
     asking = asking.withColumn("other", F.pmod(F.xxhash64("node", F.lit("asking")), F.col("chunks")).cast("int")).withColumn("part", every("blocks"))
@@ -249,12 +251,13 @@ def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     names = [f"print_{k}" for k in range(SEEDS)]
     added = "node long, size int, " + ", ".join(f"{n} long" for n in names)
     rows = add_columns(own, "text", added, described)
-    rows = settled(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "node", "size", *names))
+    rows = scratch.keep("rows", rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "node", "size", *names))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    nodes = settled(rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]))
-    clusters = connected_components(candidate_links(nodes))
+    nodes = scratch.keep("nodes", rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]))
+    clusters = connected_components(candidate_links(nodes, scratch))
+    scratch.drop(*[f"{kind}-{name}" for kind in ("stands", "near") for name in names])
     together = clusters.select("node", F.col("root").alias("cluster"))
-    together = settled(together.unionAll(clusters.select("root", "root")).distinct())
+    together = scratch.keep("together", together.unionAll(clusters.select("root", "root")).distinct())
     sizes = nodes.join(together, "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = sizes.select("cluster", _blocks(F.col("n"), F.col("s")).alias("blocks"))
     # only texts of nodes that have candidates are fetched, each once
@@ -263,7 +266,7 @@ def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     )
     once = own.select("text", F.xxhash64("text").alias("a"), _id_hash("doc_id").alias("b")).dropDuplicates(["a", "b"])
     members = scratch.keep("members", once.join(wanted, ["a", "b"]).drop("a", "b"))
-    return rows, connected_components(similar_links(members))
+    return rows, connected_components(similar_links(members, scratch))
 
 
 def _id_hash(column: str):
@@ -279,8 +282,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     one, other = unused(docs, "one", "other")
     kept = grouped.groupBy("root").agg(F.min(order).alias("k"))
-    kept = settled(kept.select(F.col("k.text_hash").alias(one), _id_hash("k.doc_id").alias(other)))
-    scratch.drop("members")
+    kept = Scratch(docs.sparkSession).keep("kept", kept.select(F.col("k.text_hash").alias(one), _id_hash("k.doc_id").alias(other)))
+    scratch.drop()
     marked = docs.withColumns({one: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), other: _id_hash(doc_id)})
     # repeated rows go before the shuffle; both steps deal documents by the same two columns, so texts are dealt once
     return marked.dropDuplicates([one, other]).join(kept, [one, other], "leftsemi").drop(one, other)
