@@ -13,9 +13,9 @@ from terrace.operators.contracts import (
     apply_udf, bad_rows, conform, contract_schema, managed_frame, require_valid, transform, typed_frame,
     with_errors,
 )
-from terrace.operators.joins import equal_columns, join_sources, join_type
+from terrace.operators.joins import equal_columns, heavy_keys, join_sources, join_type, spread
 from terrace.plans.model import build_model
-from terrace.sizing import fits_broadcast, size_bound
+from terrace.sizing import fits_broadcast, input_bytes, measured_bytes
 from terrace.types import spark_type
 
 
@@ -139,10 +139,18 @@ def test_broadcast_only_below_the_limit(models, spark, seeds):
     assert "BroadcastHashJoin" in plan_of(join_sources({"l": left, "r": right}, "l.a = r.b", broadcast="r", broadcast_limit=10**9))
 
 
-def test_nothing_bounds_an_exploded_side(spark):
-    grown = spark.range(3).select(F.explode(F.sequence(F.lit(0), F.col("id"))))
-    assert size_bound(grown) is None and not fits_broadcast(grown, 10**12)
-    assert not fits_broadcast(spark.createDataFrame(spark.range(3).rdd), 10**12)
+def test_small_files_may_hold_too_much_for_a_broadcast(spark, tmp_path):
+    """The rows are measured: 100 copies of a long text take little room in a file, and so does what is exploded."""
+    spark.range(100).select("id", F.repeat(F.lit("long text "), 10_000).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert input_bytes(t) < 200_000 and measured_bytes(t, 10**9) > 10**7
+    assert not fits_broadcast(t, 5 * 10**6) and fits_broadcast(t, 10**8) and fits_broadcast(t.select("id"), 10**6)
+    joined = join_sources({"l": spark.range(10).toDF("k"), "r": t}, "l.k = r.id", broadcast="r", broadcast_limit=5 * 10**6)
+    assert "ResolvedHint (strategy=broadcast)" not in joined._jdf.queryExecution().analyzed().toString()
+    grown = t.select(F.explode(F.sequence(F.lit(0), F.lit(10**6))).alias("k"))
+    assert not fits_broadcast(grown, 10**6) and measured_bytes(grown, 10**6) < 3 * 10**6
+    nested = spark.range(5).select(F.array(F.repeat(F.lit("x"), 1000)).alias("a"), F.lit(None).cast("decimal(10,2)").alias("d"))
+    assert 5000 < measured_bytes(nested, 10**6) < 6000
 
 
 HOWS = ("inner", "left", "right", "full", "left_semi", "left_anti")
@@ -163,8 +171,37 @@ def test_salted_join_gives_the_plain_result(spark, how, hot, condition):
     assert salted.where("l.k is null or l.v >= 0").count() == plain.where("l.k is null or l.v >= 0").count()
 
 
+def test_heavy_keys_and_their_rows(spark, tmp_path):
+    """Only hot keys are spread, and equal rows of a file get different salts."""
+    df = spark.range(40_000).selectExpr("if(id % 3 = 0, -1, if(id % 5 = 0, null, id)) k", "cast(id % 2 as string) s")
+    assert heavy_keys(df, ["k"], 8) == [df.where("k = -1").select(F.xxhash64("k")).first()[0]]
+    assert len(heavy_keys(df, ["s"], 8)) == 2 and heavy_keys(df.where("k > 0"), ["k"], 8) == [] and heavy_keys(df.limit(0), ["k"], 8) == []
+    spark.range(1000).selectExpr("7 as k").coalesce(1).write.parquet(f"{tmp_path}/t")
+    same = spark.read.parquet(f"{tmp_path}/t")
+    salts = spread(same.select("k").where("k > 0"), 8).groupBy("__salt").count().collect()
+    assert len(salts) == 8 and min(r["count"] for r in salts) > 60
+    counted = {"source": "t", "sources": {"t": "t", "o": "o"}, "join": "t.k = o.k", "salt": {"t": 8}, "group_by": [], "columns": {"n": {"expr": "count(*)"}}}
+    built = build_model("m", counted, {"t": same, "o": spark.range(20).selectExpr("cast(id as int) as k")}, lineage_mode=None, broadcast_limit=0)
+    assert built.first()[0] == 1000
+    unsalted = join_sources({"l": df.where("k > 0"), "r": df}, "l.k = r.k", salt={"l": 8}, broadcast_limit=0)
+    assert "__salt" not in unsalted.columns
+
+
+@pytest.mark.parametrize("kind", ["inner", "right"])
+@pytest.mark.parametrize("condition", ["r.k2 = h.k3", "r.k2 = h.k3 and h.x % 2 = l.v % 2"])
+def test_a_later_source_can_be_hot(spark, kind, condition):
+    left = spark.range(40).selectExpr("id k", "id % 5 v")
+    right = spark.range(30).selectExpr("id k2", "id w")
+    hot = spark.range(300).selectExpr("if(id % 3 = 0, 7, id % 50) k3", "id x")
+    sources = {"l": left, "r": right, "h": hot}
+    names = ["k", "v", "k2", "w", "k3", "x"]
+    plain = join_sources(sources, ["l.k = r.k2", condition], ["inner", kind]).select(names)
+    salted = join_sources(sources, ["l.k = r.k2", condition], ["inner", kind], salt={"h": 4}, broadcast_limit=0).select(names)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_salted_joins_are_shuffle_joins(spark):
-    left, right = spark.range(90).toDF("k"), spark.range(60).toDF("k2")
+    left, right = spark.range(90).selectExpr("if(id % 3 = 0, 1, id) k"), spark.range(60).selectExpr("if(id % 3 = 0, 1, id) k2")
     for how in HOWS:
         for hot in "lr":
             salted = join_sources({"l": left, "r": right}, "l.k = r.k2", how, salt={hot: 5}, broadcast_limit=0)
@@ -181,10 +218,11 @@ def test_plain_equalities():
         assert equal_columns(other, ["l", "r"]) is None
 
 
-def test_a_third_source_cannot_be_salted(spark):
+def test_what_cannot_be_salted(spark):
     t = spark.range(3)
-    with pytest.raises(ValueError):
-        join_sources({"l": t, "r": t, "s": t}, "l.id = r.id", salt={"s": 4})
+    for how, salt in (("left", {"s": 4}), ("inner", {"nope": 4}), ("inner", {"l": 4, "r": 4})):
+        with pytest.raises(ValueError):
+            join_sources({"l": t, "r": t, "s": t}, ["l.id = r.id", "r.id = s.id"], how, salt=salt)
 
 
 def test_salted_model_reads_only_named_columns(spark):
