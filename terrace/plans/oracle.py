@@ -96,6 +96,13 @@ _ORDER_CHECKS = """
     UNION ALL SELECT 'customer_exists', 'relationships', 'column', 'error', 'consistency',
            (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL
                AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0))
+    UNION ALL SELECT 'many_accounts', 'cardinality', 'column', 'error', 'accuracy',
+           (SELECT CASE WHEN count(DISTINCT o_custkey) < 10 THEN 1 ELSE 0 END FROM orders)
+    UNION ALL SELECT 'few_priorities', 'cardinality', 'column', 'warn', 'accuracy',
+           (SELECT CASE WHEN count(DISTINCT o_orderpriority) > 4 THEN 1 ELSE 0 END FROM orders)
+    UNION ALL SELECT 'numbered_by_date', 'monotonic', 'column', 'warn', 'consistency',
+           (SELECT count(*) FROM (SELECT CAST(o_orderdate AS DATE) < lag(CAST(o_orderdate AS DATE))
+                                         OVER (ORDER BY o_orderkey, CAST(o_orderdate AS DATE)) AS fell FROM orders) WHERE fell)
     UNION ALL SELECT 'late_open_orders', 'custom_sql', 'table', 'warn', 'accuracy',
            (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) < 1996)"""
 

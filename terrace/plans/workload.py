@@ -562,6 +562,9 @@ ORDER_CHECKS = [
         "name": "customer_exists", "type": "relationships", "column": "account_id",
         "to": "solvent", "field": "account_id", "severity": "error",
     },
+    {"name": "many_accounts", "type": "cardinality", "column": "account_id", "min": 10, "severity": "error"},
+    {"name": "few_priorities", "type": "cardinality", "column": "priority", "max": 4},
+    {"name": "numbered_by_date", "type": "monotonic", "column": "placed_on", "order_by": "ticket_id"},
     {
         "name": "late_open_orders", "type": "custom_sql",
         "sql": "SELECT count(*) FROM {tickets} WHERE state = 'O' AND year(placed_on) < 1996",
