@@ -2,211 +2,225 @@
 
 Every item gives windows of ``window`` consecutive words (an item of fewer words is one window). A document
 contains a window only if it contains all of the window's shingles, so one of them is a sufficient prefix for
-the join. Shingles are ordered by rarity, counted over all documents, and each window is joined by its rarest.
-A match at a document's shingle fixes where the window would have to start; length and position bounds drop
-starts outside the document, and the rest is compared word by word.
-
-Documents are read twice, once for the counts and once for the join, and are not shuffled. Items are broadcast
-in blocks of at most ``BLOCK_BYTES`` of text, one pass for each block, so a broadcast never grows with the data.
-
-Null and empty texts have no words and no hits. A repeated item_id occurs if any of its rows does; an item
-without words never does. Documents are answered row by row, so repeated rows get the same answer. Words never
-match across documents. Very long documents are processed whole.
+the join. All steps are joins and aggregates of tables:
+
+1. Items give distinct windows, their shingles, and which items have which window.
+2. The items' shingles are counted over all documents, and each window takes the one that is rarest there.
+3. Documents send the places of these shingles with the words around them. A place fixes where the window would have
+   to begin; length and position bounds drop beginnings outside the document, and the rest is compared word by word.
+4. Hits become spans and items of each distinct text and go back to its documents.
+
+Documents pass through Python twice and are not shuffled, unless their hits are more than ``FOUND_BYTES``. Up to
+``LOOKUP`` shingles are handed to all tasks, which is checked by counting them; beyond that, documents send all their
+shingles and the shuffle join alone sorts them out: the same results in one pass, whatever the size of the benchmark.
+
+Words are ASCII letters and digits and all other characters that are not ASCII, with A-Z lower-cased. Null and empty
+texts have no words and no hits. A repeated item_id occurs if any of its rows does; an item without words never does.
+Documents are answered by their text, so repeated rows get the same answer. Words never match across documents. Very
+long documents are processed whole. Empty tables give empty results or no hits; columns named like new ones are
+replaced, all others pass through.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .frames import add_columns, ship, slices, texts
+from .frames import Scratch, ship, slices, texts, unused, without
 
-BLOCK_BYTES = 32 << 20
 SHINGLE = 3
-MASK = (1 << 63) - 1
+#: Shingles that tasks look up themselves, bytes of hits that are broadcast, words whose hashes a task remembers.
+LOOKUP, FOUND_BYTES, CACHED = 2_000_000, 32 << 20, 1 << 19
+#: Slots of the table that shingles are tried against before they are searched.
+SLOTS = 1 << 22
+#: A word in SQL; letters of either case, as they are not changed there.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: ASCII letters in lower case and digits stay, other ASCII becomes space, bytes of other characters stay.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """Hashes of words, computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
 
-_state: dict = {}
+_hashes = _Hashes()
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-class Index:
-    """The windows of a block of items: word numbers, and for each window its shingles.
-
-    All sizes follow from the items alone. ``by`` holds the windows by their joined shingle once ``choose`` has
-    been given the counts over all documents.
-    """
-
-    def __init__(self, items: list[tuple[object, str]], window: int) -> None:
-        self.window, self.number = window, {}
-        windows: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words_of(text or "")]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows[tuple(ids[k : k + window])].add(item)
-        self.windows = list(windows)
-        self.items = [sorted(windows[w], key=str) for w in self.windows]
-        self.base = len(self.number) + 1
-        self.codes = np.array(sorted({c for w in self.windows for c in self.shingles(w)}), np.int64)
-
-    def shingles(self, window: tuple[int, ...]) -> list[int]:
-        size = min(SHINGLE, len(window))
-        return [self.code(window[k : k + size]) for k in range(len(window) - size + 1)]
-
-    def code(self, words: tuple[int, ...]) -> int:
-        """A number for one to three words, modulo 2**63: equal shingles have equal numbers, and matches are verified."""
-        found = 0
-        for w in words:
-            found = found * self.base + w + 1 & MASK
-        return found
+def codes(words: list[bytes], size: int) -> np.ndarray:
+    """A number for each run of ``size`` words; equal runs have equal numbers, and matches are verified."""
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    found = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        found = (found ^ (found >> np.uint64(29))) * ODD + hashes[k : len(found) + k]
+    return (found ^ (found >> np.uint64(32))).view(np.int64)
 
-    def codes_of(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """The codes of all shingles of ``size`` words, by where they begin; -1 where a word is in no item."""
-        if len(ids) < size:
-            return np.zeros(0, np.int64)
-        found = np.zeros(len(ids) - size + 1, np.int64)
-        known = np.ones(len(found), bool)
-        for k in range(size):
-            part = ids[k : len(found) + k]
-            found = found * self.base + part + 1 & MASK
-            known &= part >= 0
-        return np.where(known, found, -1)
-
-    def sizes(self) -> list[int]:
-        return sorted({min(SHINGLE, len(w)) for w in self.windows})
-
-    def places(self, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``ids`` a shingle of the sorted ``codes`` begins, and which one."""
-        at, which = [], []
-        for size in self.sizes():
-            found = self.codes_of(ids, size)
-            if len(found) and len(codes):
-                place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                hit = np.flatnonzero(codes[place] == found)
-                at.append(hit)
-                which.append(place[hit])
-        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Join each window by its shingle that is rarest in the documents; of equals the smaller number."""
-        by = defaultdict(list)
-        for number, window in enumerate(self.windows):
-            codes = self.shingles(window)
-            offset = min(range(len(codes)), key=lambda k: (counts.get(codes[k], 0), codes[k]))
-            by[codes[offset]].append((number, offset))
-        self.by = {c: by[c] for c in sorted(by)}
-        self.prefix = np.array(list(self.by), np.int64)
-        # the longer window that shares a shingle is laid out in one table of words, padded with -2
-        self.flat = np.full((len(self.windows), max(map(len, self.windows), default=1)), -2, np.int64)
-        for number, window in enumerate(self.windows):
-            self.flat[number, : len(window)] = window
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        lists = list(self.by.values())
-        self.first = np.cumsum([0, *map(len, lists)])
-        self.entry = np.array([e for entries in lists for e in entries], np.int64).reshape(-1, 2)
-
-    def hits(self, values: list[str]) -> list[tuple[int, list[int], np.ndarray]]:
-        """For each text its number of words, the windows that occur, and the words inside them as 0 and 1."""
-        words = [words_of(v) for v in values]
-        get = self.number.get
-        gap = [-1] * self.window  # nothing matches across texts
-        sizes = np.array([len(w) for w in words], np.int64)
-        starts = np.cumsum(sizes + self.window) - sizes - self.window
-        ids = np.array([i for w in words for part in ([get(x, -1) for x in w], gap) for i in part], np.int64)
-        at, which = self.places(ids, self.prefix)
-        times = self.first[which + 1] - self.first[which] if len(which) else np.zeros(0, np.int64)
-        shingle = np.repeat(at, times)
-        within = np.arange(len(shingle)) - np.repeat(np.cumsum(times) - times, times)
-        number, offset = self.entry[np.repeat(self.first[which], times) + within].T if len(shingle) else (shingle, shingle)
-        begin = shingle - offset
-        owner = np.searchsorted(starts, shingle, "right") - 1
-        inside = (begin >= starts[owner]) & (begin + self.length[number] <= starts[owner] + sizes[owner])
-        begin, number, owner = begin[inside], number[inside], owner[inside]
-        same = np.ones(len(begin), bool)
-        for k in range(self.flat.shape[1]):
-            want = self.flat[number, k]
-            same &= (want == -2) | (ids[np.minimum(begin + k, len(ids) - 1)] == want)
-        begin, number, owner = begin[same], number[same], owner[same]
-        marks = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(marks, begin, 1)
-        np.add.at(marks, begin + self.length[number], -1)
-        covered = np.cumsum(marks) > 0
-        found = [[] for _ in values]
-        for doc, n in np.unique(np.stack([owner, number], 1), axis=0).tolist():
-            found[doc].append(n)
-        return [(int(n), f, covered[s : s + n]) for n, f, s in zip(sizes, found, starts)]
-
-
-def shingle_counts(docs: DataFrame, text: str, index: Index) -> dict[int, int]:
-    """How often each shingle of the items occurs in all documents; as many rows as the items have shingles."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = StructType.fromDDL("code long, n long")
+
+class Lookup:
+    """A bounded set of shingle numbers."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.numbers = np.sort(numbers)
+        self.tried = np.zeros(SLOTS, bool)
+        self.tried[self.numbers & SLOTS - 1] = True
+
+    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers found are in the set, and the place there."""
+        maybe = np.flatnonzero(self.tried[found & SLOTS - 1])
+        if not len(maybe):
+            return maybe, maybe
+        place = np.minimum(np.searchsorted(self.numbers, found[maybe]), len(self.numbers) - 1)
+        good = self.numbers[place] == found[maybe]
+        return maybe[good], place[good]
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """``item``, ``words`` (joined by blanks), their number ``n`` and the ``codes`` of their shingles, for each window."""
 
     def run(batches):
-        own = shared.value
-        total = np.zeros(len(own.codes), np.int64)
         for batch in batches:
-            for rows in slices(batch, text):
-                get = own.number.get
-                gap = [-1] * SHINGLE
-                lists = ([get(x, -1) for x in words_of(v or "")] for v in rows.column(0).to_pylist())
-                ids = np.array([i for ids in lists for part in (ids, gap) for i in part], np.int64)
-                total += np.bincount(own.places(ids, own.codes)[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.codes[seen]), pa.array(total[seen])], names=["code", "n"])
+            for rows in slices(batch, "text"):
+                out = [[], [], [], []]
+                for item, text in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist()):
+                    words = words_of(text)
+                    for k in range(max(1, len(words) - window + 1) if words else 0):
+                        part = words[k : k + window]
+                        for column, x in zip(out, (item, b" ".join(part).decode(), len(part), codes(part, min(SHINGLE, len(part))).tolist())):
+                            column.append(x)
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["item", "words", "n", "codes"])
 
-    counted = docs.select(text).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
-    return {r["code"]: r["n"] for r in counted.collect()}
+    ship(items.sparkSession)
+    return items.mapInArrow(run, StructType.fromDDL("item string, words string, n int, codes array<long>"))
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[object, str]]]:
-    """The items in blocks of bounded size. The list of items is the stated query set and is read block by block."""
-    items = items.where(F.length(F.coalesce(F.col(text), F.lit(""))) > 0).select(item_id, text)
-    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    number = -(-size // BLOCK_BYTES)
-    part = F.pmod(F.xxhash64(item_id, text), F.lit(max(1, number)))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(number)]
+def _lookup(numbers: DataFrame, column: str):
+    """The numbers as a broadcast set, or None if they are too many for that."""
+    if numbers.count() > LOOKUP:
+        return None
+    found = numbers.select(column).toArrow().column(0).to_numpy()
+    return numbers.sparkSession.sparkContext.broadcast(Lookup(found.astype(np.int64)))
+
+
+def shingle_counts(own: DataFrame, sizes: list[int], lookup) -> DataFrame:
+    """``code`` and ``n``: occurrences of shingles in all documents, counted per task before the shuffle."""
+
+    def run(batches):
+        known = None if lookup is None else lookup.value
+        total = None if known is None else np.zeros(len(known.numbers), np.int64)
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                lists = [words_of(v) for v in rows.column("text").to_pylist()]
+                found = np.concatenate([codes(words, size) for words in lists for size in sizes] or [np.zeros(0, np.int64)])
+                if known is None:
+                    yield counted(*np.unique(found, return_counts=True))
+                else:
+                    total += np.bincount(known.places(found)[1], minlength=len(total))
+        if known is not None:
+            seen = np.flatnonzero(total)
+            yield counted(known.numbers[seen], total[seen])
+
+    def counted(numbers, n):
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+
+    parts = own.select("text").mapInArrow(run, StructType.fromDDL("code long, n long"))
+    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def shingle_places(own: DataFrame, sizes: list[int], window: int, lookup) -> DataFrame:
+    """Where shingles begin in each text, its number of words, and the words around with the place of the first."""
+    schema = "code long, one long, other long, place int, total int, around string, first int"
+
+    def run(batches):
+        known = None if lookup is None else lookup.value
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                out = [[] for _ in range(7)]
+                for one, other, text in zip(*(rows.column(c).to_pylist() for c in ("one", "other", "text"))):
+                    words = words_of(text)
+                    for size in sizes:
+                        found = codes(words, size)
+                        at = np.arange(len(found)) if known is None else known.places(found)[0]
+                        for k, number in zip(at.tolist(), found[at].tolist()):
+                            first = max(0, k - window + size)
+                            around = b" ".join(words[first : k + window]).decode()
+                            for column, x in zip(out, (number, one, other, k, len(words), around, first)):
+                                column.append(x)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+                names = ["code", "one", "other", "place", "total", "around", "first"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+
+    return own.mapInArrow(run, StructType.fromDDL(schema))
+
+
+def found_in_texts(own: DataFrame, items: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Spans and items of each text that has any (``one`` and ``other`` tell texts apart), and about how many bytes."""
+    rows = scratch.keep("windows", item_windows(items, window))
+    windows = scratch.keep("distinct", rows.groupBy("words").agg(F.first("n").alias("n"), F.first("codes").alias("codes")))
+    shingles = windows.select("words", "n", F.posexplode("codes").alias("offset", "code"))
+    sizes = [r[0] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect()]  # three at most
+    lookup = _lookup(shingles.select("code").distinct(), "code")
+    counts = scratch.keep("counts", shingle_counts(own, sizes, lookup))
+    rarest = F.min_by(F.struct("code", "offset", "n"), F.struct("times", "code", "offset")).alias("best")
+    chosen = shingles.join(counts.withColumnRenamed("n", "times"), "code").groupBy("words").agg(rarest, F.count("*").alias("seen"))
+    # a window with a shingle that no document has occurs in none
+    chosen = chosen.where(F.col("seen") == F.greatest(F.col("best.n") - SHINGLE + 1, F.lit(1))).select("words", "best.*")
+    chosen = scratch.keep("chosen", chosen)
+    places = shingle_places(own, sizes, window, _lookup(chosen.select("code").distinct(), "code"))
+    start = F.col("place") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("n") <= F.col("total"))
+    same = F.concat_ws(" ", F.slice(F.split("around", " "), start - F.col("first") + 1, F.col("n"))) == F.col("words")
+    hits = places.join(chosen, "code").where(inside).where(same)
+    span = F.array(start.cast("long"), (start + F.col("n")).cast("long"))
+    texts_ = hits.groupBy("one", "other").agg(F.collect_set(span).alias("spans"), F.collect_set("words").alias("windows"))
+    texts_ = scratch.keep("texts", texts_)
+    having = rows.select("words", "item").distinct()
+    each = texts_.select("one", "other", F.explode("windows").alias("words")).join(having, "words")
+    named = each.groupBy("one", "other").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = texts_.join(named, ["one", "other"]).select("one", "other", merged_spans("spans").alias("spans"), "items")
+    counted = Observation()
+    size = F.sum(F.size("spans") * 40 + F.octet_length(F.array_join("items", "|")) + F.size("items") * 16 + 64)
+    found = scratch.keep("found", found.observe(counted, size.alias("bytes")))
+    scratch.drop("windows", "distinct", "counts", "chosen", "texts")
+    return found, counted.get["bytes"] or 0
 
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (begin and end of runs of hit words) and ``hit_items`` (sorted as text)."""
-    blocks = item_blocks(items, item_id, item_text)
-    docs = texts(docs, text)
-    found = docs.withColumn("hit_items", F.array().cast("array<string>"))
-    found = found.withColumns({"hit_spans": F.array().cast("array<array<long>>"), "n_words": F.lit(None).cast("long")})
-    for block in blocks or [[]]:
-        index = Index(block, window)
-        index.choose(shingle_counts(docs, text, index) if index.windows else {})
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def make(values, shared=shared):
-            own = shared.value
-            answers = own.hits(values)
-            spans = [np.flatnonzero(np.diff(np.r_[0, c.astype(np.int8), 0])).reshape(-1, 2).tolist() for _, _, c in answers]
-            items_ = [sorted({str(i) for n in f for i in own.items[n]}) for _, f, _ in answers]
-            return [[n for n, _, _ in answers], spans, items_]
-
-        new = add_columns(found, text, "n_words long, _spans array<array<long>>, _items array<string>", make)
-        found = new.withColumns(
-            {"hit_spans": F.concat("hit_spans", "_spans"), "hit_items": F.array_sort(F.array_union("hit_items", "_items"))}
-        ).drop("_spans", "_items")
-    if len(blocks) > 1:
-        found = found.withColumn("hit_spans", merged_spans("hit_spans"))
-    return found
+    ship(docs.sparkSession)
+    asked = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
+    docs = texts(without(docs, [n for n in ("n_words", "hit_spans", "hit_items") if n.lower() != text.lower()]), text)
+    hashes = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    own = docs.select(F.col(text).alias("text"), hashes[0].alias("one"), hashes[1].alias("other"))
+    found, size = found_in_texts(own, asked, window, Scratch(docs.sparkSession))
+    one, other, spans, hit = unused(docs, "one", "other", "spans", "hit")
+    found = found.toDF(one, other, spans, hit)
+    marked = docs.withColumns({one: hashes[0], other: hashes[1]})
+    joined = marked.join(F.broadcast(found) if size <= FOUND_BYTES else found, [one, other], "left")
+    return joined.select(
+        *[joined[c] for c in docs.columns],
+        F.regexp_count(F.col(text), F.lit(WORD)).cast("long").alias("n_words"),
+        F.coalesce(spans, F.array().cast("array<array<long>>")).alias("hit_spans"),
+        F.coalesce(hit, F.array().cast("array<string>")).alias("hit_items"),
+    )
 
 
 def merged_spans(spans: str):
