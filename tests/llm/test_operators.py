@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from terrace.llm import bpe, components, decontaminate, fingerprints, html_extract, quality, simhash, substring_dedup
 from terrace.llm import suffix_dedup, token_counts, url_filter, windows
 
@@ -292,12 +293,18 @@ def test_decontamination(spark, rows):
     assert got == want
 
 
-def test_decontamination_in_blocks(spark, rows, monkeypatch):
-    table = spark.createDataFrame([(k, t) for k, t in rows if k is not None and k < 9], "item_id long, text string")
+def test_decontamination_without_a_lookup(spark, rows, monkeypatch):
+    """More shingles than tasks may hold, hits that are not broadcast: the same results by shuffles alone."""
+    items = [(k, t) for k, t in enumerate([rows[0][1], rows[7][1], "x", "alpha betas", "alpha betas gamma zeta", rows[7][1]])]
+    table = spark.createDataFrame(items, "item_id long, text string").unionAll(spark.createDataFrame(items[:2] * 5, "item_id long, text string"))
+    clashing = frame(spark, rows).withColumns({c: F.lit(c) for c in ("one", "other", "spans", "hit", "code", "words", "HIT_SPANS", "_items")})
     one = decontaminate.find_contamination(frame(spark, rows), table, window=4)
     want = Counter((r["doc_id"], str(r["hit_spans"]), str(r["hit_items"])) for r in one.collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
-    more = decontaminate.find_contamination(frame(spark, rows), table, window=4)
+    assert any(r[1] != "[]" for r in want)
+    monkeypatch.setattr(decontaminate, "LOOKUP", 0)
+    monkeypatch.setattr(decontaminate, "FOUND_BYTES", 0)
+    more = decontaminate.find_contamination(clashing, table, window=4)
+    assert more.columns.count("hit_spans") == 1 and {"one", "other", "spans", "hit", "_items"} <= set(more.columns)
     assert Counter((r["doc_id"], str(r["hit_spans"]), str(r["hit_items"])) for r in more.collect()) == want
 
 
