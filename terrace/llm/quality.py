@@ -5,8 +5,8 @@ itself and of the lines before and after it; the chain adds how likely good and
 and backward passes give each line's probability of being good, the mean of these weighted by the length of the
 lines is the document's, and a logistic curve fitted on the same sample turns it into the score.
 
-The field is fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents, those whose doc_id hashes lowest,
-with at most ``SAMPLE_LINES`` consecutive lines each, where every line carries the label of its document.
+The field is fitted on a bounded sample: the whole texts of ``SAMPLE_DOCS`` labelled documents, those whose doc_id
+hashes lowest, where every line carries the label of its document. Only the lines' own features come to the driver.
 Rows held out (crc32 of doc_id as text is divisible by 5; a null doc_id counts as the empty text) are never in
 it. Scoring covers all documents and whole texts, line by line; doc_id, lang, source and labels are no input.
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from .frames import COLUMN_BYTES, add_columns, ship, slices, texts
 
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 128
+SAMPLE_DOCS = 4000
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 250, 0.08, 1e-3
 
@@ -61,6 +61,12 @@ def held_out(doc_id: Column) -> Column:
 
 def line_features(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of the texts (rows by lines), their lengths in bytes, and the lines of each text."""
+    own, size, lines = own_features(values)
+    return surrounded(own, lines), size, lines
+
+
+def own_features(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same without those of the lines around."""
     raw = [v.encode() for v in values]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     lines = np.array([r.count(b"\n") + 1 for r in raw], np.int64)
@@ -118,14 +124,18 @@ def line_features(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         (size > 0) & (last == KINDS.index("stop")),
         again,
     ]
-    own = np.stack([p.astype(np.float32) for p in parts], 1)
-    first, final = np.zeros(len(size), bool), np.zeros(len(size), bool)
+    return np.stack([p.astype(np.float32) for p in parts], 1), size, lines
+
+
+def surrounded(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Each line's features with those of the lines before and after it, and where a text begins and ends."""
+    first, final = np.zeros(len(own), bool), np.zeros(len(own), bool)
     first[np.cumsum(lines) - lines] = True
     final[np.cumsum(lines) - 1] = True
     before = np.where(first[:, None], 0, np.roll(own, 1, 0))
     after = np.where(final[:, None], 0, np.roll(own, -1, 0))
-    edge = np.stack([np.ones(len(size)), first, final], 1)
-    return np.concatenate([own, before, after, edge], 1).astype(np.float32), size, lines
+    edge = np.stack([np.ones(len(own)), first, final], 1)
+    return np.concatenate([own, before, after, edge], 1).astype(np.float32)
 
 
 @dataclass
@@ -240,7 +250,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Field:
-    schema = StructType.fromDDL("id long, label int, size binary, features binary")
+    schema = StructType.fromDDL("id long, good boolean, size binary, features binary")
 
     def run(batches):
         for batch in batches:
@@ -248,33 +258,30 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 values = rows.column("text").to_pylist()
                 if not values:
                     continue
-                features, size, lines = line_features(values)
-                out = []
+                own, size, lines = own_features(values)
                 ends = np.cumsum(lines)
-                for end, n, id_ in zip(ends, lines, rows.column("_id").to_pylist()):
-                    first = end - n + (int(id_) * 2654435761 % max(1, n - SAMPLE_LINES + 1) if n > SAMPLE_LINES else 0)
-                    part = slice(first, min(end, first + SAMPLE_LINES))
-                    out.append((size[part].astype("<i4").tobytes(), features[part].astype("<f4").tobytes()))
+                parts = [slice(end - n, end) for end, n in zip(ends.tolist(), lines.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column("_id").cast(pa.int64()),
-                        rows.column("label").cast(pa.int32()),
-                        pa.array([o[0] for o in out], pa.binary()),
-                        pa.array([o[1] for o in out], pa.binary()),
+                        rows.column("_order"),
+                        rows.column("good"),
+                        pa.array([size[p].astype("<i4").tobytes() for p in parts], pa.binary()),
+                        pa.array([own[p].astype("<f4").tobytes() for p in parts], pa.binary()),
                     ],
-                    names=["id", "label", "size", "features"],
+                    names=["id", "good", "size", "features"],
                 )
 
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, text, doc_id, label).mapInArrow(run, schema)
+    sample = labelled_sample(docs, labels, text, doc_id, label)
+    sample = sample.select(F.xxhash64("_id").alias("_order"), (F.col("label") > 0).alias("good"), "text").mapInArrow(run, schema)
     rows = sorted(sample.collect(), key=lambda r: (r["id"], r["size"], r["features"]))
-    y = np.array([r["label"] > 0 for r in rows])
+    y = np.array([r["good"] for r in rows])
     if len(set(y.tolist())) < 2:
         return Field(np.zeros(0), np.zeros((2, 2)), 1.0, 0.0, float(y.mean()) if len(y) else 0.5)
     size = [np.frombuffer(r["size"], "<i4") for r in rows]
     lines = np.array([len(s) for s in size], np.int64)
-    features = np.concatenate([np.frombuffer(r["features"], "<f4") for r in rows]).reshape(int(lines.sum()), -1)
-    return fit(features, np.concatenate(size).astype(np.int64), lines, y)
+    own = np.concatenate([np.frombuffer(r["features"], "<f4") for r in rows]).reshape(int(lines.sum()), -1)
+    return fit(surrounded(own, lines), np.concatenate(size).astype(np.int64), lines, y)
 
 
 def score_quality(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
