@@ -21,26 +21,32 @@ are read and hashed once for both.
 
 Words are counted where the rows are: documents are dealt once, and all sums of a document stay in its task.
 ``with_next`` deals documents in ranges of doc_id whose borders come from quantiles of the ids, so no task sorts
-all of them; the first row of each range is copied to the range before it.
+all of them; the first row of each range is copied to the range before it. An id that takes several ranges, and
+null ids, are split further by hashes of their rows.
 
 Null and empty texts, and texts of blanks, have no words and a fingerprint of zeros, which is like itself only.
-Repeated doc_ids are ordered by their texts, null ids come last in descending order. Equal texts have equal
-fingerprints. Texts are used whole.
+Repeated doc_ids are ordered by hashes of their texts, in parts if they take several ranges, null ids come last in descending order; ids that are not whole
+numbers are ordered by their hashes. Equal texts have equal fingerprints. Texts are used whole. Empty tables give empty
+results. Only the two columns named are looked at, so others may have any names.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples that one row draws. More would make the generated method too long to be compiled.
 GROUP = 2
 SCALE, MOST = 1 << 28, (1 << 31) - 1
 BAR = 30.0
 LOW = (1 << 32) - 1
 #: Ranges of ids for each shuffle partition; their number has an upper bound, so that the driver's list of borders has.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 4000
+RANGES_PER_PARTITION, MOST_RANGES = 4, 20_000
 
 
 def _uniform(source: str, shift: int) -> Column:
@@ -119,6 +125,34 @@ def likeness(a: Column, b: Column) -> Column:
     return same / F.lit(float(SAMPLES))
 
 
+def _range_of(own: DataFrame, wanted: int) -> Column:
+    """The number of the range of a row: greatest ids first, null ids last.
+
+    Borders are quantiles. An id that is several of them gets as many ranges, dealt by ``_row``; so do null ids.
+    """
+    fractions = [k / wanted for k in range(1, wanted)] or [0.5]
+    found = own.agg(
+        F.percentile_approx("_id", fractions, max(10_000, 10 * wanted)).alias("cuts"), F.count("*").alias("n"), F.count("_id").alias("known")
+    ).first()
+    times = Counter(found["cuts"] or [] if wanted > 1 else [])  # at most MOST_RANGES numbers
+    hot = {c: m for c, m in times.items() if m > 1}
+    cuts = sorted(times.keys() | {c + 1 for c in hot})
+    parts = max(1, round(wanted * (found["n"] - found["known"]) / max(1, found["n"])))
+    widest = max([1, parts, *hot.values()])
+    place = F.lit(0)
+    if cuts:
+        # two steps of about the root of the number of borders, instead of a look at each of them
+        step = math.isqrt(len(cuts)) + 1
+        coarse = F.size(F.filter(F.lit(cuts[::step]), lambda c: c <= F.col("_id")))
+        fine = F.size(F.filter(F.slice(F.lit(cuts), F.greatest((coarse - 1) * step + 1, F.lit(1)), step), lambda c: c <= F.col("_id")))
+        below = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+        place = F.lit(len(cuts)) - below
+    many = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("_id")) if hot else F.lit(1)
+    many = F.when(F.col("_id").isNull(), F.lit(parts)).otherwise(F.coalesce(many, F.lit(1)))
+    place = F.when(F.col("_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place)
+    return (place * widest + F.pmod(F.col("_row"), many)).cast("int")
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id``, ``_text``, ``_next`` (the next document's text, by descending doc_id; after the last the first), ``_range``, ``_pos``.
 
@@ -126,22 +160,21 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     first row of the following range, which ``following`` needs and drops.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    number = F.col(doc_id).cast("long") if isinstance(docs.schema[doc_id].dataType, IntegralType) else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id))
+    own = docs.select(F.col(doc_id).alias("_doc"), number.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # the row's number only tells equal rows apart, whose order makes no difference
+    own = own.withColumns({"_hash": F.xxhash64("_text"), "_row": F.xxhash64(F.monotonically_increasing_id())})
     wanted = min(MOST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = own.agg(F.percentile_approx("_id", [k / wanted for k in range(1, wanted)], 10000)).first()[0] if wanted > 1 else None
-    cuts = sorted(set(cuts or []))  # at most MOST_RANGES numbers
-    # ranges count from the greatest ids down; null ids are the last range
-    range_ = F.when(F.col("_id").isNull(), F.lit(len(cuts) + 1))
-    range_ = range_.otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("_id"))) if cuts else F.lit(0))
-    own = own.withColumn("_range", range_.cast("int"))
-    # one row for each range: its first id
-    tops = own.groupBy("_range").agg(F.max("_id").alias("_top")).orderBy("_range").collect()
-    before = [(r["_range"], r["_top"], tops[k - 1]["_range"]) for k, r in enumerate(tops)]
-    if not before:
-        return own.select("_id", "_text", F.col("_text").alias("_next"), "_range", F.lit(0).alias("_pos"), F.lit(False).alias("_guest"))
-    edges = spark.createDataFrame(before, "_at int, _top long, _before int")
-    # each range's first rows also go, as guests, to the range before it (of the first range: the last)
-    is_top = (F.col("_range") == F.col("_at")) & F.col("_id").eqNullSafe(F.col("_top"))
+    own = own.withColumn("_range", _range_of(own, wanted))
+    # one row for each range: its first one
+    top = F.min(F.struct((-F.col("_id")).alias("_minus"), "_hash", "_row")).alias("_top")
+    tops = own.groupBy("_range").agg(top).orderBy("_range").select("_range", "_top._hash", "_top._row").collect()
+    if not tops:
+        return own.select(F.col("_doc").alias("_id"), "_text", F.col("_text").alias("_next"), "_range", F.lit(0).alias("_pos"), F.lit(False).alias("_guest"))
+    before = [(r["_range"], r["_hash"], r["_row"], tops[k - 1]["_range"]) for k, r in enumerate(tops)]
+    edges = spark.createDataFrame(before, "_at int, _first long, _first_row long, _before int")
+    # each range's first row also goes, as a guest, to the range before it (of the first range: the last)
+    is_top = (F.col("_range") == F.col("_at")) & (F.col("_hash") == F.col("_first")) & (F.col("_row") == F.col("_first_row"))
     spread = own.join(F.broadcast(edges), is_top, "left")
     places = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_range").alias("_range"), F.lit(False).alias("_guest"))))
     places = places.otherwise(
@@ -150,10 +183,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             F.struct(F.col("_before").alias("_range"), F.lit(True).alias("_guest")),
         )
     )
-    dealt = spread.select("_id", "_text", F.explode(places).alias("p")).select("_id", "_text", F.coalesce("p._range", F.lit(0)).alias("_range"), "p._guest")
-    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last("_id"), "_text")
+    names = ["_doc", "_id", "_text", "_hash", "_row"]
+    dealt = spread.select(*names, F.explode(places).alias("p")).select(*names, F.coalesce("p._range", F.lit(0)).alias("_range"), "p._guest")
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last("_id"), "_hash", "_row")
     both = dealt.withColumns({"_next": F.coalesce(F.lead("_text").over(order), F.lit("")), "_pos": F.row_number().over(order)})
-    return both.select("_id", "_text", "_next", "_range", "_pos", "_guest")
+    return both.select(F.col("_doc").alias("_id"), "_text", "_next", "_range", "_pos", "_guest")
 
 
 def following(rows: DataFrame, value: str, name: str) -> DataFrame:
