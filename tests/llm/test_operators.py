@@ -209,9 +209,10 @@ def test_fingerprints(spark):
         same = np.mean([found[a][8 * k : 8 * k + 8] == found[rows[0][1]][8 * k : 8 * k + 8] for k in range(fingerprints.SAMPLES)])
         error.append(same - sum((x & y).values()) / sum((x | y).values()))
     assert abs(np.mean(error)) < 0.1 and np.std(error) < 0.13
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = Counter((i, order[(k + 1) % len(order)][1] or "") for k, (i, _) in enumerate(order))
-    assert by_row(pairs.where("not _guest"), "_id", "_next") == want
+    order = [(r["_id"], r["_text"], r["_next"]) for r in pairs.where("not _guest").orderBy("_range", "_pos").collect()]
+    assert Counter(o[:2] for o in order) == Counter((i, t or "") for i, t in rows)
+    assert [i for i, _, _ in order] == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+    assert [o[2] for o in order] == [order[(k + 1) % len(order)][1] for k in range(len(order))]
 
 
 def test_quality_on_held_out_rows(spark):
