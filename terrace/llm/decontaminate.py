@@ -10,7 +10,7 @@ the join. All steps are joins and aggregates of tables:
    to begin; length and position bounds drop beginnings outside the document, and the rest is compared word by word.
 4. Hits become spans and items of each distinct text and go back to its documents.
 
-Documents pass through Python twice and are not shuffled, unless their hits are more than ``FOUND_BYTES``. Up to
+Documents pass through Python three times (counts, places, numbers of words) and are not shuffled, unless their hits are more than ``FOUND_BYTES``. Up to
 ``LOOKUP`` shingles are handed to all tasks, which is checked by counting them; beyond that, documents send all their
 shingles and the shuffle join alone sorts them out: the same results in one pass, whatever the size of the benchmark.
 
@@ -30,15 +30,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .frames import Scratch, ship, slices, texts, unused, without
+from .frames import Scratch, add_columns, ship, slices, texts, unused, without
 
 SHINGLE = 3
-#: Shingles that tasks look up themselves, bytes of hits that are broadcast, words whose hashes a task remembers.
-LOOKUP, FOUND_BYTES, CACHED = 2_000_000, 32 << 20, 1 << 19
-#: Slots of the table that shingles are tried against before they are searched.
-SLOTS = 1 << 22
-#: A word in SQL; letters of either case, as they are not changed there.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Shingles, and words of them, that tasks look up themselves; bytes of hits that are broadcast.
+LOOKUP, FOUND_BYTES = 2_000_000, 32 << 20
 #: ASCII letters in lower case and digits stay, other ASCII becomes space, bytes of other characters stay.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -46,48 +42,54 @@ _TABLE = bytes(
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Hashes of words, computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-def codes(words: list[bytes], size: int) -> np.ndarray:
-    """A number for each run of ``size`` words; equal runs have equal numbers, and matches are verified."""
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    found = np.full(max(0, len(words) - size + 1), size, np.uint64)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) | np.uint64(1)
+
+
+def codes(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the runs of ``size`` words that begin at some places; equal runs have equal numbers, and matches are
+    verified."""
+    found = np.full(len(starts), size, np.uint64)
     for k in range(size):
-        found = (found ^ (found >> np.uint64(29))) * ODD + hashes[k : len(found) + k]
+        found = (found ^ (found >> np.uint64(29))) * ODD + hashes[starts + k]
     return (found ^ (found >> np.uint64(32))).view(np.int64)
 
 
 class Lookup:
-    """A bounded set of shingle numbers."""
+    """A bounded set of shingles: their numbers, and the hashes of the words they are made of."""
 
-    def __init__(self, numbers: np.ndarray) -> None:
+    def __init__(self, numbers: np.ndarray, words: list[str]) -> None:
         self.numbers = np.sort(numbers)
-        self.tried = np.zeros(SLOTS, bool)
-        self.tried[self.numbers & SLOTS - 1] = True
-
-    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the numbers found are in the set, and the place there."""
-        maybe = np.flatnonzero(self.tried[found & SLOTS - 1])
-        if not len(maybe):
-            return maybe, maybe
-        place = np.minimum(np.searchsorted(self.numbers, found[maybe]), len(self.numbers) - 1)
-        good = self.numbers[place] == found[maybe]
-        return maybe[good], place[good]
+        self.words = dict(zip((w.encode() for w in words), hashes_of([w.encode() for w in words]).tolist()))
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of words, 0 for those in no shingle."""
+        get = self.words.get
+        return np.array([get(w, 0) for w in words], np.uint64)
+
+    def places(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where shingles of the set begin in a run of words, and which they are."""
+        if len(hashes) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = hashes != 0
+        every = known[: len(known) - size + 1].copy()
+        for k in range(1, size):
+            every &= known[k : len(every) + k]
+        starts = np.flatnonzero(every)
+        found = codes(hashes, starts, size)
+        place = np.minimum(np.searchsorted(self.numbers, found), len(self.numbers) - 1)
+        good = self.numbers[place] == found
+        return starts[good], place[good]
+
+
+def _runs(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a text and the numbers of the shingles there."""
+    starts = np.arange(max(0, len(hashes) - size + 1))
+    return starts, codes(hashes, starts, size)
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -101,7 +103,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                     words = words_of(text)
                     for k in range(max(1, len(words) - window + 1) if words else 0):
                         part = words[k : k + window]
-                        for column, x in zip(out, (item, b" ".join(part).decode(), len(part), codes(part, min(SHINGLE, len(part))).tolist())):
+                        for column, x in zip(out, (item, b" ".join(part).decode(), len(part), _runs(hashes_of(part), min(SHINGLE, len(part)))[1].tolist())):
                             column.append(x)
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["item", "words", "n", "codes"])
@@ -110,12 +112,14 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, StructType.fromDDL("item string, words string, n int, codes array<long>"))
 
 
-def _lookup(numbers: DataFrame, column: str):
-    """The numbers as a broadcast set, or None if they are too many for that."""
-    if numbers.count() > LOOKUP:
+def _lookup(shingles: DataFrame):
+    """The shingles of windows (``code`` and ``words``) as a broadcast set, or None if they are too many for that."""
+    numbers = shingles.select("code").distinct()
+    words = shingles.select(F.explode(F.split("words", " ")).alias("word")).distinct()
+    if max(numbers.count(), words.count()) > LOOKUP:
         return None
-    found = numbers.select(column).toArrow().column(0).to_numpy()
-    return numbers.sparkSession.sparkContext.broadcast(Lookup(found.astype(np.int64)))
+    found = numbers.toArrow().column(0).to_numpy().astype(np.int64)
+    return numbers.sparkSession.sparkContext.broadcast(Lookup(found, words.toArrow().column(0).to_pylist()))
 
 
 def shingle_counts(own: DataFrame, sizes: list[int], lookup) -> DataFrame:
@@ -123,15 +127,18 @@ def shingle_counts(own: DataFrame, sizes: list[int], lookup) -> DataFrame:
 
     def run(batches):
         known = None if lookup is None else lookup.value
-        total = None if known is None else np.zeros(len(known.numbers), np.int64)
+        total, gap = None if known is None else np.zeros(len(known.numbers), np.int64), [b" "]
         for batch in batches:
             for rows in slices(batch, "text"):
-                lists = [words_of(v) for v in rows.column("text").to_pylist()]
-                found = np.concatenate([codes(words, size) for words in lists for size in sizes] or [np.zeros(0, np.int64)])
+                lists = (words_of(v) for v in rows.column("text").to_pylist())
                 if known is None:
-                    yield counted(*np.unique(found, return_counts=True))
-                else:
-                    total += np.bincount(known.places(found)[1], minlength=len(total))
+                    parts = [_runs(hashes, size)[1] for hashes in map(hashes_of, lists) for size in sizes]
+                    yield counted(*np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True))
+                    continue
+                # a word that is in no item parts the texts, so that they are looked at together
+                hashes = known.hashes([w for words in lists for part in (words, gap) for w in part])
+                for size in sizes:
+                    total += np.bincount(known.places(hashes, size)[1], minlength=len(total))
         if known is not None:
             seen = np.flatnonzero(total)
             yield counted(known.numbers[seen], total[seen])
@@ -154,10 +161,14 @@ def shingle_places(own: DataFrame, sizes: list[int], window: int, lookup) -> Dat
                 out = [[] for _ in range(7)]
                 for one, other, text in zip(*(rows.column(c).to_pylist() for c in ("one", "other", "text"))):
                     words = words_of(text)
+                    hashes = hashes_of(words) if known is None else known.hashes(words)
                     for size in sizes:
-                        found = codes(words, size)
-                        at = np.arange(len(found)) if known is None else known.places(found)[0]
-                        for k, number in zip(at.tolist(), found[at].tolist()):
+                        if known is None:
+                            at, numbers = _runs(hashes, size)
+                        else:
+                            at, numbers = known.places(hashes, size)
+                            numbers = known.numbers[numbers]
+                        for k, number in zip(at.tolist(), numbers.tolist()):
                             first = max(0, k - window + size)
                             around = b" ".join(words[first : k + window]).decode()
                             for column, x in zip(out, (number, one, other, k, len(words), around, first)):
@@ -175,14 +186,14 @@ def found_in_texts(own: DataFrame, items: DataFrame, window: int, scratch: Scrat
     windows = scratch.keep("distinct", rows.groupBy("words").agg(F.first("n").alias("n"), F.first("codes").alias("codes")))
     shingles = windows.select("words", "n", F.posexplode("codes").alias("offset", "code"))
     sizes = [r[0] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect()]  # three at most
-    lookup = _lookup(shingles.select("code").distinct(), "code")
+    lookup = _lookup(shingles)
     counts = scratch.keep("counts", shingle_counts(own, sizes, lookup))
     rarest = F.min_by(F.struct("code", "offset", "n"), F.struct("times", "code", "offset")).alias("best")
     chosen = shingles.join(counts.withColumnRenamed("n", "times"), "code").groupBy("words").agg(rarest, F.count("*").alias("seen"))
     # a window with a shingle that no document has occurs in none
     chosen = chosen.where(F.col("seen") == F.greatest(F.col("best.n") - SHINGLE + 1, F.lit(1))).select("words", "best.*")
     chosen = scratch.keep("chosen", chosen)
-    places = shingle_places(own, sizes, window, _lookup(chosen.select("code").distinct(), "code"))
+    places = shingle_places(own, sizes, window, _lookup(chosen))
     start = F.col("place") - F.col("offset")
     inside = (start >= 0) & (start + F.col("n") <= F.col("total"))
     same = F.concat_ws(" ", F.slice(F.split("around", " "), start - F.col("first") + 1, F.col("n"))) == F.col("words")
@@ -215,12 +226,12 @@ def find_contamination(
     found = found.toDF(one, other, spans, hit)
     marked = docs.withColumns({one: hashes[0], other: hashes[1]})
     joined = marked.join(F.broadcast(found) if size <= FOUND_BYTES else found, [one, other], "left")
-    return joined.select(
+    joined = joined.select(
         *[joined[c] for c in docs.columns],
-        F.regexp_count(F.col(text), F.lit(WORD)).cast("long").alias("n_words"),
         F.coalesce(spans, F.array().cast("array<array<long>>")).alias("hit_spans"),
         F.coalesce(hit, F.array().cast("array<string>")).alias("hit_items"),
     )
+    return add_columns(joined, text, "n_words long", lambda values: [[len(words_of(v)) for v in values]])
 
 
 def merged_spans(spans: str):
