@@ -1,12 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text (what stands between block-level tags). A small linear classifier over the tags
-around a block, its names, its share of link text, its length and its punctuation gives the cost of calling it
-content or boilerplate; these costs are the capacities from the source and to the sink. Blocks next to each
-other, and consecutive blocks of the same container, are joined by edges whose capacity grows with how deep
-their common container is. The minimum cut labels all blocks of a page at once: an uncertain block follows its
-neighbours, a certain one stands against them. The weights are fixed, written down below; pages have no labels
-to learn from.
+A page becomes blocks of text (what stands between block-level tags). The cost of calling a block content or
+boilerplate has two parts. What its text says is a logistic curve over a few features, fitted on the pages themselves: on a bounded sample of pages, blocks in containers that name themselves (``article`` and the like;
+``nav``, ``footer``, ``class="ad"`` and the like) are the labelled ones, and the curve is applied to all. What the
+containers say themselves is a fixed weight on top, as they are what labels were taken from. Both together are the
+capacities from the source and to the sink. Blocks next to each other, and consecutive blocks of the same container,
+are joined by edges whose capacity grows with how deep their common container is, of the order of what a text can
+say. The minimum cut labels all blocks of a page at once: where containers say nothing, a heading or a short line goes
+with the paragraphs around it, and a lone sentence with the menu it stands in.
 
 White space inside a block becomes one space; character references are decoded; blocks of content are joined by
 an empty line in page order. Scripts, styles, comments and markup are never text. Broken markup is read as far
@@ -20,9 +21,12 @@ import re
 from collections import deque
 from html import unescape
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .frames import add_columns, texts
+from .frames import add_columns, ship, slices, texts
 
 #: Tags that never hold page text.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "audio", "video"}
@@ -32,12 +36,9 @@ INLINE = set(
     "ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Containers of content and of boilerplate by tag, with their weight; the sum of all around a block counts.
-BY_TAG = {
-    "article": 6.0, "main": 4.0, "p": 0.8, "blockquote": 0.6, "pre": 0.6, "h1": 0.8, "h2": 0.4, "h3": 0.3, "figcaption": 0.2,
-    "nav": -14.0, "aside": -14.0, "footer": -14.0, "header": -5.0, "form": -14.0, "button": -14.0, "select": -14.0,
-    "textarea": -14.0, "fieldset": -10.0, "menu": -10.0, "dialog": -14.0, "option": -14.0, "input": -14.0, "li": -0.3,
-}
+#: Containers that name themselves content or boilerplate.
+GOOD_TAGS = {"article", "main"}
+BAD_TAGS = set("nav aside footer header form button select textarea fieldset menu dialog option input".split())
 #: Words in class, id and role that mark boilerplate or content.
 BAD_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscri\w*|"
@@ -46,11 +47,16 @@ BAD_NAMES = re.compile(
     r"complementary|contentinfo|navigation|dialog|form)(?:[^a-z]|$)"
 )
 GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article\w*|content|main|post|entry|story|body|text)(?:[^a-z]|$)")
-BAD_NAME, GOOD_NAME, HIDDEN_NAME = -14.0, 1.5, -20.0
-#: The rest of the classifier: constant, share of link text, length in words (up to 40), ends of sentences.
-CONSTANT, LINKS, LENGTH, SENTENCE = -0.9, -4.0, 1.6, 0.7
+#: What containers say; boilerplate in content is boilerplate. ``header`` in an ``article`` may hold its heading.
+GOOD, BAD = 3.0, -8.0
+#: Most that a text can say, and pages whose blocks the curve is fitted on.
+TEXT, SAMPLE_PAGES = 2.5, 2000
+#: Features of a block's text. Its tag is none: in pages of one make tags tell all, and of another make nothing.
+FEATURES = ("constant", "links", "length", "sentence", "one word", "commas", "digits")
+#: The curve where nothing can be learnt; blocks of a kind that are needed to learn, decay of the weights by block.
+DEFAULT, LEAST, RIDGE = (-0.6, -4.0, 3.0, 0.6, -0.4, 0.3, -0.3), 20, 2e-3
 #: Capacities of the edges: neighbours, neighbours in one container, consecutive blocks of a container farther apart.
-NEAR, SAME, FAR = 0.25, 0.9, 0.4
+NEAR, SAME, FAR = 0.3, 1.2, 0.5
 SCALE = 1000
 
 
@@ -64,11 +70,11 @@ RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
 
 
 class _Blocks:
-    """Blocks as (text, linked characters, weight of what is around, containers from the outside in)."""
+    """Blocks as (text, linked characters, what containers say: -1, 0 or 1, containers from the outside in)."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, int, float, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, float]] = []
+        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, int]] = []
         self.count = self.hidden = self.links = self.linked = 0
         self.text: list[str] = []
         at = 0
@@ -101,7 +107,8 @@ class _Blocks:
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            around = sum(w for _, _, w in self.open)
+            said = {w for _, _, w in self.open}
+            around = -1 if -1 in said else 1 if 1 in said else 0
             self.blocks.append((text, self.linked, around, tuple(n for _, n, _ in self.open)))
         self.text, self.linked = [], 0
 
@@ -121,19 +128,21 @@ class _Blocks:
             return
         if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):
             self.close(tag, {"ul", "ol", "table", "dl", "article", "main", "section", "div", "nav", "aside", "footer", "header"})
-        weight = BY_TAG.get(tag, 0.0)
+        says = -1 if tag in BAD_TAGS else 1 if tag in GOOD_TAGS else 0
+        if tag == "header" and any(t in GOOD_TAGS for t, _, _ in self.open):
+            says = 0
         attrs = []
         if attributes:
             found = (m.groups("") for m in ATTRIBUTE.finditer(attributes))
             attrs = [((g[0] or g[4]).lower(), unescape(g[1] or g[2] or g[3])) for g in found]
         names = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         if names:
-            weight += BAD_NAME if BAD_NAMES.search(names) else GOOD_NAME if GOOD_NAMES.search(names) else 0.0
+            says = -1 if BAD_NAMES.search(names) else says or int(bool(GOOD_NAMES.search(names)))
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                weight += HIDDEN_NAME
+                says = -1
         self.count += 1
-        self.open.append((tag, self.count, weight))
+        self.open.append((tag, self.count, says))
 
     def close(self, tag: str, until: set[str]) -> None:
         """Close the innermost open ``tag`` and all in it, unless one of ``until`` is in between."""
@@ -162,15 +171,44 @@ class _Blocks:
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
+def blocks_of(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     return _Blocks(html).blocks
 
 
-def score(text: str, linked: int, around: float) -> float:
-    """Over 0: rather content."""
+def features_of(text: str, linked: int) -> list[float]:
     words = text.count(" ") + 1
     sentence = text.rstrip("\"')»”")[-1:] in ".!?…:;" or words > 25
-    return CONSTANT + around + LINKS * min(1.0, linked / max(1, len(text))) + LENGTH * min(words, 40) / 40 + SENTENCE * sentence
+    some = text[:400]  # shares of signs; all else counts the whole text
+    return [
+        1.0,
+        min(1.0, linked / max(1, len(text))),
+        min(words, 40) / 40,
+        float(sentence),
+        float(words == 1),
+        min(1.0, 8 * (some.count(",") + some.count(";")) / max(1, len(some.split()))),
+        sum(c.isdigit() for c in some) / max(1, len(some)),
+    ]
+
+
+def fit(features: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve by Newton's steps, both kinds of blocks counting the same; held near zero."""
+    weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * len(good)
+    x = np.zeros(features.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(features @ x, -30, 30)))
+        gradient = features.T @ (weight * (good - p)) - RIDGE * len(good) * x
+        curve = (features * (weight * p * (1 - p))[:, None]).T @ features + RIDGE * len(good) * np.eye(len(x))
+        step = np.linalg.solve(curve, gradient)
+        x = x + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return x
+
+
+def score(text: str, linked: int, around: int, weights: tuple[float, ...]) -> float:
+    """Over 0: rather content."""
+    said = sum(w * f for w, f in zip(weights, features_of(text, linked)))
+    return max(-TEXT, min(TEXT, said)) + (GOOD if around > 0 else BAD if around else 0.0)
 
 
 def edges_of(containers: list[tuple[int, ...]]) -> list[tuple[int, int, float]]:
@@ -256,14 +294,46 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
             a = to[e]
 
 
-def main_text(html: str) -> str:
-    """The blocks that the cut leaves as content."""
+def labelled(html: str, weights: tuple[float, ...] = DEFAULT) -> list[tuple[str, float, bool]]:
+    """Each block's text, its score by itself, and whether the cut leaves it as content."""
     blocks = blocks_of(html)
-    scores = [score(text, linked, around) for text, linked, around, _ in blocks]
-    keep = min_cut(scores, edges_of([path for _, _, _, path in blocks])) if blocks else []
-    return "\n\n".join(text for (text, _, _, _), k in zip(blocks, keep) if k)
+    scores = [score(text, linked, around, weights) for text, linked, around, _ in blocks]
+    keep = min_cut(scores, edges_of([b[3] for b in blocks])) if blocks else []
+    return [(b[0], s, k) for b, s, k in zip(blocks, scores, keep)]
+
+
+def main_text(html: str, weights: tuple[float, ...] = DEFAULT) -> str:
+    """The blocks that the cut leaves as content."""
+    return "\n\n".join(text for text, _, keep in labelled(html, weights) if keep)
+
+
+def learn(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
+    """The curve fitted on blocks whose containers name themselves, of the ``SAMPLE_PAGES`` pages that hash lowest."""
+    own = pages.select(F.col(html).alias("html")).where("html IS NOT NULL").withColumn("mark", F.xxhash64("html"))
+    last = own.select("mark").distinct().orderBy("mark").limit(SAMPLE_PAGES).agg(F.max("mark")).first()[0]
+    if last is None:
+        return DEFAULT
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, "html"):
+                out = []
+                for value in rows.column("html").to_pylist():
+                    found = [[around, *features_of(text, linked)] for text, linked, around, _ in blocks_of(value) if around]
+                    out.append(np.array(found, "<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("mark"), pa.array(out, pa.binary())], names=["mark", "blocks"])
+
+    ship(pages.sparkSession)
+    sample = own.where(F.col("mark") <= last).dropDuplicates(["mark"]).select("mark", "html")
+    found = sorted(map(tuple, sample.mapInArrow(run, "mark long, blocks binary").collect()))
+    table = np.frombuffer(b"".join(bytes(b) for _, b in found), "<f4").reshape(-1, len(FEATURES) + 1).astype(float)
+    good = table[:, 0] > 0
+    if min(good.sum(), (~good).sum()) < LEAST:
+        return DEFAULT
+    return tuple(fit(table[:, 1:], good).tolist())
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``main_text``, the page's content."""
-    return add_columns(texts(pages, html), html, "main_text string", lambda values: [[main_text(v) for v in values]])
+def extract(pages: DataFrame, html: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
+    """``pages`` with ``main_text``, the page's content. Without ``weights`` the curve is fitted on the pages."""
+    weights = learn(pages, html) if weights is None else weights
+    return add_columns(texts(pages, html), html, "main_text string", lambda values: [[main_text(v, weights) for v in values]])
