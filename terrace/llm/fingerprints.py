@@ -35,11 +35,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-SAMPLES = 64
+SAMPLES = 48
 #: Samples that one row draws. More would make the generated method too long to be compiled.
 GROUP = 2
 SCALE, MOST = 1 << 28, (1 << 31) - 1
@@ -161,9 +162,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     spark = docs.sparkSession
     number = F.col(doc_id).cast("long") if isinstance(docs.schema[doc_id].dataType, IntegralType) else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id))
-    own = docs.select(F.col(doc_id).alias("_doc"), number.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # the row's number only tells equal rows apart, whose order makes no difference
-    own = own.withColumns({"_hash": F.xxhash64("_text"), "_row": F.xxhash64(F.monotonically_increasing_id())})
+    names = [F.col(doc_id).alias("_doc"), number.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")]
+    try:  # where a row lies only tells equal rows apart, whose order makes no difference
+        own = docs.select(*names, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+    except AnalysisException:  # rows that are not read from files as they are
+        own = docs.select(*names).withColumn("_row", F.xxhash64("_text"))
+    own = own.withColumn("_hash", F.xxhash64("_text"))
     wanted = min(MOST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = own.withColumn("_range", _range_of(own, wanted))
     # one row for each range: its first one

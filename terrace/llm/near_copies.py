@@ -1,10 +1,11 @@
 """One document of each group of near copies: sets of shingles of five words with a Jaccard similarity of 0.8 or more.
 
 Candidates come from SimHash ball hashing (``simhash.near_links``). A changed word changes five shingles but one word,
-so it is the words that are fingerprinted, each occurrence as one of its own: texts that are similar by 0.8 are about
-4 of 64 bits apart then. ``SEEDS`` fingerprints of ``4 * BLOCK_BITS`` bits each are hashed, and texts are candidates if
-one of them differs in three bits at most. Of n texts about 2e-10 * n meet by chance; such links are dropped by the
-bits of all fingerprints together, of which unrelated texts differ in half (``APART``).
+so it is the words that are fingerprinted: twice as a set, which texts that repeat themselves share, and twice with
+each occurrence as one of its own. Texts that are similar by 0.8 are about 4 of 64 bits apart then. ``4 * BLOCK_BITS``
+bits of each fingerprint are hashed, and texts are candidates if one of them differs in three bits at most. Of n
+texts about 3e-10 * n meet by chance; such links are dropped by the whole fingerprints, of which unrelated texts
+differ in half of the bits (``APART``).
 
 Candidates make clusters, and what decides is the exact similarity of the texts in a cluster (of 64-bit hashes of their
 shingles), by products of their sets in blocks:
@@ -43,9 +44,9 @@ from .simhash import near_links, shingles, signed
 
 #: Near copies share that many per cent of their sets of shingles of so many words.
 SIMILAR, SHINGLE_WORDS = 80, 5
-#: Independent fingerprints, bits in one of the four blocks that are hashed of each, and the bits of all of them
-#: (192) in which a link's texts differ at most.
-SEEDS, BLOCK_BITS, APART = 3, 12, 64
+#: Fingerprints of sets of words and of their occurrences, bits in one of the four blocks that are hashed of each,
+#: and bits of both of a kind (128) in which a link's texts differ at most.
+SEEDS, BLOCK_BITS, APART = 4, 12, 42
 #: Texts and shingles of a block, and one of so many texts that stands for a block in the next round.
 BLOCK, BLOCK_SHINGLES, STANDS = 256, 1 << 20, 16
 #: Shingles of a product of sets; rows of a batch that a task passes on.
@@ -68,22 +69,30 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def word_prints(text: str) -> list[int]:
-    """Fingerprints of all occurrences of words: a bit is 1 if it is set in over half of their hashes."""
+    """Fingerprints of the distinct words (two) and of all their occurrences (two): a bit is 1 if it is set in over
+    half of the hashes."""
     counts = Counter(text.encode().lower().split())
     times = np.fromiter(counts.values(), np.int64, len(counts))
     words = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
     total = int(times.sum())
     ones = np.zeros((SEEDS, 64), np.int64)
+    for begin in range(0, len(words), 1 << 15):  # long texts in bounded pieces
+        _count(ones, words[begin : begin + (1 << 15)], range(SEEDS // 2))
     ends = np.cumsum(times)
-    for begin in range(0, total, 1 << 15):  # long texts in bounded pieces
+    for begin in range(0, total, 1 << 15):
         place = np.arange(begin, min(begin + (1 << 15), total))
         word = np.searchsorted(ends, place, side="right")
         nth = (place - (ends - times)[word]).astype(np.uint64)
-        hashes = _mixed(words[word] + nth * ODD)
-        for k in range(SEEDS):
-            own = _mixed(hashes + OFFSETS[k]).view(np.uint8).reshape(-1, 8)
-            ones[k] += np.unpackbits(own, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return [signed(int(np.packbits(2 * own > total, bitorder="little").view("<u8")[0])) for own in ones]
+        _count(ones, _mixed(words[word] + nth * ODD), range(SEEDS // 2, SEEDS))
+    most = [len(words)] * (SEEDS // 2) + [total] * (SEEDS // 2)
+    return [signed(int(np.packbits(2 * own > n, bitorder="little").view("<u8")[0])) for own, n in zip(ones, most)]
+
+
+def _count(ones: np.ndarray, hashes: np.ndarray, seeds: range) -> None:
+    """Add the bits of the hashes by each seed."""
+    for k in seeds:
+        own = _mixed(hashes + OFFSETS[k]).view(np.uint8).reshape(-1, 8)
+        ones[k] += np.unpackbits(own, axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
 def described(values: list[str]) -> list[list]:
@@ -188,8 +197,9 @@ def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         same = nodes.select(F.col("node").alias("a"), hashed.alias("fingerprint")).join(stands, "fingerprint").where("a <> stand").select("a", F.col("stand").alias("b"))
         found = between.unionAll(same) if found is None else found.unionAll(between).unionAll(same)
     one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in names]) for n in "ab")
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
-    both = found.distinct().join(one, "a").join(other, "b").where(apart <= APART)
+    apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names]
+    close = F.least(sum(apart[: SEEDS // 2], F.lit(0)), sum(apart[SEEDS // 2 :], F.lit(0))) <= APART
+    both = found.distinct().join(one, "a").join(other, "b").where(close)
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
