@@ -75,9 +75,10 @@ def test_query(spark, tmp_path):
     assert nexts == Counter((w[0], round(share(prints[tuple(w[2].split())], prints[tuple(w[3].split())]), 6)) for w in want)
 
 
-def test_hot_and_null_ids_are_split(spark):
+def test_hot_and_null_ids_are_split(spark, tmp_path):
     rows = [(k, f"text {k}") for k in range(1000)] + [(500, "copy")] * 1000 + [(None, "copy")] * 1000
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
     sizes = [r["count"] for r in fingerprints.with_next(docs).where("not _guest").groupBy("_range").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 300 and len(sizes) > 20
 
