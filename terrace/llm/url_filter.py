@@ -2,15 +2,17 @@
 
 Rules are pairs of a host and a path prefix with a verdict. A rule fits its host and every subdomain of it, where
 the url's path starts with the rule's path; the longest rule (host and path together) wins, then the greater one
-as text; the same rule with both verdicts blocks. Every url gives one candidate for each pair of a number of
-host labels and a path length that some rule has, so any listed prefix is found, not only whole folders.
+as text; the same rule with both verdicts blocks. Every url gives one candidate for each number of host labels that
+it has and each path length, up to its own, that a rule with as many labels has, so any listed prefix is found, not
+only whole folders. The lengths are held in arrays: the plan does not grow with the list.
 
 The filter is a table of 64-bit blocks: a key's hash picks its block and four bits in it, so one look-up in one
 block decides. Built-in functions only; no Python touches a row. The filter and the rules are broadcast only if
-their counted rows are under ``BROADCAST_ROWS`` of bounded width; larger lists are joined by a shuffle.
+their bytes, which are counted, are under ``BROADCAST_BYTES``; larger lists are joined by a shuffle.
 
 Null urls and urls without ``://`` have an empty host and path, and fit no rule. Rows are kept as they are,
-repeated ones too; columns with the names of the new ones are replaced.
+repeated ones too; columns with the names of the new ones are replaced, all others pass through. Empty tables give
+empty results, and without rules every url has the default verdict. Urls of any length are looked at whole.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settled, without
+from .frames import settled, unused, without
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Bits of the filter for each rule, at least; with four bits a key this passes about 1 in 400 others.
 BITS_PER_KEY = 16
 
@@ -72,44 +74,39 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.where("rule_host is not null and rule_path is not null")
     # of a rule listed twice with different verdicts, block is the greater text and wins
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
-    labels = F.size(F.split("rule_host", r"\."))
-    shape = rules.groupBy(labels.alias("labels"), F.length("rule_path").alias("chars")).agg(F.count("*").alias("n"))
-    shapes = sorted(tuple(r) for r in shape.collect())  # one row for each depth and path length that rules have
-    longest = max([chars for _, chars, _ in shapes], default=0)
-
+    labels, chars = F.size(F.split("rule_host", r"\.")), F.length("rule_path")
+    width = F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 48).alias("bytes")
+    # one row for each depth that rules have, with their path lengths: no more numbers than a path is long
+    shapes = rules.groupBy(labels.alias("labels")).agg(F.sort_array(F.collect_set(chars)).alias("lengths"), F.count("*").alias("n"), width).collect()
     urls = without(pages, ["host", "path", "rule", "verdict"])
     urls = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not shapes:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
-    keys = sum(n for _, _, n in shapes)
-    filter_, blocks = bloom_filter(rules, keys)
-    small = keys <= BROADCAST_ROWS
+    longest, deepest = max(r["lengths"][-1] for r in shapes), max(r["labels"] for r in shapes)
+    lengths = F.create_map(*[F.lit(x) for r in shapes for x in (r["labels"], r["lengths"])])
+    filter_, blocks = bloom_filter(rules, sum(r["n"] for r in shapes))
+    small = sum(r["bytes"] for r in shapes) + 32 * blocks <= BROADCAST_BYTES
     near = F.broadcast if small else lambda frame: frame
 
-    host, head, depth = F.col("host"), F.col("head"), F.size(F.split("host", r"\."))
-    each = [
-        F.when(
-            (depth >= n) & (F.length(head) >= chars),
-            F.struct(F.substring_index(host, ".", -n).alias("rule_host"), F.substring(head, 1, chars).alias("rule_path")),
-        )
-        for n, chars, _ in shapes
-    ]
+    depth = F.least(F.size(F.split("host", r"\.")), F.lit(deepest))
+
+    def of_depth(n: Column) -> Column:
+        tail = F.call_function("substring_index", F.col("host"), F.lit("."), -n)
+        fitting = F.filter(F.coalesce(F.try_element_at(lengths, n), F.array().cast("array<int>")), lambda c: c <= F.length("head"))
+        return F.transform(fitting, lambda c: F.struct(tail.alias("rule_host"), F.call_function("substring", F.col("head"), F.lit(1), c).alias("rule_path")))
+
     heads = urls.select("host", F.substring("path", 1, longest).alias("head"))
-    candidates = heads.withColumn("c", F.explode(F.array_compact(F.array(*each)))).select("host", "head", "c.*")
+    found = F.flatten(F.transform(F.sequence(F.lit(1), depth), of_depth))
+    candidates = heads.withColumn("c", F.explode(found)).select("host", "head", "c.*")
     key = _hash(F.col("rule_host"), F.col("rule_path"))
     candidates = candidates.withColumns({"block": key.bitwiseAND(F.lit(blocks - 1)), "bits": _bits(key)})
     possible = candidates.join(near(filter_), "block").where(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"))
     exact = possible.join(near(rules), ["rule_host", "rule_path"])
     text = F.concat("rule_host", "rule_path")
     best = exact.groupBy("host", "head").agg(F.max(F.struct(F.length(text), text.alias("rule"), "rule_verdict")).alias("best"))
-    best = settled(best.select("host", "head", "best.rule", F.col("best.rule_verdict").alias("_verdict")))
-
-    marked = urls.withColumn("head", F.substring("path", 1, longest)) if "head" not in urls.columns else None
-    if marked is None:  # a column of the pages has the name of the helper
-        urls = urls.withColumnRenamed("head", "_kept_head")
-        marked = urls.withColumn("head", F.substring("path", 1, longest))
-    joined = marked.join(best, ["host", "head"], "left").drop("head")
-    joined = joined.withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_verdict")
-    joined = joined.withColumnRenamed("_kept_head", "head")
+    head, judged = unused(urls, "head", "judged")
+    best = settled(best.select("host", F.col("head").alias(head), "best.rule", F.col("best.rule_verdict").alias(judged)))
+    joined = urls.withColumn(head, F.substring("path", 1, longest)).join(best, ["host", head], "left")
+    joined = joined.withColumn("verdict", F.coalesce(judged, F.lit(default)))
     return joined.select(*without(pages, ["host", "path", "rule", "verdict"]).columns, "host", "path", "rule", "verdict")
