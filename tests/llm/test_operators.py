@@ -320,10 +320,33 @@ def test_url_filter(spark):
         (None, "allow"), (None, "allow"), (None, "allow"), ("a.com/x", "block"), ("b.a.com/x/y", "allow"),
         (None, "allow"), ("com/", "allow"), ("com/", "allow"), ("a.com/x", "block"),
     ]
+    clashing = pages.withColumns({c: F.lit(c) for c in ("judged", "_verdict", "block", "bits", "Rule", "labels")})
+    again = url_filter.judge_urls(clashing, table)
+    assert {r["_verdict"] for r in again.collect()} == {"_verdict"} and [c.lower() for c in again.columns].count("rule") == 1
+    assert sorted((r["page_id"], str(r["rule"]), r["verdict"]) for r in again.collect()) == sorted((k, str(r["rule"]), r["verdict"]) for k, r in found.items())
     empty = url_filter.judge_urls(pages, table.where("false"))
     assert {r["verdict"] for r in empty.collect()} == {"allow"}
 
 
+def test_long_lists_of_urls(spark, monkeypatch):
+    """Thousands of rules of many lengths, broadcast and not, beside plain Python; the plan has no branch for each."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc.") for _ in range(n)).strip(".") or "a"
+    rules = {(word(rng.randrange(1, 9)), "/" + word(rng.randrange(0, 40))): rng.choice(["allow", "block"]) for _ in range(3000)}
+    urls = [f"x://{rng.choice(['', 'b.', 'a.c.'])}{h}{p}{word(3)}" for h, p in rng.sample(sorted(rules), 300)]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "rule_host string, rule_path string, rule_verdict string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = []
+    for k, u in enumerate(urls):
+        host, _, path = u[4:].partition("/")
+        fits = [(len(h + p), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        want.append((k, *max(fits, default=(0, None, "allow"))[1:]))
+    for limit in (url_filter.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        found = url_filter.judge_urls(pages, table)
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in found.collect()) == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
