@@ -189,7 +189,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     )
     names = ["_doc", "_id", "_text", "_hash", "_row"]
     dealt = spread.select(*names, F.explode(places).alias("p")).select(*names, F.coalesce("p._range", F.lit(0)).alias("_range"), "p._guest")
-    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last("_id"), "_hash", "_row")
+    # with _doc, so that all that is made of these rows needs the same columns and they are dealt once
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last("_id"), "_hash", "_row", "_doc")
     both = dealt.withColumns({"_next": F.coalesce(F.lead("_text").over(order), F.lit("")), "_pos": F.row_number().over(order)})
     return both.select(F.col("_doc").alias("_id"), "_text", "_next", "_range", "_pos", "_guest")
 
