@@ -8,17 +8,11 @@ driver sees two numbers of each round.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .frames import Scratch
 
-#: Links in a file of a round's table, so that few links don't become as many files as there are partitions.
-FILE_LINKS = 100_000
-
-
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("big").alias("u"), F.col("small").alias("v"))
     both = both.unionAll(links.select(F.col("small").alias("u"), F.col("big").alias("v")))
@@ -37,9 +31,7 @@ def _kept(scratch: Scratch, name: str, links: DataFrame, before: int | None) ->
     counted = Observation()
     digest = F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))
     links = links.distinct().observe(counted, F.count("*").alias("n"), digest.alias("digest"))
-    if before is not None:
-        links = links.coalesce(max(1, math.ceil(before / FILE_LINKS)))
-    return scratch.keep(name, links), counted.get["n"], counted.get["digest"]
+    return scratch.keep(name, links, before), counted.get["n"], counted.get["digest"]
 
 
 def connected_components(links: DataFrame) -> DataFrame:

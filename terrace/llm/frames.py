@@ -63,14 +63,23 @@ def settled(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+#: Rows of a file of a table whose rows are known to be few.
+FILE_ROWS = 250_000
+
+
 class Scratch:
     """Intermediate tables in the shared folder, compressed, each of which goes when nothing reads it any more."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, scratch_path(spark, "scratch")
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """``df`` written and read again; the shuffle files that led to it go at once."""
+    def keep(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again; the shuffle files that led to it go at once.
+
+        Where ``rows`` bounds its rows, few rows are written in few files, not in one for each partition.
+        """
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         conf = self.spark.conf
         before = conf.get(_CLEANUP)
         conf.set(_CLEANUP, "true")

@@ -33,7 +33,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -184,14 +184,14 @@ def compared(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("cluster", "part", "other", "side").mapInArrow(run, result)
 
 
-def candidate_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def candidate_links(nodes: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """Links ``u``, ``v`` that connect nodes with a fingerprint in common within three bits."""
     names = [f"print_{k}" for k in range(SEEDS)]
     found = None
     for name in names:
         hashed = F.col(name).bitwiseAND(F.lit((1 << 4 * BLOCK_BITS) - 1))
         # one node stands for all with the same fingerprint, and is linked to each of them
-        stands = scratch.keep(f"stands-{name}", nodes.groupBy(hashed.alias("fingerprint")).agg(F.min("node").alias("stand")))
+        stands = scratch.keep(f"stands-{name}", nodes.groupBy(hashed.alias("fingerprint")).agg(F.min("node").alias("stand")), most)
         near = scratch.keep(f"near-{name}", near_links(stands, BLOCK_BITS))
         between = near.join(stands.toDF("u", "a"), "u").join(stands.toDF("v", "b"), "v").select("a", "b")
         same = nodes.select(F.col("node").alias("a"), hashed.alias("fingerprint")).join(stands, "fingerprint").where("a <> stand").select("a", F.col("stand").alias("b"))
@@ -261,13 +261,15 @@ def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     names = [f"print_{k}" for k in range(SEEDS)]
     added = "node long, size int, " + ", ".join(f"{n} long" for n in names)
     rows = add_columns(own, "text", added, described)
-    rows = scratch.keep("rows", rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "node", "size", *names))
+    counted = Observation()
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "node", "size", *names).observe(counted, F.count("*").alias("n"))
+    rows, most = scratch.keep("rows", rows), counted.get["n"]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    nodes = scratch.keep("nodes", rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]))
-    clusters = connected_components(candidate_links(nodes, scratch))
+    nodes = scratch.keep("nodes", rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]), most)
+    clusters = connected_components(candidate_links(nodes, scratch, most))
     scratch.drop(*[f"{kind}-{name}" for kind in ("stands", "near") for name in names])
     together = clusters.select("node", F.col("root").alias("cluster"))
-    together = scratch.keep("together", together.unionAll(clusters.select("root", "root")).distinct())
+    together = scratch.keep("together", together.unionAll(clusters.select("root", "root")).distinct(), most)
     sizes = nodes.join(together, "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = sizes.select("cluster", _blocks(F.col("n"), F.col("s")).alias("blocks"))
     # only texts of nodes that have candidates are fetched, each once
@@ -292,7 +294,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     one, other = unused(docs, "one", "other")
     kept = grouped.groupBy("root").agg(F.min(order).alias("k"))
-    kept = Scratch(docs.sparkSession).keep("kept", kept.select(F.col("k.text_hash").alias(one), _id_hash("k.doc_id").alias(other)))
+    kept = Scratch(docs.sparkSession).keep("kept", kept.select(F.col("k.text_hash").alias(one), _id_hash("k.doc_id").alias(other)), rows.count())
     scratch.drop()
     marked = docs.withColumns({one: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), other: _id_hash(doc_id)})
     # repeated rows go before the shuffle; both steps deal documents by the same two columns, so texts are dealt once
