@@ -6,7 +6,9 @@ slice tells which words they are right for, and only the others are merged step
 the pattern) and their ids are kept in a cache of bounded size in each worker.
 
 Null and empty texts have no tokens and decode to the empty text. Special strings inside texts are their own
-tokens, as the library has it by default. Repeated rows are encoded each for itself; texts are never cut.
+tokens, as the library has it by default. Repeated rows are encoded each for itself; texts are never cut, a long
+one only makes a slice of its own. Empty tables give empty results. Columns that are named like new ones are replaced,
+all others pass through.
 """
 
 from __future__ import annotations

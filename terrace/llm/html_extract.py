@@ -12,7 +12,8 @@ with the paragraphs around it, and a lone sentence with the menu it stands in.
 White space inside a block becomes one space; character references are decoded; blocks of content are joined by
 an empty line in page order. Scripts, styles, comments and markup are never text. Broken markup is read as far
 as it goes: open tags are closed by their container, a cut tag at the end is dropped. Null and empty pages, and
-pages without content, give the empty text. Pages are read whole and each for itself, repeated ones too.
+pages without content, give the empty text. Pages are read whole and each for itself, repeated ones too. An empty
+table gives an empty result; a column named ``main_text`` is replaced, all others pass through.
 """
 
 from __future__ import annotations

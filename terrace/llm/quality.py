@@ -12,7 +12,9 @@ it. Scoring covers all documents and whole texts, line by line; doc_id, lang, so
 
 Null and empty texts are one empty line and get the score that the field gives that. Without labels of both
 kinds the score of every document is the share of good labels, or 0.5 without any. Labels that are null are left
-out; a doc_id with several labels counts as good if any of them is. Repeated rows are scored each for itself.
+out; a doc_id with several labels counts as good if any of them is. Repeated rows are scored each for itself. Texts
+of any length are scored whole. Empty tables give empty results; a column named ``score`` is replaced, all others pass
+through; ids may be of any kind.
 """
 
 from __future__ import annotations

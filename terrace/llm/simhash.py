@@ -21,7 +21,9 @@ fingerprints are one row before the shuffle, however many documents have them.
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased, shingles are joined by one space, and
 repeated shingles count each time. A text with fewer words is one shingle of all of them; one without words
 (null, empty or blank) has fingerprint zero, which links like any other. Repeated rows share their component.
-A null doc_id is never a component's name unless the component has no other.
+A null doc_id is never a component's name unless the component has no other. Texts of any length are used whole, in
+pieces of bounded size; empty tables give empty results. Only the two columns named are looked at, so others may have
+any names.
 """
 
 from __future__ import annotations

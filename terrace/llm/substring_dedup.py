@@ -8,7 +8,11 @@ occurrences are its matching statistics, and those that reach the window's lengt
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged, and are compared by 64-bit XXH64. Windows lie within one document and
 are judged on the input. Null, empty and blank texts have no words; documents of fewer words than a window lose
-nothing. Repeated rows are copies of each other. A column that is named like a new one is replaced.
+nothing. Repeated rows are copies of each other. Texts of any length are looked at whole, in pieces of bounded size.
+Empty tables give empty results. Columns that are named like new ones are replaced, all others pass through.
+
+The index holds the tree alone, about 1.5 bits for each bit of a symbol's number among those of its shard; windows are
+asked by these numbers.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def symbols(text: str) -> np.ndarray:
 
 
 class WaveletTree:
-    """Ranks of symbols in a sequence: one packed bit vector for each bit of a symbol, with counts at every word."""
+    """Ranks of symbols in a sequence: one packed bit vector for each bit of a symbol, with a 32-bit count at every word."""
 
     def __init__(self, sequence: np.ndarray, bits: int) -> None:
         self.bits, self.size = bits, len(sequence)
@@ -40,7 +44,7 @@ class WaveletTree:
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
             self.words.append(packed)
-            self.before.append(np.r_[0, np.cumsum(np.bitwise_count(packed))].astype(np.int64))
+            self.before.append(np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.uint32)].astype(np.uint32))
             self.zeros.append(int(len(bit) - bit.sum()))
             sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
 
@@ -48,7 +52,8 @@ class WaveletTree:
         """How often each symbol stands before each place, up to a constant of the symbol that differences drop."""
         for level, (words, before, zeros) in enumerate(zip(self.words, self.before, self.zeros)):
             word = place >> 6
-            ones = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+            rest = words[word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1))
+            ones = before[word].astype(np.int64) + np.bitwise_count(rest)
             one = (symbol >> (self.bits - 1 - level) & 1).astype(bool)
             place = np.where(one, zeros + ones, place - ones)
         return place
@@ -77,7 +82,7 @@ class FMIndex:
                 break
         suffixes = np.argsort(rank, kind="stable")
         last = text[suffixes - 1]
-        self.text = text
+        self.size, self.asked = len(text), text.astype(np.int32)
         self.tree = WaveletTree(last, max(1, int(len(values)).bit_length()))
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=len(values) + 1))]
         self.base = self.tree.rank(np.arange(len(values) + 1), np.zeros(len(values) + 1, np.int64))
@@ -86,9 +91,9 @@ class FMIndex:
         """Length, up to ``most``, of the longest string that ends before each place and occurs twice or more."""
         found = np.zeros(len(ends), np.int64)
         alive = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         for step in range(most):
-            symbol = self.text[ends[alive] - 1 - step]
+            symbol = self.asked[ends[alive] - 1 - step].astype(np.int64)
             start = self.first[symbol] - self.base[symbol]
             low, high = start + self.tree.rank(symbol, low), start + self.tree.rank(symbol, high)
             still = (high - low > 1) & (symbol > 0)
