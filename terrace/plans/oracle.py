@@ -222,6 +222,10 @@ ORACLE = {
         '2024-01-31 00:00:00' AS _quarantine_detected_at FROM ({_ACCOUNTS}) WHERE balance < 0""",
     "clean_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance
         FROM ({_ACCOUNTS}) WHERE balance >= 0""",
+    "typed_reference": """SELECT o_orderpriority AS priority, count(*) AS orders, coalesce(max(days), -1) AS days,
+        CAST(coalesce(sum(fee), 0) AS DOUBLE) AS fees
+        FROM orders LEFT JOIN (VALUES ('1-URGENT', 1, 25.50::DECIMAL(6,2)), ('2-HIGH', 3, 12.00), ('3-MEDIUM', 7, NULL),
+            ('5-LOW', 30, 0.75)) AS p(priority, days, fee) ON o_orderpriority = p.priority GROUP BY o_orderpriority""",
     "quarantine_null_rule": """SELECT side, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
         SELECT n_chars, CASE WHEN coalesce(CAST(nullif(n_chars, 0) AS DOUBLE) / nullif(length(source) - 4, 0), 0) > 1000
             THEN 'quarantined' ELSE 'clean' END AS side FROM documents) GROUP BY side""",
@@ -492,6 +496,10 @@ ORACLE = {
     "evolve_orders": """SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus,
         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS o_totalprice, o_orderdate,
         CASE WHEN o_totalprice > 300000 THEN 'gold' ELSE 'it''s bronze' END AS size_class, 'none' AS note FROM orders""",
+    "evolve_dry_run": """SELECT change, (SELECT count(*) FROM orders) AS rows FROM (VALUES
+        ('add column ''size_class'' string'), ('add column ''note'' string'), ('remove column ''o_orderpriority'''),
+        ('rename ''o_custkey'' to ''customer_id'''), ('retype ''o_totalprice'': double to decimal(18,2)'),
+        ('rename ''o_orderkey'' to ''order_id'''), ('retype ''customer_id'': bigint to string')) AS t(change)""",
     "retype_losses": """
         SELECT 'o_totalprice' AS "column", count(*) AS unconvertible FROM orders WHERE TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL
         UNION ALL SELECT 'o_custkey', count(*) FROM orders WHERE TRY_CAST(o_custkey AS TINYINT) IS NULL

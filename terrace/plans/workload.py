@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from terrace.functions.udfs import STANDARD_UDFS, clean_text, content_hash, regi
 from terrace.operators import archive as ar
 from terrace.operators import evolve as ev
 from terrace.operators.checks import check_model, dimension_summary, run_checks
-from terrace.operators.contracts import apply_udf, bad_rows, transform
+from terrace.operators.contracts import apply_udf, bad_rows, transform, typed_frame
 from terrace.operators.diff import diff_summary, snapshot_diff
 from terrace.operators.domains import build_domain_model, split_by_rule
 from terrace.operators.lineage import Run, data_challenge, upgrade_lineage
@@ -204,6 +205,28 @@ def clean_customers(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(_split_customers(spark, sf, False)[0])
 
 
+def typed_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by a small table of reference rows that a contract types: what each priority promises."""
+    contract = {"priority": {"type": "string", "required": True}, "days": {"type": "int", "required": True}, "fee": "decimal(6,2)"}
+    rows = [("1-URGENT", 1, Decimal("25.50")), ("2-HIGH", 3, Decimal("12.00")), ("3-MEDIUM", 7, None), ("5-LOW", 30, Decimal("0.75"))]
+    promises = typed_frame(spark, contract, rows)
+    spec = {
+        "sources": {"o": "orders", "p": "promises"},
+        "join": "o.o_orderpriority = p.priority",
+        "join_type": "left",
+        "broadcast": "p",
+        "group_by": ["o.o_orderpriority"],
+        "columns": {
+            "priority": {"from": "o", "source_column": "o_orderpriority"},
+            "orders": {"expr": "count(*)"},
+            "days": {"expr": "coalesce(max(p.days), -1)"},
+            "fees": {"expr": "coalesce(sum(p.fee), 0)"},
+        },
+    }
+    tables = {**_load(spark, sf, "orders"), "promises": promises}
+    return _portable(build_model("promised", spec, tables, RUN))
+
+
 def quarantine_null_rule(spark: SparkSession, sf: str) -> DataFrame:
     """A rule that is NULL for some rows: they are neither caught nor lost."""
     documents = _table(spark, sf, "documents").select("doc_id", "source", "n_chars")
@@ -1246,6 +1269,13 @@ def evolve_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _portable(evolved).withColumn("note", F.coalesce("note", F.lit("none")))
 
 
+def evolve_dry_run(spark: SparkSession, sf: str) -> DataFrame:
+    """What the changes would do to the orders, and to how many rows, before anything is written."""
+    orders = _table(spark, sf, "orders")
+    lines = spark.createDataFrame([(line,) for line in ev.describe(orders, CHANGES)], "change string")
+    return lines.withColumn("rows", F.lit(orders.count()).cast("long"))
+
+
 def retype_losses(spark: SparkSession, sf: str) -> DataFrame:
     change = {
         "change_type": {
