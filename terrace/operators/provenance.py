@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.columns import normalise
 from terrace.operators.lineage import Entry, Run, column_entries
+from terrace.plans.model import build_model
 from terrace.session import checkpoint
 from terrace.sources.tables import overwrite_partitions, read_table
 from terrace.sources.versions import publish, write_version
@@ -176,28 +177,31 @@ def model_edges(
 
 def store_models(
     specs: Mapping[str, Mapping[str, Any]],
-    built: Mapping[str, DataFrame],
     tables: Mapping[str, DataFrame],
     registry: str,
     run_key: str,
     run: Run = Run(),
     database: str = "default",
     udf_languages: Mapping[str, str] | None = None,
+    **options: Any,
 ) -> dict[str, int]:
-    """Store built models as tables and enter where their columns come from in the registry; the rows of each.
+    """Build and store models in the order given and enter where their columns come from in the registry; the rows of
+    each.
 
-    ``tables`` are the sources the models were built from. Rows are counted while they are written. The registry is a
-    parquet folder that only grows: a partition for each run, and a repeated run replaces its own.
+    Each model reads the stored ones before it, so none is computed twice; ``tables`` are the other sources. Rows are
+    counted while they are written. The registry is a parquet folder that only grows: a partition for each run, and a
+    repeated run replaces its own. ``options`` go to ``build_model``.
     """
-    spark = next(iter(built.values())).sparkSession
-    known, edges, counts = {**tables, **built}, [], {}
+    spark = next(iter(tables.values())).sparkSession
+    known, edges, counts = dict(tables), [], {}
     for name, spec in specs.items():
         counted = Observation()
-        rows = built[name].observe(counted, F.count(F.lit(1)).alias("rows"))
+        built = build_model(name, spec, known, run, udf_languages, **options)
         table = f"{database}.{name}"
-        publish(spark, table, write_version(rows, table))
+        publish(spark, table, write_version(built.observe(counted, F.count(F.lit(1)).alias("rows")), table))
         counts[name] = counted.get["rows"]
         edges += [(*edge, counts[name]) for edge in model_edges(name, spec, known, udf_languages)]
+        known[name] = spark.table(table)
     schema = ", ".join(REGISTRY_DDL.split(", ")[:7])
     entries = spark.createDataFrame(edges, schema).withColumns(
         {"git_commit": F.lit(run.git_commit), "deployed_at": F.lit(run.deployed_at), "recorded_at": run.now(), "_run": F.lit(run_key)}

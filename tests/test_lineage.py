@@ -195,7 +195,7 @@ def test_lineage_is_recorded_when_models_are_stored(spark, seeds, tmp_path):
 
     def store(key, specs, commit):
         run = Run(commit, as_of=datetime(2025, 1, 1))
-        return store_models(specs, build_models(specs, seeds, run=run, udf_languages=languages), seeds, registry, key, run, database, languages)
+        return store_models(specs, seeds, registry, key, run, database, languages)
 
     assert store("one", SPECS, "c1") == {"beds": 6, "pickings": 9, "tended": 6, "bed_yield": 6, "crop_yield": 4}
     for _ in range(2):  # a repeated run replaces its own entries
