@@ -5,6 +5,11 @@ _ACCOUNTS = """
            CAST(c_acctbal AS DECIMAL(18,2)) AS balance
     FROM customer"""
 
+_NAMED_ACCOUNTS = """
+    SELECT c_custkey AS account_id, c_name AS account_name, c_nationkey AS nation_id, c_mktsegment AS segment,
+           CAST(c_acctbal AS DECIMAL(18,2)) AS balance
+    FROM customer"""
+
 _LINES = """
     SELECT l_orderkey AS ticket_id, l_linenumber AS line_no, l_returnflag AS flag,
            CAST(l_quantity AS DECIMAL(18,2)) AS units, CAST(l_extendedprice AS DECIMAL(18,2)) AS list_price,
@@ -208,7 +213,7 @@ _LEFT_JOIN = """SELECT c_custkey AS customer_id, coalesce(o_orderkey, -1) AS ord
     FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 40 * c_acctbal"""
 
 ORACLE = {
-    "stage_customers": f"SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance FROM ({_ACCOUNTS})",
+    "stage_customers": f"SELECT account_id, account_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance FROM ({_NAMED_ACCOUNTS})",
     "stage_orders": """SELECT o_orderkey AS ticket_id, o_custkey AS account_id, o_orderstatus AS state,
         o_orderpriority AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS billed,
         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS placed_on,
