@@ -222,9 +222,9 @@ ORACLE = {
         CAST(rebate AS DOUBLE) AS rebate, CAST(net AS DOUBLE) AS net FROM ({_LINES})""",
     "contract_transform": """SELECT n_nationkey, lower(n_name) AS n_name, count(*) AS suppliers
         FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""",
-    "quarantine_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance,
+    "quarantine_customers": f"""SELECT account_id, account_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance,
         'solvent' AS _quarantine_source, 'abc1234' AS _quarantine_git_commit,
-        '2024-01-31 00:00:00' AS _quarantine_detected_at FROM ({_ACCOUNTS}) WHERE balance < 0""",
+        '2024-01-31 00:00:00' AS _quarantine_detected_at FROM ({_NAMED_ACCOUNTS}) WHERE balance < 0""",
     "clean_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance
         FROM ({_ACCOUNTS}) WHERE balance >= 0""",
     "typed_reference": """SELECT o_orderpriority AS priority, count(*) AS orders, coalesce(max(days), -1) AS days,

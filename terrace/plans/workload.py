@@ -208,7 +208,7 @@ def _split_customers(spark: SparkSession, sf: str, keep_bad: bool) -> tuple[Data
 
 
 def quarantine_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return _portable(_split_customers(spark, sf, True)[1])
+    return _portable(split(_named_accounts(spark, sf), SPECS["solvent"]["quarantine"], "solvent", RUN)[1])
 
 
 def clean_customers(spark: SparkSession, sf: str) -> DataFrame:

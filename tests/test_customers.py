@@ -33,3 +33,7 @@ def wanted(keep=lambda balance: True):
 
 def test_staged_customers_have_names(spark, folder):
     assert found(w.stage_customers(spark, folder)) == wanted()
+
+
+def test_quarantined_customers_have_names(spark, folder):
+    assert found(w.quarantine_customers(spark, folder)) == wanted(lambda balance: balance < 0)
