@@ -225,8 +225,8 @@ ORACLE = {
     "quarantine_customers": f"""SELECT account_id, account_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance,
         'solvent' AS _quarantine_source, 'abc1234' AS _quarantine_git_commit,
         '2024-01-31 00:00:00' AS _quarantine_detected_at FROM ({_NAMED_ACCOUNTS}) WHERE balance < 0""",
-    "clean_customers": f"""SELECT account_id, nation_id, segment, CAST(balance AS DOUBLE) AS balance
-        FROM ({_ACCOUNTS}) WHERE balance >= 0""",
+    "clean_customers": f"""SELECT account_id, account_name, nation_id, segment, CAST(balance AS DOUBLE) AS balance
+        FROM ({_NAMED_ACCOUNTS}) WHERE balance >= 0""",
     "typed_reference": """SELECT o_orderpriority AS priority, count(*) AS orders, coalesce(max(days), -1) AS days,
         CAST(coalesce(sum(fee), 0) AS DOUBLE) AS fees
         FROM orders LEFT JOIN (VALUES ('1-URGENT', 1, 25.50::DECIMAL(6,2)), ('2-HIGH', 3, 12.00), ('3-MEDIUM', 7, NULL),

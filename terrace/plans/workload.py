@@ -203,12 +203,12 @@ def contract_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_customers(spark: SparkSession, sf: str, keep_bad: bool) -> tuple[DataFrame, DataFrame]:
-    staged = _models(spark, sf, "accounts")["accounts"]
+    staged = _named_accounts(spark, sf)
     return split(staged, SPECS["solvent"]["quarantine"], "solvent", RUN, keep_bad)
 
 
 def quarantine_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return _portable(split(_named_accounts(spark, sf), SPECS["solvent"]["quarantine"], "solvent", RUN)[1])
+    return _portable(_split_customers(spark, sf, True)[1])
 
 
 def clean_customers(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,3 +37,7 @@ def test_staged_customers_have_names(spark, folder):
 
 def test_quarantined_customers_have_names(spark, folder):
     assert found(w.quarantine_customers(spark, folder)) == wanted(lambda balance: balance < 0)
+
+
+def test_clean_customers_have_names(spark, folder):
+    assert found(w.clean_customers(spark, folder)) == wanted(lambda balance: balance >= 0)
