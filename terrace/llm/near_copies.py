@@ -195,7 +195,10 @@ def candidate_links(nodes: DataFrame, scratch: Scratch, most: int) -> DataFrame:
         near = scratch.keep(f"near-{name}", near_links(stands, BLOCK_BITS))
         between = near.join(stands.toDF("u", "a"), "u").join(stands.toDF("v", "b"), "v").select("a", "b")
         same = nodes.select(F.col("node").alias("a"), hashed.alias("fingerprint")).join(stands, "fingerprint").where("a <> stand").select("a", F.col("stand").alias("b"))
-        found = between.unionAll(same) if found is None else found.unionAll(between).unionAll(same)
+        # a table for each kind, so that no job has the plans of all
+        met = scratch.keep(f"met-{name}", between.unionAll(same))
+        scratch.drop(f"stands-{name}", f"near-{name}")
+        found = met if found is None else found.unionAll(met)
     one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in names]) for n in "ab")
     apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names]
     close = F.least(sum(apart[: SEEDS // 2], F.lit(0)), sum(apart[SEEDS // 2 :], F.lit(0))) <= APART
@@ -267,7 +270,7 @@ def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     nodes = scratch.keep("nodes", rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]), most)
     clusters = connected_components(candidate_links(nodes, scratch, most))
-    scratch.drop(*[f"{kind}-{name}" for kind in ("stands", "near") for name in names])
+    scratch.drop(*[f"met-{name}" for name in names])
     together = clusters.select("node", F.col("root").alias("cluster"))
     together = scratch.keep("together", together.unionAll(clusters.select("root", "root")).distinct(), most)
     sizes = nodes.join(together, "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
