@@ -8,10 +8,66 @@ driver sees two numbers of each round.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .frames import Scratch, ship
+
+#: Links of which a task makes a spanning forest at a time.
+FOREST_LINKS = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which links make a spanning forest of all, and of each link the smallest node that its ends can reach."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    tree = np.zeros(len(u), bool)
+    for k, (a, b) in enumerate(zip(ends[: len(u)].tolist(), ends[len(u) :].tolist())):
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            tree[k] = True
+    return tree, names[np.array([top(x) for x in ends[: len(u)].tolist()], np.int64)]
+
+
+def marked_forest(links: DataFrame, number: int) -> DataFrame:
+    """``links`` (``u``, ``v``; about ``number`` rows) with ``tree``, whether a link is needed to connect what the links
+    beside it connect, and ``part``, the smallest node that these reach.
+
+    A forest is made of ``FOREST_LINKS`` links at a time, so it has fewer links than they have nodes.
+    """
+
+    most = FOREST_LINKS
+
+    def run(batches):
+        held, size = [], 0
+
+        def marked():
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (u, v, *forest(u, v))], names=["u", "v", "tree", "part"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield marked()
+                held, size = [], 0
+        if size:
+            yield marked()
+
+    ship(links.sparkSession)
+    few = links.select("u", "v").coalesce(max(1, -(-number // most)))
+    return few.mapInArrow(run, StructType.fromDDL("u long, v long, tree boolean, part long"))
 
-from .frames import Scratch
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("big").alias("u"), F.col("small").alias("v"))

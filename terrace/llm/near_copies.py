@@ -5,7 +5,8 @@ so it is the words that are fingerprinted: twice as a set, which texts that repe
 each occurrence as one of its own. Texts that are similar by 0.8 are about 4 of 64 bits apart then. ``4 * BLOCK_BITS``
 bits of each fingerprint are hashed, and texts are candidates if one of them differs in three bits at most. Of n
 texts about 3e-10 * n meet by chance; such links are dropped by the whole fingerprints, of which unrelated texts
-differ in half of the bits (``APART``).
+differ in half of the bits (``APART``). A group's links are thinned to a spanning forest before that, as their number
+grows faster than the group.
 
 Candidates make clusters, and what decides is the exact similarity of the texts in a cluster (of 64-bit hashes of their
 shingles), by products of their sets in blocks:
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .components import connected_components
+from .components import connected_components, marked_forest
 from .frames import Scratch, add_columns, ship, texts, unused
 from .simhash import near_links, shingles, signed
 
@@ -185,25 +186,39 @@ def compared(rows: DataFrame) -> DataFrame:
 
 
 def candidate_links(nodes: DataFrame, scratch: Scratch, most: int) -> DataFrame:
-    """Links ``u``, ``v`` that connect nodes with a fingerprint in common within three bits."""
+    """Links ``u``, ``v`` that connect nodes with a fingerprint in common within three bits.
+
+    Of the links of a kind only a spanning forest is joined to the whole fingerprints, so a group gives about as many
+    rows as it has texts. The other links of a part count only where one of its forest's links is dropped.
+    """
     names = [f"print_{k}" for k in range(SEEDS)]
+    apart = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names]
+    close = F.least(sum(apart[: SEEDS // 2], F.lit(0)), sum(apart[SEEDS // 2 :], F.lit(0))) <= APART
+    ends = [F.col("a.node").alias("u"), F.col("b.node").alias("v")]
+    whole = F.struct("node", *names)
     found = None
     for name in names:
         hashed = F.col(name).bitwiseAND(F.lit((1 << 4 * BLOCK_BITS) - 1))
         # one node stands for all with the same fingerprint, and is linked to each of them
-        stands = scratch.keep(f"stands-{name}", nodes.groupBy(hashed.alias("fingerprint")).agg(F.min("node").alias("stand")), most)
-        near = scratch.keep(f"near-{name}", near_links(stands, BLOCK_BITS))
-        between = near.join(stands.toDF("u", "a"), "u").join(stands.toDF("v", "b"), "v").select("a", "b")
-        same = nodes.select(F.col("node").alias("a"), hashed.alias("fingerprint")).join(stands, "fingerprint").where("a <> stand").select("a", F.col("stand").alias("b"))
+        stands = scratch.keep(f"stands-{name}", nodes.groupBy(hashed.alias("fingerprint")).agg(F.min(whole).alias("stand")), most)
+        counted, dropped = Observation(), Observation()
+        near = scratch.keep(f"near-{name}", near_links(stands, BLOCK_BITS).observe(counted, F.count("*").alias("n")))
+        marked = scratch.keep(f"marked-{name}", marked_forest(near, counted.get["n"]))
+        ones, others = stands.toDF("u", "a"), stands.toDF("v", "b")
+        same = nodes.select(whole.alias("a"), hashed.alias("fingerprint")).join(stands.withColumnRenamed("stand", "b"), "fingerprint")
+        same = same.where("a.node <> b.node").select(*ends, close.alias("close"), F.lit(None).cast("long").alias("part"))
+        between = marked.where("tree").join(ones, "u").join(others, "v").select(*ends, close.alias("close"), "part")
         # a table for each kind, so that no job has the plans of all
-        met = scratch.keep(f"met-{name}", between.unionAll(same))
-        scratch.drop(f"stands-{name}", f"near-{name}")
-        found = met if found is None else found.unionAll(met)
-    one, other = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in names]) for n in "ab")
-    apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names]
-    close = F.least(sum(apart[: SEEDS // 2], F.lit(0)), sum(apart[SEEDS // 2 :], F.lit(0))) <= APART
-    both = found.distinct().join(one, "a").join(other, "b").where(close)
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        lost = F.expr("not close and part is not null")
+        met = scratch.keep(f"met-{name}", between.unionAll(same).observe(dropped, F.count_if(lost).alias("n")), most)
+        links = met.where("close").select("u", "v")
+        if dropped.get["n"]:
+            rest = marked.where("not tree").join(met.where(lost).select("part").distinct(), "part", "leftsemi")
+            rest = rest.join(ones, "u").join(others, "v").where(close).select(*ends)
+            links = links.unionAll(scratch.keep(f"rest-{name}", rest))
+        scratch.drop(f"stands-{name}", f"near-{name}", f"marked-{name}")
+        found = links if found is None else found.unionAll(links)
+    return found
 
 
 def _blocks(number, shingles_):
@@ -270,7 +285,7 @@ def near_copies(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     nodes = scratch.keep("nodes", rows.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", *names)]), most)
     clusters = connected_components(candidate_links(nodes, scratch, most))
-    scratch.drop(*[f"met-{name}" for name in names])
+    scratch.drop(*[f"{kind}-{name}" for kind in ("met", "rest") for name in names])
     together = clusters.select("node", F.col("root").alias("cluster"))
     together = scratch.keep("together", together.unionAll(clusters.select("root", "root")).distinct(), most)
     sizes = nodes.join(together, "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))

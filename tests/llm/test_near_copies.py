@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from terrace.llm import near_copies, simhash
+from terrace.llm import components, near_copies, simhash
+from terrace.llm.frames import Scratch
 
 SCHEMA = "doc_id long, text string, node string, cluster string, blocks int, number int, mark int, mine int, Own string"
 
@@ -109,6 +110,60 @@ def test_links_of_smaller_fingerprints():
     assert same(groups(len(prints), [(place[a], place[b]) for a, b in links])) == same(groups(len(prints), near))
 
 
+def test_spanning_forest():
+    rng = random.Random(8)
+    for trial in range(40):
+        count = rng.randrange(2, 40)
+        links = [(rng.randrange(count), rng.randrange(count)) for _ in range(rng.randrange(1, 80))]
+        tree, part = components.forest(*(np.array(c, np.int64) - 9 for c in zip(*links)))
+        kept = [pair for pair, needed in zip(links, tree) if needed]
+        root, own = groups(count, links), groups(count, kept)
+        assert all((root[a] == root[b]) == (own[a] == own[b]) for a in range(count) for b in range(count))
+        assert len(kept) == count - len(set(root))
+        assert part.tolist() == [root.index(root[a]) - 9 for a, _ in links]
+
+
+@pytest.mark.parametrize("most", [40, components.FOREST_LINKS])
+def test_links_of_a_large_group(spark, monkeypatch, most):
+    """A group of similar fingerprints gives a forest of links, and none is lost where the filter drops some of it."""
+    monkeypatch.setattr(components, "FOREST_LINKS", most)
+    rng = random.Random(17)
+    centre = [rng.getrandbits(62) & ~(3 << 46) for _ in range(near_copies.SEEDS)]
+
+    def flipped(value, number, bits):
+        for bit in rng.sample(range(bits), number):
+            value ^= 1 << bit
+        return value
+
+    # alike in the first fingerprint only, as whole ones all of them are close
+    rows = [[flipped(centre[0], rng.randrange(4), 46), *(flipped(c, 7, 46) for c in centre[1:])] for _ in range(400)]
+    # pairs with a third that is within three bits of both there, but far as a whole; links to it may come first
+    met = []
+    for _ in range(60):
+        one = [rng.getrandbits(62) | 1 << 47 for _ in range(near_copies.SEEDS)]
+        i, j = (1 << bit for bit in rng.sample(range(24), 2))
+        met += [one, [one[0] ^ i ^ j, *(flipped(c, 7, 46) for c in one[1:])]]
+        met.append([max(one[0] ^ i, one[0] ^ j) ^ (0xFFFF << 48 | 1 << 47), *(~c for c in one[1:])])
+
+    def joined(some):
+        low, small = (1 << 48) - 1, 1 << 64
+        pairs = [(i, j) for i in range(len(some)) for j in range(i)]
+        apart = lambda i, j, ks: sum((some[i][k] % small ^ some[j][k] % small).bit_count() for k in ks)
+        near = [(i, j) for i, j in pairs if any(((a ^ b) & low).bit_count() <= 3 for a, b in zip(some[i], some[j]))]
+        return groups(len(some), [(i, j) for i, j in near if min(apart(i, j, (0, 1)), apart(i, j, (2, 3))) <= near_copies.APART])
+
+    for some in (rows, rows + met):
+        names = ", ".join(f"print_{k} long" for k in range(near_copies.SEEDS))
+        nodes = spark.createDataFrame([(k, *map(simhash.signed, (v % (1 << 64) for v in r))) for k, r in enumerate(some)], f"node long, {names}")
+        scratch = Scratch(spark)
+        found = [tuple(r) for r in near_copies.candidate_links(nodes, scratch, len(some)).collect()]
+        scratch.drop()
+        want, own = joined(some), groups(len(some), found)
+        assert all((want[a] == want[b]) == (own[a] == own[b]) for a in range(len(some)) for b in range(a))
+        if some is rows and most > 40:
+            assert len(found) < len(some)
+
+
 def test_of_nothing(spark):
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(None, None), (4, ""), (None, "")], "doc_id long, text string")
